@@ -8,8 +8,14 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, str] = {
+    "op1_nearest": "neighbours",
     "op2_token_counts": "token_counts",
+    "op3_balanced_shards": "sharding",
+    "op4_fingerprints": "fingerprints",
     "op5_bpe_encoding": "bpe",
+    "op6_pii": "pii",
+    "op9_quality": "quality",
+    "op10_mixing": "mixing",
 }
 
 
