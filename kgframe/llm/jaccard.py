@@ -298,6 +298,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return own.join(least, "root", "left").select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each component the document of least id stays.
+
+    Rows that repeat an id are one document and stay or go together; rows with a null id stay.
+    """
+    found = similar_documents(docs, id_col, text_col)
+    gone = written(found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "removed-documents")
+    return docs.join(gone, id_col, "left_anti")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents``: five words, similarity 0.75 or more, whole texts."""
     return similar_documents(table(spark, sf_dir, "documents"))

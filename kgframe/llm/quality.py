@@ -171,7 +171,7 @@ def fit(labelled: DataFrame, features: int = FEATURES, width: float = 3.0, ridge
     full = np.flatnonzero(counts)
     model.weights = solve(sums[0] + sums[1])
     model.edges = low + (full + 0.5) * (high - low) / BINS
-    model.levels = isotonic(counts[full] , ones[full])
+    model.levels = isotonic(counts[full], ones[full])
     return model
 
 
@@ -190,21 +190,40 @@ def remainder(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3
 
 
-def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, held_out, score, predicted of every row of ``docs``, learnt from ``labels`` (id, quality) outside the held-out third.
+def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
+    """The model for statistics (id, stats), learnt from ``labels`` (id, quality) outside the held-out third.
 
-    Contradicting labels of an id count half each; labels of unknown ids and null labels are not used. Null and empty
-    texts are scored like others. A null id is never labelled; its held_out is false. Repeated rows keep their places.
+    Contradicting labels of an id count half each; labels of unknown ids and null labels are not used.
     """
-    stats = written(document_statistics(docs, id_col), "document-statistics")
     one = labels.filter("quality is not null").groupBy(id_col).agg(F.avg("quality").alias("label"))
     learn = stats.join(one, id_col).filter(remainder(id_col) != 1).withColumn("fold", (remainder(id_col) == 2).cast("int"))
-    model = fit(written(learn.select("stats", "label", "fold"), "labelled-statistics"))
-    return score(stats, model, id_col).select(
+    return fit(written(learn.select("stats", "label", "fold"), "labelled-statistics"))
+
+
+def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, held_out, score, predicted of every row of ``docs``. See ``fitted`` for what is learnt.
+
+    Null and empty texts are scored like others. A null id is never labelled; its held_out is false. Repeated rows
+    keep their places.
+    """
+    stats = written(document_statistics(docs, id_col), "document-statistics")
+    return score(stats, fitted(stats, labels, id_col), id_col).select(
         id_col, F.coalesce(remainder(id_col) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``; each row is judged by its own text, without a shuffle."""
+    model = fitted(document_statistics(docs, id_col, text_col), labels, id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            stats = np.array([statistics(t or "") for t in b.column(text_col).to_pylist()]).reshape(len(b), -1)
+            yield b.filter(pa.array(model.score(stats) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` scored as ``labels.quality`` marks it."""
     return scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -14,6 +14,7 @@ QUERIES: dict[str, str] = {
     "op4_fingerprints": "fingerprints",
     "op5_bpe_encoding": "bpe",
     "op6_pii": "pii",
+    "op7_html_text": "html",
     "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
     "op10_mixing": "mixing",
