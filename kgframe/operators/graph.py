@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgframe.sources.shared import written
+
 #: Predicates that the graph materialises for itself.
 INTERNAL = ["linkedContainedInPlace", "linkedMemberOf", "linkedMember"]
 DEFAULT_TYPE = "Thing"
@@ -23,20 +25,29 @@ def places_in(triples: DataFrame, parents: DataFrame, child_type: str) -> DataFr
     return inside.join(parents, "parent", "left_semi").join(entities_of_type(triples, child_type).withColumnRenamed("subject_id", "child"), "child", "left_semi").select("parent", "child").distinct()
 
 
-def closure(edges: DataFrame, predicate: str, max_hops: int = 10) -> DataFrame:
-    """child, ancestor, depth: what a chain of 1 to ``max_hops`` edges reaches, each pair once at its least depth.
+def _reach(first: DataFrame, hop: DataFrame, max_hops: int, name: str) -> DataFrame:
+    """start, end, depth: what 1 to ``max_hops`` hops (via, next) reach from the first pairs (start, end).
 
-    A frontier loop: each round joins only the pairs that the last one found, and leaves out those met before, so
-    cycles end it. The number of rounds is bounded; every round stays a lazy plan.
+    A frontier loop: each round joins only the pairs that the last one found and leaves out those met before, so
+    cycles end it. Each round is a written table, so plans don't grow with the rounds, and an empty one ends the loop.
     """
-    step = edges.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias("child"), F.col("object_id").alias("ancestor")).distinct()
-    found = frontier = step.withColumn("depth", F.lit(1))
-    hop = step.select(F.col("child").alias("via"), F.col("ancestor").alias("next"))
+    frontier = written(first.distinct().withColumn("depth", F.lit(1)), name)
+    found = [frontier]
     for depth in range(2, max_hops + 1):
-        frontier = frontier.join(hop, F.col("ancestor") == F.col("via")).select("child", F.col("next").alias("ancestor")).distinct()
-        frontier = frontier.join(found, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
-        found = found.unionByName(frontier)
-    return found
+        pairs = frontier.join(hop, F.col("end") == F.col("via")).select("start", F.col("next").alias("end")).distinct()
+        met = reduce(DataFrame.unionByName, found).select("start", "end")
+        frontier = written(pairs.join(met, ["start", "end"], "left_anti").withColumn("depth", F.lit(depth)), name)
+        if frontier.isEmpty():
+            break
+        found.append(frontier)
+    return reduce(DataFrame.unionByName, found)
+
+
+def closure(edges: DataFrame, predicate: str, max_hops: int = 10) -> DataFrame:
+    """child, ancestor, depth: what a chain of 1 to ``max_hops`` edges reaches, each pair once at its least depth."""
+    hop = written(edges.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct(), "hops")
+    found = _reach(hop.select(F.col("via").alias("start"), F.col("next").alias("end")), hop, max_hops, "closure")
+    return found.select(F.col("start").alias("child"), F.col("end").alias("ancestor"), "depth")
 
 
 def node_properties(edges: DataFrame, ids: DataFrame, outward: bool = True) -> DataFrame:
@@ -77,12 +88,9 @@ def node_chain(edges: DataFrame, ids: DataFrame, prop: str, outward: bool = True
     """node, object: the distinct nodes that 1 to ``max_hops`` edges of one predicate reach from the wanted nodes."""
     step = edges.filter(F.col("predicate") == prop)
     step = step if outward else step.select(F.col("object_id").alias("subject_id"), F.col("predicate"), F.col("subject_id").alias("object_id"))
-    hop = step.select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct()
-    found = frontier = hop.join(ids, F.col("via") == F.col("node"), "inner").select("node", F.col("next").alias("object")).distinct()
-    for _ in range(max_hops - 1):
-        frontier = frontier.join(hop, F.col("object") == F.col("via")).select("node", F.col("next").alias("object")).distinct().join(found, ["node", "object"], "left_anti")
-        found = found.unionByName(frontier)
-    return found
+    hop = written(step.select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct(), "hops")
+    first = hop.join(ids.select(F.col("node").alias("via")), "via", "left_semi").select(F.col("via").alias("start"), F.col("next").alias("end"))
+    return _reach(first, hop, max_hops, "chain").select(F.col("start").alias("node"), F.col("end").alias("object"))
 
 
 def sql_node_triples(triples: DataFrame, nodes: DataFrame, ids: DataFrame, properties: list[str], outward: bool = True) -> DataFrame:
