@@ -9,6 +9,8 @@ functions are used: the texts never leave the JVM and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ FIRST_DAY, DAYS = "1900-01-01", (256, 285)
 AREAS, SERIALS = 898, 99 * 9999
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def keyed(key: str, kind: str, i: Column, x: Column) -> Column:
     """The round function: 60 bits of a keyed digest, as a long."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), x.cast("string")), 256), 1, 15), 16, 10).cast("long")
@@ -46,8 +53,8 @@ def permuted(left: Column, right: Column, a: int | Column, b: int | Column, key:
     a, b = (F.lit(x).cast("long") if isinstance(x, int) else x for x in (a, b))
 
     def turn(acc: Column, i: Column) -> Column:
-        l = F.pmod(acc["l"] + keyed(key, kind, i, acc["r"]), a)  # noqa: E741
-        return F.struct(l.alias("l"), F.pmod(acc["r"] + keyed(key, kind, -i, l), b).alias("r"))
+        moved = F.pmod(acc["l"] + keyed(key, kind, i, acc["r"]), a)
+        return let(moved, lambda l: F.struct(l.alias("l"), F.pmod(acc["r"] + keyed(key, kind, -i, l), b).alias("r")))
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn)
@@ -79,11 +86,10 @@ def permuted_text(text: Column, key: str, kind: str, hexadecimal: bool = False)
         return F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), x), 256)
 
     def turn(acc: Column, i: Column) -> Column:
-        l = shifted(acc["l"], digest(i, acc["r"]), hexadecimal)  # noqa: E741
-        return F.struct(l.alias("l"), shifted(acc["r"], digest(-i, l), hexadecimal).alias("r"))
+        moved = let(digest(i, acc["r"]), lambda h: shifted(acc["l"], h, hexadecimal))
+        return let(moved, lambda l: F.struct(l.alias("l"), let(digest(-i, l), lambda h: shifted(acc["r"], h, hexadecimal)).alias("r")))
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn)
-    return F.concat(done["l"], done["r"])
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, turn), lambda done: F.concat(done["l"], done["r"]))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -117,7 +123,7 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     left, right = F.substring(digits, F.lit(1), cut), F.substring(digits, cut + 1, F.length(digits))
     size = lambda s: F.pow(F.lit(10.0), F.length(s)).cast("long")
     done = permuted(left, right, size(left), size(right), key, kind)
-    return F.concat(F.lpad(done["l"].cast("string"), F.length(left), F.lit("0")), F.lpad(done["r"].cast("string"), F.length(right), F.lit("0")))
+    return let(done, lambda x: F.concat(F.lpad(x["l"].cast("string"), F.length(left), F.lit("0")), F.lpad(x["r"].cast("string"), F.length(right), F.lit("0"))))
 
 
 def only_digits(value: Column) -> Column:
@@ -126,31 +132,32 @@ def only_digits(value: Column) -> Column:
 
 def pseudonym_card(value: Column, key: str) -> Column:
     """A number that passes the Luhn check keeps its first digit and passes it again; others stay."""
-    d = only_digits(value)
-    inner = F.substring(d, F.lit(2), F.length(d) - 2)
-    payload = F.concat(F.substring(d, 1, 1), permuted_digits(inner, key, "card"))
-    check = F.pmod(-luhn_sum(F.concat(payload, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, refilled(value, F.concat(payload, check))).otherwise(value)
+
+    def changed(d: Column) -> Column:
+        payload = F.concat(F.substring(d, 1, 1), let(F.substring(d, F.lit(2), F.length(d) - 2), lambda inner: permuted_digits(inner, key, "card")))
+        checked = let(payload, lambda p: F.concat(p, let(F.concat(p, F.lit("0")), lambda q: F.pmod(-luhn_sum(q), F.lit(10)).cast("string"))))
+        return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, let(checked, lambda c: refilled(value, c))).otherwise(value)
+
+    return let(only_digits(value), changed)
 
 
 def pseudonym_phone(value: Column, key: str) -> Column:
     """The last ten digits are permuted; a country code stays."""
-    d = only_digits(value)
-    return refilled(value, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permuted_digits(F.substring(d, -10, 10), key, "phone")))
+    last = lambda d: let(F.substring(d, -10, 10), lambda x: permuted_digits(x, key, "phone"))
+    return let(only_digits(value), lambda d: let(F.concat(F.substring(d, F.lit(1), F.length(d) - 10), last(d)), lambda new: refilled(value, new)))
 
 
 def pseudonym_ip(value: Column, key: str) -> Column:
     part = lambda i: F.split(value, r"\.")[i].cast("int")
     done = permuted(part(0) * 256 + part(1), part(2) * 256 + part(3), 65536, 65536, key, "ip")
-    return F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.floor(done[h] / 256), F.pmod(done[h], F.lit(256)))])
+    return let(done, lambda x: F.concat_ws(".", *[y.cast("string") for h in ("l", "r") for y in (F.floor(x[h] / 256), F.pmod(x[h], F.lit(256)))]))
 
 
 def pseudonym_ssn(value: Column, key: str) -> Column:
     area, group, serial = (F.split(value, "-")[i].cast("int") for i in range(3))
     done = permuted(area - 1 - (area > 666).cast("int"), (group - 1) * 9999 + serial - 1, AREAS, SERIALS, key, "ssn")
-    area = done["l"] + 1
-    two = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.concat_ws("-", two(area + (area > 665).cast("int"), 3), two(F.floor(done["r"] / 9999) + 1, 2), two(F.pmod(done["r"], F.lit(9999)) + 1, 4))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    return let(done, lambda x: F.concat_ws("-", pad(x["l"] + 1 + (x["l"] > 664).cast("int"), 3), pad(F.floor(x["r"] / 9999) + 1, 2), pad(F.pmod(x["r"], F.lit(9999)) + 1, 4)))
 
 
 def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
@@ -159,12 +166,17 @@ def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
     month = F.substring(value, 6, 2) if iso else F.substring(value, 4, 2)
     day = F.substring(value, 9, 2) if iso else F.substring(value, 1, 2)
     date = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
-    n = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    done = permuted(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), *DAYS, key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (done["l"] * DAYS[1] + done["r"]).cast("int"))
+    first = F.lit(FIRST_DAY).cast("date")
     mark = F.substring(value, 3, 1)
-    shown = F.date_format(new, "yyyy-MM-dd") if iso else F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy"))
-    return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), shown).otherwise(value)
+
+    def shown(new: Column) -> Column:
+        return F.date_format(new, "yyyy-MM-dd") if iso else F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy"))
+
+    def changed(n: Column) -> Column:
+        done = permuted(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), *DAYS, key, "date")
+        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), let(let(done, lambda x: F.date_add(first, (x["l"] * DAYS[1] + x["r"]).cast("int"))), shown)).otherwise(value)
+
+    return let(F.datediff(date, first), changed)
 
 
 def pseudonym(value: Column, key: str) -> Column:
