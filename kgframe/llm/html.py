@@ -32,6 +32,9 @@ CONTENT = {"article", "main"}
 #: Words in classes, ids and roles that name boilerplate.
 NOTES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "newsletter", "subscribe", "signup", "login", "search", "widget", "toolbar", "masthead", "complementary", "contentinfo", "alert"}
 
+#: What stepping over marked boilerplate outside a content element costs.
+STEP = 4.0
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -53,48 +56,50 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
     return ".".join([name, *words[:3]]), noted
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, text or tag name, signature, boilerplate) in page order; kind: text, inline, open or close.
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """(kind, text or tag name, signature, boilerplate, inside) in page order; kind: text, inline, open or close.
 
-    Text carries the signature of the element that holds it and whether any element around it is boilerplate.
+    Text carries the signature of the element that holds it, whether any element around it is boilerplate, and whether
+    it lies inside a content element. A header is boilerplate outside content elements.
     """
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield "text", page[at:end], stack[-1][1], stack[-1][2]
+            yield "text", page[at:end], *stack[-1][1:]
         if not m:
             return
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                yield "text", m[0][9:].removesuffix("]]>"), stack[-1][1], True
+                yield "text", m[0][9:].removesuffix("]]>"), stack[-1][1], True, stack[-1][3]
             continue
         inline = name in INLINE
         if m[1]:
             if any(x[0] == name for x in stack[1:]):
                 while stack[-1][0] != name:
                     stack.pop()
-                _, own, noted = stack.pop()
+                _, own, noted, inside = stack.pop()
             else:
-                own, noted = name, stack[-1][2]
-            yield "inline" if inline else "close", name, own, noted
+                own, (noted, inside) = name, stack[-1][2:]
+            yield "inline" if inline else "close", name, own, noted, inside
             continue
         own, noted = signature(name, m[3])
         if name == "p" and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
             stack.pop()
-        noted = noted or stack[-1][2]
-        yield "inline" if inline else "open", name, own, noted
+        inside = stack[-1][3] or name in CONTENT
+        noted = noted or stack[-1][2] or name == "header" and not inside
+        yield "inline" if inline else "open", name, own, noted, inside
         if name in VOID or m[0].endswith("/>"):
             continue
         if name in RAW:
             close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        stack.append((name, stack[-1][1] if inline and not noted else own, noted))
+        stack.append((name, stack[-1][1] if inline and not noted else own, noted, inside))
 
 
 def counted(page: str) -> dict[tuple[str, str], list[int]]:
@@ -103,7 +108,7 @@ def counted(page: str) -> dict[tuple[str, str], list[int]]:
     label = next((t for t in ("article", "main") if low.count(f"<{t}>") + low.count(f"<{t} ") == 1), None)
     found: dict[tuple[str, str], list[int]] = {}
     inside = False
-    for kind, text, own, noted in pieces(page) if label else ():
+    for kind, text, own, noted, _ in pieces(page) if label else ():
         if kind in ("open", "close") and text == label:
             inside = kind == "open"
             continue
@@ -141,38 +146,40 @@ def learn(pages: DataFrame, page_col: str = "html", sample: int = SAMPLE_PAGES,
     return {(r["kind"], r["own"]): math.log((r["inside"] + 0.5) / (r["outside"] + 0.5)) for r in rows}
 
 
-def weight(weights: dict[tuple[str, str], float], kind: str, own: str, noted: bool) -> float:
-    """A word's or tag's score. Marked boilerplate never scores for; unknown signatures fall back to their element."""
+def weight(weights: dict[tuple[str, str], float], kind: str, own: str) -> float:
+    """A word's or tag's score by its signature; unknown signatures fall back to their element."""
     name = own.split(".")[0]
     known = weights.get((kind, own), weights.get((kind, name)))
     if kind == "word":
-        return -2.0 if noted else 1.0 if known is None or name in CONTENT else max(-2.0, min(2.0, known))
-    if noted or name in BOILERPLATE:
-        return -20.0
+        return 1.0 if known is None or name in CONTENT else max(-2.0, min(2.0, known))
     return -0.5 if known is None else max(-20.0, min(-0.05, known))
 
 
 def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     """The text of the region of greatest score; empty if nothing scores. See the module's docstring for the scores.
 
-    A labelled element bounds the scan: its tags score against leaving or entering it. Blocks are joined by one space,
+    A content element bounds the scan: its tags score against leaving or entering it. Marked boilerplate inside it is
+    stepped over and left out; elsewhere stepping over it costs as much as a few words. Blocks are joined by one space,
     as is white space inside them; character references are decoded once.
     """
     found = list(pieces(page or ""))
-    best, best_span, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, text, own, noted) in enumerate(found):
-        if kind == "text":
-            run += len(text.split()) * weight(weights, "word", own, noted)
+    best, best_span, run, start, before = 0.0, (0, 0), 0.0, 0, False
+    for i, (kind, text, own, noted, inside) in enumerate(found):
+        if noted:
+            run -= 0.0 if before or inside else STEP
+        elif kind == "text":
+            run += len(text.split()) * weight(weights, "word", own)
         elif kind != "inline":
-            run += -1e9 if text in CONTENT and not noted else weight(weights, "tag", own, noted)
+            run += -1e9 if text in CONTENT else weight(weights, "tag", own)
+        before = noted
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
             best, best_span = run, (start, i + 1)
     out: list[str] = []
-    for kind, text, own, noted in found[slice(*best_span)]:
+    for kind, text, own, noted, _ in found[slice(*best_span)]:
         if kind == "text":
-            if not noted and weight(weights, "word", own, noted) > 0:
+            if not noted and weight(weights, "word", own) > 0:
                 out.append(text)
         elif kind != "inline":
             out.append(" ")
