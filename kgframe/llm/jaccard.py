@@ -33,6 +33,8 @@ from kgframe.llm.shingles import batch_texts, mix, set_ids, shingle_sets
 SMALL = 6
 #: Rows of a large bucket that meet in one task.
 BLOCK = 4096
+#: Keys that a member carries to tell in which bucket it has met another one before.
+LOWEST = 8
 
 
 def _most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,14 +110,15 @@ def _sets_of(docs: DataFrame, columns: str, of_slice, id_col: str, text_col: str
 
 
 def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_id (null for an empty set) of every row."""
+    """id, n_shingles, set_id and sketch (null for an empty set) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(b, sets, ids, state):
         n = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n), pa.array(ids, mask=n == 0)], [id_col, "n_shingles", "set_id"])
+        sketches = pa.array([bit_sketch(s, len(s)) if len(s) else None for s in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n), pa.array(ids, mask=n == 0), sketches], [id_col, "n_shingles", "set_id", "sketch"])
 
-    return _sets_of(docs, f"`{id_col}` {kind}, n_shingles long, set_id long", rows, id_col, text_col)
+    return _sets_of(docs, f"`{id_col}` {kind}, n_shingles long, set_id long, sketch binary", rows, id_col, text_col)
 
 
 def published_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,8 +138,8 @@ def published_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def candidates(segments: DataFrame) -> DataFrame:
     """a, b, key: pairs (key null), and the members a of large buckets (b null), from rows sorted by key outside Python.
 
-    A small bucket gives all its pairs, a large one a pair of its least set with each other. A task holds one batch
-    and at most SMALL rows more, whatever the size of a bucket.
+    A small bucket gives all its pairs; of a large one each set is paired with the least and with its neighbour in
+    order. A task holds one batch and at most SMALL rows more, whatever the size of a bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +188,9 @@ def candidates(segments: DataFrame) -> DataFrame:
             big = np.flatnonzero(size_of[:upto] > SMALL)
             least = np.repeat(ids[first] if len(first) else ids, size)[big]
             pairs.append((least[least != ids[big]], ids[big][least != ids[big]]))
+            i = big[:-1][np.diff(big) == 1]
+            i = i[key[i] == key[i + 1]]
+            pairs.append((ids[i], ids[i + 1]))
             members.append((key[big], ids[big]))
             key, ids = key[upto:], ids[upto:]
             yield from out(pairs, members)
@@ -200,40 +206,62 @@ def candidates(segments: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, key long")
 
 
-def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sketches: bool = False) -> DataFrame:
-    """set_id, n, data of the wanted set ids (column set_id): the hashes, or the bit sketches. One document of each set is read again."""
+def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """set_id, data (the hashes) of the wanted set ids (column set_id). One document of each set is read again."""
     needed = written(sets.filter("set_id is not null").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(id_col).alias(id_col)).select(id_col), "needed-documents")
 
     def rows(b, found, ids, state):
-        data = [bit_sketch(s, len(s)) if sketches else s.tobytes() for s in found]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(s) for s in found], pa.int64()), pa.array(data, pa.binary())], ["set_id", "n", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "data"])
 
     texts = docs.select(id_col, text_col).join(needed, id_col, "left_semi")
-    return _sets_of(texts, "set_id long, n long, data binary", rows, id_col, text_col)
+    return _sets_of(texts, "set_id long, data binary", rows, id_col, text_col)
 
 
-def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """The pairs (u, v) of set ids whose sets have a similarity of 3/4 or more, by their whole sets."""
+def _paired(pairs: DataFrame, data: DataFrame, test, where: str = "true") -> DataFrame:
+    """The pairs (u, v) that pass ``test`` on their sets' ``data`` (set_id, n, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= 75 * (len(x) + len(y) - both))
+            good = [test(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    x = hashes.select(F.col("set_id").alias("u"), F.col("n").alias("nx"), F.col("data").alias("x"))
-    y = hashes.select(F.col("set_id").alias("v"), F.col("n").alias("ny"), F.col("data").alias("y"))
-    both = pairs.join(x, "u").join(y, "v").filter("100 * least(nx, ny) >= 75 * greatest(nx, ny)")
+    x = data.select(F.col("set_id").alias("u"), F.col("n").alias("nx"), F.col("data").alias("x"))
+    y = data.select(F.col("set_id").alias("v"), F.col("n").alias("ny"), F.col("data").alias("y"))
+    both = pairs.join(x, "u").join(y, "v").filter(where)
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _is_near(x: pa.Buffer, y: pa.Buffer) -> bool:
+    """Whether bit sketches allow a link. Each ends with its set's size."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    most = sum(int.from_bytes(z[-8:].tobytes(), "big") for z in (x, y)) // 7
+    width = min(len(x), len(y)) - 8
+    x, y = (folded(z[None, :-8], width)[0] for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) <= most
+
+
+def _is_linked(x: pa.Buffer, y: pa.Buffer) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sizes and bit sketches (set_id, n, data) allow a link."""
+    data = sketches.select("set_id", "n", F.concat("data", F.unhex(F.lpad(F.hex("n"), 16, "0"))).alias("data"))
+    return _paired(pairs, data, _is_near, "100 * least(nx, ny) >= 75 * greatest(nx, ny)")
+
+
+def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The pairs (u, v) of set ids whose sets have a similarity of 3/4 or more, by their whole sets."""
+    return _paired(pairs, hashes.withColumn("n", F.lit(0)), _is_linked)
+
+
 def bucket_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """u, v: members (key, set_id, root, n, data) of one bucket with different roots whose sizes and bit sketches allow a link.
 
-    A bucket is cut into blocks of about ``block`` rows and every two blocks meet in one task.
+    A bucket is cut into blocks of about ``block`` rows and every two blocks meet in one task. Two sets that share many
+    buckets are left to the first that both are seen to be in, by the lowest keys that each carries.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -244,7 +272,11 @@ def bucket_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
         width = min(map(len, data))
         # bits are packed most significant first, so that halves of the bytes are halves of the bits
         bits = np.vstack([folded(np.frombuffer(data[i], np.uint8)[None], width) for i in order]).view(np.uint64)
-        one_block = group.column("one").to_numpy()[0]
+        one_block, key = group.column("one").to_numpy()[0], group.column("key").to_numpy()[0]
+        lowest = np.full((len(n), LOWEST), np.iinfo(np.int64).max)
+        for k, x in enumerate(group.column("lowest").to_pylist()):
+            lowest[k, : len(x)] = x
+        lowest = lowest[order]
         u, v = [], []
         for i in range(len(n)):
             last = int(np.searchsorted(n, n[i] * 4 // 3, side="right"))
@@ -253,15 +285,19 @@ def bucket_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
                 j = j[apart <= (n[j] + n[i]) // 7]
+                before = ((lowest[j][:, :, None] == lowest[i]) & (lowest[j] < key)[:, :, None]).any(axis=(1, 2))
+                j = j[~before]
                 u += [ids[i]] * len(j)
                 v += ids[j].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
+    lows = members.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LOWEST).alias("lowest"))
+    members = members.join(lows, "set_id")
     counts = members.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     m = members.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") == F.col("i")).cast("int")).withColumn("one", F.col("i") == F.col("j"))
-    pairs = m.select("key", "i", "j", "side", "one", "set_id", "root", "n", "data").groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
+    pairs = m.select("key", "i", "j", "side", "one", "set_id", "root", "n", "data", "lowest").groupBy("key", "i", "j").applyInArrow(run, "u long, v long")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -273,26 +309,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts share a component; rows with a null id are kept but link nothing. Extra columns are left out.
     """
     sets = written(document_sets(docs, id_col, text_col), "shingle-sets")
+    sketches = written(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("data")), "sketches")
     found = written(candidates(published_segments(docs, id_col, text_col)), "jaccard-candidates")
-    pairs = written(found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
-    hashes = whole_sets(docs, sets, wanted, id_col, text_col)
-    links = written(verified(pairs, hashes), "jaccard-links")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
+        return written(verified(pairs, whole_sets(docs, sets, wanted, id_col, text_col)), "jaccard-links")
+
+    pairs = found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    links = linked(written(near_pairs(pairs, sketches), "jaccard-pairs"))
     roots = written(components(links), "jaccard-roots")
     members = found.filter("b is null").select("key", F.col("a").alias("set_id"))
     if not members.isEmpty():
         rooted = members.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
         rooted = written(rooted.join(mixed, "key", "left_semi"), "mixed-buckets")
-        if not rooted.isEmpty():
-            sketches = whole_sets(docs, sets, rooted.select("set_id").distinct(), id_col, text_col, sketches=True)
-            near = written(bucket_pairs(rooted.join(sketches.dropDuplicates(["set_id"]), "set_id")), "bucket-pairs")
-            if not near.isEmpty():
-                wanted = near.select(F.col("u").alias("set_id")).union(near.select("v")).distinct()
-                more = verified(near, whole_sets(docs, sets, wanted, id_col, text_col))
-                links = written(links.union(more), "all-jaccard-links")
-                roots = written(components(links), "all-jaccard-roots")
-    own = sets.join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        near = written(bucket_pairs(written(rooted.join(sketches, "set_id"), "sketched-buckets")), "bucket-pairs")
+        if not near.isEmpty():
+            links = links.union(linked(near))
+            roots = written(components(links), "all-jaccard-roots")
+    own = sets.drop("sketch").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     own = written(own.select(id_col, "n_shingles", "root"), "rooted-documents")
     least = own.filter("root is not null").groupBy("root").agg(F.min(id_col).alias("component_id"))
     return own.join(least, "root", "left").select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))
@@ -311,3 +347,29 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate ``documents``: five words, similarity 0.75 or more, whole texts."""
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP8_JACCARD_JOIN_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s FROM words
+),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+items AS (SELECT doc_id, hash(x) AS h FROM (SELECT doc_id, unnest(s) AS x FROM sets)),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v WHERE 100 * common >= 75 * (a.n + b.n - common)
+),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, other) AS (
+  SELECT u, v FROM edges
+  UNION
+  SELECT r.doc_id, e.v FROM reach r JOIN edges e ON e.u = r.other
+),
+least_of AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(l.other, s.doc_id)) AS component_id
+FROM sizes s LEFT JOIN least_of l USING (doc_id)
+"""

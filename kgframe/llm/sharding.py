@@ -69,3 +69,22 @@ def op3_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", F.coalesce("text_crc32", F.lit(0)).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
+
+#: DuckDB has no CRC-32; its table follows from the polynomial.
+OP3_BALANCED_SHARDS_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t
+),
+sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM documents, crc_table
+),
+summed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before, (sum(size) OVER ())::BIGINT AS total FROM sized
+),
+placed AS (SELECT *, least(((2 * before + size) * 8) // (2 * total), 7)::INT AS shard FROM summed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard
+FROM placed
+"""
