@@ -28,7 +28,7 @@ def variable_source_existence(obs: DataFrame, edges: DataFrame, variables: DataF
     """variable, source: wanted variables with data of a wanted source (column source), by the provenances' edges."""
     of = edges.filter(F.col("predicate").isin("source", "isPartOf")).select(F.col("subject_id").alias("provenance"), F.col("object_id").alias("source")).distinct()
     pairs = obs.select("variable", "provenance").distinct().join(of, "provenance").select("variable", "source")
-    return pairs.join(variables, "variable", "left_semi").join(sources, "source", "left_semi").distinct()
+    return pairs.join(variables, "variable", "left_semi").join(sources, "source", "left_semi").select("variable", "source").distinct()
 
 
 def group_source_existence(obs: DataFrame, edges: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def group_place_existence(seen: DataFrame, links: DataFrame, places: DataFrame)
 
 
 def existence(variable_places: DataFrame, group_places: DataFrame, variable_sources: DataFrame, group_sources: DataFrame) -> DataFrame:
-    """item, target of all four kinds of check, each given as two columns."""
+    """item, target of all four kinds of check, each given as two columns in that order."""
     return reduce(DataFrame.unionByName, [df.toDF("item", "target") for df in (variable_places, group_places, variable_sources, group_sources)])
 
 
