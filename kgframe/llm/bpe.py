@@ -39,9 +39,13 @@ def byte_letters() -> list[str]:
 
 
 class WordBpe:
-    """A tokenizer with word ends, as read from its file. Words are encoded once and kept, up to ``keep`` words."""
+    """A tokenizer with word ends, as read from its file.
 
-    def __init__(self, path: str, keep: int = 400_000):
+    What is encoded is kept in two generations of about ``keep`` words each: what the younger one lacks is taken over
+    from the older, which goes when the younger is full. So memory is bounded and frequent words stay.
+    """
+
+    def __init__(self, path: str, keep: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -65,6 +69,8 @@ class WordBpe:
         self.keep = keep
         self.known: dict[str, tuple[str, str]] = {}  # of each word its ids and its tokens
         self.coded: dict[str, tuple[str, str]] = {}  # the same of each run without white space
+        self.old_known: dict[str, tuple[str, str]] = {}
+        self.old_coded: dict[str, tuple[str, str]] = {}
         self.exact = 0
 
     # --- one word ---
@@ -177,14 +183,21 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids and its decoded form, both as strings joined by one space."""
+        if len(self.known) > self.keep:
+            self.old_known, self.known = self.known, {}
+        if len(self.coded) > self.keep:
+            self.old_coded, self.coded = self.coded, {}
+        if len(self.fits) > 4 * self.keep:
+            self.fits.clear()
         known, coded = self.known, self.coded
-        for kept in (known, coded, self.fits):
-            if len(kept) > self.keep:
-                kept.clear()
         coded.update({t: (str(i), t) for t, i in self.special.items()})
         texts_runs = [self.runs(t) for t in texts]
-        fresh = {r: self.words.findall(r) for r in set().union(*texts_runs).difference(coded)}
-        if words := {w for ws in fresh.values() for w in ws}.difference(known):
+        new = set().union(*texts_runs).difference(coded)
+        coded.update({r: self.old_coded[r] for r in new if r in self.old_coded})
+        fresh = {r: self.words.findall(r) for r in new.difference(coded)}
+        words = {w for ws in fresh.values() for w in ws}.difference(known)
+        known.update({w: self.old_known[w] for w in words if w in self.old_known})
+        if words := words.difference(known):
             self.learn(list(words))
         for r, ws in fresh.items():
             coded[r] = known[ws[0]] if len(ws) == 1 else (" ".join([known[w][0] for w in ws]), " ".join([known[w][1] for w in ws]))

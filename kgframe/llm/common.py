@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: dict[str, str] = {}
-_shipped: set[str] = set()
+from kgframe.sources.shared import ship as send
+from kgframe.sources.shared import written
+
+__all__ = ["ship", "slices", "table", "written"]
+
+#: Bytes of an Arrow batch: text goes to Python in pieces that any executor can hold many of.
+BATCH_BYTES = "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, for they need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = f"{tempfile.mkdtemp(prefix='spark-')}/{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+    """Send the package to the executors, and have Arrow batches bounded by their bytes."""
+    send(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,25 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, as in tests."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_dir[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, its lineage cut, and safe from lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``max_bytes`` of text, one row at least, so that a task's memory is bounded."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -65,3 +40,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
             held += size
         if start < len(sizes):
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
