@@ -2,7 +2,7 @@
 
 A page is a row of words and tags. Words score positive, tags negative, with weights learnt from pages that label
 their own content (exactly one <article> or <main>): a word's weight depends on the element that holds it, a tag's on
-its name and classes. One linear scan finds the region of greatest sum; words in it whose element is known as
+its name and classes. One linear scan finds the region of greatest sum; words in it whose element is marked as
 boilerplate are left out.
 """
 
@@ -103,7 +103,10 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
 
 
 def counted(page: str) -> dict[tuple[str, str], list[int]]:
-    """Of a page that labels its content: for each (word or tag, signature) how many lie outside and inside; else nothing."""
+    """Of a page that labels its content: for each (word or tag, signature) how many lie outside and inside; else nothing.
+
+    What is marked as boilerplate is left out: it says nothing of the same signature without a mark.
+    """
     low = page.lower()
     label = next((t for t in ("article", "main") if low.count(f"<{t}>") + low.count(f"<{t} ") == 1), None)
     found: dict[tuple[str, str], list[int]] = {}
@@ -112,9 +115,9 @@ def counted(page: str) -> dict[tuple[str, str], list[int]]:
         if kind in ("open", "close") and text == label:
             inside = kind == "open"
             continue
-        if kind != "inline":
+        if kind != "inline" and not noted:
             count = len(text.split()) if kind == "text" else 1
-            found.setdefault(("word" if kind == "text" else "tag", own), [0, 0])[inside and not noted] += count
+            found.setdefault(("word" if kind == "text" else "tag", own), [0, 0])[inside] += count
     return found
 
 
@@ -158,9 +161,10 @@ def weight(weights: dict[tuple[str, str], float], kind: str, own: str) -> float:
 def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     """The text of the region of greatest score; empty if nothing scores. See the module's docstring for the scores.
 
-    A content element bounds the scan: its tags score against leaving or entering it. Marked boilerplate inside it is
-    stepped over and left out; elsewhere stepping over it costs as much as a few words. Blocks are joined by one space,
-    as is white space inside them; character references are decoded once.
+    A content element bounds the scan: its tags score against leaving or entering it. All text inside it that is not
+    marked scores positive and tags cost nothing, so nothing of it is lost. Marked boilerplate inside it is stepped over
+    and left out; elsewhere stepping over it costs as much as a few words. All other text of the region is kept. Blocks
+    are joined by one space, as is white space inside them; character references are decoded once.
     """
     found = list(pieces(page or ""))
     best, best_span, run, start, before = 0.0, (0, 0), 0.0, 0, False
@@ -168,8 +172,9 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
         if noted:
             run -= 0.0 if before or inside else STEP
         elif kind == "text":
-            run += len(text.split()) * weight(weights, "word", own)
-        elif kind != "inline":
+            w = weight(weights, "word", own)
+            run += len(text.split()) * (max(1.0, w) if inside else w)
+        elif kind != "inline" and (text in CONTENT or not inside):
             run += -1e9 if text in CONTENT else weight(weights, "tag", own)
         before = noted
         if run <= 0:
@@ -179,7 +184,7 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     out: list[str] = []
     for kind, text, own, noted, _ in found[slice(*best_span)]:
         if kind == "text":
-            if not noted and weight(weights, "word", own) > 0:
+            if not noted:
                 out.append(text)
         elif kind != "inline":
             out.append(" ")

@@ -227,3 +227,34 @@ def test_html_on_the_test_pages(spark, sf_dir):
         m = re.search(r"<article>(.*?)(?:</article>|$)", pages[r["page_id"]], re.S)
         want = " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", m[1]))).split())
         assert r["text"] == want
+
+
+MENU = "<nav><ul>" + "".join(f'<li><a href="/{i}">menu entry {i}</a></li>' for i in range(12)) + "</ul><table><tr><td>more</td></tr></table></nav>"
+FOOT = "<footer><ul><li>imprint</li></ul></footer></body></html>"
+
+
+def extracted(spark, bodies):
+    """The texts of pages of a table whose menus hold most lists."""
+    ship(spark)
+    plain = f"<html><body>{MENU}<article><h1>A title</h1><p>{'some words of prose ' * 20}</p></article>{FOOT}"
+    rows = [(i, f"<html><body>{MENU}{b}{FOOT}") for i, b in enumerate(bodies)] + [(1000 + i, plain) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df, ["page_id"]).collect()}
+    return [got[i] for i in range(len(bodies))]
+
+
+def test_html_keeps_lists_and_tables_of_articles(spark):
+    prose = "words before it " * 10
+    bodies = [
+        f"<article><p>{prose}</p><ul><li>first item</li><li>second item</li></ul><p>after</p></article>",
+        f"<article><p>lead</p><ol>{'<li>an item' * 9}</ol><p>{prose}</p></article>",
+        f"<main><p>{prose}</p><table><tr><th>k</th><td>v</td></tr></table><dl><dt>t<dd>d</dl><p>end</p></main>",
+        "<article><ul><li>only a list</li></ul></article>",
+    ]
+    want = [f"{prose}first item second item after", "lead " + "an item " * 9 + prose.strip(), f"{prose}k v t d end", "only a list"]
+    assert extracted(spark, bodies) == want
+
+
+def test_html_weights_are_not_learnt_from_marked_boilerplate():
+    found = html.counted(f"<body>{MENU}<article><p>a</p></article>{FOOT}")
+    assert ("word", "li") not in found and ("tag", "ul") not in found and found["word", "p"] == [0, 1]
