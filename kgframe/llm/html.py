@@ -29,31 +29,87 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "input", "fieldset"}
 CONTENT = {"article", "main"}
-#: Words in classes, ids and roles that name boilerplate.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words that name boilerplate where they are a whole class, id or role, but for words of LAYOUT.
 NOTES = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "comment", "comments", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "newsletter", "subscribe", "signup", "login", "search", "widget", "toolbar", "masthead", "complementary", "contentinfo", "alert"}
+LAYOUT = {"area", "articles", "bar", "block", "box", "button", "buttons", "container", "form", "group", "icon", "icons", "inner", "item", "items", "link", "links", "list", "outer", "panel", "post", "posts", "section", "site", "slot", "stories", "unit", "wrap", "wrapper"}
+#: Those of NOTES that name a part of a page wherever they are in a class, id or role: a soft mark, outside content elements.
+PARTS = {"advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "contentinfo", "cookie", "cookies", "disqus", "footer", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "popup", "sidebar", "toolbar", "widget"}
+#: How sure a mark is. Soft: a form, a part of a name. Named: a whole name. Hard: the element itself, or hidden.
+SOFT, NAMED, HARD = 1, 2, 3
 
 #: What stepping over marked boilerplate outside a content element costs.
 STEP = 4.0
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-z]{2,}")
 
 
-def signature(name: str, attributes: str) -> tuple[str, bool]:
-    """An element's name with its classes, and whether name or attributes say boilerplate."""
+def signature(name: str, attributes: str, inside: bool = False) -> tuple[str, int]:
+    """An element's name with its classes, and how surely name or attributes mark it as boilerplate (0: not at all).
+
+    ``inside`` a content element only whole names count. Ids of headings and paragraphs are made from their text.
+    """
     words: list[str] = []
-    noted = name in BOILERPLATE or name in HIDDEN
-    if attributes:
-        for kind, *values in _ATTRIBUTE.findall(attributes):
-            value = "".join(values).lower()
-            if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and value == "true":
-                noted = True
-            elif kind.lower() != "id":
-                words += value.split()
-            if name not in ("html", "body", "article", "main"):
-                noted = noted or not NOTES.isdisjoint(_NAME.findall(value))
-    return ".".join([name, *words[:3]]), noted
+    mark = SOFT if name in ("form", "fieldset") else HARD if name in BOILERPLATE or name in HIDDEN else NAMED if name == "header" and not inside else 0
+    for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        kind = kind.lower()
+        if kind not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = "".join(values).lower()
+        if kind == "hidden" or kind == "aria-hidden":
+            if kind == "hidden" or value == "true":
+                mark = HARD
+            continue
+        if kind != "id":
+            words += value.split()
+        elif name == "p" or name in HEADINGS:
+            continue
+        if name in ("html", "body", "article", "main"):
+            continue
+        for one in value.split():
+            parts = set(_NAME.findall(one))
+            if parts.isdisjoint(NOTES):
+                continue
+            if parts <= NOTES | LAYOUT:
+                mark = max(mark, NAMED)
+            elif not inside and name != "p" and name not in HEADINGS and not parts.isdisjoint(PARTS):
+                mark = max(mark, SOFT)
+    return ".".join([name, *words[:3]]), mark
+
+
+def boilerplate(parents: list[int], marks: list[int], contents: list[str], words: list[int]) -> list[bool]:
+    """Of each element (parents come first), whether it lies in boilerplate.
+
+    A mark does not count on what is rather a wrapper of the page: a soft one where a content element or more than half
+    of all words is below, a named one where more than half of all words and all articles are (without any, all mains).
+    If then no content element outside others is free of marks, these are free of all but hard ones. ``contents`` has
+    the names of content elements, ``words`` the counts of words right in an element.
+    """
+    label = "article" if "article" in contents else "main"
+    total, holds, labels = list(words), [False] * len(parents), [c == label for c in contents]
+    for e in range(len(parents) - 1, 0, -1):
+        total[parents[e]] += total[e]
+        holds[parents[e]] |= holds[e] or contents[e] != ""
+        labels[parents[e]] += labels[e]
+    own = []
+    for e, mark in enumerate(marks):
+        most = 2 * total[e] > total[0]
+        own.append(0 if mark == SOFT and (holds[e] or most) or mark == NAMED and most and labels[e] == labels[0] > 0 else mark)
+
+    def inherited(free: bool) -> tuple[list[int], bool]:
+        sure, inside, clear = [0] * len(parents), [False] * len(parents), False
+        for e in range(1, len(parents)):
+            up = parents[e]
+            outermost = contents[e] != "" and not inside[up]
+            sure[e] = max(0 if free and outermost and sure[up] < HARD else sure[up], own[e])
+            inside[e] = inside[up] or contents[e] != ""
+            clear = clear or outermost and not sure[e] and total[e] > 0
+        return sure, clear
+
+    sure, clear = inherited(False)
+    return [x > 0 for x in (sure if clear or labels[0] == 0 else inherited(True)[0])]
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
@@ -62,44 +118,58 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     Text carries the signature of the element that holds it, whether any element around it is boilerplate, and whether
     it lies inside a content element. A header is boilerplate outside content elements.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    found, parents, marks, contents, words = [], [0], [0], [""], [0]
+    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+
+    def element(mark: int, content: str = "") -> int:
+        parents.append(stack[-1][2])
+        marks.append(mark)
+        contents.append(content)
+        words.append(0)
+        return len(parents) - 1
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield "text", page[at:end], *stack[-1][1:]
+            text = page[at:end]
+            words[stack[-1][2]] += len(text.split())
+            found.append(("text", text, *stack[-1][1:]))
         if not m:
-            return
+            break
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
-                yield "text", m[0][9:].removesuffix("]]>"), stack[-1][1], True, stack[-1][3]
+                found.append(("text", m[0][9:].removesuffix("]]>"), stack[-1][1], element(HARD), stack[-1][3]))
             continue
         inline = name in INLINE
         if m[1]:
             if any(x[0] == name for x in stack[1:]):
                 while stack[-1][0] != name:
                     stack.pop()
-                _, own, noted, inside = stack.pop()
+                _, own, e, inside = stack.pop()
             else:
-                own, (noted, inside) = name, stack[-1][2:]
-            yield "inline" if inline else "close", name, own, noted, inside
+                own, (e, inside) = name, stack[-1][2:]
+            found.append(("inline" if inline else "close", name, own, e, inside))
             continue
-        own, noted = signature(name, m[3])
         if name == "p" and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
             stack.pop()
         inside = stack[-1][3] or name in CONTENT
-        noted = noted or stack[-1][2] or name == "header" and not inside
-        yield "inline" if inline else "open", name, own, noted, inside
+        own, mark = signature(name, m[3], inside)
+        e = element(mark, name if name in CONTENT else "")
+        found.append(("inline" if inline else "open", name, own, e, inside))
         if name in VOID or m[0].endswith("/>"):
             continue
         if name in RAW:
             close = re.compile(f"</{name}\\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        stack.append((name, stack[-1][1] if inline and not noted else own, noted, inside))
+        stack.append((name, stack[-1][1] if inline and not mark else own, e, inside))
+    noted = boilerplate(parents, marks, contents, words)
+    for kind, text, own, e, inside in found:
+        yield kind, text, own, noted[e], inside
 
 
 def counted(page: str) -> dict[tuple[str, str], list[int]]:

@@ -250,11 +250,30 @@ def test_html_keeps_lists_and_tables_of_articles(spark):
         f"<article><p>lead</p><ol>{'<li>an item' * 9}</ol><p>{prose}</p></article>",
         f"<main><p>{prose}</p><table><tr><th>k</th><td>v</td></tr></table><dl><dt>t<dd>d</dl><p>end</p></main>",
         "<article><ul><li>only a list</li></ul></article>",
+        "<article><p>see <a href='/x?id=search'>this link</a> or <b data-id=menu>that</b></p></article>",
     ]
-    want = [f"{prose}first item second item after", "lead " + "an item " * 9 + prose.strip(), f"{prose}k v t d end", "only a list"]
+    want = [f"{prose}first item second item after", "lead " + "an item " * 9 + prose.strip(), f"{prose}k v t d end", "only a list", "see this link or that"]
     assert extracted(spark, bodies) == want
 
 
 def test_html_weights_are_not_learnt_from_marked_boilerplate():
     found = html.counted(f"<body>{MENU}<article><p>a</p></article>{FOOT}")
     assert ("word", "li") not in found and ("tag", "ul") not in found and found["word", "p"] == [0, 1]
+
+
+def test_html_in_wrappers_whose_names_sound_like_boilerplate(spark):
+    prose = "the text of the page " * 8
+    article = f"<article><p>{prose}</p></article>"
+    wrappers = ['<form id="aspnetForm"><input type=hidden>%s</form>', '<div class="has-sidebar">%s</div>', '<div class="layout-sidebar-right">%s</div>', '<div id="search-page">%s</div>', '<div id="search">%s</div>']
+    wrappers += ['<main><div class="page search">%s</div></main>', '<form><fieldset>%s</fieldset></form>']
+    bodies = [w % article for w in wrappers] + [w % f"<p>{prose}</p>" for w in wrappers[:4]]
+    assert extracted(spark, bodies) == [prose.strip()] * len(bodies)
+
+
+def test_html_keeps_sections_named_by_their_headings(spark):
+    inner = '<h2 id="related-work">Related work</h2><section id="search-methods"><p class="side-effects">Side effects</p></section><div id="social-history">Social history</div><h2 id="comments">On comments</h2>'
+    cut = '<div class="ad-box">buy</div><div class="social-share">share</div><ul class="related-posts"><li>other</li></ul><div role="navigation">up</div><section id="comments"><article class="comment">nice post that is a longer one</article></section>'
+    teasers = '<div class="related"><article>a teaser</article></div>'
+    prose = "the text of the page " * 8
+    bodies = [f"<article><p>{prose}</p>{inner}</article>", f"<article><p>{prose}</p>{cut}<p>end</p></article>{teasers}", '<aside><article>a side note</article></aside><form><input>search here</form>']
+    assert extracted(spark, bodies) == [f"{prose}Related work Side effects Social history On comments", f"{prose}end", ""]
