@@ -26,14 +26,24 @@ PATTERNS = {
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "card": r"(?<![\p{L}\p{N}\-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}]|-\d)",
     "ssn": r"(?<![\p{L}\p{N}\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",
-    "iso_date": r"(?<![\p{L}\p{N}\-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\p{L}\p{N}]|-\d)",
-    "day_date": r"(?<![\p{L}\p{N}/.])(?:(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d|(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d)(?![\p{L}\p{N}]|[/.]\d)",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\p{L}\p{N}]|-\d)",
+    "iso_date": r"(?<![\p{L}\p{N}\-])(?<!\d[/.])(?:19|20)\d\d(?:-MM-DD|/MM/DD|\.MM\.DD)END",
+    "day_date": r"(?<![\p{L}\p{N}])(?<!\d[/.\-])(?:DD/MM/|DD\.MM\.|DD-MM-|MM/DD/|MM\.DD\.|MM-DD-)(?:19|20)\d\dEND",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-/]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}(?![\p{L}\p{N}]|-\d)",
+    "world_phone": r"(?<![\p{L}\p{N}])(?<!\d[/.,\-])(?:\+|00[ \-]?)[1-9](?:[ .\-/]?[()]?[ .\-/]?\d){6,14}(?![\p{L}\p{N}])",
+    "trunk_phone": r"(?<![\p{L}\p{N}])(?<!\d[/.,\-])(?:0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})|\(?0[1-9]\d{0,3}\)?[ \-/](?:\d{3,4}[ \-]\d{3,5}|\d{5,8})|0[1-9]\d{8,9})(?![\p{L}\p{N}]|[ .\-]\d)",
+    "bare_phone": r"(?<![\p{L}\p{N}_#])(?<!\d[/.,\-])1?[2-9]\d{9}(?![\p{L}\p{N}_]|[/.,\-]\d)",
 }
+#: Month, day, and what may follow a date: a time after T, but no other letter or digit.
+for _kind in ("iso_date", "day_date"):
+    PATTERNS[_kind] = PATTERNS[_kind].replace("MM", r"(?:0?[1-9]|1[0-2])").replace("DD", r"(?:0?[1-9]|[12]\d|3[01])").replace("END", r"(?!(?!T\d)[\p{L}\p{N}]|[/.\-]\d)")
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
-#: Dates from FIRST_DAY on for DAYS[0] * DAYS[1] days are permuted among themselves; others stay.
-FIRST_DAY, DAYS = "1900-01-01", (256, 285)
+#: All DAYS[0] * DAYS[1] = 73,049 days from FIRST_DAY to 2099-12-31, which the patterns accept, are permuted among themselves.
+FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
+#: Steps of a cycle walk; a step ends three walks of five.
+WALK = 200
 #: Social security areas are 1 to 899 without 666.
 AREAS, SERIALS = 898, 99 * 9999
 
@@ -142,9 +152,18 @@ def pseudonym_card(value: Column, key: str) -> Column:
 
 
 def pseudonym_phone(value: Column, key: str) -> Column:
-    """The last ten digits are permuted; a country code stays."""
-    last = lambda d: let(F.substring(d, -10, 10), lambda x: permuted_digits(x, key, "phone"))
-    return let(only_digits(value), lambda d: let(F.concat(F.substring(d, F.lit(1), F.length(d) - 10), last(d)), lambda new: refilled(value, new)))
+    """The digits after the country code or the trunk's 0 are permuted; other numbers have no more than the last ten changed."""
+    is_trunk = value.rlike(f"^(?:{PATTERNS['trunk_phone']})$") & ~value.rlike(f"^(?:{PATTERNS['phone']})$")
+    is_world = value.startswith("+") | value.rlike(f"^(?:{PATTERNS['world_phone']})$") & ~is_trunk
+
+    def changed(d: Column) -> Column:
+        exit_ = F.when(value.startswith("+"), 0).otherwise(2)
+        code = exit_ + F.length(F.regexp_extract(F.substring(d, exit_ + 1, F.length(d)), COUNTRY, 0)) + value.contains("(0)").cast("int")
+        kept = F.when(is_world, code).when(is_trunk, F.lit(1)).otherwise(F.length(d) - 10)
+        rest = lambda n: let(F.substring(d, n + 1, F.length(d)), lambda x: permuted_digits(x, key, "phone"))
+        return let(kept, lambda n: let(F.concat(F.substring(d, F.lit(1), n), rest(n)), lambda new: refilled(value, new)))
+
+    return let(only_digits(value), changed)
 
 
 def pseudonym_ip(value: Column, key: str) -> Column:
@@ -161,22 +180,35 @@ def pseudonym_ssn(value: Column, key: str) -> Column:
 
 
 def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
-    """A real date becomes another one, equal days the same in either format. Days that no calendar has stay."""
-    year = F.substring(value, 1, 4) if iso else F.substring(value, 7, 4)
-    month = F.substring(value, 6, 2) if iso else F.substring(value, 4, 2)
-    day = F.substring(value, 9, 2) if iso else F.substring(value, 1, 2)
-    date = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd")
+    """A real date becomes another one, equal days the same in year-first and day-first formats. Days that no calendar has stay.
+
+    A month comes first only where the second number is over 12; then the new day is over 12, too, so that it can be
+    mistaken for no day-first date: the permutation is applied until that holds. One-digit numbers stay without zeros.
+    """
+    one, two, three = (F.split(value, r"[/.\-]")[i] for i in range(3))
+    swapped = F.lit(False) if iso else two.cast("int") > 12
+    year, month, day = (one, two, three) if iso else (three, F.when(swapped, one).otherwise(two), F.when(swapped, two).otherwise(one))
+    pad = lambda x: F.lpad(x, 2, "0")
+    date = F.try_to_date(F.concat_ws("-", year, pad(month), pad(day)), "yyyy-MM-dd")
     first = F.lit(FIRST_DAY).cast("date")
-    mark = F.substring(value, 3, 1)
+    mark = F.regexp_extract(value, r"[/.\-]", 0)
+    short = value.rlike(r"(?<!\d)\d(?!\d)")
 
     def shown(new: Column) -> Column:
-        return F.date_format(new, "yyyy-MM-dd") if iso else F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy"))
+        m, d = (F.when(short, x.cast("string")).otherwise(pad(x.cast("string"))) for x in (F.month(new), F.day(new)))
+        y = F.year(new).cast("string")
+        return F.concat(y, mark, m, mark, d) if iso else F.concat(F.when(swapped, m).otherwise(d), mark, F.when(swapped, d).otherwise(m), mark, y)
+
+    def moved(n: Column) -> Column:
+        return let(permuted(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), *DAYS, key, "date"), lambda x: (x["l"] * DAYS[1] + x["r"]).cast("int"))
 
-    def changed(n: Column) -> Column:
-        done = permuted(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), *DAYS, key, "date")
-        return F.when(n.between(0, DAYS[0] * DAYS[1] - 1), let(let(done, lambda x: F.date_add(first, (x["l"] * DAYS[1] + x["r"]).cast("int"))), shown)).otherwise(value)
+    def walked(n: Column) -> Column:
+        if iso:
+            return moved(n)
+        go_on = lambda at: swapped & (F.day(F.date_add(first, at)) <= 12)
+        return F.aggregate(F.sequence(F.lit(1), F.when(swapped, WALK).otherwise(1)), moved(n), lambda at, _: F.when(go_on(at), moved(at)).otherwise(at))
 
-    return let(F.datediff(date, first), changed)
+    return let(F.datediff(date, first), lambda n: F.when(n.isNotNull(), let(F.date_add(first, walked(n)), shown)).otherwise(value))
 
 
 def pseudonym(value: Column, key: str) -> Column:

@@ -197,6 +197,45 @@ def test_pseudonyms_are_permutations(spark):
     assert ips.select(pii.pseudonym_ip(F.col("v"), "k2").alias("p")).join(ips.select(pii.pseudonym_ip(F.col("v"), "k").alias("p")), "p").count() < 30
 
 
+def test_pseudonyms_of_dates_in_all_orders(spark):
+    dates = ["12/31/1999", "03/04/1999", "1984-03-25T10:00", "1984/03/25", "3/7/1984", "7.3.1984", "1984-3-7", "31-12-1999", "12-31-1999", "2099-10-04", "2099-12-31", "1900-01-01"]
+    same = ["13/13/1999", "2023-02-29", "1984-03-25x", "31/12/19990", "1.2.3"]
+    df = spark.createDataFrame([(i, f"on {v}, or") for i, v in enumerate(dates + same)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["text"][3:-4], r["n_replaced"]) for r in pii.pseudonymise(df).collect()}
+    for i, v in enumerate(dates):
+        new, n = got[i]
+        assert new != v and n == 1 and re.sub("[0-9]+", "9", new) == re.sub("[0-9]+", "9", v)
+    assert [got[len(dates) + i] for i in range(len(same))] == [(v, 0) for v in same]
+    assert int(got[0][0][3:5]) > 12 and int(got[8][0][3:5]) > 12 and got[2][0].endswith("T10:00")
+    numbers = lambda i: sorted(map(int, re.findall("[0-9]+", got[i][0].split("T")[0])))
+    assert numbers(2) == numbers(3) and numbers(5) == numbers(6) and numbers(0) == numbers(8)
+
+
+def test_pseudonyms_of_all_days(spark):
+    days = spark.range(73049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    new = days.select("d", pii.pseudonym_date(F.date_format("d", "yyyy-MM-dd"), "k", True).alias("p"))
+    assert new.select("p").distinct().count() == 73049 and new.agg(F.min("p"), F.max("p")).first()[:] == ("1900-01-01", "2099-12-31")
+    assert new.filter(F.date_format("d", "yyyy-MM-dd") == F.col("p")).count() < 10
+    us = days.filter("day(d) > 12").select(pii.pseudonym_date(F.date_format("d", "MM/dd/yyyy"), "k", False).alias("p"))
+    assert us.filter("cast(substring(p, 4, 2) as int) <= 12").count() == 0 and us.distinct().count() == us.count()
+
+
+def test_pseudonyms_of_phones_in_all_groupings(spark):
+    phones = ["+15550123456", "5550123456", "15550123456", "(555) 012-3456", "555-012-3456", "(555)0123456", "+44 20 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "020 7946 0958", "+49 30 123456", "030 123456", "01 23 45 67 89", "+33 1 23 45 67 89", "+353-1-234-5678", "02079460958"]
+    same = ["1700000000", "0.5550123456", "id_5550123456", "12345", "555012345", "00 01 02 03"]
+    df = spark.createDataFrame([(i, f"call {v}, or") for i, v in enumerate(phones + same)], "doc_id int, text string")
+    got = {r["doc_id"]: (r["text"][5:-4], r["n_replaced"]) for r in pii.pseudonymise(df).collect()}
+    digits = {}
+    for i, v in enumerate(phones):
+        new, n = got[i]
+        assert new != v and n == 1 and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", v)
+        digits[v] = re.sub("[^0-9]", "", new)
+    assert [got[len(phones) + i] for i in range(len(same))] == [(v, 0) for v in same]
+    assert len({digits[v][-10:] for v in phones[:6]}) == 1 and len({digits[v][-10:] for v in phones[6:10]}) == 1
+    for v, code in (("+15550123456", "1"), ("+44 20 7946 0958", "44"), ("0044 20 7946 0958", "0044"), ("020 7946 0958", "0"), ("+49 30 123456", "49"), ("+353-1-234-5678", "353")):
+        assert digits[v].startswith(code)
+
+
 def test_pseudonyms_refuse_clashing_names(spark):
     with pytest.raises(ValueError):
         pii.pseudonymise(spark.createDataFrame([("a", 1)], "text string, n_replaced int"))
