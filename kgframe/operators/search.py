@@ -137,16 +137,19 @@ def place_dictionary(places: DataFrame, containers: DataFrame) -> DataFrame:
     return plain.unionByName(inside).distinct()
 
 
-def recognize_places(queries: DataFrame, dictionary: DataFrame, longest: int = 6, keep: int = 15) -> DataFrame:
+def recognize_places(queries: DataFrame, dictionary: DataFrame, longest: int | None = None, keep: int = 15, populous: int = 2000) -> DataFrame:
     """query_id, start, n_words, dcid, position: the places that a query names, the longest name first from the left.
 
     Every run of words is joined with the dictionary by equality; a run that begins inside a longer match that began
-    before is left out by one scan over the query's few matches. Of one run the most populous places are kept.
+    before is left out by one scan over the query's few matches. Of one run the ``keep`` most populous places are kept
+    and all others of ``populous`` people or more. Names of any length are tried, unless ``longest`` bounds their words.
     """
+    most = F.size(F.split("name", " "))
+    bound = dictionary.agg(F.coalesce(F.max(most), F.lit(0)).alias("longest")) if longest is None else dictionary.sparkSession.createDataFrame([(longest,)], "longest int")
     words = F.filter(F.split(recon_name(F.col("query")), r"\s+"), lambda w: w != "")
     q = queries.select("query_id", words.alias("w")).filter(F.size("w") > 0)
-    starts = q.select("query_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
-    runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n_words"))
+    starts = q.crossJoin(F.broadcast(bound)).filter("longest > 0").select("query_id", "w", "longest", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))  # bound is one row
+    runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least("longest", F.size("w") - F.col("start")))).alias("n_words"))
     runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("name"))
     hits = runs.join(dictionary, "name")
     spans = hits.groupBy("query_id", "start").agg(F.max("n_words").alias("n_words")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
@@ -156,7 +159,7 @@ def recognize_places(queries: DataFrame, dictionary: DataFrame, longest: int = 6
     )
     kept = spans.select("query_id", F.explode(greedy).alias("s")).select("query_id", "s.*")
     order = Window.partitionBy("query_id", "start").orderBy(F.desc("population"), "dcid")
-    return kept.join(hits, ["query_id", "start", "n_words"]).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep).select("query_id", "start", "n_words", "dcid", "position")
+    return kept.join(hits, ["query_id", "start", "n_words"]).withColumn("position", F.row_number().over(order)).filter((F.col("position") <= keep) | (F.col("population") >= populous)).select("query_id", "start", "n_words", "dcid", "position")
 
 
 def recognize_entities(queries: DataFrame, names: DataFrame, longest: int = 10) -> DataFrame:

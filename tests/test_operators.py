@@ -98,3 +98,16 @@ def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("geoId/01", "v", "2023", 1.0, "p", "", "", "m", "P1Y", "")], tables.OBSERVATIONS)
     df.write.option("header", True).csv(str(tmp_path / "o"))
     assert tables.load_observations(spark, str(tmp_path / "o"), "csv").select("entity", "value").collect() == [("geoId/01", 1.0)]
+
+
+def test_recognize_places_keeps_populous_places_and_long_names(spark):
+    from kgframe.operators import search
+
+    rows = [("spring field", f"p{i:02d}", 5000 - i) for i in range(18)] + [("spring field", f"q{i}", 1999 - i) for i in range(3)] + [("one two three four five six seven eight", "long", 7)]
+    queries = spark.createDataFrame([(1, "In Spring Field now"), (2, "see one two three four five six seven eight")], "query_id int, query string")
+    found = search.recognize_places(queries, spark.createDataFrame(rows, "name string, dcid string, population long")).collect()
+    assert sorted(r["dcid"] for r in found if r["query_id"] == 1) == [f"p{i:02d}" for i in range(18)]
+    assert [(r["dcid"], r["n_words"]) for r in found if r["query_id"] == 2] == [("long", 8)]
+    few = spark.createDataFrame([("spring field", f"p{i:02d}", 10 + i) for i in range(20)], "name string, dcid string, population long")
+    assert search.recognize_places(queries, few).count() == 15
+    assert search.recognize_places(queries, few.filter("false")).count() == 0
