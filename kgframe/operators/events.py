@@ -66,11 +66,11 @@ def topic_members(lists: DataFrame, peer_groups: DataFrame) -> DataFrame:
     return first.withColumn("position", F.row_number().over(Window.partitionBy("topic").orderBy("at"))).drop("at")
 
 
-def prune_empty_topics(members: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """topic, member without links to topics that reach no variable. Ids of topics begin with ``dc/topic/``."""
+def prune_empty_topics(members: DataFrame) -> DataFrame:
+    """topic, member without links to topics that reach no variable, however far below. Ids of topics begin with ``dc/topic/``."""
     is_topic = F.col("member").startswith("dc/topic/")
     live = written(members.filter(~is_topic).select("topic").distinct(), "live-topics")
-    for _ in range(max_rounds):
+    while True:
         more = members.join(live.select(F.col("topic").alias("member")), "member", "left_semi").select("topic").distinct().join(live, "topic", "left_anti")
         more = written(more, "live-topics")
         if more.isEmpty():
@@ -88,7 +88,7 @@ def topic_roots(members: DataFrame, default: str, most: int = 10) -> DataFrame:
     return roots.crossJoin(F.broadcast(n)).filter(F.col("n") <= most).select("topic").unionByName(curated.crossJoin(F.broadcast(n)).filter(F.col("n") > most).select("topic"))  # n is one row
 
 
-def expand_topic(members: DataFrame, topics: DataFrame, deep: bool = True, max_depth: int = 10) -> DataFrame:
+def expand_topic(members: DataFrame, topics: DataFrame, deep: bool = True) -> DataFrame:
     """topic, variable, position: immediate variables, or all below in depth-first order; cycles end a path.
 
     topics: column topic. A variable that is met more than once keeps its first place.
@@ -96,7 +96,7 @@ def expand_topic(members: DataFrame, topics: DataFrame, deep: bool = True, max_d
     is_topic = F.col("member").startswith("dc/topic/")
     start = members.join(topics, "topic", "left_semi").select("topic", "member", F.array("position").alias("path"), F.array("topic").alias("seen"))
     level, found = written(start, "topic-paths"), []
-    for _ in range(max_depth):
+    while True:
         found.append(level.filter(~is_topic).select("topic", F.col("member").alias("variable"), "path"))
         if not deep:
             break

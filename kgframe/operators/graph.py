@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,15 @@ def places_in(triples: DataFrame, parents: DataFrame, child_type: str) -> DataFr
     return inside.join(parents, "parent", "left_semi").join(entities_of_type(triples, child_type).withColumnRenamed("subject_id", "child"), "child", "left_semi").select("parent", "child").distinct()
 
 
-def _reach(first: DataFrame, hop: DataFrame, max_hops: int, name: str) -> DataFrame:
-    """start, end, depth: what 1 to ``max_hops`` hops (via, next) reach from the first pairs (start, end).
+def _reach(first: DataFrame, hop: DataFrame, max_hops: int | None, name: str) -> DataFrame:
+    """start, end, depth: what 1 to ``max_hops`` hops (via, next), or any number, reach from the first pairs (start, end).
 
     A frontier loop: each round joins only the pairs that the last one found and leaves out those met before, so
     cycles end it. Each round is a written table, so plans don't grow with the rounds, and an empty one ends the loop.
     """
     frontier = written(first.distinct().withColumn("depth", F.lit(1)), name)
     found = [frontier]
-    for depth in range(2, max_hops + 1):
+    for depth in count(2) if max_hops is None else range(2, max_hops + 1):
         pairs = frontier.join(hop, F.col("end") == F.col("via")).select("start", F.col("next").alias("end")).distinct()
         met = reduce(DataFrame.unionByName, found).select("start", "end")
         frontier = written(pairs.join(met, ["start", "end"], "left_anti").withColumn("depth", F.lit(depth)), name)
@@ -43,8 +44,8 @@ def _reach(first: DataFrame, hop: DataFrame, max_hops: int, name: str) -> DataFr
     return reduce(DataFrame.unionByName, found)
 
 
-def closure(edges: DataFrame, predicate: str, max_hops: int = 10) -> DataFrame:
-    """child, ancestor, depth: what a chain of 1 to ``max_hops`` edges reaches, each pair once at its least depth."""
+def closure(edges: DataFrame, predicate: str, max_hops: int | None = None) -> DataFrame:
+    """child, ancestor, depth: what a chain of edges (1 to ``max_hops``, if given) reaches, each pair once at its least depth."""
     hop = written(edges.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct(), "hops")
     found = _reach(hop.select(F.col("via").alias("start"), F.col("next").alias("end")), hop, max_hops, "closure")
     return found.select(F.col("start").alias("child"), F.col("end").alias("ancestor"), "depth")

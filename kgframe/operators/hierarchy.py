@@ -32,48 +32,48 @@ def all_variables(triples: DataFrame) -> DataFrame:
     return members.join(_named(triples), "subject_id", "left").join(described, "subject_id", "left").select(F.col("subject_id").alias("id"), "name", "group_id", "description")
 
 
-def descendant_variables(links: DataFrame, max_hops: int = 10) -> DataFrame:
+def descendant_variables(links: DataFrame, max_hops: int | None = None) -> DataFrame:
     """group_id, variable: all distinct variables below each group."""
     up = closure(links.select(F.col("child").alias("subject_id"), F.lit("up").alias("predicate"), F.col("parent").alias("object_id")), "up", max_hops)
     variables = links.filter("kind = 'variable'").select("child").distinct()
     return up.join(variables, "child", "left_semi").select(F.col("ancestor").alias("group_id"), F.col("child").alias("variable")).distinct()
 
 
-def descendant_counts(links: DataFrame, max_hops: int = 10) -> DataFrame:
+def descendant_counts(links: DataFrame, max_hops: int | None = None) -> DataFrame:
     """group_id, n: distinct descendant variables; one that is reached twice counts once."""
     return descendant_variables(links, max_hops).groupBy("group_id").agg(F.count("*").alias("n"))
 
 
-def build_hierarchy(links: DataFrame, max_hops: int = 10) -> DataFrame:
+def build_hierarchy(links: DataFrame, max_hops: int | None = None) -> DataFrame:
     """parent, child, kind, n: the children of each group; n is a group's count and -1 for a variable."""
     counts = descendant_counts(links, max_hops).withColumnRenamed("group_id", "child")
     return links.join(counts, "child", "left").select("parent", "child", "kind", F.when(F.col("kind") == "group", F.coalesce("n", F.lit(0))).otherwise(-1).alias("n"))
 
 
-def _up(links: DataFrame, max_hops: int) -> DataFrame:
+def _up(links: DataFrame, max_hops: int | None) -> DataFrame:
     return closure(links.select(F.col("child").alias("subject_id"), F.lit("up").alias("predicate"), F.col("parent").alias("object_id")), "up", max_hops)
 
 
-def parents_from_root(links: DataFrame, root: str, max_hops: int = 10) -> DataFrame:
+def parents_from_root(links: DataFrame, root: str, max_hops: int | None = None) -> DataFrame:
     """child, parent: only parents that are the root or lie below it."""
     below = _up(links, max_hops).filter(F.col("ancestor") == root).select(F.col("child").alias("parent"))
     reachable = below.union(links.sparkSession.createDataFrame([(root,)], "parent string")).distinct()
     return links.join(reachable, "parent", "left_semi").select("child", "parent").distinct()
 
 
-def ancestors(links: DataFrame, nodes: DataFrame, max_hops: int = 10) -> DataFrame:
+def ancestors(links: DataFrame, nodes: DataFrame, max_hops: int | None = None) -> DataFrame:
     """node, ancestor, depth of the wanted nodes (column node)."""
     return _up(links, max_hops).withColumnRenamed("child", "node").join(nodes, "node", "left_semi").select("node", "ancestor", "depth")
 
 
-def prune_hierarchy(links: DataFrame, variables: DataFrame, max_hops: int = 10) -> DataFrame:
+def prune_hierarchy(links: DataFrame, variables: DataFrame, max_hops: int | None = None) -> DataFrame:
     """The links that lead to wanted variables (column variable)."""
     wanted = variables.select(F.col("variable").alias("node"))
     kept = ancestors(links, wanted, max_hops).select(F.col("ancestor").alias("child")).union(wanted.select(F.col("node").alias("child"))).distinct()
     return links.join(kept, "child", "left_semi")
 
 
-def remove_subtree(links: DataFrame, group: str, max_hops: int = 10) -> DataFrame:
+def remove_subtree(links: DataFrame, group: str, max_hops: int | None = None) -> DataFrame:
     """The links without a group and all that lies below it."""
     gone = _up(links, max_hops).filter(F.col("ancestor") == group).select("child").distinct()
     return links.filter((F.col("parent") != group) & (F.col("child") != group)).join(gone, "child", "left_anti").join(gone.withColumnRenamed("child", "parent"), "parent", "left_anti").select("child", "parent", "kind")

@@ -52,7 +52,7 @@ class Bound:
 
     @property
     def closure(self) -> DataFrame:
-        return graph.closure(self.edges, "containedInPlace", 3)
+        return graph.closure(self.edges, "containedInPlace")
 
     def regions(self) -> DataFrame:
         return self.raw("region").select(F.concat(F.lit("region/"), F.col("r_regionkey")).alias("node"))

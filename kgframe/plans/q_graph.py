@@ -33,7 +33,7 @@ def j3(spark, d):
 
 @query("j4_linked_containment", "SELECT DISTINCT child, ancestor FROM closure")
 def j4(spark, d):
-    return graph.closure(Bound(spark, d).edges, "containedInPlace", 4).select("child", "ancestor")
+    return graph.closure(Bound(spark, d).edges, "containedInPlace").select("child", "ancestor")
 
 
 @query("j6_merge_child_places", "SELECT subject_id AS child FROM triples WHERE predicate = 'containedInPlace'")

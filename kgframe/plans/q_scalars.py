@@ -139,7 +139,7 @@ def c21(spark, d):
     types = t.filter("predicate = 'typeOf'").select("subject_id", F.col("object_id").alias("type"))
     inside = t.filter("predicate = 'containedInPlace'").select("subject_id", F.col("object_id").alias("outer"))
     links = inside.join(types, "subject_id").join(types.select(F.col("subject_id").alias("outer"), F.col("type").alias("outer_type")), "outer")
-    return closure(links.select(F.col("type").alias("subject_id"), F.lit("in").alias("predicate"), F.col("outer_type").alias("object_id")).distinct(), "in", 4)
+    return closure(links.select(F.col("type").alias("subject_id"), F.lit("in").alias("predicate"), F.col("outer_type").alias("object_id")).distinct(), "in")
 
 
 @query("c22_convert_units", "SELECT l_orderkey, l_linenumber, l_quantity * 1000000 AS value, 'KilowattHour' AS unit FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, 'Tonne' FROM lineitem WHERE l_returnflag = 'A'", base=False)

@@ -111,3 +111,17 @@ def test_recognize_places_keeps_populous_places_and_long_names(spark):
     few = spark.createDataFrame([("spring field", f"p{i:02d}", 10 + i) for i in range(20)], "name string, dcid string, population long")
     assert search.recognize_places(queries, few).count() == 15
     assert search.recognize_places(queries, few.filter("false")).count() == 0
+
+
+def test_loops_reach_the_end_of_long_chains(spark):
+    from kgframe.operators import events, graph, hierarchy
+
+    n = 14
+    edges = spark.createDataFrame([(f"n{i}", "in", f"n{i + 1}") for i in range(n)] + [(f"n{n}", "in", f"n{n - 1}")], "subject_id string, predicate string, object_id string")
+    assert graph.closure(edges, "in").filter("child = 'n0'").count() == n
+    links = spark.createDataFrame([("v", "g0", "variable")] + [(f"g{i}", f"g{i + 1}", "group") for i in range(n)], "child string, parent string, kind string")
+    assert hierarchy.descendant_variables(links).count() == n + 1
+    members = [(f"dc/topic/{i}", f"dc/topic/{i + 1}", 0) for i in range(n)] + [(f"dc/topic/{n}", "v", 0), ("dc/topic/0", "dc/topic/empty", 1)]
+    topics = spark.createDataFrame(members, "topic string, member string, position int")
+    assert events.prune_empty_topics(topics).count() == n + 1
+    assert [r["variable"] for r in events.expand_topic(topics, spark.createDataFrame([("dc/topic/0",)], "topic string")).collect()] == ["v"]
