@@ -52,6 +52,28 @@ def test_bpe_speculation_keeps_few_words(spark, sf_dir):
     assert own.encode([long_word])[0][0] == " ".join(map(str, lib.encode(long_word, add_special_tokens=False).ids))
 
 
+def test_bpe_of_all_code_points_and_random_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(5)
+    mixed = ["".join(rng.choice(points) if rng.random() < 0.5 else chr(rng.randrange(32, 0x250)) for _ in range(rng.randrange(60))) for _ in range(6000)]
+    texts = [f"a{c}b" for c in points] + [f".{c}." for c in points[::3]] + mixed
+    for k in range(0, len(texts), 50_000):
+        part = texts[k : k + 50_000]
+        want = [" ".join(map(str, e.ids)) for e in lib.encode_batch(part, add_special_tokens=False)]
+        assert [ids for ids, _ in own.encode(part)] == want
+
+
+def test_bpe_of_an_empty_table(docs):
+    assert bpe.encode_documents(docs.filter("false"), bpe.default_path()).count() == 0
+    twice = bpe.encode_documents(docs.union(docs).withColumn("doc_id", F.lit(None).cast("long")), bpe.default_path())
+    assert twice.count() == 2 * len(TEXTS) and twice.filter("doc_id is not null").count() == 0
+
+
 def test_decode(spark):
     df = spark.createDataFrame([(1, [320, 49407]), (2, None)], "i int, ids array<int>")
     assert [r["decoded"] for r in bpe.decode_ids(df, bpe.default_path()).orderBy("i").collect()][1] is None
