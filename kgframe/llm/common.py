@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kgframe.sources.shared import ship as send
 from kgframe.sources.shared import written
 
-__all__ = ["ship", "slices", "table", "written"]
+__all__ = ["free_name", "ship", "slices", "table", "written"]
 
 #: Bytes of an Arrow batch: text goes to Python in pieces that any executor can hold many of.
 BATCH_BYTES = "4m"
@@ -28,7 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of ``df`` (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of about ``max_bytes`` of text, one row at least, so that a task's memory is bounded."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

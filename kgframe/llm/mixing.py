@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgframe.llm.common import table
+from kgframe.llm.common import free_name, table
 
 #: The stratum of every source without a weight of its own.
 REST = "*"
@@ -76,9 +76,10 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str, total: int
     for s, rate in found.items():
         steps = F.array(*[F.lit(x) for x in poisson_steps(rate)])
         count = F.when(own == s, F.size(F.filter(steps, lambda step: u >= step))).otherwise(count)
-    copies = docs.withColumn("__count", count).filter("__count > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__count")
+    count_col, key_col = free_name(docs, "copies"), free_name(docs, "place")
+    copies = docs.withColumn(count_col, count).filter(F.col(count_col) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(count_col)))).drop(count_col)
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col))
-    return copies.withColumn("__key", key).repartition("__key").sortWithinPartitions("__key").drop("__key")
+    return copies.withColumn(key_col, key).repartition(key_col).sortWithinPartitions(key_col).drop(key_col)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

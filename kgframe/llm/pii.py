@@ -3,8 +3,11 @@
 Card numbers, phone numbers, IPv4 addresses, social security numbers and dates are validated and then permuted by a
 Feistel network over the pair of numbers that they make up, so that each pseudonym is again a valid value of the same
 format, equal values get equal pseudonyms in every document, and different values different ones. The letters and
-digits of e-mail names and of long hexadecimal secrets go through the same network on strings. Only DataFrame
-functions are used: the texts never leave the JVM and nothing is shuffled.
+digits of e-mail names, account numbers, keys, hardware addresses and long hexadecimal secrets go through the same
+network on strings. Only DataFrame functions are used: the texts never leave the JVM and nothing is shuffled.
+
+Repeated groups in the patterns are possessive or have a bounded count, so that no text, however long, makes the
+matcher recurse deeply.
 """
 
 from __future__ import annotations
@@ -14,25 +17,37 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgframe.llm.common import table
+from kgframe.llm.common import free_name, table
 
+#: The key of the query and the pipeline; on real data pass a secret of your own.
 KEY = "pseudonym-key-1"
 ROUNDS = 8
 
 #: What is looked for, in this order; each begins where no letter or digit precedes it.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![\p{L}\p{N}])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![\p{L}\p{N}])",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,30}\.\p{L}{2,}",
+    "key": r"(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[_\-](?:live_|test_|proj-)?(?=[A-Za-z_\-]*[0-9])[0-9A-Za-z_\-]{20,200}|gh[opsu]_[0-9A-Za-z]{36,100}|xox[abprs]-(?=[A-Za-z\-]*[0-9])[0-9A-Za-z\-]{10,200}|AIza[0-9A-Za-z_\-]{35})(?![\p{L}\p{N}_\-])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[0-9A-F]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "hardware": r"(?<![\p{L}\p{N}:\-])(?:(?:HH:){5}HH|(?:HH-){5}HH)(?![\p{L}\p{N}:\-])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:H{1,4}:){7}H{1,4}|(?:(?:H{1,4}:){2,6}|[fF][eE]80:)(?::H{1,4}){1,5})(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}\-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}]|-\d)",
     "ssn": r"(?<![\p{L}\p{N}\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",
     "iso_date": r"(?<![\p{L}\p{N}\-])(?<!\d[/.])(?:19|20)\d\d(?:-MM-DD|/MM/DD|\.MM\.DD)END",
     "day_date": r"(?<![\p{L}\p{N}])(?<!\d[/.\-])(?:DD/MM/|DD\.MM\.|DD-MM-|MM/DD/|MM\.DD\.|MM-DD-)(?:19|20)\d\dEND",
+    "word_date": r"(?<![\p{L}\p{N}])(?:DD MONTH,? |MONTH DD,? )(?:19|20)\d\d(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-/]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}(?![\p{L}\p{N}]|-\d)",
     "world_phone": r"(?<![\p{L}\p{N}])(?<!\d[/.,\-])(?:\+|00[ \-]?)[1-9](?:[ .\-/]?[()]?[ .\-/]?\d){6,14}(?![\p{L}\p{N}])",
     "trunk_phone": r"(?<![\p{L}\p{N}])(?<!\d[/.,\-])(?:0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})|\(?0[1-9]\d{0,3}\)?[ \-/](?:\d{3,4}[ \-]\d{3,5}|\d{5,8})|0[1-9]\d{8,9})(?![\p{L}\p{N}]|[ .\-]\d)",
     "bare_phone": r"(?<![\p{L}\p{N}_#])(?<!\d[/.,\-])1?[2-9]\d{9}(?![\p{L}\p{N}_]|[/.,\-]\d)",
 }
+# The names of the months.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+_MONTH = "(?:" + "|".join([rf"(?i:{m})" for m in MONTHS] + [rf"(?i:{m[:3]})\.?" for m in MONTHS]) + ")"
+for _kind in ("hardware", "ipv6"):
+    PATTERNS[_kind] = PATTERNS[_kind].replace("H", "[0-9A-Fa-f]")
+PATTERNS["word_date"] = PATTERNS["word_date"].replace("MONTH", _MONTH).replace("DD", r"(?:0?[1-9]|[12]\d|3[01])")
 #: Month, day, and what may follow a date: a time after T, but no other letter or digit.
 for _kind in ("iso_date", "day_date"):
     PATTERNS[_kind] = PATTERNS[_kind].replace("MM", r"(?:0?[1-9]|1[0-2])").replace("DD", r"(?:0?[1-9]|[12]\d|3[01])").replace("END", r"(?!(?!T\d)[\p{L}\p{N}]|[/.\-]\d)")
@@ -77,8 +92,8 @@ def shifted(text: Column, digest: Column, hexadecimal: bool) -> Column:
         h = F.conv(F.substring(digest, F.pmod(j, F.lit(20)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
         code = F.ascii(c)
         if hexadecimal:
-            digit = F.conv(c, 16, 10).cast("int")
-            return F.lower(F.hex(F.pmod(digit + h, F.lit(16)))).substr(-1, 1)
+            digit = F.position(c, F.lit("0123456789abcdef")) - 1
+            return F.when(digit >= 0, F.lower(F.hex(F.pmod(digit + h, F.lit(16)))).substr(-1, 1)).otherwise(c)
         moved = lambda first, n: F.char(F.lit(first) + F.pmod(code - F.lit(first) + h, F.lit(n)))
         return (
             F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 122), moved(97, 26)).when(code.between(65, 90), moved(65, 26)).otherwise(c)
@@ -114,12 +129,12 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), one)
 
 
-def refilled(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in turn, by those of ``digits``."""
+def refilled(shape: Column, digits: Column, kind: str = "[0-9]") -> Column:
+    """``shape`` with its digits (or what ``kind`` matches) replaced, in turn, by those of ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def one(acc: Column, c: Column) -> Column:
-        is_digit = c.rlike("[0-9]")
+        is_digit = c.rlike(kind)
         return F.struct(
             F.concat(acc["out"], F.when(is_digit, F.substring(digits, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + is_digit.cast("int")).alias("at")
         )
@@ -166,6 +181,44 @@ def pseudonym_phone(value: Column, key: str) -> Column:
     return let(only_digits(value), changed)
 
 
+def permuted_hex(value: Column, key: str, kind: str) -> Column:
+    """The network on hexadecimal digits; other signs stay. A value in capitals stays so, other values become small."""
+    done = let(F.lower(value), lambda x: permuted_text(x, key, kind, hexadecimal=True))
+    return F.when(value == F.upper(value), F.upper(done)).otherwise(done)
+
+
+def mod97(text: Column) -> Column:
+    """The remainder by 97 of a number whose capitals stand for 10 to 35."""
+
+    def one(acc: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(code < 65, F.pmod(acc * 10 + code - 48, F.lit(97))).otherwise(F.pmod(acc * 100 + code - 55, F.lit(97)))
+
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(one(acc, c)))
+
+
+def pseudonym_iban(value: Column, key: str) -> Column:
+    """An account number whose check digits are right keeps its country and gets right ones again; others stay."""
+
+    def changed(d: Column) -> Column:
+        country, rest = F.substring(d, 1, 2), F.substring(d, F.lit(5), F.length(d))
+        valid = mod97(F.concat(rest, F.substring(d, 1, 4))) == 1
+
+        def checked(new: Column) -> Column:
+            check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+            return refilled(value, F.concat(country, check, new), "[0-9A-Z]")
+
+        return F.when(valid, let(permuted_text(rest, key, "iban"), checked)).otherwise(value)
+
+    return let(F.replace(value, F.lit(" "), F.lit("")), changed)
+
+
+def pseudonym_key(value: Column, key: str) -> Column:
+    """What follows the prefix that tells the kind of key."""
+    prefix = F.regexp_extract(value, r"^(?:AKIA|ASIA|AIza|(?:sk|pk|rk)[_\-](?:live_|test_|proj-)?|gh[opsu]_|xox[abprs]-)", 0)
+    return let(prefix, lambda p: F.concat(p, let(F.substring(value, F.length(p) + 1, F.length(value)), lambda rest: permuted_text(rest, key, "key"))))
+
+
 def pseudonym_ip(value: Column, key: str) -> Column:
     part = lambda i: F.split(value, r"\.")[i].cast("int")
     done = permuted(part(0) * 256 + part(1), part(2) * 256 + part(3), 65536, 65536, key, "ip")
@@ -211,40 +264,71 @@ def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
     return let(F.datediff(date, first), lambda n: F.when(n.isNotNull(), let(F.date_add(first, walked(n)), shown)).otherwise(value))
 
 
+def pseudonym_word_date(value: Column, key: str) -> Column:
+    """As ``pseudonym_date`` for a month in words, whose length and case stay."""
+    name, year = F.regexp_extract(value, r"\p{L}+", 0), F.substring(value, -4, 4)
+    day = F.regexp_extract(value, r"(?<!\d)\d\d?(?!\d)", 0)
+    month = F.array_position(F.array(*[F.lit(m[:3].lower()) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
+    first = F.lit(FIRST_DAY).cast("date")
+    date = F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+    def shown(new: Column) -> Column:
+        whole = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(new))
+        m = F.when(F.length(name) > 3, whole).otherwise(F.substring(whole, 1, 3))
+        m = F.when(name == F.upper(name), F.upper(m)).when(name == F.lower(name), F.lower(m)).otherwise(m)
+        d = F.day(new).cast("string")
+        d = F.when(day.startswith("0"), F.lpad(d, 2, "0")).otherwise(d)
+        swapped = value.rlike("^\\p{L}")
+        mark, end = F.when(value.rlike(r"^\p{L}+\.| \p{L}+\."), ".").otherwise(""), F.regexp_extract(value, ",? (?=....$)", 0)
+        return F.concat(F.when(swapped, F.concat(m, mark, F.lit(" "), d)).otherwise(F.concat(d, F.lit(" "), m, mark)), end, F.year(new).cast("string"))
+
+    def moved(n: Column) -> Column:
+        return let(permuted(F.floor(n / DAYS[1]), F.pmod(n, F.lit(DAYS[1])), *DAYS, key, "date"), lambda x: (x["l"] * DAYS[1] + x["r"]).cast("int"))
+
+    return let(F.datediff(date, first), lambda n: F.when(n.isNotNull(), let(F.date_add(first, moved(n)), shown)).otherwise(value))
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one value that was found."""
     is_kind = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
     at = F.instr(value, "@")
     return (
         F.when(at > 0, F.concat(permuted_text(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
-        .when(is_kind("secret"), permuted_text(value, key, "secret", hexadecimal=True))
+        .when(is_kind("key"), pseudonym_key(value, key))
+        .when(is_kind("secret"), permuted_hex(value, key, "secret"))
+        .when(is_kind("hardware"), permuted_hex(value, key, "hardware"))
+        .when(is_kind("ipv6"), permuted_hex(value, key, "ipv6"))
         .when(is_kind("ip"), pseudonym_ip(value, key))
+        .when(is_kind("iban"), pseudonym_iban(value, key))
         .when(is_kind("card"), pseudonym_card(value, key))
         .when(is_kind("ssn"), pseudonym_ssn(value, key))
         .when(is_kind("iso_date"), pseudonym_date(value, key, True))
         .when(is_kind("day_date"), pseudonym_date(value, key, False))
+        .when(is_kind("word_date"), pseudonym_word_date(value, key))
         .otherwise(pseudonym_phone(value, key))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", found_col: str | None = "n_replaced") -> DataFrame:
-    """``docs`` with the personal values of ``text_col`` replaced; ``found_col`` counts the values that changed.
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = "n_replaced") -> DataFrame:
+    """``docs`` with the personal values of ``text_col`` replaced under ``key``; ``found_col`` counts the values that changed.
 
-    Numbers that fail their check (Luhn, octets, calendar) and all other text stay as they are, byte for byte. A null
-    text stays null and counts 0. All other columns and rows are kept; a column named like ``found_col`` is an error.
+    Numbers that fail their check (Luhn, mod 97, octets, calendar) and all other text stay as they are, byte for byte.
+    Null and empty texts stay so and count 0; repeated rows stay repeated; an empty table gives an empty one. All other
+    columns are kept, whatever their names; a column named like ``found_col`` is an error.
     """
     if found_col in docs.columns:
         raise ValueError(f"docs has a column {found_col}; name another found_col")
-    text = F.col(text_col)
-    hits = F.when(text.rlike(r"[0-9]|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("__hits", F.coalesce(hits, F.array().cast("array<string>")))
-    rows = rows.withColumn("__new", F.transform("__hits", lambda v: pseudonym(v, key)))
-    changed = F.size(F.filter(F.zip_with("__hits", "__new", lambda a, b: a != b), lambda x: x))
-    pieces = F.zip_with(F.split(text, ANY, -1), F.concat("__new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new))
-    rows = rows.withColumn("__changed", changed).withColumn(text_col, F.when(F.size("__hits") > 0, F.array_join(pieces, "")).otherwise(text))
-    return rows.withColumnRenamed("__changed", found_col).drop("__hits", "__new") if found_col else rows.drop("__changed", "__hits", "__new")
+    hits_col, new_col, count_col = (free_name(docs, c) for c in ("hits", "pseudonyms", "changed"))
+    text, none = F.col(f"`{text_col}`"), F.array().cast("array<string>")
+    hits = F.when(text.rlike(r"[0-9]|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    rows = docs.withColumn(hits_col, F.coalesce(hits, none))
+    rows = rows.withColumn(new_col, F.transform(hits_col, lambda v: pseudonym(v, key)))
+    changed = F.size(F.filter(F.zip_with(hits_col, new_col, lambda a, b: a != b), lambda x: x))
+    pieces = F.zip_with(F.split(text, ANY, -1), F.concat(new_col, F.array(F.lit(""))), lambda gap, new: F.concat(gap, new))
+    rows = rows.withColumn(count_col, changed).withColumn(text_col, F.when(F.size(hits_col) > 0, F.array_join(pieces, "")).otherwise(text))
+    return rows.withColumnRenamed(count_col, found_col).drop(hits_col, new_col) if found_col else rows.drop(count_col, hits_col, new_col)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` with pseudonyms: doc_id, text, n_replaced."""
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)

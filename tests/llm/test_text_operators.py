@@ -195,7 +195,7 @@ def test_pseudonyms(spark):
     text = "a b.34@mail7.example.com +1 (017) 555-7713 4845168114407329 4845-1681-1440-7329 10.2.3.255 2024-02-29 29.02.2024 123-45-6789 04dbebab91ab85687d33eeaaf9ac699e1188f962"
     same = "v2.0 4845168114407320 300.1.1.1 2024-02-30 666-45-6789 1.2.3 Version 4.0, Tel 12"
     df = spark.createDataFrame([(1, text), (2, text + " end"), (3, same), (4, None), (5, ""), (6, "x" * 50000 + " 10.2.3.255")], "doc_id int, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymise(df, pii.KEY).collect()}
     old, new = text.split(), got[1]["text"].split()
     assert len(old) == len(new) and got[2]["text"] == got[1]["text"] + " end"
     assert got[1]["n_replaced"] == 9
@@ -223,7 +223,7 @@ def test_pseudonyms_of_dates_in_all_orders(spark):
     dates = ["12/31/1999", "03/04/1999", "1984-03-25T10:00", "1984/03/25", "3/7/1984", "7.3.1984", "1984-3-7", "31-12-1999", "12-31-1999", "2099-10-04", "2099-12-31", "1900-01-01"]
     same = ["13/13/1999", "2023-02-29", "1984-03-25x", "31/12/19990", "1.2.3"]
     df = spark.createDataFrame([(i, f"on {v}, or") for i, v in enumerate(dates + same)], "doc_id int, text string")
-    got = {r["doc_id"]: (r["text"][3:-4], r["n_replaced"]) for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: (r["text"][3:-4], r["n_replaced"]) for r in pii.pseudonymise(df, pii.KEY).collect()}
     for i, v in enumerate(dates):
         new, n = got[i]
         assert new != v and n == 1 and re.sub("[0-9]+", "9", new) == re.sub("[0-9]+", "9", v)
@@ -246,7 +246,7 @@ def test_pseudonyms_of_phones_in_all_groupings(spark):
     phones = ["+15550123456", "5550123456", "15550123456", "(555) 012-3456", "555-012-3456", "(555)0123456", "+44 20 7946 0958", "+44 (0)20 7946 0958", "0044 20 7946 0958", "020 7946 0958", "+49 30 123456", "030 123456", "01 23 45 67 89", "+33 1 23 45 67 89", "+353-1-234-5678", "02079460958"]
     same = ["1700000000", "0.5550123456", "id_5550123456", "12345", "555012345", "00 01 02 03"]
     df = spark.createDataFrame([(i, f"call {v}, or") for i, v in enumerate(phones + same)], "doc_id int, text string")
-    got = {r["doc_id"]: (r["text"][5:-4], r["n_replaced"]) for r in pii.pseudonymise(df).collect()}
+    got = {r["doc_id"]: (r["text"][5:-4], r["n_replaced"]) for r in pii.pseudonymise(df, pii.KEY).collect()}
     digits = {}
     for i, v in enumerate(phones):
         new, n = got[i]
@@ -260,7 +260,7 @@ def test_pseudonyms_of_phones_in_all_groupings(spark):
 
 def test_pseudonyms_refuse_clashing_names(spark):
     with pytest.raises(ValueError):
-        pii.pseudonymise(spark.createDataFrame([("a", 1)], "text string, n_replaced int"))
+        pii.pseudonymise(spark.createDataFrame([("a", 1)], "text string, n_replaced int"), "k")
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
