@@ -29,7 +29,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def hide_persons(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values get pseudonyms of their format."""
-    return pii.pseudonymise(docs.select(COLUMNS), found_col=None).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return pii.pseudonymise(docs.select(COLUMNS), pii.KEY, found_col=None).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
