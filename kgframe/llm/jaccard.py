@@ -13,7 +13,10 @@ of two documents the one that stops first has more than d at that seed, where th
 Documents that publish the same segment are candidates and are verified by their whole sets. In a large bucket all are
 first verified against one member; members that this leaves in different components are compared by sketches of single
 bits, whose Hamming distance is a lower bound too, before they are verified. So no link is lost and no bucket's pairs
-are all written out.
+are all written out. What a task finds of a large bucket it joins itself and sends on a few members only, so that a
+segment that a third of all documents share is not dealt to one task.
+
+Words are hashed by xxh3, sets are named by 64 bits; a second digest finds names that clash, which are then replaced.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 
 from kgframe.llm.common import slices, table, written
 from kgframe.llm.components import components
-from kgframe.llm.shingles import batch_texts, mix, set_ids, shingle_sets
+from kgframe.llm.shingles import batch_texts, mix, set_names, shingle_sets
 
 #: Buckets of up to this many sets have all their pairs verified at once.
 SMALL = 6
+#: Published rows that a task looks at together, and how many of one segment it sends on (more than SMALL).
+COMBINED, SENT = 1 << 18, 8
+#: Names that may clash before a wider name would be needed: 64 bits make some three of 10^10 sets clash.
+CLASHES = 100_000
 #: Rows of a large bucket that meet in one task.
 BLOCK = 4096
 #: Keys that a member carries to tell in which bucket it has met another one before.
@@ -99,40 +106,80 @@ def folded(sketch: np.ndarray, width: int) -> np.ndarray:
     return sketch
 
 
-def _sets_of(docs: DataFrame, columns: str, of_slice, id_col: str, text_col: str) -> DataFrame:
+class Naming:
+    """How sets are named: by ``bits`` of a digest, but for the names that are known to clash."""
+
+    def __init__(self, bits: int = 64, clashing: frozenset[int] = frozenset()):
+        self.bits, self.clashing = bits, clashing
+
+    def named(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return set_names(sets, np.array(sorted(self.clashing), np.int64), self.bits)
+
+
+def _sets_of(docs: DataFrame, columns: str, of_slice, id_col: str, text_col: str, naming: Naming) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {}
         for b in slices(batches, text_col):
             sets = shingle_sets(batch_texts(b.column(text_col)))
-            yield from of_slice(b, sets, set_ids(sets), state)
+            yield of_slice(b, sets, *naming.named(sets))
 
     return docs.select(id_col, text_col).mapInArrow(run, columns)
 
 
-def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_id and sketch (null for an empty set) of every row."""
+def document_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", naming: Naming = Naming()) -> DataFrame:
+    """id, n_shingles, set_id, digest and sketch (null for an empty set) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def rows(b, sets, ids, state):
+    def rows(b, sets, ids, digests):
         n = np.array([len(s) for s in sets], np.int64)
         sketches = pa.array([bit_sketch(s, len(s)) if len(s) else None for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n), pa.array(ids, mask=n == 0), sketches], [id_col, "n_shingles", "set_id", "sketch"])
+        return pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n), pa.array(ids, mask=n == 0), pa.array(digests), sketches], [id_col, "n_shingles", "set_id", "digest", "sketch"])
+
+    return _sets_of(docs, f"`{id_col}` {kind}, n_shingles long, set_id long, digest long, sketch binary", rows, id_col, text_col, naming)
 
-    return _sets_of(docs, f"`{id_col}` {kind}, n_shingles long, set_id long, sketch binary", rows, id_col, text_col)
 
+def combined(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """key, set_id, other, kind of published rows (key, id): segments (0) that go to their bucket, pairs (1), members (2).
 
-def published_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, set_id: copies that a task has met before publish nothing again."""
+    Of a segment with more than SENT rows the first SENT go on as such; each further one is paired with the least and
+    with the one before it, and is a member of a large bucket.
+    """
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(key) else np.zeros(0, bool)
+    key, ids = key[new], ids[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    least = np.repeat(first, size)
+    more = np.flatnonzero(np.arange(len(key)) - least >= SENT)
+    few = np.arange(len(key)) - least < SENT
+    zero = np.zeros(2 * len(more), np.int64)
+    keys = np.concatenate([key[few], zero, key[more]])
+    own = np.concatenate([ids[few], ids[more], ids[more], ids[more]])
+    other = np.concatenate([np.zeros(int(few.sum()), np.int64), ids[least[more]], ids[more - 1], np.zeros(len(more), np.int64)])
+    kinds = np.repeat(np.array([0, 1, 2], np.int8), [int(few.sum()), 2 * len(more), len(more)])
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own), pa.array(other), pa.array(kinds)], ["key", "set_id", "other", "kind"])
+
+
+def published_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", naming: Naming = Naming()) -> DataFrame:
+    """key, set_id, other, kind: what the sets publish, see ``combined``. Copies that a task has met before publish nothing again."""
 
-    def rows(b, sets, ids, state):
-        met = state.setdefault("met", set())
-        if len(met) > 500_000:
-            met.clear()
-        fresh = [i for i, s in enumerate(ids.tolist()) if not (s in met or met.add(s))]
-        key, owner = published([sets[i] for i in fresh], ids[fresh])
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], ["key", "set_id"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in slices(batches, text_col):
+            sets = shingle_sets(batch_texts(b.column(text_col)))
+            ids, _ = naming.named(sets)
+            if len(met) > 100_000:
+                met.clear()
+            fresh = [i for i, s in enumerate(ids.tolist()) if not (s in met or met.add(s))]
+            held.append(published([sets[i] for i in fresh], ids[fresh]))
+            if sum(len(k) for k, _ in held) > COMBINED:
+                yield combined(*map(np.concatenate, zip(*held)))
+                held = []
+        if held:
+            yield combined(*map(np.concatenate, zip(*held)))
 
-    return _sets_of(docs, "key long, set_id long", rows, id_col, text_col)
+    return docs.select(id_col, text_col).mapInArrow(run, "key long, set_id long, other long, kind tinyint")
 
 
 def candidates(segments: DataFrame) -> DataFrame:
@@ -196,25 +243,29 @@ def candidates(segments: DataFrame) -> DataFrame:
             yield from out(pairs, members)
 
         for b in batches:
-            key, ids = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([ids, b.column("set_id").to_numpy()])
+            kind, k, s, o = (b.column(c).to_numpy() for c in ("kind", "key", "set_id", "other"))
+            if (kind > 0).any():
+                yield from out([(s[kind == 1], o[kind == 1])], [(k[kind == 2], s[kind == 2])])
+                k, s = k[kind == 0], s[kind == 0]
+            key, ids = np.concatenate([key, k]), np.concatenate([ids, s])
             if len(key):
                 yield from buckets(False)
         if len(key):
             yield from buckets(True)
 
-    dealt = segments.repartition("key").sortWithinPartitions("key", "set_id")
+    dealt = segments.repartition(F.when(F.col("kind") == 0, F.col("key")).otherwise(F.col("set_id"))).sortWithinPartitions("kind", "key", "set_id")
     return dealt.mapInArrow(run, "a long, b long, key long")
 
 
-def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, naming: Naming) -> DataFrame:
     """set_id, data (the hashes) of the wanted set ids (column set_id). One document of each set is read again."""
     needed = written(sets.filter("set_id is not null").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(id_col).alias(id_col)).select(id_col), "needed-documents")
 
-    def rows(b, found, ids, state):
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "data"])
+    def rows(b, found, ids, digests):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "data"])
 
     texts = docs.select(id_col, text_col).join(needed, id_col, "left_semi")
-    return _sets_of(texts, "set_id long, data binary", rows, id_col, text_col)
+    return _sets_of(texts, "set_id long, data binary", rows, id_col, text_col, naming)
 
 
 def _paired(pairs: DataFrame, data: DataFrame, test, where: str = "true") -> DataFrame:
@@ -301,20 +352,38 @@ def bucket_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def named_sets(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, DataFrame, Naming]:
+    """The written tables of all rows' sets and of the distinct sets (set_id, n, data), and the naming that tells these apart.
+
+    Sets of one name have different digests; such names are very few (see CLASHES) and are replaced.
+    """
+    naming = Naming(bits)
+    while True:
+        sets = written(document_sets(docs, id_col, text_col, naming), "shingle-sets")
+        distinct = sets.filter("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("data"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+        distinct = written(distinct, "sketches")
+        clashing = distinct.filter("low <> high").select("set_id").limit(CLASHES + 1).collect()
+        if not clashing:
+            return sets, distinct.select("set_id", "n", "data"), naming
+        if len(clashing) > CLASHES:
+            raise ValueError(f"more than {CLASHES} names of sets clash: name sets by more than {bits} bits")
+        naming = Naming(bits, naming.clashing | {r["set_id"] for r in clashing})
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """id, n_shingles, component_id of every row: the least id that links of similarity 3/4 or more reach.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, shingles are of five words; a text of fewer words is one
     shingle. Texts that are null, empty or without words have no shingle, no link and their own id. Rows with equal
-    texts share a component; rows with a null id are kept but link nothing. Extra columns are left out.
+    texts share a component, rows that repeat an id are each judged by their own text; rows with a null id are kept but
+    lend no id to a component. An empty table gives an empty one; extra columns are left out. ``bits``: of a set's name.
     """
-    sets = written(document_sets(docs, id_col, text_col), "shingle-sets")
-    sketches = written(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("n_shingles").alias("n"), F.min("sketch").alias("data")), "sketches")
-    found = written(candidates(published_segments(docs, id_col, text_col)), "jaccard-candidates")
+    sets, sketches, naming = named_sets(docs, id_col, text_col, bits)
+    found = written(candidates(published_segments(docs, id_col, text_col, naming)), "jaccard-candidates")
 
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("u").alias("set_id")).union(pairs.select("v")).distinct()
-        return written(verified(pairs, whole_sets(docs, sets, wanted, id_col, text_col)), "jaccard-links")
+        return written(verified(pairs, whole_sets(docs, sets, wanted, id_col, text_col, naming)), "jaccard-links")
 
     pairs = found.filter("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     links = linked(written(near_pairs(pairs, sketches), "jaccard-pairs"))
@@ -328,7 +397,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not near.isEmpty():
             links = links.union(linked(near))
             roots = written(components(links), "all-jaccard-roots")
-    own = sets.drop("sketch").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    own = sets.drop("sketch", "digest").join(roots.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     own = written(own.select(id_col, "n_shingles", "root"), "rooted-documents")
     least = own.filter("root is not null").groupBy("root").agg(F.min(id_col).alias("component_id"))
     return own.join(least, "root", "left").select(id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))

@@ -26,6 +26,8 @@ STATISTICS = [
 ]
 FEATURES = 256
 BINS = 2000
+#: Labelled documents that a filter is fitted on, at most; those with the least hash of their id.
+SAMPLE = 20_000
 
 
 def statistics(text: str) -> list[float]:
@@ -190,31 +192,41 @@ def remainder(id_col: str = "doc_id"):
     return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3
 
 
-def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
-    """The model for statistics (id, stats), learnt from ``labels`` (id, quality) outside the held-out third.
+def learning_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, label, fold (0 or 1) of the labels (id, quality) outside the held-out third.
 
-    Contradicting labels of an id count half each; labels of unknown ids and null labels are not used.
+    Contradicting labels of an id count half each; null ids and null labels are not used.
     """
-    one = labels.filter("quality is not null").groupBy(id_col).agg(F.avg("quality").alias("label"))
-    learn = stats.join(one, id_col).filter(remainder(id_col) != 1).withColumn("fold", (remainder(id_col) == 2).cast("int"))
-    return fit(written(learn.select("stats", "label", "fold"), "labelled-statistics"))
+    one = labels.filter(f"quality is not null and `{id_col}` is not null").groupBy(id_col).agg(F.avg("quality").alias("label"))
+    return one.filter(remainder(id_col) != 1).withColumn("fold", (remainder(id_col) == 2).cast("int"))
+
+
+def fitted(stats: DataFrame, learning: DataFrame, id_col: str = "doc_id") -> Model:
+    """The model for statistics (id, stats), learnt from ``learning_labels``; labels of unknown ids are not used."""
+    return fit(written(stats.join(learning, id_col).select("stats", "label", "fold"), "labelled-statistics"))
 
 
 def scored_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, held_out, score, predicted of every row of ``docs``. See ``fitted`` for what is learnt.
+    """id, held_out, score, predicted of every row of ``docs``, learnt from all labels outside the held-out third.
 
     Null and empty texts are scored like others. A null id is never labelled; its held_out is false. Repeated rows
-    keep their places.
+    keep their places; an empty table gives an empty one; other columns are left out.
     """
     stats = written(document_statistics(docs, id_col), "document-statistics")
-    return score(stats, fitted(stats, labels, id_col), id_col).select(
+    return score(stats, fitted(stats, learning_labels(labels, id_col), id_col), id_col).select(
         id_col, F.coalesce(remainder(id_col) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is at least ``least``; each row is judged by its own text, without a shuffle."""
-    model = fitted(document_statistics(docs, id_col, text_col), labels, id_col)
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``least``; each row is judged by its own text, without a shuffle.
+
+    Statistics of at most ``sample`` labelled documents are taken to fit the model, those of all others once, to judge
+    them. Null and empty texts are judged like others; repeated rows stay or go together.
+    """
+    learning = written(learning_labels(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample), "learning-labels")
+    few = docs.select(id_col, text_col).join(F.broadcast(learning.select(id_col)), id_col, "left_semi")  # ``sample`` ids at most
+    model = fitted(document_statistics(few, id_col, text_col), learning, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 WORDS = 5
+#: Bytes of a text that are cut into words at once, and words whose hashes a task keeps.
+WINDOW = 1 << 20
+KEPT_WORDS = 50_000
 _PRIME = 0x9E3779B97F4A7C15
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-_LETTER = np.arange(256, dtype=np.uint8)
-_LETTER[65:91] += 32
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,33 +26,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_PRIME))
 _PLACE = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_PRIME, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
+class _Hashes(dict):
+    """The xxh3 hash of each word's bytes, worked out when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_known = _Hashes()
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words end. Words lie between ASCII white space; A-Z is lower-cased."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends_at = np.cumsum([len(t) + 1 for t in texts])
-    space = _SPACE[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
-    powers, inverse = _powers_to(len(raw))
-    total = np.cumsum(_BYTE[_LETTER[raw]] * powers)
-    before = np.where(starts > 0, total[starts - 1], np.uint64(0))
-    words = mix((total[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return words, np.searchsorted(starts, ends_at)
+    """Hashes of all words, and where each text's words end. Words lie between ASCII white space; A-Z is lower-cased.
+
+    A long text is cut into windows at white space, so that what is held besides the hashes is bounded by the window
+    and the longest word.
+    """
+    parts, ends, n = [], [], 0
+    for text in texts:
+        at = 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + WINDOW) if len(text) - at > WINDOW else None
+            end = cut.start() if cut else len(text)
+            words = text[at:end].translate(_SMALL).split()
+            parts.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+            n += len(words)
+            at = end
+            if len(_known) > KEPT_WORDS:
+                _known.clear()
+        ends.append(n)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(ends, np.int64)
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -76,9 +86,22 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def set_ids(sets: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit id for each set, the same for equal sets."""
-    return mix(np.array([mix(s ^ np.uint64(_PRIME)).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)).view(np.int64)
+def set_digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit digests of each set, the same for equal sets."""
+    first = [mix(s ^ np.uint64(_PRIME)).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets]
+    second = [np.bitwise_xor.reduce(mix(s + np.uint64(_PRIME)) | np.uint64(1)) if len(s) else np.uint64(0) for s in sets]
+    return mix(np.array(first, np.uint64)), mix(np.array(second, np.uint64) + np.array(first, np.uint64))
+
+
+def set_names(sets: list[np.ndarray], clashing: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name for each set, and a digest that tells sets of one name apart. Names that are known to clash (sorted)
+    are replaced by ones that follow from both digests."""
+    first, second = set_digests(sets)
+    names = (first >> np.uint64(64 - bits)).view(np.int64)
+    if len(clashing):
+        at = np.minimum(np.searchsorted(clashing, names), len(clashing) - 1)
+        names = np.where(clashing[at] == names, mix(first ^ mix(second)).view(np.int64), names)
+    return names, second.view(np.int64)
 
 
 def batch_texts(column: pa.Array) -> list[bytes]:

@@ -193,3 +193,90 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_pipeline_runs(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_words_of_colliding_letters_are_told_apart(spark):
+    """Complementary Thue-Morse words, which polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    df = spark.createDataFrame([(1, a), (2, b), (3, a), (4, f"{a} {b} c d e f"), (5, f"{b} {a} c d e f")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_sets_whose_names_clash_are_told_apart(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(30)) for _ in range(60)]
+    rows = [(i, texts[i // 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, bits=4).collect()}  # 16 names for 60 sets
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
+def test_a_segment_that_most_documents_share(spark):
+    """One passage in unlike documents and in near copies: tasks join what they meet, and no link is lost."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    unlike = [passage + " " + " ".join(word() for _ in range(12 + i % 40)) for i in range(150)]
+    base = [word() for _ in range(80)]
+    near = [passage + " " + " ".join(w if j != i % 80 else word() for j, w in enumerate(base)) for i in range(80)]
+    rows = list(enumerate(unlike + near))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(df).collect()}
+    assert got == brute_components(rows)
+
+
+def test_long_texts_are_hashed_in_windows():
+    from kgframe.llm import shingles
+
+    words = [f"Word{i % 9973}" for i in range(400_000)]
+    long_text = " \t".join(words).encode()
+    a, ends = shingles.word_hashes([b"x y", long_text, b"", b"Z"])
+    assert ends.tolist() == [2, 400_002, 400_002, 400_003]
+    assert a[2:12].tolist() == [shingles.xxhash.xxh3_64_intdigest(w.lower().encode()) for w in words[:10]] and len(set(a.tolist())) == 9973 + 3
+
+
+def test_quality_equals_plain_sums(spark, sf_dir):
+    """Scores against normal equations, folds and isotonic levels that are worked out in one piece."""
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] is not None}
+    part = lambda i: zlib.crc32(str(i).encode()) % 3
+    ids = sorted(i for i in labels if i in docs and part(i) != 1)
+    stats, y, fold = np.array([quality.statistics(docs[i] or "") for i in ids]), np.array([labels[i] for i in ids], float), np.array([part(i) == 2 for i in ids])
+    rng, d = np.random.default_rng(7), len(quality.STATISTICS)
+    waves, phase = rng.normal(size=(d, quality.FEATURES)) / 3.0 / np.sqrt(d) * 2, rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    mean, scale = stats.mean(0), np.maximum(stats.std(0), 1e-6)
+
+    def features(x):
+        x = np.clip((x - mean) / scale, -8, 8)
+        return np.hstack([np.cos(x @ waves + phase) * np.sqrt(2 / quality.FEATURES), x / 8, np.ones((len(x), 1))])
+
+    def ridge(x, t):
+        return np.linalg.solve(x.T @ x + np.eye(x.shape[1]) * 1e-3 * len(x), x.T @ t)
+
+    z = features(stats)
+    raw = np.where(fold, z @ ridge(z[~fold], y[~fold]), z @ ridge(z[fold], y[fold]))
+    at = np.clip((raw + 1) / 3 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(at)
+    n, s = np.array([(at == b).sum() for b in bins]), np.array([y[at == b].sum() for b in bins])
+    levels = [max(min(s[a : b + 1].sum() / n[a : b + 1].sum() for b in range(i, len(bins))) for a in range(i + 1)) for i in range(len(bins))]
+    own = ridge(z, y)
+    got = {r["doc_id"]: r for r in quality.op9_quality(spark, sf_dir).collect()}
+    for i, text in docs.items():
+        want = np.interp(features(np.array([quality.statistics(text or "")])) @ own, -1 + (bins + 0.5) * 3 / quality.BINS, levels)[0]
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["held_out"] == (part(i) == 1) and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+
+
+def test_good_documents_keep_columns_and_take_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "Some plain words here. And more of them.", "x"), (2, None, "y"), (2, "", "z"), (None, "a", "w")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (7, 1), (None, 1), (9, None)], "doc_id long, quality int")
+    assert quality.good_documents(docs, labels).columns == docs.columns
+    assert quality.good_documents(docs.filter("false"), labels).count() == 0
+    assert quality.good_documents(docs, labels.filter("false")).count() == 4
