@@ -4,6 +4,10 @@ Inner products become distances: every candidate gets one more component that br
 nearest by distance is the largest by inner product, and the triangle inequality holds. A subtree is left out when
 its distances from the vantage point show that it can't hold anything nearer than the k-th best so far over
 ``factor``; factor 1 restores exact search. Every vector is indexed; every query visits every shard.
+
+How much a factor saves depends on the vectors. On 51,000 directions that are spread evenly in 64 dimensions, where
+distances hardly differ, the shares of inner products worked out and the recall of the 20 nearest are: factor 1: 1.01
+and 1; 5: 0.97 and 0.99; 7: 0.81 and 0.95; 8: 0.70 and 0.90; 10: 0.51 and 0.78.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from kgframe.llm.common import table, written
 LEAF = 64
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 256
-#: Production factor; the recall that it gives is measured in the tests.
-FACTOR = 1.25
+#: Production factor: the tests measure its recall and the share of inner products that it leaves.
+FACTOR = 6.5
 
 
 def usable(df: DataFrame, vec_col: str) -> DataFrame:
@@ -152,7 +156,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     """The index, as a written table: shard int, tree binary, dim int. One row and one task for each shard of about ``shard_rows``.
 
     Unusable vectors (see ``usable``), null ids, and vectors whose length is not the commonest one are not indexed.
-    Repeated rows are all indexed. An empty table gives an empty index.
+    Of rows that repeat an id the one with the least vector is indexed. An empty table gives an empty index.
     """
     good = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").filter("id is not null")
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -167,7 +171,11 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         shard = group.column("shard")[0].as_py()
         flat = pa.concat_arrays(group.column("v").chunks).flatten().to_numpy(zero_copy_only=False)
         rows = flat.reshape(len(group), -1).astype(np.float64)
-        tree = Tree.build(group.column("id").to_numpy(), rows, top, shard)
+        ids = group.column("id").to_numpy()
+        order = np.lexsort((*rows.T[::-1], ids))  # by id, then by vector
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        ids, rows = ids[order], rows[order]
+        tree = Tree.build(ids, rows, top, shard)
         if (rows.astype(np.float32) == rows).all():
             tree.rows = tree.rows.astype(np.float32)  # kept as short as they came
         return pa.table({"shard": pa.array([shard], pa.int32()), "tree": pa.array([tree.dump()], pa.binary()), "dim": pa.array([dim], pa.int32())})

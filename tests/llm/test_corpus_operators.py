@@ -280,3 +280,25 @@ def test_good_documents_keep_columns_and_take_empty_tables(spark):
     assert quality.good_documents(docs, labels).columns == docs.columns
     assert quality.good_documents(docs.filter("false"), labels).count() == 0
     assert quality.good_documents(docs, labels.filter("false")).count() == 4
+
+
+def test_repeated_and_null_ids_of_vectors(spark):
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.9, 0.1]), (8, [0.5, 0.5]), (None, [1.0, 1.0]), (20, [1.0, 0.2]), (20, [1.0, 0.2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(neighbours.build_index(df), df.filter("vec_id % 20 = 0 or vec_id is null"), 20).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(20, 7), (20, 8)]
+    assert abs(got[0]["score"] - 0.92) < 1e-12  # the least vector of id 7
+
+
+def test_pruning_saves_inner_products(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(8192, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    tree = neighbours.Tree.build(np.arange(8192), rows, 1.0, 0)
+    done, dots = [0], neighbours.dots
+    monkeypatch.setattr(neighbours, "dots", lambda q, r: done.__setitem__(0, done[0] + len(q) * len(r)) or dots(q, r))
+    exact, _ = tree.search(np.arange(64), rows[:64], 20, 1.0)
+    whole, done[0] = done[0], 0
+    found, _ = tree.search(np.arange(64), rows[:64], 20, neighbours.FACTOR)
+    assert done[0] < 0.95 * whole
+    assert sum(len(set(a) & set(b)) for a, b in zip(exact, found)) >= 0.9 * 20 * 64
