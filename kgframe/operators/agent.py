@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.operators.facets import select_primary_source
-from kgframe.operators.observations import FACET
+from kgframe.operators.joins import join_on
+from kgframe.operators.observations import FACET, filter_by_date_interval, latest
 
 
 def resolve_places_table(queries: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -15,10 +18,16 @@ def resolve_places_table(queries: DataFrame, names: DataFrame, nodes: DataFrame)
     return found.join(nodes.select(F.col("subject_id").alias("dcid"), "name", F.get("types", F.lit(0)).alias("type")), "dcid", "left").select("query", *[F.coalesce(c, F.lit("")).alias(c) for c in ("dcid", "name", "type")])
 
 
-def get_observations_table(points: DataFrame) -> DataFrame:
-    """variable, entity, date, value, source_rank: the points of each variable's primary source. points carry facet_rank and score."""
-    primary = select_primary_source(points).filter("source_rank = 1").select("variable", *FACET)
-    return points.join(primary, ["variable", *FACET], "left_semi").select("variable", "entity", "date", "value")
+def get_observations_table(points: DataFrame, override: str | None = None, start: str | None = None, end: str | None = None, mode: str = "all") -> DataFrame:
+    """variable, entity, date, value: the points of each variable's primary source. points carry facet_rank and score.
+
+    ``start`` and ``end`` bound the dates; mode: all, or latest (of each entity). The other sources with their counts of
+    places are ``select_primary_source`` with the same arguments.
+    """
+    points = filter_by_date_interval(points, start, end) if start or end else points
+    primary = select_primary_source(points, override=override).filter("source_rank = 1").select("variable", *FACET)
+    found = join_on(points, primary, ["variable", *FACET], "left_semi").select("variable", "entity", "date", "value")
+    return latest(found, ["variable", "entity"]).select("variable", "entity", "date", "value") if mode == "latest" else found
 
 
 def search_indicators(candidates: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
@@ -53,6 +62,36 @@ def node_triples(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.unionByName(into).join(ids, "node", "left_semi").distinct()
 
 
+def place_page_related(places: DataFrame, ancestors: DataFrame, children: DataFrame, population: DataFrame, similar: DataFrame | None = None, nearby: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """place, relation (parent, child, similar, nearby), related: what a page on each wanted place (column place) links to.
+
+    ancestors: child, ancestor; children and population as in ``child_places_by_type``; similar: cohort, place (k others of
+    a place's cohorts); nearby as in ``nearby_places``.
+    """
+    own = lambda df, relation, related: df.join(places, "place", "left_semi").select("place", F.lit(relation).alias("relation"), F.col(related).alias("related"))
+    parts = [own(ancestors.withColumnRenamed("child", "place"), "parent", "ancestor"), own(child_places_by_type(children, population, k).drop("position").select(F.col("parent").alias("place"), F.col("place").alias("child")), "child", "child")]
+    if similar is not None:
+        parts.append(own(similar_in_cohorts(places, similar, k), "similar", "related"))
+    if nearby is not None:
+        parts.append(own(nearby_places(nearby, population, k=k), "nearby", "near"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def similar_in_cohorts(places: DataFrame, cohorts: DataFrame, k: int = 5, seed: str = "0") -> DataFrame:
+    """place, related, position: for each wanted place k other members of its cohorts (cohort, place), in hashed order.
+
+    A cohort's members are ordered once, by a digest of the seed and the id, and a place takes those that follow its own
+    position, round the end: no pairs of a cohort are made.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(seed), "place"))
+    ring = cohorts.select("cohort", "place").distinct().withColumns({"at": F.row_number().over(Window.partitionBy("cohort").orderBy(key, "place")) - 1, "n": F.count("*").over(Window.partitionBy("cohort"))})
+    steps = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.least(F.lit(k), F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    wanted = ring.join(places, "place", "left_semi").select("cohort", "place", F.explode(F.transform(steps, lambda i: ((F.col("at") + i) % F.col("n")).cast("int"))).alias("at"))
+    found = wanted.join(ring.select("cohort", "at", F.col("place").alias("related")), ["cohort", "at"]).select("place", "related").distinct()
+    order = Window.partitionBy("place").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "related")), "related")
+    return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
 def place_metadata(places: DataFrame, closure: DataFrame, nodes: DataFrame) -> DataFrame:
     """place, member, depth, name: the place itself (depth 0) and all its ancestors, nearest first."""
     own = places.select("place", F.col("place").alias("member"), F.lit(0).alias("depth"))
@@ -62,7 +101,7 @@ def place_metadata(places: DataFrame, closure: DataFrame, nodes: DataFrame) -> D
 
 def similar_places(place: str, cohort: DataFrame, k: int = 5, seed: str = "0") -> DataFrame:
     """Up to k members of a cohort (column place) other than the place, in an order hashed from the seed."""
-    return cohort.filter(F.col("place") != place).orderBy(F.xxhash64("place", F.lit(seed)), "place").limit(k)
+    return cohort.filter(F.col("place") != place).orderBy(F.md5(F.concat_ws(":", F.lit(seed), "place")), "place").limit(k)
 
 
 def child_places_by_type(children: DataFrame, population: DataFrame, k: int = 5) -> DataFrame:

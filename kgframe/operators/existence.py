@@ -47,6 +47,18 @@ def existence(variable_places: DataFrame, group_places: DataFrame, variable_sour
     return reduce(DataFrame.unionByName, [df.toDF("item", "target") for df in (variable_places, group_places, variable_sources, group_sources)])
 
 
+def existence_by_kind(items: DataFrame, targets: DataFrame, obs: DataFrame, links: DataFrame, edges: DataFrame) -> DataFrame:
+    """item, target: which wanted items (column item: variables, groups, topics) have data for which targets (places, sources).
+
+    What an item or a target is follows from where it occurs: each of the four checks takes those it knows.
+    """
+    entities, sources = targets.select(F.col("target").alias("entity")), targets.select(F.col("target").alias("source"))
+    seen = entity_variables(obs, entities)
+    variables = items.select(F.col("item").alias("variable"))
+    checks = existence(seen.select("variable", "entity"), group_place_existence(seen, links, entities), variable_source_existence(obs, edges, variables, sources), group_source_existence(obs, edges, links, sources))
+    return checks.join(items, "item", "left_semi").select("item", "target")
+
+
 def count_sv_svg(seen: DataFrame, links: DataFrame, items: DataFrame, entities: DataFrame) -> DataFrame:
     """item, entity, n: 0 for a variable with data, the number of descendant variables with data for a group."""
     wanted = seen.select("variable", "entity").distinct().join(entities, "entity", "left_semi")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import facet_id, host_ends_with
-from kgframe.operators.observations import FACET, SERIES
+from kgframe.operators.joins import join_on
+from kgframe.operators.observations import FACET, SERIES, filter_by_date_interval
 
 INFERIOR = 1000
 DEFAULT_SCORE = 100
@@ -14,15 +15,15 @@ LAST = ["measurement_method", "observation_period", "scaling_factor", "unit", "p
 
 
 def series_of(obs: DataFrame) -> DataFrame:
-    """One row for each (variable, entity, facet): obs_count, earliest, latest."""
-    return obs.groupBy(*SERIES).agg(F.count("*").alias("obs_count"), F.min("date").alias("earliest"), F.max("date").alias("latest"))
+    """One row for each (variable, entity, facet): obs_count, earliest, latest, latest_value. Facet columns may be null."""
+    return obs.groupBy(*SERIES).agg(F.count("*").alias("obs_count"), F.min("date").alias("earliest"), F.max("date").alias("latest"), F.max_by("value", "date").alias("latest_value"))
 
 
 def facet_score(series: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``score``: that of the import's rule with the most exact matches, then the least score; 100 without one.
 
     Rules are a small table; a null in one matches everything. The best rule is found for the distinct facets, not for
-    every series, and with an aggregation in place of a sort.
+    every series, and with an aggregation in place of a sort. A null of a facet fits only rules that leave it open.
     """
     keys = ["import_name", "measurement_method", "observation_period", "unit"]
     facets = series.select(*keys).distinct()
@@ -30,10 +31,11 @@ def facet_score(series: DataFrame, rules: DataFrame) -> DataFrame:
     fits = F.col("import_name") == F.col("r_import_name")
     exact = F.lit(0)
     for c in keys[1:]:
-        fits &= F.col(f"r_{c}").isNull() | (F.col(f"r_{c}") == F.col(c))
+        fits &= F.col(f"r_{c}").isNull() | F.col(f"r_{c}").eqNullSafe(F.col(c))
         exact += F.col(f"r_{c}").isNotNull().cast("int")
     best = facets.join(r, fits).groupBy(*keys).agg(F.min(F.struct((-exact).alias("e"), F.col("r_score").alias("s"))).alias("best"))
-    return series.join(best, keys, "left").withColumn("score", F.coalesce(F.col("best.s"), F.lit(DEFAULT_SCORE))).drop("best")
+    scored = join_on(series, best, keys, "left").withColumn("score", F.coalesce(F.col("best.s"), F.lit(DEFAULT_SCORE)))
+    return scored.select(*series.columns, "score")
 
 
 def rank_facets(scored: DataFrame, keys: list[str] = ["variable", "entity"]) -> DataFrame:
@@ -90,12 +92,12 @@ def best_value(obs: DataFrame, ranked: DataFrame, date: str | None = None) -> Da
     the first.
     """
     keys = ["variable", "entity"]
-    points = obs.join(ranked.select(*SERIES, "score", "facet_rank"), SERIES)
     if date:
-        best = points.filter(F.col("date") == date).groupBy(*keys).agg(F.min_by(F.struct("date", "value", "facet_rank"), "facet_rank").alias("b"))
+        points = join_on(obs.filter(F.col("date") == date), ranked.select(*SERIES, "score", "facet_rank"), SERIES)
+        best = points.groupBy(*keys).agg(F.min_by(F.struct("date", "value", "facet_rank"), "facet_rank").alias("b"))
     else:
-        points = drop_inferior_facets(points)
-        best = points.groupBy(*keys).agg(F.max_by(F.struct("date", "value", "facet_rank"), F.struct(F.col("date"), -F.col("facet_rank"))).alias("b"))
+        newest = drop_inferior_facets(ranked).select(*keys, F.col("latest").alias("date"), F.col("latest_value").alias("value"), "facet_rank")  # obs is not read again
+        best = newest.groupBy(*keys).agg(F.max_by(F.struct("date", "value", "facet_rank"), F.struct(F.col("date"), -F.col("facet_rank"))).alias("b"))
     return best.select(*keys, "b.*")
 
 
@@ -106,33 +108,52 @@ def best_series(ranked: DataFrame, import_name: str | None = None, use_latest: b
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy("variable", "entity").orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def bulk_point(obs: DataFrame, ranked: DataFrame, requests: DataFrame, date: str | None = None, all_facets: bool = False) -> DataFrame:
-    """The best value of each wanted pair (columns variable, entity), or the latest point of every facet."""
-    wanted = obs.join(requests, ["variable", "entity"], "left_semi")
+def wanted_points(obs: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """The points of the wanted pairs (columns variable, entity), or all."""
+    return obs if requests is None else obs.join(requests, ["variable", "entity"], "left_semi")
+
+
+def bulk_point(obs: DataFrame, rules: DataFrame, requests: DataFrame | None = None, date: str | None = None, all_facets: bool = False) -> DataFrame:
+    """The best value of each wanted pair (columns variable, entity), or the latest point of every facet.
+
+    Only wanted series are ranked: a rank depends on the series of its own pair alone.
+    """
+    wanted = wanted_points(obs, requests)
+    ranked = facet_stats(wanted, rules)
     if not all_facets:
         return best_value(wanted, ranked, date)
-    points = wanted.filter(F.col("date") == date) if date else wanted
-    newest = points.groupBy(*SERIES).agg(F.max_by("value", "date").alias("value"), F.max("date").alias("date"))
-    return newest.join(ranked.select(*SERIES, "facet_rank"), SERIES).select("variable", "entity", "date", "value", "facet_rank")
+    if not date:
+        return ranked.select("variable", "entity", F.col("latest").alias("date"), F.col("latest_value").alias("value"), "facet_rank")
+    return join_on(wanted.filter(F.col("date") == date), ranked.select(*SERIES, "facet_rank"), SERIES).select("variable", "entity", "date", "value", "facet_rank")
 
 
-def bulk_series(obs: DataFrame, ranked: DataFrame, requests: DataFrame, all_facets: bool = False) -> DataFrame:
-    """The points of the top-ranked series, or of all, of each wanted pair."""
-    chosen = ranked.join(requests, ["variable", "entity"], "left_semi")
+def bulk_series(obs: DataFrame, rules: DataFrame, requests: DataFrame | None = None, all_facets: bool = False) -> DataFrame:
+    """The points of the top-ranked series, or of all, of each wanted pair. Only wanted series are ranked."""
+    wanted = wanted_points(obs, requests)
+    chosen = facet_stats(wanted, rules)
     chosen = chosen if all_facets else chosen.filter("facet_rank = 1")
-    return obs.join(chosen.select(*SERIES, "facet_rank"), SERIES).select("variable", "entity", "facet_rank", "date", "value")
+    return join_on(wanted, chosen.select(*SERIES, "facet_rank"), SERIES).select("variable", "entity", "facet_rank", "date", "value")
+
+
+def ranked_points(obs: DataFrame, rules: DataFrame) -> DataFrame:
+    """The points with the score and facet_rank of their series."""
+    return join_on(obs, facet_stats(obs, rules).select(*SERIES, "score", "facet_rank"), SERIES)
 
 
-def select_primary_source(points: DataFrame, score_desc: bool | None = None) -> DataFrame:
-    """variable, facet columns, places, points, latest, place of the source (1: the primary one).
+def select_primary_source(points: DataFrame, score_desc: bool | None = None, override: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """variable, facet columns, places, points, latest of every source, by source_rank (1: the primary one, then the alternatives).
 
     Most places, most points, the latest date, then the least average facet rank, or the static score; ties by facet.
+    Points are counted from ``start`` to ``end`` if given. A source whose facet id is ``override`` comes first, if it
+    has any point.
     """
+    points = filter_by_date_interval(points, start, end) if start or end else points
     per = points.groupBy("variable", *FACET).agg(
         F.countDistinct("entity").alias("places"), F.count("*").alias("points"), F.max("date").alias("latest"), F.avg("facet_rank").alias("avg_rank"), F.max("score").alias("score")
     )
     fourth = F.asc("avg_rank") if score_desc is None else F.desc("score") if score_desc else F.asc("score")
-    order = Window.partitionBy("variable").orderBy(F.desc("places"), F.desc("points"), F.desc("latest"), fourth, *LAST)
+    first = [F.desc(facet_id_of() == override)] if override else []
+    order = Window.partitionBy("variable").orderBy(*first, F.desc("places"), F.desc("points"), F.desc("latest"), fourth, *LAST)
     return per.withColumn("source_rank", F.row_number().over(order))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import facet_id
+from kgframe.operators.joins import join_on
 from kgframe.operators.observations import FACET, filter_series_by_props
 
 KEYS = ["entity", *FACET, "date"]
@@ -20,13 +21,13 @@ def operand(obs: DataFrame, variable: str, **props: str | None) -> DataFrame:
 
 
 def eval_formula(operands: dict[str, DataFrame], expr: Callable[..., Column], output: str, on_zero: str = "error") -> DataFrame:
-    """Points of ``output``: the expression over operands that share entity, facet and date.
+    """Points of ``output``: the expression over operands that share entity, facet (nulls are equal) and date.
 
     ``expr`` takes a column for each operand by name. A division by zero fails (``error``, ANSI arithmetic) or drops
     the point (``null``, for expressions that divide with ``F.try_divide``).
     """
     frames = [df.select(*KEYS, F.col("value").alias(f"v_{name}")) for name, df in operands.items()]
-    joined = reduce(lambda a, b: a.join(b, KEYS), frames)
+    joined = reduce(lambda a, b: join_on(a, b, KEYS), frames)
     out = joined.select(F.lit(output).alias("variable"), *KEYS, expr(**{n: F.col(f"v_{n}") for n in operands}).alias("value"))
     return out if on_zero == "error" else out.filter("value IS NOT NULL")
 
@@ -58,7 +59,7 @@ def derived_series(operands: dict[str, DataFrame], expr: Callable[..., Column],
 
     Ties go to the greatest list and then, in each operand, to the greatest facet; then arithmetic point by point.
     """
-    key = F.concat_ws("^", *[F.col(c) for c in FACET])
+    key = F.concat_ws("^", *[F.coalesce(c, F.lit("\u0001")) for c in FACET])  # a null is no empty string
     marked = {}
     for name, df in operands.items():
         series = df.groupBy("entity", key.alias("facet")).agg(F.array_join(F.sort_array(F.collect_list("date")), ",").alias("dates"))

@@ -62,6 +62,28 @@ def hide_internal_predicates(edges: DataFrame, wanted: list[str] | None = None)
     return edges.filter(~F.col("predicate").isin([p for p in INTERNAL if p not in (wanted or [])]))
 
 
+def filter_nodes_by_type(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """Nodes that have one of the types at least, with ``matched``, those that they have; nodes without types go."""
+    wanted = F.array(*[F.lit(t) for t in types])
+    return nodes.filter(F.arrays_overlap("types", wanted)).withColumn("matched", F.array_intersect("types", wanted))
+
+
+def filter_lang(values: DataFrame, langs: list[str] | None = None, by_property: dict[str, list[str]] | None = None, value_col: str = "object_value", predicate_col: str = "predicate") -> DataFrame:
+    """Rows whose literal ends with ``@lang`` (lower-cased) for one of the languages; none given matches all.
+
+    A property in ``by_property`` has languages of its own, which stand in for the global ones. Null literals go where
+    a language is asked for.
+    """
+
+    def ends(wanted: list[str] | None) -> F.Column:
+        return reduce(lambda a, b: a | b, [F.lower(value_col).endswith(f"@{lang.lower()}") for lang in wanted]) if wanted else F.lit(True)
+
+    good = ends(langs)
+    for p, wanted in (by_property or {}).items():
+        good = F.when(F.col(predicate_col) == p, ends(wanted)).otherwise(good)
+    return values.filter(good)
+
+
 def node_edges(edges: DataFrame, nodes: DataFrame, ids: DataFrame, properties: list[str] | None = None, outward: bool = True) -> DataFrame:
     """node, predicate, object, provenance, name, types: one hop from the wanted nodes (column node).
 
@@ -87,11 +109,19 @@ def node_edges_filtered(edges: DataFrame, nodes: DataFrame, ids: DataFrame, prop
 
 def node_chain(edges: DataFrame, ids: DataFrame, prop: str, outward: bool = True, max_hops: int = 10) -> DataFrame:
     """node, object: the distinct nodes that 1 to ``max_hops`` edges of one predicate reach from the wanted nodes."""
+    return reached(edges, ids, prop, outward, max_hops).select("node", "object")
+
+
+def reached(edges: DataFrame, ids: DataFrame, prop: str, outward: bool = True, max_hops: int | None = None) -> DataFrame:
+    """node, object, depth: what edges of one predicate reach from the wanted nodes (column node), at its least depth.
+
+    The frontier starts at the wanted nodes, so the rest of the graph is never closed over.
+    """
     step = edges.filter(F.col("predicate") == prop)
     step = step if outward else step.select(F.col("object_id").alias("subject_id"), F.col("predicate"), F.col("subject_id").alias("object_id"))
     hop = written(step.select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct(), "hops")
     first = hop.join(ids.select(F.col("node").alias("via")), "via", "left_semi").select(F.col("via").alias("start"), F.col("next").alias("end"))
-    return _reach(first, hop, max_hops, "chain").select(F.col("start").alias("node"), F.col("end").alias("object"))
+    return _reach(first, hop, max_hops, "chain").select(F.col("start").alias("node"), F.col("end").alias("object"), "depth")
 
 
 def sql_node_triples(triples: DataFrame, nodes: DataFrame, ids: DataFrame, properties: list[str], outward: bool = True) -> DataFrame:

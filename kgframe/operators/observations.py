@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import date_bounds
-from kgframe.operators.graph import entities_of_type
+from kgframe.operators.graph import entities_of_type, reached
 
 FACET = ["import_name", "provenance_url", "measurement_method", "observation_period", "scaling_factor", "unit"]
 SERIES = ["variable", "entity", *FACET]
@@ -41,9 +41,15 @@ def latest_per_series(obs: DataFrame) -> DataFrame:
     return latest(obs, SERIES)
 
 
-def obs_contained_in(obs: DataFrame, closure: DataFrame, triples: DataFrame, variables: DataFrame, ancestor: str, child_type: str, mode: str = "all", date: str | None = None) -> DataFrame:
+def places_below(edges: DataFrame, ancestor: str) -> DataFrame:
+    """entity: the places anywhere below one, found by walking down from it."""
+    start = edges.sparkSession.createDataFrame([(ancestor,)], "node string")
+    return reached(edges, start, "containedInPlace", outward=False).select(F.col("object").alias("entity"))
+
+
+def obs_contained_in(obs: DataFrame, edges: DataFrame, triples: DataFrame, variables: DataFrame, ancestor: str, child_type: str, mode: str = "all", date: str | None = None) -> DataFrame:
     """Observations of the places of a type that lie anywhere below an ancestor. mode: all, latest or exact."""
-    inside = closure.filter(F.col("ancestor") == ancestor).select(F.col("child").alias("entity"))
+    inside = places_below(edges, ancestor)
     typed = entities_of_type(triples, child_type).withColumnRenamed("subject_id", "entity").join(inside, "entity", "left_semi")
     found = obs_for(obs, variables, typed, date if mode == "exact" else None)
     return latest_per_series(found) if mode == "latest" else found
@@ -71,6 +77,11 @@ def entity_variable_pairs_count(obs: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(counts, ["variable", "entity"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def trim_empty_entities(pairs: DataFrame, obs: DataFrame) -> DataFrame:
+    """The wanted pairs (columns variable, entity) that have any observation, each once."""
+    return pairs.select("variable", "entity").distinct().join(obs, ["variable", "entity"], "left_semi")
+
+
 def valid_dcids(df: DataFrame, column: str) -> DataFrame:
     """Rows whose id is neither empty nor has a space or comma."""
     return df.filter((F.col(column) != "") & ~F.col(column).rlike("[ ,]"))

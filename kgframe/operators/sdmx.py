@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.operators.observations import latest
+from kgframe.sources.shared import written
 
 #: Component -> column of the bound series.
 COMPONENTS = {"variableMeasured": "variable_measured", "entity1": "entity1", "entity2": "entity2", "entity3": "entity3", "facetId": "facet_id", "TIME_PERIOD": "date"}
@@ -81,14 +82,23 @@ def write_sdmx_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 
+def numbered_by(df: DataFrame, column: str, number: str) -> DataFrame:
+    """Add ``number``, from 0 in the order of a column of distinct values: partitions by range number their own rows and
+    add what the partitions before them hold."""
+    dealt = written(df.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1)
+    return own.join(before, "part").withColumn(number, (F.col("before") + F.col("own")).cast("int")).drop("part", "own", "before")  # one row for each partition
+
+
 def jsonstat_cube(points: DataFrame, dimensions: list[str], value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(flat_index, value) of the cells there are, row-major, and (dimension, position, category) of the sorted categories.
 
-    Categories are numbered over their distinct values, which are few, and joined back.
+    Categories are numbered over their distinct values, in range partitions, and joined back.
     """
     numbered, sizes = [], []
     for d in dimensions:
-        c = points.select(F.col(d).alias("category")).distinct().withColumn("position", F.row_number().over(Window.orderBy("category")) - 1)
+        c = points.select(F.col(d).alias("category")).distinct().transform(numbered_by, "category", "position")
         numbered.append(c.select(F.lit(d).alias("dimension"), "position", "category"))
         sizes.append(c)
     rows = points

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,11 +29,12 @@ def search_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None =
     return hits.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "subject_id", "score", "position")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, position: cosine similarity of at least ``threshold``, the ``limit`` best for each query.
 
-    Exact. queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label) in blocks: they are grouped
-    into one array for each block, so that the table of vectors is neither shuffled nor multiplied before the filter.
+    Exact. queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label) in blocks of about ``block``
+    queries, so a row holds that many scores at most, whatever the number of queries; each vector is sent once for each
+    block. Scores below the threshold go before rows are made of them.
     """
     if labels:
         vectors = vectors.filter(F.col("label").isin(labels))
@@ -40,11 +42,13 @@ def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limi
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda c: F.sqrt(dot(c, c))
     q = queries.select("query_id", double("q").alias("q")).withColumn("qn", unit(F.col("q"))).filter("qn > 0")
-    blocks = q.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(16))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
-    v = vectors.select("vec_id", double("v").alias("v")).withColumn("vn", unit(F.col("v"))).filter("vn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    scored = v.join(blocks, "block").select("vec_id", F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x["q"], F.col("v")) / (x["qn"] * F.col("vn"))).alias("score")))).alias("s")).select("vec_id", "s.*")
+    n = max(1, math.ceil(q.count() / block))
+    blocks = q.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(n))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
+    v = vectors.select("vec_id", double("v").alias("v")).withColumn("vn", unit(F.col("v"))).filter("vn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    scores = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x["q"], F.col("v")) / (x["qn"] * F.col("vn"))).alias("score")))
+    scored = v.join(blocks, "block").select("vec_id", F.explode(F.filter(scores, lambda s: s["score"] >= threshold)).alias("s")).select("vec_id", "s.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.filter(F.col("score") >= threshold).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
 
 def vector_candidates(found: DataFrame, subject_col: str, limit: int) -> DataFrame:
@@ -66,14 +70,14 @@ def build_search_index(variables: DataFrame, synonyms: DataFrame) -> DataFrame:
 def search_variables(queries: DataFrame, index: DataFrame, info: DataFrame, limit: int = 1000) -> DataFrame:
     """query, variable, position: every distinct word of a query is a prefix of a token of the variable.
 
-    Order: fewer properties (info: variable, name, n_props), name, id. Prefixes up to each token's length are joined by
+    Order: fewer properties (info: variable, name, n_props), fewer known ones (n_known, if info has it), name, id. Prefixes up to each token's length are joined by
     equality, for the words' lengths that queries have.
     """
     q = queries.select("query", F.explode(F.array_distinct(F.split(F.lower("query"), r"\W+"))).alias("word")).filter("word <> ''").distinct()
     needs = q.groupBy("query").agg(F.count("*").alias("needs"))
     prefixes = index.select("variable", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"), "token").select("variable", F.substring(F.col("token"), F.lit(1), F.col("n")).alias("word")).join(q.select("word").distinct(), "word", "left_semi").distinct()
     hits = q.join(prefixes, "word").groupBy("query", "variable").agg(F.count("*").alias("c")).join(needs, "query").filter("c = needs")
-    order = Window.partitionBy("query").orderBy("n_props", "name", "variable")
+    order = Window.partitionBy("query").orderBy("n_props", *["n_known"] * ("n_known" in info.columns), "name", "variable")
     return hits.join(info, "variable").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "variable", "position")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgframe.operators.joins import join_on
 from kgframe.operators.observations import FACET
 
 SERIES_KEYS = ["variable", "provenance", "measurement_method", "observation_period", "scaling_factor", "unit"]
@@ -22,16 +23,12 @@ def _sample(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return first.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("entity")), ",").alias("sample"))
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    return a.join(b, keys)
-
-
 def statvar_place_type_summary(obs: DataFrame, triples: DataFrame, n: int = 3) -> DataFrame:
     """variable, entity_type: entities, least, greatest value, and up to n sample entities."""
     rows = _typed(obs.filter("value IS NOT NULL"), triples)
     keys = ["variable", "entity_type"]
     sums = rows.groupBy(*keys).agg(F.countDistinct("entity").alias("entities"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
-    return _null_safe(sums, _sample(rows, keys, n), keys)
+    return join_on(sums, _sample(rows, keys, n), keys)
 
 
 def statvar_provenance_summary(obs: DataFrame, triples: DataFrame, n: int = 3) -> DataFrame:
@@ -42,7 +39,7 @@ def statvar_provenance_summary(obs: DataFrame, triples: DataFrame, n: int = 3) -
         F.min("date").alias("earliest"), F.max("date").alias("latest"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.count("*").alias("obs_count"), F.countDistinct("entity").alias("entities")
     )
     names = triples.filter("predicate = 'name'").groupBy(F.col("subject_id").alias("provenance")).agg(F.max("object_value").alias("provenance_name"))
-    return _null_safe(sums, _sample(rows, keys, n), keys).join(names, "provenance", "left")
+    return join_on(sums, _sample(rows, keys, n), keys).join(names, "provenance", "left")
 
 
 def series_rollup(summary: DataFrame, level: str = "series") -> DataFrame:
@@ -70,7 +67,7 @@ def variable_facet_metadata(obs: DataFrame, triples: DataFrame) -> DataFrame:
     """variable, facet columns: observations, dates, entities covered and place types seen."""
     facts = obs.groupBy("variable", *FACET).agg(F.count("*").alias("obs_count"), F.min("date").alias("earliest"), F.max("date").alias("latest"), F.countDistinct("entity").alias("entities"))
     types = _typed(obs.select("variable", "entity", *FACET).distinct(), triples).groupBy("variable", *FACET).agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("place_types"))
-    return facts.join(types, ["variable", *FACET], "left")
+    return join_on(facts, types, ["variable", *FACET], "left")
 
 
 def facet_usage_log(obs: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from kgframe.sources import bind
 class Bound:
     """The bound tables of one test folder, each built when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, sparse: bool = False):
+        self.spark, self.sf_dir, self.sparse = spark, sf_dir, sparse
 
     def raw(self, name: str) -> DataFrame:
         return bind.read(self.spark, self.sf_dir, name)
@@ -32,7 +32,8 @@ class Bound:
 
     @property
     def obs(self) -> DataFrame:
-        return bind.observations(self.spark, self.sf_dir)
+        obs = bind.observations(self.spark, self.sf_dir)
+        return bind.with_nulls(obs) if self.sparse else obs
 
     @property
     def rules(self) -> DataFrame:

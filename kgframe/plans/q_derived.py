@@ -164,9 +164,9 @@ def m8(spark, d):
     return me.merge_group_info([half(p.filter("p_partkey % 2 = 0"), F.lit("")), half(p.filter("p_partkey % 2 = 1"), F.max("p_type"))])
 
 
-@query("m9_merge_search_interleave", "s0 AS (SELECT 'v' || p_partkey AS dcid, p_partkey AS rank FROM part WHERE p_partkey <= 80), s1 AS (SELECT 'v' || (p_partkey + 20) AS dcid, p_partkey AS rank FROM part WHERE p_partkey <= 80), once AS (SELECT dcid, min((rank, priority)) AS k FROM (SELECT *, 0 AS priority FROM s0 UNION ALL SELECT *, 1 FROM s1) GROUP BY 1) SELECT dcid, k[1] AS rank, k[2] AS priority FROM once ORDER BY k, dcid LIMIT 60")
+@query("m9_merge_search_interleave", "s0 AS (SELECT 'v' || p_partkey AS dcid, p_partkey AS rank FROM part), s1 AS (SELECT 'v' || (p_partkey + 20) AS dcid, p_partkey AS rank FROM part), once AS (SELECT dcid, min((rank, priority)) AS k FROM (SELECT *, 0 AS priority FROM s0 UNION ALL SELECT *, 1 FROM s1) GROUP BY 1) SELECT dcid, k[1] AS rank, k[2] AS priority FROM once ORDER BY k, dcid LIMIT 60")
 def m9(spark, d):
-    p = Bound(spark, d).raw("part").filter("p_partkey <= 80")
+    p = Bound(spark, d).raw("part")
     s = lambda k: p.select(F.concat(F.lit("v"), F.col("p_partkey") + k).alias("dcid"), F.col("p_partkey").alias("rank"))
     return me.merge_search_interleave([s(0), s(20)], 60)
 

@@ -8,6 +8,7 @@ from kgframe.operators import existence as ex
 from kgframe.operators import graph
 from kgframe.operators import hierarchy as hi
 from kgframe.operators import summary as su
+from kgframe.operators.observations import places_below
 from kgframe.plans.common import PAIRS, VARIABLES, Bound
 from kgframe.plans.registry import query
 
@@ -154,41 +155,41 @@ def h1_variables(spark, d):
 
 @query("h2_build_hierarchy", f"{LINKS} SELECT parent, child, kind, CASE WHEN kind = 'group' THEN coalesce(n, 0) ELSE -1 END AS n FROM links LEFT JOIN counts ON group_id = child")
 def h2(spark, d):
-    return _long(hi.build_hierarchy(_links(spark, d), 3), "n")
+    return _long(hi.build_hierarchy(_links(spark, d)), "n")
 
 
 @query("h3_parents_from_root", f"{LINKS} SELECT DISTINCT child, parent FROM links")
 def h3(spark, d):
-    return hi.parents_from_root(_links(spark, d), "g/Root", 3)
+    return hi.parents_from_root(_links(spark, d), "g/Root")
 
 
 @query("h4_ancestors", f"{LINKS} SELECT child AS node, parent AS ancestor, 1 AS depth FROM links WHERE kind = 'variable' UNION ALL SELECT DISTINCT child, 'g/Root', 2 FROM links WHERE kind = 'variable'")
 def h4(spark, d):
     links = _links(spark, d)
-    return hi.ancestors(links, links.filter("kind = 'variable'").select(F.col("child").alias("node")).distinct(), 3)
+    return hi.ancestors(links, links.filter("kind = 'variable'").select(F.col("child").alias("node")).distinct())
 
 
 @query("h5_prune_hierarchy", f"{LINKS}, {VARIABLES}, wanted AS (SELECT variable FROM variables WHERE variable LIKE '%1') SELECT child, parent, kind FROM links WHERE child IN (FROM wanted) OR (kind = 'group' AND child IN (SELECT group_id FROM below JOIN wanted USING (variable)))")
 def h5(spark, d):
     b = Bound(spark, d)
-    return hi.prune_hierarchy(_links(spark, d), b.variables().filter("variable LIKE '%1'"), 3).select("child", "parent", "kind")
+    return hi.prune_hierarchy(_links(spark, d), b.variables().filter("variable LIKE '%1'")).select("child", "parent", "kind")
 
 
 @query("h6_remove_subtree", f"{LINKS}, first AS (SELECT min(parent) AS g FROM links WHERE kind = 'variable'), gone AS (SELECT child FROM links, first WHERE parent = g) SELECT child, parent, kind FROM links, first WHERE parent <> g AND child <> g AND child NOT IN (FROM gone)")
 def h6(spark, d):
     links = _links(spark, d)
     first = links.filter("kind = 'variable'").agg(F.min("parent")).first()[0]
-    return hi.remove_subtree(links, first, 3)
+    return hi.remove_subtree(links, first)
 
 
 @query("a8_descendant_variables", f"{LINKS} SELECT group_id, variable FROM below")
 def a8(spark, d):
-    return hi.descendant_variables(_links(spark, d), 3)
+    return hi.descendant_variables(_links(spark, d))
 
 
 @query("a9_descendant_counts", f"{LINKS} SELECT group_id, n FROM counts")
 def a9(spark, d):
-    return hi.descendant_counts(_links(spark, d), 3)
+    return hi.descendant_counts(_links(spark, d))
 
 
 _SEEN = "seen AS (SELECT DISTINCT variable, entity FROM obs WHERE entity IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 1))"
@@ -214,7 +215,7 @@ def a11(spark, d):
 
 @query("a12_filtered_topic", f"{LINKS}, {_SEEN} SELECT group_id, count(DISTINCT variable) AS n FROM below JOIN seen USING (variable) GROUP BY 1")
 def a12(spark, d):
-    return hi.descendant_variables(_links(spark, d), 3).join(_seen(Bound(spark, d)).select("variable").distinct(), "variable", "left_semi").groupBy("group_id").agg(F.count("*").alias("n"))
+    return hi.filtered_topic(_links(spark, d), _seen(Bound(spark, d)))
 
 
 @query("a13_group_node_for_entities", f"{LINKS}, {_SEEN}, per AS (SELECT group_id, entity, count(*) AS c FROM below JOIN seen USING (variable) GROUP BY ALL) SELECT child, kind, coalesce((SELECT c FROM (SELECT c, row_number() OVER (ORDER BY c DESC, entity) AS r FROM per WHERE group_id = child) WHERE r = 3), 0) AS n FROM links WHERE parent = 'g/Root'")
@@ -224,6 +225,13 @@ def a13(spark, d):
     return _long(hi.group_node_for_entities(_links(spark, d), b.obs, "g/Root", e, 3), "n")
 
 
+@query("c9_specialized_entity", "WITH k AS (SELECT DISTINCT 'dc/g/Root' AS group_id, 'dc/g/' || CASE WHEN p_size % 2 = 0 THEN 'Person' ELSE 'Household' END || '_' || replace(p_type, ' ', '_') AS child, split_part(p_type, ' ', 1) AS e, CASE WHEN p_size % 2 = 0 THEN 'Individual' ELSE 'Household' END AS pop FROM part) SELECT group_id, child, CASE WHEN count(*) OVER (PARTITION BY e) > 1 THEN e || ' (' || pop || ')' ELSE e END AS specialized_entity FROM k", base=False)
+def c9(spark, d):
+    p = Bound(spark, d).raw("part")
+    child = F.concat(F.lit("dc/g/"), F.when(F.col("p_size") % 2 == 0, "Person").otherwise("Household"), F.lit("_"), F.replace("p_type", F.lit(" "), F.lit("_")))
+    return hi.specialized_entities(p.select(F.lit("dc/g/Root").alias("group_id"), child.alias("child"), F.col("p_type").alias("name")).distinct()).select("group_id", "child", "specialized_entity")
+
+
 @query("k8_sort_group_children", f"{LINKS} SELECT parent AS group_id, child, row_number() OVER (PARTITION BY parent ORDER BY child) AS position FROM links")
 def k8(spark, d):
     return _long(hi.sort_group_children(_links(spark, d).select(F.col("parent").alias("group_id"), "child"), "child"), "position")
@@ -249,9 +257,9 @@ def e3(spark, d):
     links, seen = _links(spark, d), _seen(b)
     sources = _list(spark, "source", "source/O", "source/F")
     variables = b.obs.select("variable").distinct()
-    return ex.existence(
-        seen.select("variable", "entity"), ex.group_place_existence(seen, links, b.places()), ex.variable_source_existence(b.obs, b.edges, variables, sources), ex.group_source_existence(b.obs, b.edges, links, sources)
-    )
+    items = variables.select(F.col("variable").alias("item")).union(links.select("parent")).distinct()
+    targets = seen.select(F.col("entity").alias("target")).distinct().union(sources)
+    return ex.existence_by_kind(items, targets, b.obs, links, b.edges)
 
 
 @query("e4_variable_source_existence", f"{_VS}, {VARIABLES} SELECT variable, source FROM vs WHERE source = 'source/O' AND variable IN (FROM variables)")
@@ -330,6 +338,12 @@ def a2(spark, d):
 _ROLL = "min(earliest) AS earliest, max(latest) AS latest, min(min_value) AS min_value, max(max_value) AS max_value, sum(obs_count)::BIGINT AS obs_count, sum(entities)::BIGINT AS entities, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS entity_types"
 
 
+@query("a2_statvar_provenance_summary_null_facets", f"{_A2} SELECT a2.*, n.name AS provenance_name FROM a2 LEFT JOIN nodes n ON n.subject_id = a2.provenance", sparse=True)
+def a2_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return su.statvar_provenance_summary(b.obs, b.triples)
+
+
 @query("a3_series_rollup", f"{_A2} SELECT {_KEYS}, {_ROLL} FROM a2 GROUP BY ALL")
 def a3(spark, d):
     b = Bound(spark, d)
@@ -353,7 +367,7 @@ _F = "import_name, provenance_url, measurement_method, observation_period, scali
 @query("a5_observation_dates_in", f"SELECT *, row_number() OVER (PARTITION BY variable, date ORDER BY entities DESC, {_F}) AS position FROM (SELECT variable, date, {_F}, count(DISTINCT entity) AS entities FROM obs WHERE entity IN (SELECT child FROM closure WHERE ancestor = 'region/2') GROUP BY ALL)")
 def a5(spark, d):
     b = Bound(spark, d)
-    inside = b.closure.filter("ancestor = 'region/2'").select(F.col("child").alias("entity"))
+    inside = places_below(b.edges, "region/2")
     return _long(su.observation_dates(b.obs.join(inside, "entity", "left_semi")), "position")
 
 
@@ -367,7 +381,7 @@ def a7(spark, d):
     from kgframe.operators.facets import facet_stats_contained
 
     b = Bound(spark, d)
-    return facet_stats_contained(b.obs.join(b.closure.filter("ancestor = 'region/2'").select(F.col("child").alias("entity")), "entity", "left_semi"))
+    return facet_stats_contained(b.obs.join(places_below(b.edges, "region/2"), "entity", "left_semi"))
 
 
 @query("a15_variable_facet_metadata", f"SELECT variable, {_F}, count(*) AS obs_count, min(date) AS earliest, max(date) AS latest, count(DISTINCT entity) AS entities, 'Country' AS place_types FROM obs GROUP BY ALL")
@@ -376,6 +390,12 @@ def a15(spark, d):
     return su.variable_facet_metadata(b.obs, b.triples)
 
 
+@query("a15_variable_facet_metadata_null_facets", f"SELECT variable, {_F}, count(*) AS obs_count, min(date) AS earliest, max(date) AS latest, count(DISTINCT entity) AS entities, 'Country' AS place_types FROM obs GROUP BY ALL", sparse=True)
+def a15_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return su.variable_facet_metadata(b.obs, b.triples)
+
+
 @query("a16_facet_usage_log", f"SELECT variable, {_F}, count(DISTINCT entity) AS series, min(substr(date, 1, 4)) AS first_year, max(substr(date, 1, 4)) AS last_year FROM obs GROUP BY ALL")
 def a16(spark, d):
     return su.facet_usage_log(Bound(spark, d).obs)

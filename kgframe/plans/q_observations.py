@@ -76,9 +76,7 @@ def f6(spark, d):
 
 @query("f8_filter_nodes_by_type", "SELECT subject_id, 'Country' AS matched FROM triples WHERE predicate = 'typeOf' AND object_id = 'Country' UNION ALL SELECT subject_id, 'Supplier' FROM triples WHERE predicate = 'typeOf' AND object_id = 'Supplier'")
 def f8(spark, d):
-    wanted = F.array(F.lit("Country"), F.lit("Supplier"))
-    n = Bound(spark, d).nodes
-    return n.filter(F.arrays_overlap("types", wanted)).select("subject_id", F.array_join(F.array_intersect("types", wanted), ",").alias("matched"))
+    return graph.filter_nodes_by_type(Bound(spark, d).nodes, ["Country", "Supplier"]).select("subject_id", F.array_join("matched", ",").alias("matched"))
 
 
 @query("f10_valid_dcids", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '' AND NOT regexp_matches(o_orderpriority, '[ ,]')", base=False)
@@ -89,7 +87,7 @@ def f10(spark, d):
 @query("f11_trim_empty_entities", f"{PAIRS} SELECT DISTINCT p.variable, p.entity FROM pairs p JOIN obs o ON o.variable = p.variable AND o.entity = p.entity")
 def f11(spark, d):
     b = Bound(spark, d)
-    return b.pairs().join(facets.series_of(b.obs), ["variable", "entity"]).select("variable", "entity").distinct()
+    return observations.trim_empty_entities(b.pairs(), b.obs)
 
 
 @query("j1_obs_by_entity_type", f"{VARIABLES} SELECT {OBS_COLUMNS} FROM obs WHERE variable IN (FROM variables) AND entity IN (SELECT subject_id FROM triples WHERE predicate = 'typeOf' AND object_id = 'Country') AND date = '1998'")
@@ -103,7 +101,7 @@ _INSIDE = "entity IN (SELECT child FROM closure WHERE ancestor = 'region/2') AND
 
 def _contained(spark, d, mode, date=None):
     b = Bound(spark, d)
-    return observations.obs_contained_in(b.obs, b.closure, b.triples, b.variables(), "region/2", "Country", mode, date)
+    return observations.obs_contained_in(b.obs, b.edges, b.triples, b.variables(), "region/2", "Country", mode, date)
 
 
 @query("j5_obs_contained_in_all", f"{VARIABLES} SELECT {OBS_COLUMNS} FROM obs WHERE variable IN (FROM variables) AND {_INSIDE}")
@@ -233,27 +231,26 @@ def w10_latest(spark, d):
 @query("w11_bulk_point", f"{PAIRS}, {_BEST} SELECT variable, entity, date, value, facet_rank FROM (SELECT *, row_number() OVER (PARTITION BY variable, entity ORDER BY date DESC, facet_rank) AS n FROM points JOIN pairs USING (variable, entity) WHERE score <= 1000 OR facet_rank = 1) WHERE n = 1")
 def w11(spark, d):
     b = Bound(spark, d)
-    return _long(facets.bulk_point(b.obs, b.ranked, b.pairs()), "facet_rank")
+    return _long(facets.bulk_point(b.obs, b.rules, b.pairs()), "facet_rank")
 
 
 @query("w11_bulk_point_all_facets", f"{PAIRS}, {_BEST} SELECT variable, entity, facet_rank, max(date) AS date, arg_max(value, date) AS value FROM points JOIN pairs USING (variable, entity) GROUP BY ALL")
 def w11_all(spark, d):
     b = Bound(spark, d)
-    return _long(facets.bulk_point(b.obs, b.ranked, b.pairs(), all_facets=True), "facet_rank")
+    return _long(facets.bulk_point(b.obs, b.rules, b.pairs(), all_facets=True), "facet_rank")
 
 
 @query("w12_bulk_series", f"{PAIRS}, {_BEST} SELECT variable, entity, facet_rank, date, value FROM points JOIN pairs USING (variable, entity) WHERE facet_rank = 1")
 def w12(spark, d):
     b = Bound(spark, d)
-    return _long(facets.bulk_series(b.obs, b.ranked, b.pairs()), "facet_rank")
+    return _long(facets.bulk_series(b.obs, b.rules, b.pairs()), "facet_rank")
 
 
 @query("w12_bulk_series_linked", f"{VARIABLES}, {_BEST} SELECT variable, entity, facet_rank, date, value FROM points WHERE facet_rank = 1 AND variable IN (FROM variables) AND entity IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 3)")
 def w12_linked(spark, d):
     b = Bound(spark, d)
     children = graph.places_in(b.triples, spark.createDataFrame([("region/3",)], "parent string"), "Country").select(F.col("child").alias("entity"))
-    chosen = b.ranked.join(children, "entity", "left_semi").join(b.variables(), "variable", "left_semi").select("variable", "entity").distinct()
-    return _long(facets.bulk_series(b.obs, b.ranked, chosen), "facet_rank")
+    return _long(facets.bulk_series(observations.obs_for(b.obs, b.variables(), children), b.rules), "facet_rank")
 
 
 _PRIMARY = "per AS (SELECT variable, import_name, provenance_url, measurement_method, observation_period, scaling_factor, unit, count(DISTINCT entity) AS places, count(*) AS points, max(date) AS latest, avg(facet_rank) AS avg_rank, max(score) AS score FROM points GROUP BY ALL)"
@@ -262,7 +259,7 @@ _LAST = "measurement_method, observation_period, scaling_factor, unit, provenanc
 
 def _primary(spark, d, score_desc=None):
     b = Bound(spark, d)
-    points = b.obs.join(b.ranked.select(*SERIES.split(", "), "score", "facet_rank"), SERIES.split(", "))
+    points = facets.ranked_points(b.obs, b.rules)
     return _long(facets.select_primary_source(points, score_desc), "source_rank").select("variable", "import_name", "measurement_method", "observation_period", "places", "points", "latest", "source_rank")
 
 
@@ -295,9 +292,37 @@ def w17(spark, d):
     return facets.systematic_sample(Bound(spark, d).obs, SERIES.split(", "), "date", 5).select(*SERIES.split(", "), "date")
 
 
+_SAME = " AND ".join(f"o.{c} IS NOT DISTINCT FROM r.{c}" for c in SERIES.split(", "))
+_BEST_SPARSE = f"points AS (SELECT o.*, r.score, r.facet_rank FROM obs o JOIN ranked r ON {_SAME})"
+
+
+@query("w5_facet_score_null_facets", f"SELECT {SERIES}, score FROM scored", sparse=True)
+def w5_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return facets.facet_score(facets.series_of(b.obs), b.rules).select(*SERIES.split(", "), "score")
+
+
+@query("w9_best_value_null_facets", f"{_BEST_SPARSE} SELECT variable, entity, date, value, facet_rank FROM (SELECT *, row_number() OVER (PARTITION BY variable, entity ORDER BY date DESC, facet_rank) AS n FROM points WHERE score <= 1000 OR facet_rank = 1) WHERE n = 1", sparse=True)
+def w9_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return _long(facets.best_value(b.obs, b.ranked), "facet_rank")
+
+
+@query("w9_best_value_on_date_null_facets", f"{_BEST_SPARSE} SELECT variable, entity, date, value, facet_rank FROM (SELECT *, row_number() OVER (PARTITION BY variable, entity ORDER BY facet_rank) AS n FROM points WHERE date = '1996-05') WHERE n = 1", sparse=True)
+def w9_date_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return _long(facets.best_value(b.obs, b.ranked, "1996-05"), "facet_rank")
+
+
+@query("w12_bulk_series_null_facets", f"{PAIRS}, {_BEST_SPARSE} SELECT variable, entity, facet_rank, date, value FROM points JOIN pairs USING (variable, entity) WHERE facet_rank = 1", sparse=True)
+def w12_nulls(spark, d):
+    b = Bound(spark, d, sparse=True)
+    return _long(facets.bulk_series(b.obs, b.rules, b.pairs()), "facet_rank")
+
+
 @query("x_slice_latest_best_in_region", f"{VARIABLES}, {_BEST} SELECT variable, entity, date, value FROM (SELECT *, row_number() OVER (PARTITION BY variable, entity ORDER BY date DESC, facet_rank) AS n FROM points WHERE {_INSIDE} AND variable IN (FROM variables) AND (score <= 1000 OR facet_rank = 1)) WHERE n = 1")
 def flagship(spark, d):
     """The latest value from the best source of each variable, for all countries in a continent."""
     b = Bound(spark, d)
-    inside = observations.obs_contained_in(b.obs, b.closure, b.triples, b.variables(), "region/2", "Country")
+    inside = observations.obs_contained_in(b.obs, b.edges, b.triples, b.variables(), "region/2", "Country")
     return facets.best_value(inside, facets.facet_stats(inside, b.rules)).select("variable", "entity", "date", "value")

@@ -18,7 +18,7 @@ def _long(df, *columns):
 def f7(spark, d):
     t = Bound(spark, d).triples.filter("predicate = 'name' AND subject_id LIKE 'nation/%'")
     named = t.select("subject_id", F.concat(F.lower("object_value"), F.when(F.col("subject_id").startswith("nation/1"), "@en").otherwise("@fr")).alias("object_value"))
-    return named.filter(F.col("object_value").endswith("@en"))
+    return graph.filter_lang(named, ["en"])
 
 
 @query("f9_hide_internal_predicates", "SELECT DISTINCT subject_id, predicate FROM edges")
@@ -186,18 +186,28 @@ def w20(spark, d):
     return _long(agent.nearby_places(near, people, 3000), "position")
 
 
-@query("w18_similar_places")
+@query("w18_similar_places", "SELECT 'nation/' || n_nationkey AS place FROM nation WHERE n_nationkey <> 3 ORDER BY md5('0:nation/' || n_nationkey), place LIMIT 5", base=False)
 def w18(spark, d):
     return agent.similar_places("nation/3", Bound(spark, d).places().select(F.col("entity").alias("place")))
 
 
-@query("p2_place_page_related")
+_RING = "coh AS (SELECT 'nation/' || n_nationkey AS place, n_regionkey AS cohort FROM nation), ring AS (SELECT place, cohort, row_number() OVER (PARTITION BY cohort ORDER BY md5('0:' || place), place) - 1 AS at, count(*) OVER (PARTITION BY cohort) AS n FROM coh), sim AS (SELECT DISTINCT a.place, b.place AS related FROM ring a JOIN ring b ON a.cohort = b.cohort AND (b.at - a.at + a.n) % a.n BETWEEN 1 AND 5)"
+_NEAR = "ppl AS (SELECT 'nation/' || c_nationkey AS place, count(*) * 1000 AS people FROM customer GROUP BY ALL), nears AS (SELECT 'nation/' || n_nationkey AS place, 'nation/' || (n_nationkey + i) AS near FROM nation, range(1, 4) t(i)), near AS (SELECT n.place, near, row_number() OVER (PARTITION BY n.place ORDER BY people DESC, near) AS r FROM nears n JOIN ppl ON ppl.place = near WHERE people > 10000)"
+
+
+@query(
+    "p2_place_page_related",
+    f"{_CHILD}, {_RING}, {_NEAR}, page AS (SELECT 'nation/' || n_nationkey AS place FROM nation) SELECT child AS place, 'parent' AS relation, ancestor AS related FROM closure WHERE child IN (FROM page) GROUP BY ALL UNION ALL SELECT parent, 'child', place FROM (SELECT parent, place, row_number() OVER (PARTITION BY parent ORDER BY people DESC NULLS LAST, place) AS r FROM kids JOIN best USING (parent, type) LEFT JOIN people USING (place)) WHERE r <= 5 UNION ALL SELECT place, 'similar', related FROM sim UNION ALL SELECT place, 'nearby', near FROM near WHERE r <= 5",
+)
 def p2(spark, d):
     b = Bound(spark, d)
     kids, people = _children(b)
-    up = agent.place_metadata(b.places().select(F.col("entity").alias("place")), b.closure, b.nodes).filter("depth > 0").select("place", F.lit("parent").alias("relation"), F.col("member").alias("related"))
-    down = agent.child_places_by_type(kids, people).select(F.col("parent").alias("place"), F.lit("child").alias("relation"), F.col("place").alias("related"))
-    return up.unionByName(down)
+    nations = b.raw("customer").groupBy(F.concat(F.lit("nation/"), F.col("c_nationkey")).alias("place")).agg((F.count("*") * 1000).alias("people"))
+    cohorts = b.raw("nation").select(F.col("n_regionkey").alias("cohort"), F.concat(F.lit("nation/"), F.col("n_nationkey")).alias("place"))
+    near = b.raw("nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey")).alias("place"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.concat(F.lit("nation/"), F.col("n_nationkey") + i, F.lit("@"), i))).alias("entry"))
+    pages = b.places().select(F.col("entity").alias("place"))
+    up = graph.reached(b.edges, pages.withColumnRenamed("place", "node"), "containedInPlace").select(F.col("node").alias("child"), F.col("object").alias("ancestor"))
+    return agent.place_page_related(pages, up, kids, people.unionByName(nations), cohorts, near)
 
 
 @query("g1_resolve_places_table", "SELECT q.query, coalesce(n.subject_id, '') AS dcid, coalesce(n.name, '') AS name, coalesce(n.types[1], '') AS type FROM (SELECT upper(n_name) AS query FROM nation UNION ALL SELECT 'nowhere ' || n_nationkey FROM nation) q LEFT JOIN nodes n ON lower(n.name) = lower(q.query)")
@@ -223,7 +233,7 @@ _S = "variable, entity, import_name, provenance_url, measurement_method, observa
 @query("g3_get_observations_table", f"points AS (SELECT o.*, r.score, r.facet_rank FROM obs o JOIN ranked r USING ({_S})), agg AS (SELECT variable, import_name, provenance_url, measurement_method, observation_period, scaling_factor, unit, count(DISTINCT entity) AS places, count(*) AS n, max(date) AS latest, avg(facet_rank) AS avg_rank FROM points GROUP BY ALL), per AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY places DESC, n DESC, latest DESC, avg_rank, measurement_method, observation_period, scaling_factor, unit, provenance_url, import_name) AS r FROM agg) SELECT variable, entity, date, value FROM points JOIN per USING (variable, import_name, provenance_url, measurement_method, observation_period, scaling_factor, unit) WHERE r = 1")
 def g3(spark, d):
     b = Bound(spark, d)
-    points = b.obs.join(b.ranked.select(*_S.split(", "), "score", "facet_rank"), _S.split(", "))
+    points = facets.ranked_points(b.obs, b.rules)
     return agent.get_observations_table(points)
 
 
@@ -254,3 +264,16 @@ def s1(spark, d):
 
     wanted = T.StructType([T.StructField("l_orderkey", T.LongType()), T.StructField("l_linenumber", T.IntegerType()), T.StructField("l_quantity", T.DoubleType())])
     return load(spark, f"{d}/lineitem.parquet", wanted)
+
+
+@query("s2_load_triples", "SELECT subject_id, predicate, object_id, object_value FROM triples")
+def s2(spark, d):
+    """The graph's triples written as CSV files and read back."""
+    import uuid
+
+    from kgframe.sources.shared import shared_dir
+    from kgframe.sources.tables import load_triples
+
+    path = f"{shared_dir(spark)}/triples-{uuid.uuid4().hex}"
+    Bound(spark, d).triples.write.option("header", True).csv(path)
+    return load_triples(spark, path, "csv")

@@ -41,14 +41,27 @@ closure AS (
 )"""
 
 
-def query(name: str, sql: str | None = None, base: bool = True) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` continues the bound tables' WITH clause (a CTE list ends in a SELECT)."""
+def _sparse(base: str) -> str:
+    """The bound tables with nulls in the facet's columns, which are equal to each other and come first in order."""
+    base = base.replace("'' AS unit, '' AS scaling_factor", "NULL::VARCHAR AS unit, NULL::VARCHAR AS scaling_factor").replace("l_returnflag AS measurement_method", "nullif(l_returnflag, 'N') AS measurement_method")
+    for c in ("measurement_method", "observation_period", "unit"):
+        base = base.replace(f"coalesce(r.{c} = s.{c}, true)", f"(r.{c} IS NULL OR r.{c} IS NOT DISTINCT FROM s.{c})")
+    order = "measurement_method, observation_period, scaling_factor, unit, provenance_url, import_name"
+    return base.replace(f"obs_count DESC, {order}", "obs_count DESC, " + ", ".join(f"{c} NULLS FIRST" for c in order.split(", ")))
+
+
+SPARSE = _sparse(BASE)
+
+
+def query(name: str, sql: str | None = None, base: bool = True, sparse: bool = False) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` continues the bound tables' WITH clause (a CTE list ends in a SELECT), with nulls
+    in the facet's columns if ``sparse``."""
 
     def put(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
             text = sql.strip()
-            SQL[name] = (f"WITH {BASE}{',' if not text.upper().startswith('SELECT') else ''}\n{text}") if base else text
+            SQL[name] = (f"WITH {SPARSE if sparse else BASE}{',' if not text.upper().startswith('SELECT') else ''}\n{text}") if base else text
         return f
 
     return put

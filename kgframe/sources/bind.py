@@ -109,6 +109,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_nulls(obs: DataFrame) -> DataFrame:
+    """Observations as files have them: columns of the facet that say nothing are null."""
+    return obs.withColumns({"unit": F.expr("nullif(unit, '')"), "scaling_factor": F.expr("nullif(scaling_factor, '')"), "measurement_method": F.expr("nullif(measurement_method, 'N')")})
+
+
 OBS_SQL = """
 obs_rows AS (
   SELECT s_nationkey, p_brand, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m') AS month, l_quantity

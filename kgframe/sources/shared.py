@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,10 +29,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, as in tests."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset, a temporary one in local mode and an error on a
+    cluster, whose executors would not see one another's files."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _own_dir.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -39,4 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: computed once, and safe from lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that ``written`` made, once no result that reads them is wanted any more; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
