@@ -40,11 +40,20 @@ def search_indicators(candidates: DataFrame, members: DataFrame, seen: DataFrame
     return best.join(places, "variable").select("query", "variable", "places", "score")
 
 
-def variable_metadata(facets: DataFrame, triples: DataFrame) -> DataFrame:
-    """variable, name, facet facts, source: facet metadata with the variable's name and its provenance's source."""
+def variable_metadata(facets: DataFrame, triples: DataFrame, properties: list[str] | None = None) -> DataFrame:
+    """variable, name, facet facts, source: facet metadata with the variable's name and its provenance's source.
+
+    Each of ``properties`` adds a column of its distinct values in order, joined by commas; null without any.
+    """
     names = triples.filter("predicate = 'name'").groupBy(F.col("subject_id").alias("variable")).agg(F.max("object_value").alias("name"))
     source = triples.filter("predicate = 'source'").groupBy(F.col("subject_id").alias("provenance")).agg(F.max("object_id").alias("source"))
-    return facets.join(names, "variable", "left").join(source, "provenance", "left")
+    found = facets.join(names, "variable", "left").join(source, "provenance", "left")
+    if not properties:
+        return found
+    value = F.coalesce("object_id", "object_value")
+    joined = lambda p: F.array_join(F.sort_array(F.collect_set(F.when(F.col("predicate") == p, value))), ",")
+    facts = triples.filter(F.col("predicate").isin(properties)).groupBy(F.col("subject_id").alias("variable")).agg(*[F.nullif(joined(p), F.lit("")).alias(p) for p in properties])
+    return found.join(facts, "variable", "left")
 
 
 def observation_node_triples(obs: DataFrame, nodes: DataFrame, properties: list[str]) -> DataFrame:

@@ -19,6 +19,7 @@ def obs_for(obs: DataFrame, variables: DataFrame, entities: DataFrame, date: str
 
 
 def obs_by_entity_type(obs: DataFrame, triples: DataFrame, variables: DataFrame, type_: str, date: str | None = None) -> DataFrame:
+    """``obs_for`` over all entities of a type."""
     return obs_for(obs, variables, entities_of_type(triples, type_).withColumnRenamed("subject_id", "entity"), date)
 
 

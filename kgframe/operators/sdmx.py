@@ -79,6 +79,7 @@ def sdmx_csv_rows(series: DataFrame, points: DataFrame, keys: list[str], structu
 
 
 def write_sdmx_csv(rows: DataFrame, path: str) -> None:
+    """Write rows as CSV files with a header and CRLF line ends; a null value is an empty field."""
     rows.write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 

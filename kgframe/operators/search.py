@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgframe.functions.scalars import grid_key, recon_name, tokenize, word_ngrams
+from kgframe.functions.scalars import grid_key, recon_name, tokenize
 from kgframe.sources.shared import ship
 
 
@@ -134,42 +135,86 @@ def resolve_coordinates_cell(points: DataFrame, cells: DataFrame, nodes: DataFra
     return order_by_type_priority(rows, priority).select(F.col("node").alias(id_col), F.col("dcid").alias("place"), "type", "position")
 
 
-def place_dictionary(places: DataFrame, containers: DataFrame) -> DataFrame:
-    """name, dcid, population: each place (dcid, name, population) by its name, and by name with each container's (dcid, container_name)."""
-    plain = places.select(recon_name(F.col("name")).alias("name"), "dcid", "population")
-    inside = places.join(containers, "dcid").select(recon_name(F.concat_ws(" ", "name", "container_name")).alias("name"), "dcid", "population")
-    return plain.unionByName(inside).distinct()
+def place_dictionary(places: DataFrame, containers: DataFrame, alternates: DataFrame | None = None, adjectives: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+    """name, dcid, population: each place (dcid, name, population) by its names, and by a name with each container's (dcid, container_name).
+
+    alternates (dcid, name) are further names; each adjective (dcid, adjective) is a name together with each suffix, as in
+    "french people". Nulls and names without words are left out.
+    """
+    people = places.select("dcid", "population").distinct()
+    names = places.select("dcid", "name")
+    names = names if alternates is None else names.unionByName(alternates.select("dcid", "name"))
+    own = names.join(people, "dcid")
+    rows = [own.select("name", "dcid", "population"), own.join(containers, "dcid").filter("container_name IS NOT NULL").select(F.concat_ws(" ", "name", "container_name").alias("name"), "dcid", "population")]
+    if adjectives is not None and suffixes:
+        words = adjectives.select("dcid", F.explode(F.array(*[F.concat_ws(" ", "adjective", F.lit(x)) for x in suffixes])).alias("name"))
+        rows.append(words.join(people, "dcid").select("name", "dcid", "population"))
+    return reduce(DataFrame.unionByName, rows).filter("name IS NOT NULL").withColumn("name", recon_name(F.col("name"))).filter("name <> ''").distinct()
+
+
+def _words(query: F.Column) -> F.Column:
+    return F.filter(F.split(query, r"\s+"), lambda w: w != "")
 
 
-def recognize_places(queries: DataFrame, dictionary: DataFrame, longest: int | None = None, keep: int = 15, populous: int = 2000) -> DataFrame:
+def _cover(spans: F.Column) -> F.Column:
+    """Of an array of structs with start and n_words those that overlap none kept before, in the order of the array."""
+    kept = F.slice(spans, 1, 0)
+    apart = lambda a, s: ~F.exists(a, lambda k: (s["start"] < k["start"] + k["n_words"]) & (k["start"] < s["start"] + s["n_words"]))
+    return F.aggregate(spans, kept, lambda a, s: F.when(apart(a, s), F.array_append(a, s)).otherwise(a))
+
+
+def recognize_places(
+    queries: DataFrame, dictionary: DataFrame, longest: int | None = None, keep: int = 15, populous: int = 2000,
+    abbreviations: DataFrame | None = None, zip_codes: DataFrame | None = None, bogus: list[str] | None = None,
+) -> DataFrame:
     """query_id, start, n_words, dcid, position: the places that a query names, the longest name first from the left.
 
     Every run of words is joined with the dictionary by equality; a run that begins inside a longer match that began
-    before is left out by one scan over the query's few matches. Of one run the ``keep`` most populous places are kept
-    and all others of ``populous`` people or more. Names of any length are tried, unless ``longest`` bounds their words.
+    before is left out by one scan over the query's few matches. At a word an abbreviation (name, dcid, population; case
+    counts) comes first, then a zip code (name, dcid, population), then the longest name. Of one run the ``keep`` most
+    populous places are kept and all others of ``populous`` people or more. Names in ``bogus`` are no places. Names of
+    any length are tried, unless ``longest`` bounds their words. Null and empty queries give nothing.
     """
     most = F.size(F.split("name", " "))
-    bound = dictionary.agg(F.coalesce(F.max(most), F.lit(0)).alias("longest")) if longest is None else dictionary.sparkSession.createDataFrame([(longest,)], "longest int")
-    words = F.filter(F.split(recon_name(F.col("query")), r"\s+"), lambda w: w != "")
-    q = queries.select("query_id", words.alias("w")).filter(F.size("w") > 0)
-    starts = q.crossJoin(F.broadcast(bound)).filter("longest > 0").select("query_id", "w", "longest", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))  # bound is one row
+    bound = dictionary.agg(F.coalesce(F.max(most), F.lit(1)).alias("longest")) if longest is None else dictionary.sparkSession.createDataFrame([(longest,)], "longest int")
+    raw = _words(F.regexp_replace("query", r" ,|,|\^", ""))
+    q = queries.select("query_id", raw.alias("raw")).filter(F.size("raw") > 0).withColumn("w", F.transform("raw", F.lower))
+    starts = q.crossJoin(F.broadcast(bound)).select("query_id", "raw", "w", "longest", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))  # bound is one row
     runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least("longest", F.size("w") - F.col("start")))).alias("n_words"))
     runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("name"))
-    hits = runs.join(dictionary, "name")
-    spans = hits.groupBy("query_id", "start").agg(F.max("n_words").alias("n_words")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("spans"))
-    greedy = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<start:int,n_words:int>>").alias("kept")),
-        lambda a, s: F.when(s["start"] >= a["free"], F.struct((s["start"] + s["n_words"]).alias("free"), F.array_append(a["kept"], s).alias("kept"))).otherwise(a), lambda a: a["kept"],
-    )
-    kept = spans.select("query_id", F.explode(greedy).alias("s")).select("query_id", "s.*")
+    names = dictionary.filter(~F.col("name").isin([b.lower() for b in bogus])) if bogus else dictionary
+    hits = runs.join(names, "name").withColumn("order", F.lit(2))
+    one = starts.select("query_id", "start", F.lit(1).alias("n_words"), F.get("raw", F.col("start")).alias("name"))
+    for order, table in enumerate((abbreviations, zip_codes)):
+        if table is not None:
+            hits = hits.unionByName(one.join(table.select("name", "dcid", "population"), "name").withColumn("order", F.lit(order)))
+    best = hits.groupBy("query_id", "start").agg(F.min(F.struct("order", (-F.col("n_words")).alias("less"))).alias("b")).select("query_id", "start", "b.order", (-F.col("b.less")).alias("n_words"))
+    spans = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_words", "order"))).alias("spans"))
+    kept = spans.select("query_id", F.explode(_cover(F.col("spans"))).alias("s")).select("query_id", "s.*")
+    found = kept.join(hits, ["query_id", "start", "n_words", "order"]).select("query_id", "start", "n_words", "dcid", "population").distinct()
     order = Window.partitionBy("query_id", "start").orderBy(F.desc("population"), "dcid")
-    return kept.join(hits, ["query_id", "start", "n_words"]).withColumn("position", F.row_number().over(order)).filter((F.col("position") <= keep) | (F.col("population") >= populous)).select("query_id", "start", "n_words", "dcid", "position")
+    return found.withColumn("position", F.row_number().over(order)).filter((F.col("position") <= keep) | (F.col("population") >= populous)).select("query_id", "start", "n_words", "dcid", "position")
 
 
-def recognize_entities(queries: DataFrame, names: DataFrame, longest: int = 10) -> DataFrame:
-    """query_id, name, dcid: the entities (name, dcid) whose whole name is a run of a query's words."""
-    grams = queries.select("query_id", F.explode(F.array_distinct(word_ngrams(recon_name(F.col("query")), longest))).alias("name"))
-    return grams.join(names.select(recon_name(F.col("name")).alias("name"), "dcid"), "name").distinct()
+def recognize_entities(queries: DataFrame, names: DataFrame, longest: int = 10, common: DataFrame | None = None) -> DataFrame:
+    """query_id, start, n_words, name, dcid: the entities (name, dcid) whose names cover a query.
+
+    Names are matched as runs of words, the longest first, then by their letters; a run that overlaps one taken before
+    is left out. A common word (common: name, type) is a name only with one of its types in front, as in "city reading".
+    """
+    known = names.select(recon_name(F.col("name")).alias("name"), "dcid").filter("name <> ''").distinct().withColumn("text", F.col("name"))
+    if common is not None:
+        words = common.select(recon_name(F.col("name")).alias("name"), F.lower("type").alias("type"))
+        typed = known.join(words, "name").withColumn("text", F.concat_ws(" ", "type", "name")).drop("type")
+        known = known.join(words.select("name"), "name", "left_anti").unionByName(typed)
+    q = queries.select("query_id", _words(recon_name(F.col("query"))).alias("w")).filter(F.size("w") > 0)
+    starts = q.select("query_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
+    runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n_words"))
+    runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("text"))
+    hits = runs.join(known, "text")
+    spans = hits.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("n_words")).alias("less"), "text", "start", "n_words"))).alias("spans"))
+    kept = spans.select("query_id", F.explode(_cover(F.col("spans"))).alias("s")).select("query_id", "s.start", "s.n_words")
+    return kept.join(hits, ["query_id", "start", "n_words"]).select("query_id", "start", "n_words", "name", "dcid").distinct()
 
 
 def find_entities(descriptions: DataFrame, names: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -180,4 +225,5 @@ def find_entities(descriptions: DataFrame, names: DataFrame, types: DataFrame |
 
 
 def tokens_of(queries: DataFrame) -> DataFrame:
+    """query_id, at, token: the tokens of each query in order; a null query has none."""
     return queries.select("query_id", F.posexplode(tokenize(F.col("query"))).alias("at", "token"))

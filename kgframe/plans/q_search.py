@@ -147,7 +147,7 @@ def r3(spark, d):
     b = Bound(spark, d)
     n = b.raw("nation")
     q = b.raw("supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("query_id"), F.concat_ws(" ", F.lit("sales in"), "n_name", F.lit("by year")).alias("query"))
-    return search.recognize_entities(q, n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation/"), "n_nationkey").alias("dcid")))
+    return search.recognize_entities(q, n.select(F.col("n_name").alias("name"), F.concat(F.lit("nation/"), "n_nationkey").alias("dcid"))).select("query_id", "name", "dcid")
 
 
 @query("r4_find_entities", "SELECT n_name || ', ' AS description, 'nation/' || n_nationkey AS dcid FROM nation", base=False)
@@ -237,11 +237,11 @@ def g3(spark, d):
     return agent.get_observations_table(points)
 
 
-@query("g4_variable_metadata", "SELECT o.variable, n.name, o.provenance, s.object_id AS source, count(*) AS obs_count, min(date) AS earliest, max(date) AS latest FROM obs o JOIN nodes n ON n.subject_id = o.variable JOIN triples s ON s.subject_id = o.provenance AND s.predicate = 'source' GROUP BY ALL")
+@query("g4_variable_metadata", "SELECT o.variable, n.name, 'StatisticalVariable' AS typeOf, array_to_string((SELECT list_sort(list(object_id)) FROM triples g WHERE g.subject_id = o.variable AND g.predicate = 'memberOf'), ',') AS memberOf, o.provenance, s.object_id AS source, count(*) AS obs_count, min(date) AS earliest, max(date) AS latest FROM obs o JOIN nodes n ON n.subject_id = o.variable JOIN triples s ON s.subject_id = o.provenance AND s.predicate = 'source' GROUP BY ALL")
 def g4(spark, d):
     b = Bound(spark, d)
     f = b.obs.groupBy("variable", "provenance").agg(F.count("*").alias("obs_count"), F.min("date").alias("earliest"), F.max("date").alias("latest"))
-    return agent.variable_metadata(f, b.triples)
+    return agent.variable_metadata(f, b.triples, ["typeOf", "memberOf"])
 
 
 @query("g5_observation_node_triples", "SELECT 'obs/' || variable || '/' || entity || '/' || date || '/' || measurement_method || '/' || observation_period || '/' || provenance AS subject, predicate, object, name FROM (SELECT *, unnest(['entity', 'variable', 'date']) AS predicate, unnest([entity, variable, date]) AS object FROM obs WHERE date = '1997') LEFT JOIN (SELECT subject_id, name FROM nodes) ON subject_id = object")

@@ -30,10 +30,12 @@ def load(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parqu
 
 
 def load_observations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Observations with their types; empty fields of CSV files are null, and facets with nulls are equal where their other columns are."""
     return load(spark, path, OBSERVATIONS, fmt)
 
 
 def load_triples(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Triples: object_id for a node, object_value for a literal; the other one is null."""
     return load(spark, path, TRIPLES, fmt)
 
 

@@ -125,3 +125,90 @@ def test_loops_reach_the_end_of_long_chains(spark):
     topics = spark.createDataFrame(members, "topic string, member string, position int")
     assert events.prune_empty_topics(topics).count() == n + 1
     assert [r["variable"] for r in events.expand_topic(topics, spark.createDataFrame([("dc/topic/0",)], "topic string")).collect()] == ["v"]
+
+
+def test_null_facets_meet(spark, tmp_path):
+    from kgframe.operators import agent, facets, formula, summary
+
+    (tmp_path / "o.csv").write_text("entity,variable,date,value,provenance,unit,scaling_factor,measurement_method,observation_period,properties\ngeoId/01,v,2023,1,p,,,,,\ngeoId/01,v,2024,3,p,,,,,\ngeoId/02,v,2023,2,p,,,,,\ngeoId/01,w,2023,4,p,,,,,\n")
+    obs = tables.load_observations(spark, str(tmp_path / "o.csv"), "csv").withColumns({"import_name": F.lit("i"), "provenance_url": F.lit(None).cast("string")})
+    assert obs.filter("unit is null and measurement_method is null").count() == 4
+    rules = spark.createDataFrame([("i", None, None, None, 5), ("i", "m", None, None, 1)], "import_name string, measurement_method string, observation_period string, unit string, score int")
+    ranked = facets.facet_stats(obs, rules)
+    assert {r["score"] for r in ranked.collect()} == {5}
+    assert rows(facets.best_value(obs, ranked)) == [("v", "geoId/01", "2024", 3.0, 1), ("v", "geoId/02", "2023", 2.0, 1), ("w", "geoId/01", "2023", 4.0, 1)]
+    assert rows(facets.best_value(obs, ranked, "2023")) == [("v", "geoId/01", "2023", 1.0, 1), ("v", "geoId/02", "2023", 2.0, 1), ("w", "geoId/01", "2023", 4.0, 1)]
+    assert facets.bulk_series(obs, rules).count() == 4
+    assert formula.eval_formula({"a": formula.operand(obs, "v"), "b": formula.operand(obs, "w")}, lambda a, b: a + b, "s").select("entity", "value").collect() == [("geoId/01", 5.0)]
+    types = spark.createDataFrame([("geoId/01", "typeOf", "State", None), ("geoId/02", "typeOf", "State", None)], tables.TRIPLES)
+    assert [(r["variable"], r["obs_count"], r["sample"]) for r in summary.statvar_provenance_summary(obs, types).orderBy("variable").collect()] == [("v", 3, "geoId/01,geoId/02"), ("w", 1, "geoId/01")]
+    assert {r["place_types"] for r in summary.variable_facet_metadata(obs, types).collect()} == {"State"}
+    points = facets.ranked_points(obs, rules)
+    assert agent.get_observations_table(points).count() == 4
+    assert rows(agent.get_observations_table(points, end="2023", mode="latest")) == [("v", "geoId/01", "2023", 1.0), ("v", "geoId/02", "2023", 2.0), ("w", "geoId/01", "2023", 4.0)]
+    assert facets.select_primary_source(points, override="none").count() == 2
+
+
+def test_sdmx_csv_has_crlf_lines(spark, tmp_path):
+    df = spark.createDataFrame([("dataflow", "id", "I", "a", None)], "STRUCTURE string, STRUCTURE_ID string, ACTION string, entity1 string, OBS_VALUE string").coalesce(1)
+    sdmx.write_sdmx_csv(df, str(tmp_path / "out"))
+    text = b"".join(p.read_bytes() for p in (tmp_path / "out").glob("*.csv"))
+    assert text == b"STRUCTURE,STRUCTURE_ID,ACTION,entity1,OBS_VALUE\r\ndataflow,id,I,a,\r\n"
+
+
+def test_languages_by_property(spark):
+    df = spark.createDataFrame([("name", "Haus@DE"), ("name", "house@en"), ("label", "x@fr"), ("label", None)], "predicate string, object_value string")
+    assert rows(graph.filter_lang(df, ["en"], {"label": ["fr"]})) == [("label", "x@fr"), ("name", "house@en")]
+    assert graph.filter_lang(df).count() == 4 and graph.filter_lang(df, ["de"]).count() == 1
+
+
+def test_specialized_names(spark):
+    from kgframe.operators import hierarchy
+
+    cases = [
+        ("dc/g/Root", "dc/g/Person_Gender", "n", "Gender"), ("dc/g/Person_Gender", "dc/g/Person_Gender-Female", "n", "Female (Individual)"), ("dc/g/Person_Gender", "dc/g/Household_Female", "n", "Household"),
+        ("dc/g/Person_Gender", "dc/g/Person_Female-x", "n", "Female (Individual)"), ("dc/g/Root", "dc/g/SDG_1", "Goal 1", "Goal 1"), ("dc/g/Root", "dc/g/Farm", "Farms", "Farms"), ("dc/g/Root", "dc/g/MortalityEvent_CauseOfDeath", "n", "Mortality Event"),
+    ]
+    df = spark.createDataFrame([(p, c, n) for p, c, n, _ in cases], "group_id string, child string, name string")
+    got = {r["child"]: r["specialized_entity"] for r in hierarchy.specialized_entities(df).collect()}
+    assert got == {c: want for _, c, _, want in cases}
+
+
+def test_abbreviations_zip_codes_and_bogus_names(spark):
+    d = search.place_dictionary(
+        spark.createDataFrame([("p/1", "Reading", 100), ("p/2", "Utah", 50)], "dcid string, name string, population long"), spark.createDataFrame([("p/1", "England")], "dcid string, container_name string"),
+        spark.createDataFrame([("p/1", "Redinges")], "dcid string, name string"), spark.createDataFrame([("p/2", "Utahn")], "dcid string, adjective string"), ["people"],
+    )
+    assert {r["name"] for r in d.collect()} == {"reading", "redinges", "reading england", "redinges england", "utah", "utahn people"}
+    q = spark.createDataFrame([(1, "jobs in UT for Utahn people"), (2, "ut 94043 reading England"), (3, None), (4, " , ")], "query_id int, query string")
+    short = spark.createDataFrame([("UT", "p/2", 50)], "name string, dcid string, population long")
+    codes = spark.createDataFrame([("94043", "zip/94043", 1)], "name string, dcid string, population long")
+    got = [r[:4] for r in search.recognize_places(q, d, abbreviations=short, zip_codes=codes).orderBy("query_id", "start").collect()]
+    assert got == [(1, 2, 1, "p/2"), (1, 4, 2, "p/2"), (2, 1, 1, "zip/94043"), (2, 2, 2, "p/1")]
+    assert search.recognize_places(q, d, bogus=["Reading England", "reading", "utahn people"]).count() == 0
+
+
+def test_entities_cover_a_query_without_overlaps(spark):
+    names = spark.createDataFrame([("New York", "ny"), ("York City", "yc"), ("New York City", "nyc"), ("Reading", "rd"), ("York", "y")], "name string, dcid string")
+    q = spark.createDataFrame([(1, "New York City and York"), (2, "reading in City Reading")], "query_id int, query string")
+    common = spark.createDataFrame([("reading", "City")], "name string, type string")
+    got = [tuple(r) for r in search.recognize_entities(q, names, common=common).orderBy("query_id", "start").collect()]
+    assert got == [(1, 0, 3, "new york city", "nyc"), (1, 4, 1, "york", "y"), (2, 2, 2, "reading", "rd")]
+
+
+def test_similar_places_and_pages(spark):
+    from kgframe.operators import agent
+
+    cohorts = spark.createDataFrame([("c", f"p{i}") for i in range(9)] + [("d", "p0"), ("d", "alone"), ("e", "solo")], "cohort string, place string")
+    got = agent.similar_in_cohorts(spark.createDataFrame([("p0",), ("solo",)], "place string"), cohorts, 3).collect()
+    assert len(got) == 3 and all(r["place"] == "p0" and r["related"] != "p0" for r in got)
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from kgframe.sources import shared
+
+    df = shared.written(spark.range(3), "x")
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and shared.release(spark) > 0 and not os.path.exists(path)
