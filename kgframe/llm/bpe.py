@@ -64,11 +64,11 @@ class WordBpe:
     """A tokenizer with word ends, as read from its file.
 
     What is encoded is kept in two generations of about ``keep`` words each: what the younger one lacks is taken over
-    from the older, which goes when the younger is full. So memory is bounded (some 40 MB with the vocabulary) and
+    from the older, which goes when the younger is full. So memory is bounded (some 70 MB with the vocabulary) and
     frequent words stay.
     """
 
-    def __init__(self, path: str, keep: int = 40_000):
+    def __init__(self, path: str, keep: int = 60_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
