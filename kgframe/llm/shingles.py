@@ -9,9 +9,8 @@ import pyarrow as pa
 import xxhash
 
 WORDS = 5
-#: Bytes of a text that are cut into words at once, and words whose hashes a task keeps.
+#: Bytes of a text that are cut into words at once.
 WINDOW = 1 << 20
-KEPT_WORDS = 50_000
 _PRIME = 0x9E3779B97F4A7C15
 _SMALL = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -29,19 +28,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PLACE = mix(np.arange(1001, 1001 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-class _Hashes(dict):
-    """The xxh3 hash of each word's bytes, worked out when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_known = _Hashes()
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and where each text's words end. Words lie between ASCII white space; A-Z is lower-cased.
+    """The xxh3 hashes of all words' bytes, and where each text's words end. Words lie between ASCII white space; A-Z is lower-cased.
 
     A long text is cut into windows at white space, so that what is held besides the hashes is bounded by the window
     and the longest word.
@@ -53,11 +41,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             cut = _SPACE.search(text, at + WINDOW) if len(text) - at > WINDOW else None
             end = cut.start() if cut else len(text)
             words = text[at:end].translate(_SMALL).split()
-            parts.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
             n += len(words)
             at = end
-            if len(_known) > KEPT_WORDS:
-                _known.clear()
         ends.append(n)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.array(ends, np.int64)
 
