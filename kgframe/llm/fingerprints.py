@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from kgframe.llm.common import slices, table, written
 
 
+#: A digest with more than one in so many rows is hot.
+HOT = 1000
+
+
 def canonical(text: str | None) -> str:
     """A null text counts as empty. Case folding may undo the normal form, so it is applied again."""
     folded = unicodedata.normalize("NFKC", text or "").casefold()
@@ -44,13 +48,19 @@ def canonical_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def clashes(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compare bytes inside equal buckets: digest, canonical, number (from 1) of each further text of a bucket.
 
-    Only documents whose digest recurs are read again. A bucket's least and greatest canonical text are found with
-    partial sums before the shuffle, so a bucket with a third of all rows costs one row for each task; where they
-    are the same, all of the bucket's bytes are. Where they differ its distinct texts are numbered.
+    Only documents whose digest recurs are read again, and all those without an id. A bucket's least and greatest
+    canonical text are found with partial sums before the shuffle, so a bucket with a third of all rows costs one row
+    for each task; where they are the same, all of the bucket's bytes are. Where they differ its distinct texts are
+    numbered. A digest that more than one row in ``HOT`` has is found without a shuffle of its rows, from a list of fewer
+    than ``HOT`` digests.
     """
-    recurring = digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    ids = written(digests.join(recurring, "digest", "left_semi").select(id_col), "recurring-ids")
-    texts = canonical_texts(docs.join(ids.distinct(), id_col, "left_semi"), id_col, text_col)
+    recurring = written(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "recurring-digests")
+    rows = digests.count()
+    hot = F.broadcast(recurring.filter(F.col("n") * HOT > rows).select("digest"))  # fewer than HOT rows
+    rest = digests.join(hot, "digest", "left_anti").join(recurring.select("digest"), "digest", "left_semi")
+    ids = written(digests.join(hot, "digest", "left_semi").unionByName(rest).select(id_col).distinct(), "recurring-ids")
+    again = docs.join(ids, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    texts = canonical_texts(again, id_col, text_col)
     ends = texts.groupBy("digest").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
     unequal = written(ends.filter("low <> high").select("digest"), "unequal-buckets")
     if unequal.isEmpty():
@@ -74,26 +84,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 _PAIR = "n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double"
+_CHECKS = ", own_check string, edited_check string"
+
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-def _pair_row(text: str, following: str, own: str) -> tuple:
+
+def _pair_row(text: str, following: str, own: str, checks: bool) -> tuple:
     """What a text and the one that follows give; ``own`` is the text's canonical form."""
     n = len(text)
     k = n // 2
     edited = text[: n - k] + following[:k]
     edited_own = canonical(edited)
-    return n, hashlib.sha256(edited.encode()).hexdigest(), digest(own), digest(edited_own), float(own == edited_own), float(own == canonical(following))
+    found = n, _sha256(edited), digest(own), digest(edited_own), float(own == edited_own), float(own == canonical(following))
+    return (*found, _sha256(own), _sha256(edited_own)) if checks else found
 
 
-def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checks: bool = False) -> DataFrame:
     """Digests of each text and of its edited text, whose last half comes from the next document by ascending id.
 
     One shuffle, by range of the id, brings neighbours together; each task holds one row besides its slice. The rows
     at the ends of the partitions, two of each, are matched afterwards. Rows with equal ids follow in the order of
-    their text's hash, null ids come first.
+    their text's hash, null ids come first. With ``checks`` the SHA-256 of both canonical texts is added (own_check,
+    edited_check).
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, {_PAIR}, part int, head string, tail string"
+    pair = _PAIR + _CHECKS * checks
+    nothing = (None,) * (8 if checks else 6)
+    schema = f"`{id_col}` {kind}, {pair}, part int, head string, tail string"
     ordered = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(id_col).withColumn("part", F.spark_partition_id()).sortWithinPartitions(id_col, F.xxhash64("text"))
 
@@ -105,23 +124,24 @@ def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, text, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own = canonical(text)
                 if first:  # the head of the partition, for the last row of the one before
-                    out.append((None, None, None, None, None, None, None, part, text, None))
+                    out.append((None, *nothing, part, text, None))
                     first = False
                 if held:
-                    out.append((held[0], *_pair_row(held[1], text, held[2]), None, None, None))
+                    out.append((held[0], *_pair_row(held[1], text, held[2], checks), None, None, None))
                 held = (i, text, own, part)
             yield _rows(out)
         if held:
-            yield _rows([(held[0], None, None, None, None, None, None, held[3], None, held[1])])
+            yield _rows([(held[0], *nothing, held[3], None, held[1])])
 
     def _rows(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [[]] * 10
+        columns = list(zip(*out)) if out else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow)], names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    arrow = [to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-    names = [id_col, "n_chars", "edited_sha256", "digest", "edited_digest", "near_edited", "near_next", "part", "head", "tail"]
+    names = [id_col, "n_chars", "edited_sha256", "digest", "edited_digest", "near_edited", "near_next", *["own_check", "edited_check"] * checks, "part", "head", "tail"]
+    arrow = [to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), *[pa.string()] * (2 * checks), pa.int32(), pa.string(), pa.string()]
+    width = len(names) - 3
     done = written(ordered.mapInArrow(run, schema), "paired-digests")
     heads = done.filter("head is not null").select("part", "head")
     order = Window.orderBy("part")  # one number for each partition
@@ -131,21 +151,32 @@ def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, *_pair_row(t, h, canonical(t))) for i, t, h in zip(*(c.to_pylist() for c in b.columns))]
-            columns = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow[:7])], names[:7])
+            out = [(i, *_pair_row(t, h, canonical(t), checks)) for i, t, h in zip(*(c.to_pylist() for c in b.columns))]
+            columns = list(zip(*out)) if out else [[]] * width
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, arrow[:width])], names[:width])
+
+    last = ends.mapInArrow(finish, f"`{id_col}` {kind}, {pair}")
+    return done.filter("n_chars is not null").select(names[:width]).unionByName(last)
 
-    last = ends.mapInArrow(finish, f"`{id_col}` {kind}, {_PAIR}")
-    return done.filter("n_chars is not null").select(names[:7]).unionByName(last)
+
+def paired_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+
+    Should texts of one bucket differ, the pairs are made again with checks and a further text's number is joined by
+    digest and check, so rows with null or repeated ids keep their own. The bytes of the texts themselves are compared;
+    an edited text takes the number of the text that it equals.
+    """
+    pairs = written(paired_digests(docs, id_col, text_col), "fingerprints")
+    more = clashes(docs, pairs.select(id_col, "digest"), id_col, text_col)
+    if not more.isEmpty():
+        numbers = more.select("digest", F.sha2("canonical", 256).alias("check"), "number")
+        pairs = paired_digests(docs, id_col, text_col, checks=True)
+        for name, check in (("digest", "own_check"), ("edited_digest", "edited_check")):
+            of = numbers.select(F.col("digest").alias(name), F.col("check").alias(check), F.col("number").cast("string").alias("number"))
+            pairs = pairs.join(of, [name, check], "left").withColumn(name, F.concat_ws("-", name, "number")).drop("number", check)
+    return pairs.select(id_col, "n_chars", "edited_sha256", F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all whole ``documents`` and of their edited texts. Likeness is 1 for equal canonical bytes, else 0."""
-    docs = table(spark, sf_dir, "documents")
-    pairs = written(paired_digests(docs), "fingerprints")
-    more = clashes(docs, pairs.select("doc_id", "digest"))
-    out = pairs.withColumnRenamed("digest", "fingerprint").withColumnRenamed("edited_digest", "edited_fingerprint")
-    if not more.isEmpty():
-        own = fingerprints(docs).withColumnRenamed("fingerprint", "own")
-        out = out.join(own, "doc_id").withColumn("fingerprint", F.col("own")).drop("own")
-    return out
+    return paired_fingerprints(table(spark, sf_dir, "documents"))

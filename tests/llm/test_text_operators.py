@@ -132,6 +132,41 @@ def test_fingerprints_number_texts_of_one_bucket(docs, monkeypatch):
     assert sorted(r["number"] for r in found.collect()) == list(range(1, len(distinct)))
 
 
+def test_paired_fingerprints_of_a_bucket_with_unlike_texts(spark, monkeypatch):
+    """With a digest of few values: null and repeated ids keep a row each, and equal texts alone share a fingerprint."""
+    ship(spark)
+    rows = [(1, "a b"), (1, "c d"), (None, "e f"), (None, "A  B"), (2, "g h"), (3, None), (4, ""), (5, "c d"), (5, "c d")]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    real = fingerprints.paired_digests
+    texts = fingerprints.canonical_texts
+    same = lambda df: df.withColumn("digest", F.lit("same"))
+    monkeypatch.setattr(fingerprints, "canonical_texts", lambda *a, **k: same(texts(*a, **k)))
+    monkeypatch.setattr(fingerprints, "paired_digests", lambda *a, **k: same(real(*a, **k)).withColumn("edited_digest", F.lit("same")))
+    got = fingerprints.paired_fingerprints(source).collect()
+    assert len(got) == len(rows)
+    kinds = len({plain_fingerprint(t) for _, t in rows})
+    assert len({r["fingerprint"] for r in got}) == kinds
+    assert len({r["fingerprint"] for r in got if r["doc_id"] == 5}) == 1
+    assert {r["fingerprint"] for r in got if r["doc_id"] == 3} == {r["fingerprint"] for r in got if r["doc_id"] == 4}
+
+
+def test_hot_and_rare_digests_recur_alike(spark, monkeypatch):
+    """Recurring ids are found whether their digest is hot or not."""
+    ship(spark)
+    rows = [(i, "copy" if i % 3 == 0 else f"own {i // 2}") for i in range(300)]
+    source = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(fingerprints, "HOT", 10)
+    real = fingerprints.canonical_texts
+    seen = []
+    monkeypatch.setattr(fingerprints, "canonical_texts", lambda d, *a, **k: seen.append(d.select("doc_id")) or real(d, *a, **k))
+    digests = real(source).select("doc_id", "digest")
+    assert fingerprints.clashes(source, digests).count() == 0
+    counts = {}
+    for _, t in rows:
+        counts[t] = counts.get(t, 0) + 1
+    assert sorted(r[0] for r in seen[0].collect()) == [i for i, t in rows if counts[t] > 1]
+
+
 def test_fingerprints_of_an_empty_table(docs):
     assert fingerprints.fingerprints(docs.filter("false")).count() == 0
     assert fingerprints.paired_digests(docs.filter("false")).count() == 0
