@@ -163,35 +163,67 @@ def _cover(spans: F.Column) -> F.Column:
     return F.aggregate(spans, kept, lambda a, s: F.when(apart(a, s), F.array_append(a, s)).otherwise(a))
 
 
+def _merged(spans: DataFrame, places: DataFrame, containment: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The spans with ``merged`` and their whole length, and the places (query_id, start, dcid) of spans that are merged.
+
+    A place next to one that contains it, or before a comma and one that contains it, is one span with it; a comma and
+    a further place after these belong to the span too. tokens is the query's array of tokens.
+    """
+    order = Window.partitionBy("query_id").orderBy("start")
+    then = lambda c, n: F.lead(c, n).over(order)
+    end = F.col("start") + F.col("n_words")
+    spans = spans.withColumns({"end": end, "next": then("start", 1), "next_end": then(end, 1), "third": then("start", 2), "third_end": then(end, 2)})
+    comma = lambda a, b: F.coalesce((F.col(b) == F.col(a) + 1) & (F.get("tokens", F.col(a)) == ","), F.lit(False))
+    near = F.coalesce(F.col("next") == F.col("end"), F.lit(False)) | comma("end", "next")
+    whole = F.when(comma("end", "next") & comma("next_end", "third"), F.col("third_end")).when(near, F.col("next_end"))
+    spans = spans.withColumn("whole", whole - F.col("start"))
+    first = spans.filter("whole IS NOT NULL").select("query_id", "start", "next").join(places.select("query_id", "start", "dcid"), ["query_id", "start"]).join(containment, "dcid")
+    second = places.select("query_id", F.col("start").alias("next"), F.col("dcid").alias("container"))
+    inside = first.join(second, ["query_id", "next", "container"], "left_semi").select("query_id", "start", "dcid").distinct()
+    starts = inside.select("query_id", "start").distinct().withColumn("merged", F.lit(True))
+    spans = spans.join(starts, ["query_id", "start"], "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
+    return spans.select("query_id", "start", F.col("n_words").alias("own"), F.when(F.col("merged"), F.col("whole")).otherwise(F.col("n_words")).alias("n_words"), "merged", "name"), inside
+
+
 def recognize_places(
     queries: DataFrame, dictionary: DataFrame, longest: int | None = None, keep: int = 15, populous: int = 2000,
-    abbreviations: DataFrame | None = None, zip_codes: DataFrame | None = None, bogus: list[str] | None = None,
+    abbreviations: DataFrame | None = None, zip_codes: DataFrame | None = None, bogus: list[str] | None = None, containment: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, start, n_words, dcid, position: the places that a query names, the longest name first from the left.
 
-    Every run of words is joined with the dictionary by equality; a run that begins inside a longer match that began
-    before is left out by one scan over the query's few matches. At a word an abbreviation (name, dcid, population; case
-    counts) comes first, then a zip code (name, dcid, population), then the longest name. Of one run the ``keep`` most
-    populous places are kept and all others of ``populous`` people or more. Names in ``bogus`` are no places. Names of
-    any length are tried, unless ``longest`` bounds their words. Null and empty queries give nothing.
+    Words and commas are the tokens that start and n_words count. Every run of tokens is joined with the dictionary by
+    equality; a run that begins inside a longer match that began before is left out by one scan over the query's few
+    matches. At a word an abbreviation (name, dcid, population; case counts) comes first, then a zip code (name, dcid,
+    population), then the longest name. With ``containment`` (dcid, container) a place and the places that contain it,
+    named after it with or without a comma, are one span with the places that are so contained. A span whose name is in
+    ``bogus`` is no place, unless it is merged. Of one span the ``keep`` most populous places are kept and all others of
+    ``populous`` people or more. Names of any length are tried, unless ``longest`` bounds their words. Null and empty
+    queries give nothing.
     """
     most = F.size(F.split("name", " "))
     bound = dictionary.agg(F.coalesce(F.max(most), F.lit(1)).alias("longest")) if longest is None else dictionary.sparkSession.createDataFrame([(longest,)], "longest int")
-    raw = _words(F.regexp_replace("query", r" ,|,|\^", ""))
+    raw = tokenize(F.regexp_replace(F.regexp_replace("query", r"\^", ""), r"\s+", " "))
     q = queries.select("query_id", raw.alias("raw")).filter(F.size("raw") > 0).withColumn("w", F.transform("raw", F.lower))
     starts = q.crossJoin(F.broadcast(bound)).select("query_id", "raw", "w", "longest", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))  # bound is one row
     runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least("longest", F.size("w") - F.col("start")))).alias("n_words"))
     runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("name"))
-    names = dictionary.filter(~F.col("name").isin([b.lower() for b in bogus])) if bogus else dictionary
-    hits = runs.join(names, "name").withColumn("order", F.lit(2))
+    hits = runs.join(dictionary, "name").withColumn("order", F.lit(2))
     one = starts.select("query_id", "start", F.lit(1).alias("n_words"), F.get("raw", F.col("start")).alias("name"))
     for order, table in enumerate((abbreviations, zip_codes)):
         if table is not None:
             hits = hits.unionByName(one.join(table.select("name", "dcid", "population"), "name").withColumn("order", F.lit(order)))
-    best = hits.groupBy("query_id", "start").agg(F.min(F.struct("order", (-F.col("n_words")).alias("less"))).alias("b")).select("query_id", "start", "b.order", (-F.col("b.less")).alias("n_words"))
-    spans = best.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_words", "order"))).alias("spans"))
-    kept = spans.select("query_id", F.explode(_cover(F.col("spans"))).alias("s")).select("query_id", "s.*")
-    found = kept.join(hits, ["query_id", "start", "n_words", "order"]).select("query_id", "start", "n_words", "dcid", "population").distinct()
+    best = hits.groupBy("query_id", "start").agg(F.min(F.struct("order", (-F.col("n_words")).alias("less"), "name")).alias("b")).select("query_id", "start", "b.order", (-F.col("b.less")).alias("n_words"), "b.name")
+    covered = lambda df, *more: df.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_words", *more))).alias("s")).select("query_id", F.explode(_cover(F.col("s"))).alias("s")).select("query_id", "s.*")
+    kept = covered(best, "order", "name")
+    found = kept.join(hits.drop("name"), ["query_id", "start", "n_words", "order"]).select("query_id", "start", "n_words", "dcid", "population").distinct()
+    good = lambda: ~F.lower("name").isin([b.lower() for b in bogus]) if bogus else F.lit(True)
+    if containment is None:
+        found = found.join(kept.filter(good()).select("query_id", "start"), ["query_id", "start"], "left_semi")
+    else:
+        spans, inside = _merged(kept.join(q.select("query_id", F.col("w").alias("tokens")), "query_id"), found, containment.select("dcid", "container").distinct())
+        spans = covered(spans, "merged", "name").filter(F.col("merged") | good()).select("query_id", "start", "n_words", "merged")
+        found = spans.join(found.drop("n_words"), ["query_id", "start"]).join(inside.withColumn("inside", F.lit(True)), ["query_id", "start", "dcid"], "left")
+        found = found.filter(~F.col("merged") | F.col("inside"))
     order = Window.partitionBy("query_id", "start").orderBy(F.desc("population"), "dcid")
     return found.withColumn("position", F.row_number().over(order)).filter((F.col("position") <= keep) | (F.col("population") >= populous)).select("query_id", "start", "n_words", "dcid", "position")
 

@@ -142,6 +142,23 @@ def r1(spark, d):
     return _long(search.recognize_places(q, _dictionary(b)), "start", "n_words", "position")
 
 
+_PLACES = "s AS (SELECT s_suppkey AS query_id, 'nation/' || n_nationkey AS nation, 'region/' || r_regionkey AS region, len(string_split(n_name, ' ')) AS a, len(string_split(r_name, ' ')) AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query("r1_recognize_places_contained", f"WITH {_PLACES} SELECT query_id, 1 AS start, CASE query_id % 4 WHEN 0 THEN a + b WHEN 2 THEN a + 1 + b ELSE a + b + b + 2 END AS n_words, nation AS dcid, 1 AS position FROM s WHERE query_id % 4 <> 1 UNION ALL SELECT query_id, 1, b, region, 1 FROM s WHERE query_id % 4 = 1 UNION ALL SELECT query_id, b + 2, a, nation, 1 FROM s WHERE query_id % 4 = 1", base=False)
+def r1_contained(spark, d):
+    b = Bound(spark, d)
+    n = b.raw("nation").select("n_nationkey", "n_name", "n_regionkey", F.concat(F.lit("nation/"), "n_nationkey").alias("dcid"))
+    r = b.raw("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name", F.concat(F.lit("region/"), "r_regionkey").alias("container"))
+    both = n.join(r, "n_regionkey")
+    text = lambda *parts: F.concat(F.lit("visit "), *[F.lit(p) if p in (" ", ", ") else F.col(p) for p in parts], F.lit(" now"))
+    kind = F.col("s_suppkey") % 4
+    query_text = F.when(kind == 0, text("n_name", " ", "r_name")).when(kind == 1, text("r_name", ", ", "n_name")).when(kind == 2, text("n_name", ", ", "r_name")).otherwise(text("n_name", ", ", "r_name", ", ", "r_name"))
+    q = b.raw("supplier").join(both, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("query_id"), query_text.alias("query"))
+    names = n.select(F.lower("n_name").alias("name"), "dcid").unionByName(r.select(F.lower("r_name").alias("name"), F.col("container").alias("dcid"))).withColumn("population", F.lit(1))
+    return _long(search.recognize_places(q, names, containment=both.select("dcid", "container")), "start", "n_words", "position")
+
+
 @query("r3_recognize_entities", "SELECT s_suppkey AS query_id, lower(n_name) AS name, 'nation/' || n_nationkey AS dcid FROM supplier JOIN nation ON s_nationkey = n_nationkey", base=False)
 def r3(spark, d):
     b = Bound(spark, d)

@@ -188,6 +188,15 @@ def test_abbreviations_zip_codes_and_bogus_names(spark):
     assert search.recognize_places(q, d, bogus=["Reading England", "reading", "utahn people"]).count() == 0
 
 
+def test_places_merge_with_what_contains_them(spark):
+    names = spark.createDataFrame([("reading", "rd/uk", 9), ("reading", "rd/us", 5), ("england", "en", 50), ("uk", "uk", 60), ("pa", "pa", 40)], "name string, dcid string, population long")
+    inside = spark.createDataFrame([("rd/uk", "en"), ("en", "uk"), ("rd/us", "pa")], "dcid string, container string")
+    rows = [(1, "Reading, England, UK"), (2, "reading England uk"), (3, "reading PA"), (4, "England,reading"), (5, "reading in PA"), (6, "reading"), (7, "Reading, PA, UK"), (8, None), (9, "reading, , PA")]
+    q = spark.createDataFrame(rows, "query_id int, query string")
+    got = [r[:4] for r in search.recognize_places(q, names, containment=inside, bogus=["reading"]).orderBy("query_id", "start", "position").collect()]
+    assert got == [(1, 0, 5, "rd/uk"), (2, 0, 2, "rd/uk"), (2, 2, 1, "uk"), (3, 0, 2, "rd/us"), (4, 0, 1, "en"), (5, 2, 1, "pa"), (7, 0, 5, "rd/us"), (9, 3, 1, "pa")]
+
+
 def test_entities_cover_a_query_without_overlaps(spark):
     names = spark.createDataFrame([("New York", "ny"), ("York City", "yc"), ("New York City", "nyc"), ("Reading", "rd"), ("York", "y")], "name string, dcid string")
     q = spark.createDataFrame([(1, "New York City and York"), (2, "reading in City Reading")], "query_id int, query string")
