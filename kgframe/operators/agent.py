@@ -30,14 +30,38 @@ def get_observations_table(points: DataFrame, override: str | None = None, start
     return latest(found, ["variable", "entity"]).select("variable", "entity", "date", "value") if mode == "latest" else found
 
 
-def search_indicators(candidates: DataFrame, members: DataFrame, seen: DataFrame) -> DataFrame:
+def _top(df: DataFrame, item: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of each query with the highest score; ties by ``item``."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), item)
+    return df.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= limit).drop("r")
+
+
+def _candidates(candidates: DataFrame, limit: int | None) -> DataFrame:
+    """Candidates once for each item; twice as many as wanted, for some have no data."""
+    best = candidates.groupBy("query", "item").agg(F.max("score").alias("score"))
+    return best if limit is None else _top(best, "item", 2 * limit)
+
+
+def search_indicators(candidates: DataFrame, members: DataFrame, seen: DataFrame, limit: int | None = None) -> DataFrame:
     """query, variable, places, score: candidates (query, item, score), topics replaced by their members (topic, member),
-    without variables that no wanted place has (seen: variable, entity); a variable keeps its best score."""
-    topics = candidates.join(members.withColumnRenamed("topic", "item"), "item").select("query", F.col("member").alias("variable"), "score")
-    plain = candidates.join(members.select(F.col("topic").alias("item")), "item", "left_anti").select("query", F.col("item").alias("variable"), "score")
+    without variables that no wanted place has (seen: variable, entity); a variable keeps its best score. With ``limit``
+    the best twice as many candidates of a query are looked at and so many variables returned."""
+    found = _candidates(candidates, limit)
+    topics = found.join(members.withColumnRenamed("topic", "item"), "item").select("query", F.col("member").alias("variable"), "score")
+    plain = found.join(members.select(F.col("topic").alias("item")), "item", "left_anti").select("query", F.col("item").alias("variable"), "score")
     best = topics.unionByName(plain).groupBy("query", "variable").agg(F.max("score").alias("score"))
     places = seen.groupBy("variable").agg(F.countDistinct("entity").alias("places"))
-    return best.join(places, "variable").select("query", "variable", "places", "score")
+    found = best.join(places, "variable").select("query", "variable", "places", "score")
+    return found if limit is None else _top(found, "variable", limit)
+
+
+def search_topics(candidates: DataFrame, descendants: DataFrame, seen: DataFrame, limit: int | None = None) -> DataFrame:
+    """query, topic, variables, places, score: candidate topics with how many variables below them, at any depth
+    (descendants: topic, variable), some wanted place has, and the number of these places; topics without any are left out."""
+    below = descendants.select("topic", "variable").distinct().join(seen.select("variable", "entity").distinct(), "variable")
+    counts = below.groupBy("topic").agg(F.countDistinct("variable").alias("variables"), F.countDistinct("entity").alias("places"))
+    found = _candidates(candidates, limit).withColumnRenamed("item", "topic").join(counts, "topic").select("query", "topic", "variables", "places", "score")
+    return found if limit is None else _top(found, "topic", limit)
 
 
 def variable_metadata(facets: DataFrame, triples: DataFrame, properties: list[str] | None = None) -> DataFrame:

@@ -235,13 +235,36 @@ def g1(spark, d):
     return agent.resolve_places_table(q, b.nodes.select("name", F.col("subject_id").alias("dcid")), b.nodes)
 
 
-@query("g2_search_indicators", "cand AS (SELECT 'q' || p_size AS query, CASE WHEN p_partkey % 2 = 0 THEN 'g/' || p_type ELSE 'Qty_' || p_brand END AS item, p_partkey % 7 AS score FROM part), mem AS (SELECT object_id AS topic, subject_id AS member FROM triples WHERE predicate = 'memberOf'), best AS (SELECT query, variable, max(score) AS score FROM (SELECT query, member AS variable, score FROM cand JOIN mem ON item = topic UNION ALL SELECT query, item, score FROM cand WHERE item NOT IN (SELECT topic FROM mem)) GROUP BY ALL), seen AS (SELECT variable, count(DISTINCT entity) AS places FROM obs WHERE date = '1997-03' GROUP BY 1) SELECT query, variable, places, score FROM best JOIN seen USING (variable)")
-def g2(spark, d):
+_CAND = "cand AS (SELECT 'q' || p_size AS query, CASE WHEN p_partkey % 2 = 0 THEN 'g/' || p_type ELSE 'Qty_' || p_brand END AS item, max(p_partkey % 7) AS score FROM part GROUP BY ALL), mem AS (SELECT object_id AS topic, subject_id AS member FROM triples WHERE predicate = 'memberOf')"
+_TOP = "SELECT query, item, score FROM cand QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, item) <= 10"
+
+
+def _indicators(top):
+    return f"{_CAND}, top AS ({top}), best AS (SELECT query, variable, max(score) AS score FROM (SELECT query, member AS variable, score FROM top JOIN mem ON item = topic UNION ALL SELECT query, item, score FROM top WHERE item NOT IN (SELECT topic FROM mem)) GROUP BY ALL), seen AS (SELECT variable, count(DISTINCT entity) AS places FROM obs WHERE date = '1997-03' GROUP BY 1) SELECT query, variable, places, score FROM best JOIN seen USING (variable)"
+
+
+def _indicator_tables(spark, d):
     b = Bound(spark, d)
     item = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("g/"), "p_type")).otherwise(F.concat(F.lit("Qty_"), "p_brand"))
     cand = b.raw("part").select(F.concat(F.lit("q"), "p_size").alias("query"), item.alias("item"), (F.col("p_partkey") % 7).alias("score"))
     members = b.triples.filter("predicate = 'memberOf'").select(F.col("object_id").alias("topic"), F.col("subject_id").alias("member"))
-    return agent.search_indicators(cand, members, b.obs.filter("date = '1997-03'"))
+    return cand, members, b.obs.filter("date = '1997-03'")
+
+
+@query("g2_search_indicators", _indicators("FROM cand"))
+def g2(spark, d):
+    return agent.search_indicators(*_indicator_tables(spark, d))
+
+
+@query("g2_search_indicators_limited", _indicators(_TOP) + " QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, variable) <= 5")
+def g2_limited(spark, d):
+    return agent.search_indicators(*_indicator_tables(spark, d), limit=5)
+
+
+@query("g2_search_topics", f"{_CAND}, top AS ({_TOP}), seen AS (SELECT DISTINCT topic, variable, entity FROM obs JOIN mem ON member = variable WHERE date = '1997-03'), n AS (SELECT topic, count(DISTINCT variable) AS variables, count(DISTINCT entity) AS places FROM seen GROUP BY 1) SELECT query, topic, variables, places, score FROM top JOIN n ON item = topic QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, topic) <= 5")
+def g2_topics(spark, d):
+    cand, members, seen = _indicator_tables(spark, d)
+    return agent.search_topics(cand, members.withColumnRenamed("member", "variable"), seen, limit=5)
 
 
 _S = "variable, entity, import_name, provenance_url, measurement_method, observation_period, scaling_factor, unit"
