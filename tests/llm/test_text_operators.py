@@ -94,6 +94,22 @@ def test_token_counts(spark):
     assert token_counts.limit_table(token_counts.length_histogram(df.filter("false"))).count() == 0
 
 
+def test_token_counts_of_the_whole_table_are_the_librarys(spark, sf_dir):
+    """The query against lengths by the library and plain sums; exact on every document."""
+    from collections import Counter
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_path())
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    lengths = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = {r["n_tokens"]: r for r in token_counts.op2_token_counts(spark, sf_dir).collect()}
+    assert {n: r["n_docs"] for n, r in got.items()} == Counter(lengths)
+    for limit, r in got.items():
+        assert r["docs_at_most"] == sum(n <= limit for n in lengths) and r["truncated_total"] == sum(min(n, limit) for n in lengths)
+        assert r["tokens_at_most"] + r["tokens_longer"] == sum(lengths)
+
+
 def plain_fingerprint(t):
     import unicodedata
 
@@ -132,6 +148,21 @@ def test_fingerprints_number_texts_of_one_bucket(docs, monkeypatch):
     assert sorted(r["number"] for r in found.collect()) == list(range(1, len(distinct)))
 
 
+def test_fingerprints_of_the_whole_table(spark, sf_dir):
+    """The query groups documents as plain Python does, and an edited text with the documents that it equals."""
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in fingerprints.op4_fingerprints(spark, sf_dir).collect()}
+    names = {}
+    for (i, t), (_, following) in zip(rows, [*rows[1:], rows[0]]):
+        k = len(t) // 2
+        edited = t[: len(t) - k] + following[:k]
+        r = got.pop(i)
+        assert names.setdefault(plain_fingerprint(t), r["fingerprint"]) == r["fingerprint"]
+        assert names.setdefault(plain_fingerprint(edited), r["edited_fingerprint"]) == r["edited_fingerprint"]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert not got and len(set(names.values())) == len(names)
+
+
 def test_paired_fingerprints_of_a_bucket_with_unlike_texts(spark, monkeypatch):
     """With a digest of few values: null and repeated ids keep a row each, and equal texts alone share a fingerprint."""
     ship(spark)
