@@ -172,15 +172,15 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         flat = pa.concat_arrays(group.column("v").chunks).flatten().to_numpy(zero_copy_only=False)
         rows = flat.reshape(len(group), -1).astype(np.float64)
         ids = group.column("id").to_numpy()
-        order = np.lexsort((*rows.T[::-1], ids))  # by id, then by vector
-        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        order = np.argsort(ids)
         ids, rows = ids[order], rows[order]
         tree = Tree.build(ids, rows, top, shard)
         if (rows.astype(np.float32) == rows).all():
             tree.rows = tree.rows.astype(np.float32)  # kept as short as they came
         return pa.table({"shard": pa.array([shard], pa.int32()), "tree": pa.array([tree.dump()], pa.binary()), "dim": pa.array([dim], pa.int32())})
 
-    dealt = good.filter(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    single = good.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))  # before they are dealt: one id may hold most rows
+    dealt = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     return written(dealt.groupBy("shard").applyInArrow(build, schema), "vector-index")
 
 

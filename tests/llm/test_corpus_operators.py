@@ -290,6 +290,16 @@ def test_repeated_and_null_ids_of_vectors(spark):
     assert abs(got[0]["score"] - 0.92) < 1e-12  # the least vector of id 7
 
 
+def test_an_id_that_most_rows_repeat(spark):
+    hot = spark.range(20000).selectExpr("7L as vec_id", "array(1.0D, id / 20000D) as embedding")
+    rest = spark.range(100, 140).selectExpr("id as vec_id", "array(id / 200D, 0.1D) as embedding")
+    df = hot.unionByName(rest)
+    index = neighbours.build_index(df, shard_rows=1000)
+    assert sum(len(neighbours.Tree.load(r["tree"]).ids) for r in index.collect()) == 41
+    got = neighbours.search(index, df.filter("vec_id = 100"), 1).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(7, 0.5)]  # the least vector of id 7 is (1, 0)
+
+
 def test_pruning_saves_inner_products(monkeypatch):
     rng = np.random.default_rng(2)
     rows = rng.normal(size=(8192, 64))
