@@ -18,6 +18,7 @@ QUERIES: dict[str, str] = {
     "op8_jaccard_join": "jaccard",
     "op9_quality": "quality",
     "op10_mixing": "mixing",
+    "op11_byte_bpe": "byte_bpe",
 }
 
 
