@@ -39,7 +39,7 @@ def test_whole_query(spark, sf_dir, library):
 
 def test_every_code_point(bpe, library):
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f" {c}a{c} 1{c}1,{c}{c} .{c}" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
+    texts = ["".join(f"a{c}1 {c}" for c in points[k : k + 500]) for k in range(0, len(points), 500)]
     same(bpe, library, texts)
 
 
