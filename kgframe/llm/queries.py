@@ -19,6 +19,7 @@ QUERIES: dict[str, str] = {
     "op9_quality": "quality",
     "op10_mixing": "mixing",
     "op11_byte_bpe": "byte_bpe",
+    "op12_conversations": "conversations",
     "op13_whitening": "whitening",
 }
 
