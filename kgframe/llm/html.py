@@ -3,7 +3,8 @@
 A page is a row of words and tags. Words score positive, tags negative, with weights learnt from pages that label
 their own content (exactly one <article> or <main>): a word's weight depends on the element that holds it, a tag's on
 its name and classes. One linear scan finds the region of greatest sum; words in it whose element is marked as
-boilerplate are left out.
+boilerplate are left out. Where content elements (the outermost <article> and <main>) hold words, each of them is
+scanned by itself and what lies outside takes no part; content elements inside another belong to it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,12 @@ PARTS = {"advert", "advertisement", "adverts", "breadcrumb", "breadcrumbs", "con
 #: How sure a mark is. Soft: a form, a part of a name. Named: a whole name. Hard: the element itself, or hidden.
 SOFT, NAMED, HARD = 1, 2, 3
 
+#: Headings of reader comments, which mark the section or list that they open.
+COMMENT_TITLES = re.compile(r"(?:\d+ )?(?:(?:reader|user|all) )?(?:comments?|responses|kommentare?|leserkommentare|commentaires?|comentarios?|leave a (?:comment|reply))(?: \(?\d+\)?)?\W*")
+SECTIONS = {"section", "div", "ul", "ol", "dl"}
+#: Elements whose end tag may be left out.
+OPEN_ENDED = {"p", "li", "td", "th", "tr", "dt", "dd", "thead", "tbody", "tfoot", "option", "html", "body"}
+
 #: What stepping over marked boilerplate outside a content element costs.
 STEP = 4.0
 
@@ -46,10 +53,11 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME = re.compile(r"[a-z]{2,}")
 
 
-def signature(name: str, attributes: str, inside: bool = False) -> tuple[str, int]:
+def signature(name: str, attributes: str, inside: bool = False, nested: bool = False) -> tuple[str, int]:
     """An element's name with its classes, and how surely name or attributes mark it as boilerplate (0: not at all).
 
-    ``inside`` a content element only whole names count. Ids of headings and paragraphs are made from their text.
+    ``inside`` a content element only whole names count; on content elements themselves names count only if they are
+    ``nested`` in another. Ids of headings and paragraphs are made from their text.
     """
     words: list[str] = []
     mark = SOFT if name in ("form", "fieldset") else HARD if name in BOILERPLATE or name in HIDDEN else NAMED if name == "header" and not inside else 0
@@ -66,7 +74,7 @@ def signature(name: str, attributes: str, inside: bool = False) -> tuple[str, in
             words += value.split()
         elif name == "p" or name in HEADINGS:
             continue
-        if name in ("html", "body", "article", "main"):
+        if name in ("html", "body") or name in CONTENT and not nested:
             continue
         for one in value.split():
             parts = set(_NAME.findall(one))
@@ -79,9 +87,11 @@ def signature(name: str, attributes: str, inside: bool = False) -> tuple[str, in
     return ".".join([name, *words[:3]]), mark
 
 
-def boilerplate(parents: list[int], marks: list[int], contents: list[str], words: list[int]) -> list[bool]:
+def boilerplate(parents: list[int], marks: list[int], contents: list[str], words: list[int], unclosed: set[int]) -> list[bool]:
     """Of each element (parents come first), whether it lies in boilerplate.
 
+    A mark on an element that is never closed is soft, for what follows it may be anything.
+
     A mark does not count on what is rather a wrapper of the page: a soft one where a content element or more than half
     of all words is below, a named one where more than half of all words and all articles are (without any, all mains).
     If then no content element outside others is free of marks, these are free of all but hard ones. ``contents`` has
@@ -96,6 +106,7 @@ def boilerplate(parents: list[int], marks: list[int], contents: list[str], words
     own = []
     for e, mark in enumerate(marks):
         most = 2 * total[e] > total[0]
+        mark = SOFT if mark and e in unclosed else mark
         own.append(0 if mark == SOFT and (holds[e] or most) or mark == NAMED and most and labels[e] == labels[0] > 0 else mark)
 
     def inherited(free: bool) -> tuple[list[int], bool]:
@@ -112,14 +123,16 @@ def boilerplate(parents: list[int], marks: list[int], contents: list[str], words
     return [x > 0 for x in (sure if clear or labels[0] == 0 else inherited(True)[0])]
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+def pieces(page: str) -> Iterator[tuple[str, str, str, bool, int]]:
     """(kind, text or tag name, signature, boilerplate, inside) in page order; kind: text, inline, open or close.
 
-    Text carries the signature of the element that holds it, whether any element around it is boilerplate, and whether
-    it lies inside a content element. A header is boilerplate outside content elements.
+    Text carries the signature of the element that holds it, whether any element around it is boilerplate, and the
+    number of the outermost content element around it (0: none). A header is boilerplate outside content elements. A
+    closing tag ends the elements that are open inside its own; one without an open element ends nothing.
     """
-    found, parents, marks, contents, words = [], [0], [0], [""], [0]
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+    found, parents, marks, contents, words, unclosed = [], [0], [0], [""], [0], set()
+    stack: list[tuple[str, str, int, int]] = [("", "", 0, 0)]
+    opened: dict[str, int] = {}
 
     def element(mark: int, content: str = "") -> int:
         parents.append(stack[-1][2])
@@ -128,12 +141,19 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
         words.append(0)
         return len(parents) - 1
 
+    def leave() -> tuple[str, str, int, int]:
+        opened[stack[-1][0]] -= 1
+        return stack.pop()
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
             text = page[at:end]
+            if stack[-1][0] in HEADINGS and stack[-2][0] in SECTIONS and COMMENT_TITLES.fullmatch(" ".join(text.lower().split())):
+                holder = stack[-2][2]
+                marks[holder] = marks[holder] if words[holder] else max(marks[holder], NAMED)
             words[stack[-1][2]] += len(text.split())
             found.append(("text", text, *stack[-1][1:]))
         if not m:
@@ -146,19 +166,23 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             continue
         inline = name in INLINE
         if m[1]:
-            if any(x[0] == name for x in stack[1:]):
+            if opened.get(name):
                 while stack[-1][0] != name:
-                    stack.pop()
-                _, own, e, inside = stack.pop()
+                    if stack[-1][0] not in OPEN_ENDED:
+                        unclosed.add(stack[-1][2])
+                    leave()
+                _, own, e, inside = leave()
             else:
                 own, (e, inside) = name, stack[-1][2:]
             found.append(("inline" if inline else "close", name, own, e, inside))
             continue
         if name == "p" and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
-            stack.pop()
-        inside = stack[-1][3] or name in CONTENT
-        own, mark = signature(name, m[3], inside)
+            leave()
+        inside = stack[-1][3]
+        own, mark = signature(name, m[3], inside > 0 or name in CONTENT, inside > 0)
         e = element(mark, name if name in CONTENT else "")
+        if name in CONTENT and not inside:
+            inside = e
         found.append(("inline" if inline else "open", name, own, e, inside))
         if name in VOID or m[0].endswith("/>"):
             continue
@@ -167,7 +191,9 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             at = close.end() if close else n
             continue
         stack.append((name, stack[-1][1] if inline and not mark else own, e, inside))
-    noted = boilerplate(parents, marks, contents, words)
+        opened[name] = opened.get(name, 0) + 1
+    unclosed.update(x[2] for x in stack[1:] if x[0] not in OPEN_ENDED)
+    noted = boilerplate(parents, marks, contents, words, unclosed)
     for kind, text, own, e, inside in found:
         yield kind, text, own, noted[e], inside
 
@@ -228,31 +254,59 @@ def weight(weights: dict[tuple[str, str], float], kind: str, own: str) -> float:
     return -0.5 if known is None else max(-20.0, min(-0.05, known))
 
 
-def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
-    """The text of the region of greatest score; empty if nothing scores. See the module's docstring for the scores.
+def best_region(scores: list[float]) -> tuple[float, int, int]:
+    """The greatest sum of neighbouring scores with the first such region (start, end); zero and an empty one if none is positive."""
+    best, span, run, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        run += score
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best:
+            best, span = run, (start, i + 1)
+    return best, *span
+
 
-    A content element bounds the scan: its tags score against leaving or entering it. All text inside it that is not
-    marked scores positive and tags cost nothing, so nothing of it is lost. Marked boilerplate inside it is stepped over
-    and left out; elsewhere stepping over it costs as much as a few words. All other text of the region is kept. Blocks
-    are joined by one space, as is white space inside them; character references are decoded once.
+def scored(found: list[tuple[str, str, str, bool, int]], weights: dict[tuple[str, str], float]) -> list[float]:
+    """The score of each piece of a page, or of a content element.
+
+    Text inside a content element that is not marked scores positive and tags cost nothing there, so nothing of it is
+    lost; marked boilerplate in it is stepped over for nothing, elsewhere at the cost of a few words.
     """
-    found = list(pieces(page or ""))
-    best, best_span, run, start, before = 0.0, (0, 0), 0.0, 0, False
-    for i, (kind, text, own, noted, inside) in enumerate(found):
+    scores, before = [], False
+    for kind, text, own, noted, inside in found:
+        score = 0.0
         if noted:
-            run -= 0.0 if before or inside else STEP
+            score = 0.0 if before or inside else -STEP
         elif kind == "text":
             w = weight(weights, "word", own)
-            run += len(text.split()) * (max(1.0, w) if inside else w)
-        elif kind != "inline" and (text in CONTENT or not inside):
-            run += -1e9 if text in CONTENT else weight(weights, "tag", own)
+            score = len(text.split()) * (max(1.0, w) if inside else w)
+        elif kind != "inline" and not inside:
+            score = weight(weights, "tag", own)
+        scores.append(score)
         before = noted
-        if run <= 0:
-            run, start = 0.0, i + 1
-        elif run > best:
-            best, best_span = run, (start, i + 1)
+    return scores
+
+
+def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
+    """The text of the region of greatest score; empty if nothing scores.
+
+    If outermost content elements hold unmarked words, it is the best region of one of them (the first of equals), else
+    of the page. Marked boilerplate in the region is left out, all its other text is kept. Blocks are joined by one
+    space, as is white space inside them; character references are decoded once.
+    """
+    found = list(pieces(page or ""))
+    spans: dict[int, list[int]] = {}  # of each content element with words: its first piece and the one after its last
+    wordy = {inside for kind, text, _, noted, inside in found if inside and kind == "text" and not noted and not text.isspace()}
+    for i, piece in enumerate(found):
+        if piece[4] in wordy:
+            spans.setdefault(piece[4], [i, i])[1] = i + 1
+    best = (0.0, 0, 0)
+    for first, last in spans.values() or [(0, len(found))]:
+        score, start, end = best_region(scored(found[first:last], weights))
+        if score > best[0]:
+            best = (score, first + start, first + end)
     out: list[str] = []
-    for kind, text, own, noted, _ in found[slice(*best_span)]:
+    for kind, text, own, noted, _ in found[best[1] : best[2]]:
         if kind == "text":
             if not noted:
                 out.append(text)
