@@ -245,11 +245,12 @@ class WordBpe:
 
     # --- texts ---
     def runs(self, text: str) -> list[str]:
-        """The runs without white space of a text, normalised, and its special tokens as such. No word crosses runs."""
+        """The runs without white space of a text, normalised. No word crosses runs. Special tokens come with a space
+        before them, so that no run is taken for one (case counts in special tokens)."""
         out: list[str] = []
         for part in self.apart.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append(part)
+                out.append(f" {part}")
                 continue
             flat = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             if not flat.isascii() and self.capitals.search(flat):
@@ -280,7 +281,7 @@ class WordBpe:
         if len(self.fits) > 8 * self.keep:
             self.fits.clear()
         known, coded = self.known, self.coded
-        coded.update({t: (str(i), t) for t, i in self.special.items()})
+        coded.update({f" {t}": (str(i), t) for t, i in self.special.items()})
         texts_runs = [self.runs(t) for t in texts]
         new = set().union(*texts_runs).difference(coded)
         coded.update({r: self.old_coded[r] for r in new if r in self.old_coded})

@@ -404,3 +404,18 @@ def test_html_keeps_sections_named_by_their_headings(spark):
     prose = "the text of the page " * 8
     bodies = [f"<article><p>{prose}</p>{inner}</article>", f"<article><p>{prose}</p>{cut}<p>end</p></article>{teasers}", '<aside><article>a side note</article></aside><form><input>search here</form>']
     assert extracted(spark, bodies) == [f"{prose}Related work Side effects Social history On comments", f"{prose}end", ""]
+
+
+def test_bpe_special_tokens_in_other_case():
+    """Case counts in special tokens: others are words. Whatever was encoded before."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib, own, draw = Tokenizer.from_file(bpe.default_path()), bpe.WordBpe(bpe.default_path()), random.Random(6)
+    parts = ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", " ", "\n", "a", "end", "<|", "|>", "é", "<|endoftext"]
+    texts = ["<|EndOfText|>", "<|endoftext|>", " <|EndOfText|> <|endoftext|> "] + ["".join(draw.choice(parts) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    for t, (ids, back) in zip(texts, own.encode(texts)):
+        e = lib.encode(t, add_special_tokens=False)
+        assert ids == " ".join(map(str, e.ids)), t
+        assert back == lib.decode(e.ids, skip_special_tokens=False), t
