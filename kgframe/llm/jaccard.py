@@ -258,14 +258,25 @@ def candidates(segments: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, naming: Naming) -> DataFrame:
-    """set_id, data (the hashes) of the wanted set ids (column set_id). One document of each set is read again."""
-    needed = written(sets.filter("set_id is not null").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(id_col).alias(id_col)).select(id_col), "needed-documents")
+    """set_id, data (the hashes) of the wanted set ids (column set_id). One document of each set is read again.
+
+    Sets that only rows without an id have are found among the sets of these rows.
+    """
+    needed = written(sets.filter("set_id is not null").join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min(id_col).alias(id_col)), "needed-documents")
 
     def rows(b, found, ids, digests):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "data"])
 
-    texts = docs.select(id_col, text_col).join(needed, id_col, "left_semi")
-    return _sets_of(texts, "set_id long, data binary", rows, id_col, text_col, naming)
+    def read(texts: DataFrame) -> DataFrame:
+        return _sets_of(texts, "set_id long, data binary", rows, id_col, text_col, naming)
+
+    texts = docs.select(id_col, text_col)
+    nameless = needed.filter(F.col(id_col).isNull()).select("set_id")
+    found = read(texts.join(needed.select(id_col).distinct(), id_col, "left_semi"))
+    if nameless.isEmpty():
+        return found
+    others = read(texts.filter(F.col(id_col).isNull())).join(nameless, "set_id", "left_semi")
+    return found.union(others.groupBy("set_id").agg(F.min("data").alias("data")))
 
 
 def _paired(pairs: DataFrame, data: DataFrame, test, where: str = "true") -> DataFrame:

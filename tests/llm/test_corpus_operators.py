@@ -312,3 +312,15 @@ def test_pruning_saves_inner_products(monkeypatch):
     found, _ = tree.search(np.arange(64), rows[:64], 20, neighbours.FACTOR)
     assert done[0] < 0.95 * whole
     assert sum(len(set(a) & set(b)) for a, b in zip(exact, found)) >= 0.9 * 20 * 64
+
+
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """A row with a null id lends no id but links others; as many rows as like may be without one."""
+    words = [f"w{i}" for i in range(40)]
+    a, n, b = " ".join(words), " ".join(["x", "y", *words[2:]]), " ".join(["x", "y", *words[2:38], "p", "q"])
+    rows = [(1, a), (None, n), (None, n), (2, b), (None, "five other words are here"), (None, None), (3, "nothing like the others at all")]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {x for x in got if x[0] is not None} == {(1, 1), (2, 1), (3, 3)}
+    named = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(spark.createDataFrame([(5 if t == n else i, t) for i, t in rows], "doc_id long, text string")).collect()}
+    assert {(1, 1), (2, 1), (5, 1)} <= named
+    assert jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id is null").count() == 4
