@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgframe.operators.joins import join_on
+
 
 def stacked(sources: list[DataFrame]) -> DataFrame:
     """All sources' rows with their ``priority``."""
@@ -14,9 +16,9 @@ def stacked(sources: list[DataFrame]) -> DataFrame:
 
 
 def first_by_priority(rows: DataFrame, keys: list[str], last: bool = False) -> DataFrame:
-    """Of each key the rows of the source that comes first (or last) and has any."""
+    """Of each key the rows of the source that comes first (or last) and has any. Keys may be null: nulls are equal."""
     pick = F.max("priority") if last else F.min("priority")
-    return rows.join(rows.groupBy(*keys).agg(pick.alias("priority")), [*keys, "priority"], "left_semi")
+    return join_on(rows, rows.groupBy(*keys).agg(pick.alias("priority")), [*keys, "priority"], "left_semi")
 
 
 def merge_observations(sources: list[DataFrame], rank_col: str = "facet_rank") -> DataFrame:
@@ -25,13 +27,20 @@ def merge_observations(sources: list[DataFrame], rank_col: str = "facet_rank") -
     return stacked(sources).withColumn("position", F.row_number().over(order))
 
 
-def merge_nodes(sources: list[DataFrame], key: str = "dcid") -> DataFrame:
-    """Values of each (node, property), each key once, from the source that comes first."""
-    return first_by_priority(stacked(sources), ["node", "property", key]).drop("priority").distinct()
+def merge_nodes(sources: list[DataFrame], key: str = "dcid", value: str = "value") -> DataFrame:
+    """Values of each (node, property), each once, from the source that comes first.
+
+    A value is told by its ``key``; one without a key (null or empty) is a literal and told by ``value``, if there is
+    such a column.
+    """
+    rows = stacked(sources)
+    own = F.expr(f"nullif(`{key}`, '')")
+    rows = rows.withColumns({"own key": own, "literal": F.when(own.isNull(), F.col(value)) if value in rows.columns else F.lit(None).cast("string")})
+    return first_by_priority(rows, ["node", "property", "own key", "literal"]).drop("priority", "own key", "literal").distinct()
 
 
 def merge_resolve(sources: list[DataFrame]) -> DataFrame:
-    """Candidates of each node, each dcid once, sorted by score: unscored ones last."""
+    """Candidates of each node, each dcid once, sorted by score: unscored ones last. A null dcid says that nothing was found and stays."""
     return sort_candidates_by_score(first_by_priority(stacked(sources), ["node", "dcid"]))
 
 
@@ -57,7 +66,7 @@ def merge_summaries(sources: list[DataFrame]) -> DataFrame:
 
 
 def merge_variable_info(sources: list[DataFrame]) -> DataFrame:
-    """Rows of each (variable, provenance) from the last source that has it."""
+    """Rows of each (variable, provenance) from the last source that has it; a null provenance is one of its own."""
     return first_by_priority(stacked(sources), ["variable", "provenance"], last=True)
 
 
@@ -89,6 +98,7 @@ def merge_query_rows(sources: list[DataFrame], order: str | None = None, limit:
 
 
 def merge_statvar_search(sources: list[DataFrame]) -> DataFrame:
+    """The matches that any source has, equal rows once."""
     return reduce(DataFrame.unionByName, sources).distinct()
 
 
@@ -111,6 +121,7 @@ def distinct_source_series(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_hierarchies(sources: list[DataFrame]) -> DataFrame:
+    """The links that any source has, equal rows once."""
     return reduce(DataFrame.unionByName, sources).distinct()
 
 
@@ -141,5 +152,5 @@ def diff_results(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def prefer_branch(branch: DataFrame, base: DataFrame, keys: list[str]) -> DataFrame:
-    """The branch's rows, and the base's where the branch lacks the key."""
+    """The branch's rows, and the base's where the branch lacks the key; columns of the key may be null."""
     return first_by_priority(stacked([branch, base]), keys)

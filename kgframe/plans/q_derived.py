@@ -10,11 +10,13 @@ from kgframe.operators import merge as me
 from kgframe.operators import sdmx as sd
 from kgframe.plans.common import PAIRS, Bound
 from kgframe.plans.registry import query
-from kgframe.sources import tables
+from kgframe.sources import bind, tables
 
 FACET = "import_name, provenance_url, measurement_method, observation_period, scaling_factor, unit"
 _OPS = "a AS (SELECT * FROM obs WHERE variable = 'Qty_Brand#11'), b AS (SELECT * FROM obs WHERE variable = 'Qty_Brand#12')"
 _JOIN = f"FROM a JOIN b USING (entity, {FACET}, date)"
+#: The same pairs of operands as one aggregation over what is needed alone: a and b are the values of one point.
+_POINTS = f"WITH {bind.OBS_SQL.strip().replace('obs AS (', 'obs AS MATERIALIZED (')}, points AS (SELECT entity, {FACET}, date, max(value) FILTER (variable = 'Qty_Brand#11') AS a, max(value) FILTER (variable = 'Qty_Brand#12') AS b FROM obs WHERE variable IN ('Qty_Brand#11', 'Qty_Brand#12') GROUP BY ALL)"
 
 
 def _long(df, *columns):
@@ -31,7 +33,7 @@ def x1(spark, d):
     return fo.operand(Bound(spark, d).obs, "Qty_Brand#11", measurement_method="N", observation_period="P1M").select("entity", "date", "value")
 
 
-@query("x2_eval_formula", f"{_OPS} SELECT 'Share' AS variable, entity, {FACET}, date, round(a.value / (a.value + b.value) * 100, 6) AS value {_JOIN}")
+@query("x2_eval_formula", f"{_POINTS} SELECT 'Share' AS variable, entity, {FACET}, date, round(a / (a + b) * 100, 6) AS value FROM points WHERE a IS NOT NULL AND b IS NOT NULL", base=False)
 def x2(spark, d):
     out = fo.eval_formula(_ab(Bound(spark, d)), lambda a, b: a / (a + b) * 100, "Share")
     return out.withColumn("value", F.round("value", 6))
@@ -45,9 +47,10 @@ def x3(spark, d):
 
 @query(
     "x4_fill_holes",
-    f"{_OPS}, asked AS (SELECT 'Qty_Brand#11' AS variable, 'nation/' || n_nationkey AS entity FROM nation UNION ALL SELECT 'Sum', 'nation/' || n_nationkey FROM nation), "
-    f"f0 AS (SELECT 'Sum' AS variable, entity, {FACET}, date, a.value + b.value AS value, 0 AS formula_order {_JOIN} WHERE entity < 'nation/2'), f1 AS (SELECT 'Sum' AS variable, entity, {FACET}, date, a.value * 2 AS value, 1 AS formula_order FROM a) "
-    "SELECT variable, entity, import_name, measurement_method, observation_period, date, value, formula_order FROM (FROM f0 UNION ALL FROM f1) m WHERE (variable, entity) IN (SELECT (variable, entity) FROM asked) AND formula_order = CASE WHEN entity IN (SELECT entity FROM f0) THEN 0 ELSE 1 END",
+    f"{_POINTS}, f0 AS (SELECT 'Sum' AS variable, entity, {FACET}, date, a + b AS value, 0 AS formula_order FROM points WHERE a IS NOT NULL AND b IS NOT NULL AND entity < 'nation/2'), firsts AS MATERIALIZED (SELECT DISTINCT entity FROM f0), "
+    f"f1 AS (SELECT 'Sum' AS variable, p.entity, {FACET}, date, a * 2 AS value, 1 AS formula_order FROM points p LEFT JOIN firsts ON firsts.entity = p.entity WHERE a IS NOT NULL AND firsts.entity IS NULL) "
+    "SELECT variable, entity, import_name, measurement_method, observation_period, date, value, formula_order FROM (FROM f0 UNION ALL FROM f1)",
+    base=False,
 )
 def x4(spark, d):
     b = Bound(spark, d)
@@ -114,6 +117,16 @@ def m2(spark, d):
     return me.merge_nodes([*_values(Bound(spark, d))])
 
 
+_FACTS = "f0 AS (SELECT subject_id AS node, predicate AS property, object_id AS dcid, object_value AS value, 'a' AS src FROM triples WHERE subject_id < 'nation/2'), f1 AS (SELECT subject_id AS node, predicate AS property, object_id AS dcid, CASE WHEN subject_id LIKE 'region/%' THEN lower(object_value) ELSE object_value END AS value, 'b' AS src FROM triples WHERE subject_id > 'nation/1')"
+
+
+@query("m2_merge_nodes_literals", f"{_FACTS} FROM f0 UNION SELECT f1.* FROM f1 LEFT JOIN f0 ON f0.node = f1.node AND f0.property = f1.property AND (f0.dcid = f1.dcid OR (f0.dcid IS NULL AND f1.dcid IS NULL AND f0.value IS NOT DISTINCT FROM f1.value)) WHERE f0.node IS NULL")
+def m2_literals(spark, d):
+    t = Bound(spark, d).triples.select(F.col("subject_id").alias("node"), F.col("predicate").alias("property"), F.col("object_id").alias("dcid"), F.col("object_value").alias("value"))
+    second = t.withColumn("value", F.when(F.col("node").startswith("region/"), F.lower("value")).otherwise(F.col("value")))
+    return me.merge_nodes([t.filter("node < 'nation/2'").withColumn("src", F.lit("a")), second.filter("node > 'nation/1'").withColumn("src", F.lit("b"))])
+
+
 _CAND = "c0 AS (SELECT 'n' || n_regionkey AS node, 'nation/' || n_nationkey AS dcid, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE (n_nationkey % 5)::VARCHAR END AS score FROM nation), c1 AS (SELECT 'n' || (s_nationkey % 5) AS node, 'nation/' || s_nationkey AS dcid, '9' AS score FROM supplier)"
 
 
@@ -128,6 +141,14 @@ def m3(spark, d):
     return _long(me.merge_resolve([*_candidates(Bound(spark, d))]).select("node", "dcid", "score", "position"), "position")
 
 
+@query("m3_merge_resolve_unresolved", "u0 AS (SELECT 'n' || n_nationkey AS node, CASE WHEN n_nationkey % 3 > 0 THEN 'nation/' || n_nationkey END AS dcid, NULL::VARCHAR AS score FROM nation), u1 AS (SELECT DISTINCT 'n' || s_nationkey AS node, CASE WHEN s_nationkey % 2 > 0 THEN 'nation/' || s_nationkey END AS dcid, '9' AS score FROM supplier) SELECT node, dcid, score, row_number() OVER (PARTITION BY node ORDER BY score::DOUBLE DESC NULLS LAST, priority, dcid) AS position FROM (SELECT *, 0 AS priority FROM u0 UNION ALL SELECT u1.*, 1 FROM u1 LEFT JOIN u0 ON u0.node = u1.node AND u0.dcid IS NOT DISTINCT FROM u1.dcid WHERE u0.node IS NULL)")
+def m3_unresolved(spark, d):
+    b = Bound(spark, d)
+    n = lambda key, k, score: (F.concat(F.lit("n"), key).alias("node"), F.when(F.col(key) % k > 0, F.concat(F.lit("nation/"), key)).alias("dcid"), score.cast("string").alias("score"))
+    sources = [b.raw("nation").select(*n("n_nationkey", 3, F.lit(None))), b.raw("supplier").select(*n("s_nationkey", 2, F.lit("9"))).distinct()]
+    return _long(me.merge_resolve(sources).select("node", "dcid", "score", "position"), "position")
+
+
 @query("k7_sort_candidates_by_score", f"{_CAND} SELECT node, dcid, score, row_number() OVER (PARTITION BY node ORDER BY score::DOUBLE DESC NULLS LAST, dcid) AS position FROM c0")
 def k7(spark, d):
     return _long(me.sort_candidates_by_score(_candidates(Bound(spark, d))[0], "dcid"), "position")
@@ -157,6 +178,13 @@ def m7(spark, d):
     return me.merge_variable_info([n(o.filter("entity < 'nation/2'")), n(o.filter("entity > 'nation/1' AND provenance = 'prov/O'"))]).drop("priority")
 
 
+@query("m7_merge_variable_info_without_provenance", "p0 AS (SELECT variable, nullif(provenance, 'prov/O') AS provenance, count(*) AS n FROM obs WHERE entity < 'nation/2' GROUP BY ALL), p1 AS (SELECT variable, nullif(provenance, 'prov/O') AS provenance, count(*) AS n FROM obs WHERE entity > 'nation/1' AND variable < 'Qty_Brand#3' GROUP BY ALL) FROM p1 UNION ALL SELECT p0.* FROM p0 LEFT JOIN p1 ON p0.variable = p1.variable AND p0.provenance IS NOT DISTINCT FROM p1.provenance WHERE p1.variable IS NULL")
+def m7_nulls(spark, d):
+    o = Bound(spark, d).obs.withColumn("provenance", F.expr("nullif(provenance, 'prov/O')"))
+    n = lambda x: x.groupBy("variable", "provenance").agg(F.count("*").alias("n"))
+    return me.merge_variable_info([n(o.filter("entity < 'nation/2'")), n(o.filter("entity > 'nation/1' AND variable < 'Qty_Brand#3'"))]).drop("priority")
+
+
 @query("m8_merge_group_info", "SELECT 'g/' || p_type AS group_id, count(*) AS n, p_type AS name FROM part GROUP BY p_type", base=False)
 def m8(spark, d):
     p = Bound(spark, d).raw("part")
@@ -238,6 +266,13 @@ def m20(spark, d):
     return me.prefer_branch(o.filter("entity < 'nation/2'").withColumn("value", F.col("value") * 2), o, ["entity", "variable", "measurement_method"]).drop("priority")
 
 
+@query("m20_prefer_branch_null_facets", "b0 AS (SELECT entity, variable, nullif(measurement_method, 'N') AS measurement_method, date, value * 2 AS value FROM obs WHERE entity < 'nation/2' AND observation_period = 'P1Y' AND import_name = 'ImportO' AND measurement_method <> 'A'), b1 AS (SELECT entity, variable, nullif(measurement_method, 'N') AS measurement_method, date, value FROM obs WHERE observation_period = 'P1Y' AND import_name = 'ImportO'), keys AS (SELECT DISTINCT entity, variable, measurement_method FROM b0) FROM b0 UNION ALL SELECT b1.* FROM b1 LEFT JOIN keys k ON k.entity = b1.entity AND k.variable = b1.variable AND k.measurement_method IS NOT DISTINCT FROM b1.measurement_method WHERE k.entity IS NULL")
+def m20_nulls(spark, d):
+    o = Bound(spark, d, sparse=True).obs.filter("observation_period = 'P1Y' AND import_name = 'ImportO'").select("entity", "variable", "measurement_method", "date", "value")
+    branch = o.filter("entity < 'nation/2' AND measurement_method IS DISTINCT FROM 'A'").withColumn("value", F.col("value") * 2)
+    return me.prefer_branch(branch, o, ["entity", "variable", "measurement_method"]).drop("priority")
+
+
 # --- multi-dimensional series ---
 @query("f12_sdmx_where", "SELECT variable_measured, entity1, entity2, date, value FROM flows WHERE variable_measured = 'Trade' AND entity1 IN ('nation/1', 'nation/2') AND facet_id = 'O'")
 def f12(spark, d):
