@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import grid_key, recon_name, tokenize
-from kgframe.sources.shared import ship
+from kgframe.operators import polygons
+from kgframe.sources.shared import written
 
 
 def search_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -82,41 +81,19 @@ def search_variables(queries: DataFrame, index: DataFrame, info: DataFrame, limi
     return hits.join(info, "variable").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "variable", "position")
 
 
-def in_ring(x: float, y: float, ring: list[list[float]]) -> bool:
-    """Whether a point lies inside a closed ring (its last point repeats the first), by counting crossings."""
-    inside = False
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
-        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
-            inside = not inside
-    return inside
-
-
 def point_in_polygon(pairs: DataFrame, id_cols: list[str]) -> DataFrame:
-    """The rows of ``pairs`` (lat, lng, geojson) whose point is in the polygon or multipolygon, outside its holes.
+    """The rows of ``pairs`` (id_cols, lat, lng, geojson) whose point is in the polygon or multipolygon, outside its holes: id_cols, once each.
 
-    A ring needs four points; bad or null GeoJSON holds nothing.
+    Each distinct GeoJSON is parsed once into a table of edges (see ``polygons``). A ring needs four points; bad or null
+    GeoJSON holds nothing.
     """
-    import json
-
-    def holds(geojson: str | None, lat: float, lng: float) -> bool:
-        try:
-            g = json.loads(geojson or "{}")
-        except ValueError:
-            return False
-        polygons = {"Polygon": [g.get("coordinates", [])], "MultiPolygon": g.get("coordinates", [])}.get(g.get("type"), [])
-        return any(p and len(p[0]) >= 4 and in_ring(lng, lat, p[0]) and not any(len(h) >= 4 and in_ring(lng, lat, h) for h in p[1:]) for p in polygons)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f[[holds(g, a, b) for g, a, b in zip(f["geojson"], f["lat"], f["lng"])]][id_cols]
-
-    from pyspark.sql import types as T
-
-    ship(pairs.sparkSession)
-    return pairs.select(*id_cols, "lat", "lng", "geojson").mapInPandas(run, T.StructType([pairs.schema[c] for c in id_cols]))
+    named = pairs.filter("geojson IS NOT NULL").withColumn("shape", F.sha2("geojson", 256))
+    edges = written(polygons.edge_table(named.select("shape", "geojson").dropDuplicates(["shape"]), ["shape"]), "edges")
+    return polygons.holding(named.select(*id_cols, "shape", "lat", "lng"), edges, id_cols, "shape").select(*id_cols).distinct()
 
 
 def rectangle_contains(lat: F.Column, lng: F.Column, south: F.Column, west: F.Column, north: F.Column, east: F.Column) -> F.Column:
+    """Whether a point lies in a closed rectangle."""
     return lat.between(south, north) & lng.between(west, east)
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kgframe.operators import agent, facets, graph, search
+from kgframe.operators import agent, facets, graph, polygons, search
 from kgframe.plans.common import Bound
 from kgframe.plans.q_scalars import coordinates
 from kgframe.plans.registry import query
+from kgframe.sources.shared import written
 
 
 def _long(df, *columns):
@@ -117,6 +118,63 @@ def j17(spark, d):
     return search.point_in_polygon(pairs, ["id", "place"])
 
 
+# Nations as polygons: a slanted outline with a hole, and for every third a second part.
+_NATIONS = "nat AS (SELECT 'nation/' || n_nationkey AS place, -150.0 + n_nationkey * 12 AS x, -70.0 + n_regionkey * 28 AS y, 5.0 + n_nationkey % 7 AS r, n_nationkey AS k FROM nation)"
+_SHAPE = [[(-1.5, -1.0), (1.25, -1.5), (2.0, 0.5), (0.5, 1.75), (-1.75, 1.0)], [(-0.5, -0.5), (0.25, -0.25), (0.0, 0.5)]]
+_SECOND = [[(2.5, -1.0), (4.0, -0.5), (3.0, 1.25)]]
+
+
+def _nation_shapes(b):
+    n = b.raw("nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("place"), (F.lit(-150.0) + F.col("n_nationkey") * 12).alias("x"), (F.lit(-70.0) + F.col("n_regionkey") * 28).alias("y"), (F.lit(5.0) + F.col("n_nationkey") % 7).alias("r"), "n_nationkey")
+    at = lambda p: F.array(F.col("x") + F.lit(p[0]) * F.col("r"), F.col("y") + F.lit(p[1]) * F.col("r"))
+    part = lambda rings: F.array(*[F.array(*[at(p) for p in [*ring, ring[0]]]) for ring in rings])
+    one = F.to_json(F.struct(F.lit("Polygon").alias("type"), part(_SHAPE).alias("coordinates")))
+    two = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(part(_SHAPE), part(_SECOND)).alias("coordinates")))
+    return n.select("place", F.when(F.col("n_nationkey") % 3 == 0, two).otherwise(one).alias("geojson"))
+
+
+def _edges_sql():
+    sides = [(part, ring, *a, *b) for part, shape in enumerate((_SHAPE, _SECOND)) for ring, points in enumerate(shape) for a, b in zip(points, points[1:] + points[:1])]
+    values = ", ".join(str(s) for s in sides)
+    return f"{_NATIONS}, side(part, ring, px, py, qx, qy) AS (VALUES {values}), edge AS (SELECT place, part, ring, x + px * r AS x1, y + py * r AS y1, x + qx * r AS x2, y + qy * r AS y2 FROM nat JOIN side ON part = 0 OR k % 3 = 0)"
+
+
+_SIZE, _LEVELS = 16.0, 5
+_CROSSED = (
+    "crossed AS (SELECT id, place, part, ring FROM pts JOIN edge ON (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1), "
+    "inside AS (SELECT DISTINCT id, place FROM crossed GROUP BY id, place, part HAVING min(ring) = 0 AND max(ring) = 0)"
+)
+
+
+@query("j17_point_in_polygon_holes", f"WITH {_XY}, {_edges_sql()}, {_CROSSED} SELECT id, place FROM inside", base=False)
+def j17_holes(spark, d):
+    """Every customer against the nations whose bounding box shares a cell with it, by edges in bands."""
+    b = Bound(spark, d)
+    edges = written(polygons.edge_table(_nation_shapes(b), ["place"]), "edges")
+    cell = lambda c: F.floor(c / F.lit(_SIZE)).cast("long")
+    box = edges.groupBy("place").agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min("y1").alias("s"), F.max("y2").alias("n"))
+    box = box.withColumn("i", F.explode(F.sequence(cell(F.col("w")), cell(F.col("e"))))).withColumn("j", F.explode(F.sequence(cell(F.col("s")), cell(F.col("n")))))
+    near = _points(b).withColumns({"i": cell(F.col("lng")), "j": cell(F.col("lat"))}).join(box, ["i", "j"])
+    return polygons.holding(near, edges, ["id"], "place")
+
+
+_FINEST = f"(SELECT *, floor(lng / {_SIZE / 2 ** (_LEVELS - 1)}) * {_SIZE / 2 ** (_LEVELS - 1)} AS w, floor(lat / {_SIZE / 2 ** (_LEVELS - 1)}) * {_SIZE / 2 ** (_LEVELS - 1)} AS s, {_SIZE / 2 ** (_LEVELS - 1)} AS z FROM pts)"
+_SIDES = [f"((x2 - x1) * (({y}) - y1) - (y2 - y1) * (({x}) - x1)) * sign(y2 - y1)" for x in ("w", "w + z") for y in ("s", "s + z")]
+
+
+@query(
+    "j16_tile_cover",
+    f"WITH {_XY}, {_edges_sql()}, {_CROSSED}, touched AS (SELECT DISTINCT id, place FROM {_FINEST} t JOIN edge ON least(x1, x2) <= w + z AND greatest(x1, x2) >= w AND least(y1, y2) <= s + z AND greatest(y1, y2) >= s AND least({', '.join(_SIDES)}) <= 0 AND greatest({', '.join(_SIDES)}) >= 0) "
+    "SELECT i.id, i.place, t.id IS NOT NULL AS tested FROM inside i LEFT JOIN touched t ON t.id = i.id AND t.place = i.place",
+    base=False,
+)
+def j16_cover(spark, d):
+    """Customers in nations by a cover of tiles of five sizes; tested: whether the point lies in a tile that an edge meets."""
+    b = Bound(spark, d)
+    edges = written(polygons.edge_table(_nation_shapes(b), ["place"]), "edges")
+    return polygons.resolve_by_cover(_points(b), polygons.tile_cover(edges, "place", _SIZE, _LEVELS), edges, "id", "place", _SIZE, _LEVELS)
+
+
 @query("j18_resolve_coordinates_cell", f"WITH {_XY} SELECT id, place, 'Country' AS type, row_number() OVER (PARTITION BY id ORDER BY place) AS position FROM ({_INSIDE})", base=False)
 def j18(spark, d):
     b = Bound(spark, d)
