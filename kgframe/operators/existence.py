@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgframe.operators.hierarchy import descendant_variables
+from kgframe.operators.graph import tagged
+from kgframe.operators.hierarchy import _as_edges, variables_below
 
 
 def entity_variables(obs: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -34,12 +35,14 @@ def variable_source_existence(obs: DataFrame, edges: DataFrame, variables: DataF
 def group_source_existence(obs: DataFrame, edges: DataFrame, links: DataFrame, sources: DataFrame) -> DataFrame:
     """group_id, source: groups with a variable below that has data of a wanted source."""
     variables = obs.select("variable").distinct()
-    return descendant_variables(links).join(variable_source_existence(obs, edges, variables, sources), "variable").select("group_id", "source").distinct()
+    seeds = variable_source_existence(obs, edges, variables, sources).select(F.col("source").alias("tag"), F.col("variable").alias("node"))
+    return tagged(_as_edges(links), seeds, "up").select(F.col("node").alias("group_id"), F.col("tag").alias("source"))
 
 
 def group_place_existence(seen: DataFrame, links: DataFrame, places: DataFrame) -> DataFrame:
     """group_id, entity: groups with a variable below that is seen (variable, entity) for a wanted place (column entity)."""
-    return descendant_variables(links).join(seen.select("variable", "entity").distinct().join(places, "entity", "left_semi"), "variable").select("group_id", "entity").distinct()
+    seeds = seen.join(places, "entity", "left_semi").select(F.col("entity").alias("tag"), F.col("variable").alias("node")).distinct()
+    return tagged(_as_edges(links), seeds, "up").select(F.col("node").alias("group_id"), F.col("tag").alias("entity"))
 
 
 def existence(variable_places: DataFrame, group_places: DataFrame, variable_sources: DataFrame, group_sources: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def count_sv_svg(seen: DataFrame, links: DataFrame, items: DataFrame, entities:
     """item, entity, n: 0 for a variable with data, the number of descendant variables with data for a group."""
     wanted = seen.select("variable", "entity").distinct().join(entities, "entity", "left_semi")
     own = wanted.select(F.col("variable").alias("item"), "entity", F.lit(0).cast("long").alias("n"))
-    below = descendant_variables(links).join(wanted, "variable").groupBy(F.col("group_id").alias("item"), "entity").agg(F.count("*").alias("n"))
+    below = variables_below(links, items.select(F.col("item").alias("group_id"))).join(wanted, "variable").groupBy(F.col("group_id").alias("item"), "entity").agg(F.count("*").alias("n"))
     return own.unionByName(below).join(items, "item", "left_semi")
 
 

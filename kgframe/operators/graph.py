@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgframe.sources.shared import written
+from kgframe.sources.shared import Rounds, written
 
 #: Predicates that the graph materialises for itself.
 INTERNAL = ["linkedContainedInPlace", "linkedMemberOf", "linkedMember"]
@@ -30,25 +30,57 @@ def _reach(first: DataFrame, hop: DataFrame, max_hops: int | None, name: str) ->
     """start, end, depth: what 1 to ``max_hops`` hops (via, next), or any number, reach from the first pairs (start, end).
 
     A frontier loop: each round joins only the pairs that the last one found and leaves out those met before, so
-    cycles end it. Each round is a written table, so plans don't grow with the rounds, and an empty one ends the loop.
+    cycles end it. Each round is a written table and all of them are read by one scan, so plans don't grow with the
+    rounds, and an empty one ends the loop.
     """
-    frontier = written(first.distinct().withColumn("depth", F.lit(1)), name)
-    found = [frontier]
+    rounds = Rounds(name)
+    frontier = rounds.add(first.distinct().withColumn("depth", F.lit(1)))
     for depth in count(2) if max_hops is None else range(2, max_hops + 1):
         pairs = frontier.join(hop, F.col("end") == F.col("via")).select("start", F.col("next").alias("end")).distinct()
-        met = reduce(DataFrame.unionByName, found).select("start", "end")
-        frontier = written(pairs.join(met, ["start", "end"], "left_anti").withColumn("depth", F.lit(depth)), name)
+        met = rounds.all().select("start", "end")
+        frontier = rounds.add(pairs.join(met, ["start", "end"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        found.append(frontier)
-    return reduce(DataFrame.unionByName, found)
+    return rounds.all()
 
 
 def closure(edges: DataFrame, predicate: str, max_hops: int | None = None) -> DataFrame:
-    """child, ancestor, depth: what a chain of edges (1 to ``max_hops``, if given) reaches, each pair once at its least depth."""
-    hop = written(edges.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias("via"), F.col("object_id").alias("next")).distinct(), "hops")
-    found = _reach(hop.select(F.col("via").alias("start"), F.col("next").alias("end")), hop, max_hops, "closure")
-    return found.select(F.col("start").alias("child"), F.col("end").alias("ancestor"), "depth")
+    """child, ancestor, depth: what a chain of edges (1 to ``max_hops``, if given) reaches, each pair once at its least depth.
+
+    Depths are doubled: a pair at a depth between h and 2h is one at depth h followed by one that is known, so there are
+    about as many rounds as the logarithm of the greatest depth.
+    """
+    rounds = Rounds("closure")
+    last = rounds.add(edges.filter(F.col("predicate") == predicate).select(F.col("subject_id").alias("start"), F.col("object_id").alias("end"), F.lit(1).alias("depth")).distinct())
+    reach = 1
+    while (max_hops is None or reach < max_hops) and not last.isEmpty():
+        known = rounds.all()
+        onward = known.select(F.col("start").alias("end"), F.col("end").alias("next"), F.col("depth").alias("more"))
+        pairs = last.filter(F.col("depth") == reach).join(onward, "end").groupBy("start", F.col("next").alias("end")).agg((F.min("more") + reach).cast("int").alias("depth"))
+        last = rounds.add(pairs.join(known, ["start", "end"], "left_anti"))
+        reach *= 2
+    found = rounds.all().select(F.col("start").alias("child"), F.col("end").alias("ancestor"), "depth")
+    return found if max_hops is None else found.filter(F.col("depth") <= max_hops)
+
+
+def tagged(edges: DataFrame, seeds: DataFrame, prop: str, outward: bool = True) -> DataFrame:
+    """tag, node, depth: what edges of one predicate reach from nodes with a tag (seeds: tag, node), each node once for each tag.
+
+    So all that a set of nodes reaches takes a row for each node, not for each pair.
+    """
+    here, there = ("subject_id", "object_id") if outward else ("object_id", "subject_id")
+    hop = written(edges.filter(F.col("predicate") == prop).select(F.col(here).alias("via"), F.col(there).alias("next")).distinct(), "hops")
+    first = seeds.join(hop, F.col("node") == F.col("via")).select(F.col("tag").alias("start"), F.col("next").alias("end"))
+    return _reach(first, hop, None, "tagged").select(F.col("start").alias("tag"), F.col("end").alias("node"), "depth")
+
+
+def numbered_by(df: DataFrame, column: str, number: str) -> DataFrame:
+    """Add ``number``, from 0 in the order of a column of distinct values: partitions by range number their own rows and
+    add what the partitions before them hold."""
+    dealt = written(df.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "numbered")
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1)
+    return own.join(before, "part").withColumn(number, (F.col("before") + F.col("own")).cast("int")).drop("part", "own", "before")  # one row for each partition
 
 
 def node_properties(edges: DataFrame, ids: DataFrame, outward: bool = True) -> DataFrame:
@@ -212,8 +244,6 @@ def resolve_entities(entity_ids: DataFrame, id_map: DataFrame, ranking: list[str
     entity_ids: entity, prop, value; id_map: prop, value, dcid. Candidates share the probability evenly; an entity
     that nothing resolves keeps a row with null.
     """
-    from pyspark.sql import Window
-
     rank = F.array_position(F.array(*[F.lit(p) for p in ranking]), F.col("prop"))
     hits = entity_ids.join(id_map, ["prop", "value"]).withColumn("r", rank).filter("r > 0")
     best = hits.withColumn("least", F.min("r").over(Window.partitionBy("entity"))).filter("r = least").select("entity", "dcid").distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import split_pascal
-from kgframe.operators.graph import reached
+from kgframe.operators.bitmaps import counts_below
+from kgframe.operators.graph import reached, tagged
 
 
 def parent_links(triples: DataFrame) -> DataFrame:
@@ -49,13 +50,30 @@ def descendant_variables(links: DataFrame, max_hops: int | None = None) -> DataF
     return reached(_as_edges(links), variables, "up", True, max_hops).select(F.col("object").alias("group_id"), F.col("node").alias("variable"))
 
 
+def variables_below(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """group_id, variable: the distinct variables below the wanted groups (column group_id) alone, found by walking down from them."""
+    down = reached(_as_edges(links), groups.select(F.col("group_id").alias("node")), "up", False)
+    variables = links.filter("kind = 'variable'").select(F.col("child").alias("object")).distinct()
+    return down.join(variables, "object", "left_semi").select(F.col("node").alias("group_id"), F.col("object").alias("variable"))
+
+
+def links_below(links: DataFrame, group: str) -> DataFrame:
+    """The links whose parent is a group or lies below it."""
+    below = _below(links, group, None).union(links.sparkSession.createDataFrame([(group,)], "child string")).distinct()
+    return links.join(below.select(F.col("child").alias("parent")), "parent", "left_semi").select("child", "parent", "kind")
+
+
 def descendant_counts(links: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """group_id, n: distinct descendant variables; one that is reached twice counts once."""
+    """group_id, n: distinct descendant variables; one that is reached twice counts once. Without ``max_hops`` by bitmaps."""
+    if max_hops is None:
+        return counts_below(links)
     return descendant_variables(links, max_hops).groupBy("group_id").agg(F.count("*").alias("n"))
 
 
 def filtered_topic(links: DataFrame, seen: DataFrame, max_hops: int | None = None) -> DataFrame:
     """group_id, n: of each topic or group the descendant variables that are seen (variable, ...) for a wanted entity."""
+    if max_hops is None:
+        return counts_below(links, seen)
     return descendant_variables(links, max_hops).join(seen.select("variable").distinct(), "variable", "left_semi").groupBy("group_id").agg(F.count("*").alias("n"))
 
 
@@ -101,10 +119,10 @@ def group_children(links: DataFrame, nodes: DataFrame, with_data: DataFrame, gro
     (variable, definition) add the column definition, null for groups.
     """
     names = nodes.select(F.col("subject_id").alias("child"), "name")
-    below = descendant_variables(links)
-    counts = below.groupBy("group_id").agg(F.count("*").alias("n"))
+    counts = counts_below(links)
     has = with_data.select("variable").distinct()
-    groups_with = below.join(has, "variable", "left_semi").select(F.col("group_id").alias("child")).union(has.select(F.col("variable").alias("child"))).distinct().withColumn("has_data", F.lit(True))
+    above = tagged(_as_edges(links), has.select(F.lit(1).alias("tag"), F.col("variable").alias("node")), "up").select(F.col("node").alias("child"))
+    groups_with = above.union(has.select(F.col("variable").alias("child"))).distinct().withColumn("has_data", F.lit(True))
     children = _with_counts(links, counts).withColumnRenamed("parent", "group_id").join(groups, "group_id", "left_semi")
     own = groups.select("group_id").distinct().join(counts, "group_id", "left").select("group_id", F.col("group_id").alias("child"), F.lit("self").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
     rows = children.select("group_id", "child", "kind", "n").unionByName(own)
@@ -150,7 +168,7 @@ def specialized_entities(children: DataFrame) -> DataFrame:
 def filtered_group_children(links: DataFrame, seen: DataFrame, group: str, min_entities: int = 1) -> DataFrame:
     """child, kind, n: children of a group restricted to variables seen (variable, entity) for ``min_entities`` entities at least."""
     kept = seen.groupBy("variable").agg(F.countDistinct("entity").alias("e")).filter(F.col("e") >= min_entities).select("variable")
-    below = descendant_variables(links).join(kept, "variable", "left_semi").groupBy(F.col("group_id").alias("child")).agg(F.count("*").alias("n"))
+    below = counts_below(links_below(links, group), kept).withColumnRenamed("group_id", "child")
     children = links.filter(F.col("parent") == group).select("child", "kind").distinct()
     groups = children.filter("kind = 'group'").join(below, "child")
     variables = children.filter("kind = 'variable'").join(kept.withColumnRenamed("variable", "child"), "child", "left_semi").withColumn("n", F.lit(-1).cast("long"))
@@ -161,7 +179,8 @@ def group_node_for_entities(links: DataFrame, seen: DataFrame, group: str, entit
     """child, kind, n: of each child group the k-th largest count of variables over the wanted entities, 0 with fewer than k
     entities; of each variable the number of entities that have it if k at least, else 0."""
     wanted = seen.join(entities, "entity", "left_semi").select("variable", "entity").distinct()
-    below = descendant_variables(links).join(wanted, "variable").groupBy(F.col("group_id").alias("child"), "entity").agg(F.count("*").alias("c"))
+    starts = links.filter((F.col("parent") == group) & (F.col("kind") == "group")).select(F.col("child").alias("group_id")).distinct()
+    below = variables_below(links, starts).join(wanted, "variable").groupBy(F.col("group_id").alias("child"), "entity").agg(F.count("*").alias("c"))
     kth = below.withColumn("r", F.row_number().over(Window.partitionBy("child").orderBy(F.desc("c"), "entity"))).filter(F.col("r") == k).select("child", F.col("c").alias("n"))
     own = wanted.groupBy(F.col("variable").alias("child")).agg(F.count("*").alias("n")).filter(F.col("n") >= k)
     children = links.filter(F.col("parent") == group).select("child", "kind").distinct()

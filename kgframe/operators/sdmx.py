@@ -83,28 +83,23 @@ def write_sdmx_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("lineSep", "\r\n").csv(path)
 
 
-def numbered_by(df: DataFrame, column: str, number: str) -> DataFrame:
-    """Add ``number``, from 0 in the order of a column of distinct values: partitions by range number their own rows and
-    add what the partitions before them hold."""
-    dealt = written(df.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "numbered")
-    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1)
-    return own.join(before, "part").withColumn(number, (F.col("before") + F.col("own")).cast("int")).drop("part", "own", "before")  # one row for each partition
-
-
 def jsonstat_cube(points: DataFrame, dimensions: list[str], value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(flat_index, value) of the cells there are, row-major, and (dimension, position, category) of the sorted categories.
 
-    Categories are numbered over their distinct values, in range partitions, and joined back.
+    The points are written once; the distinct categories of all dimensions are numbered together, over range partitions.
     """
-    numbered, sizes = [], []
-    for d in dimensions:
-        c = points.select(F.col(d).alias("category")).distinct().transform(numbered_by, "category", "position")
-        numbered.append(c.select(F.lit(d).alias("dimension"), "position", "category"))
-        sizes.append(c)
+    points = written(points.select(*dimensions, value_col), "cube-points")
+    named = points.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(d).cast("string").alias("category")) for i, d in enumerate(dimensions)])).alias("c")).select("c.*").distinct()
+    dealt = written(named.repartitionByRange("at", "category").withColumn("part", F.spark_partition_id()), "categories")
+    counts = dealt.groupBy("part", "at").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = dealt.withColumn("own", F.row_number().over(Window.partitionBy("part", "at").orderBy("category")) - 1)
+    places = written(own.join(before, ["part", "at"]).select("at", "category", (F.col("before") + F.col("own")).cast("int").alias("position")), "cube-categories")
+    numbered = [places.select(F.element_at(F.array(*map(F.lit, dimensions)), F.col("at") + 1).alias("dimension"), "position", "category")]
+    sizes = [places.filter(F.col("at") == i).select(F.col("category"), "position") for i in range(len(dimensions))]
     rows = points
     for d, c in zip(dimensions, sizes):
         n = c.agg(F.count("*").alias(f"n_{d}"))
-        rows = rows.join(c.select(F.col("category").alias(d), F.col("position").alias(f"at_{d}")), d).crossJoin(F.broadcast(n))  # one row
+        rows = rows.join(c.select(F.col("category").alias(f"c_{d}"), F.col("position").alias(f"at_{d}")), F.col(d).cast("string") == F.col(f"c_{d}")).drop(f"c_{d}").crossJoin(F.broadcast(n))  # one row
     index = reduce(lambda acc, d: acc * F.col(f"n_{d}") + F.col(f"at_{d}"), dimensions, F.lit(0).cast("long"))
     return rows.select(index.alias("flat_index"), value_col), reduce(DataFrame.unionByName, numbered)

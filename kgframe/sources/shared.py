@@ -47,6 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of one schema that the rounds of a loop write; ``all`` reads them as one scan, so plans don't grow."""
+
+    def __init__(self, name: str):
+        self.name, self.paths, self.last = name, [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The round's rows as a written table."""
+        self.last = written(df, self.name)
+        self.paths.append(_written[-1])
+        return self.last
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        return self.last.sparkSession.read.schema(self.last.schema).parquet(*self.paths)
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables that ``written`` made, once no result that reads them is wanted any more; how many there were."""
     n = len(_written)
