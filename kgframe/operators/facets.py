@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgframe.functions.scalars import facet_id, host_ends_with
 from kgframe.operators.joins import join_on
 from kgframe.operators.observations import FACET, SERIES, filter_by_date_interval
+from kgframe.sources.shared import written
 
 INFERIOR = 1000
 DEFAULT_SCORE = 100
@@ -170,13 +171,26 @@ def order_by_type_priority(candidates: DataFrame, priority: list[str]) -> DataFr
 
 
 def location_rankings(points: DataFrame, population: DataFrame | None = None) -> DataFrame:
-    """variable, entity, value, rank_from_top, rank_from_bottom, total; values for each head where population (entity, people) is given."""
+    """variable, entity, value, rank_from_top, rank_from_bottom, total; values for each head where population (entity, people) is given.
+
+    Distinct values are sorted into ranges over all variables; a rank is what the ranges before hold of the variable,
+    and what comes before in its own range. So a variable that holds most points is ranked by many tasks. Equal values
+    have equal ranks; null values come after all others from the top and before them from the bottom.
+    """
     if population is not None:
         points = points.join(population, "entity").withColumn("value", F.try_divide("value", "people"))
-    each = Window.partitionBy("variable")
-    return points.select("variable", "entity", "value").withColumns(
-        {"rank_from_top": F.rank().over(each.orderBy(F.desc("value"))), "rank_from_bottom": F.rank().over(each.orderBy("value")), "total": F.count("*").over(each)}
-    )
+    points = points.select("variable", "entity", "value")
+    counts = points.groupBy("variable", "value").agg(F.count("*").alias("same"))
+    order = [F.col("variable"), F.col("value").asc_nulls_first()]
+    dealt = written(counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked-values")
+    sums = dealt.groupBy("variable", "part").agg(F.sum("same").alias("sum"))
+    all_parts = Window.partitionBy("variable")  # a row for each range that holds the variable
+    earlier = F.coalesce(F.sum("sum").over(all_parts.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("variable", "part", earlier.alias("before"), F.sum("sum").over(all_parts).alias("total"))
+    upto = F.sum("same").over(Window.partitionBy("variable", "part").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = join_on(dealt.withColumn("upto", upto), sums, ["variable", "part"])
+    ranks = ranks.select("variable", "value", (F.col("total") - F.col("before") - F.col("upto") + 1).alias("rank_from_top"), (F.col("before") + F.col("upto") - F.col("same") + 1).alias("rank_from_bottom"), "total")
+    return join_on(points, ranks, ["variable", "value"]).select("variable", "entity", "value", "rank_from_top", "rank_from_bottom", "total")
 
 
 def limit_per_type(neighbours: DataFrame, n: int) -> DataFrame:

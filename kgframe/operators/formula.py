@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kgframe.functions.scalars import facet_id
 from kgframe.operators.joins import join_on
 from kgframe.operators.observations import FACET, filter_series_by_props
+from kgframe.sources.shared import written
 
 KEYS = ["entity", *FACET, "date"]
 
@@ -57,21 +58,37 @@ def load_formulas(triples: DataFrame) -> DataFrame:
 def derived_series(operands: dict[str, DataFrame], expr: Callable[..., Column], output: str) -> DataFrame:
     """entity, date, value by the older rule: of the facets whose exact list of dates all operands have, the longest list wins.
 
-    Ties go to the greatest list and then, in each operand, to the greatest facet; then arithmetic point by point.
+    Ties go to the greatest list and then, in each operand, to the greatest facet; then arithmetic point by point. Lists
+    are told by digests (count, length, sum and xor of the dates' hashes), so no list is collected; a winner whose
+    operands turn out to have different dates is left out.
     """
     key = F.concat_ws("^", *[F.coalesce(c, F.lit("\u0001")) for c in FACET])  # a null is no empty string
+    digest = ["n", "length", "sum", "xor"]
     marked = {}
     for name, df in operands.items():
-        series = df.groupBy("entity", key.alias("facet")).agg(F.array_join(F.sort_array(F.collect_list("date")), ",").alias("dates"))
-        marked[name] = (df.withColumn("facet", key).select("entity", "facet", "date", "value"), series)
-    common = reduce(lambda a, b: a.join(b, ["entity", "dates"]), [s.select("entity", "dates").distinct() for _, s in marked.values()])
-    longest = common.withColumn("r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc(F.length("dates")), F.desc("dates")))).filter("r = 1").select("entity", "dates")
+        points = df.withColumn("facet", key).select("entity", "facet", "date", "value")
+        hashed = F.xxhash64("date")
+        series = points.select("entity", "facet", "date").distinct().groupBy("entity", "facet").agg(F.count("date").alias("n"), F.sum(F.length("date") + 1).alias("length"), F.sum(hashed.cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "date")).alias("xor"))
+        marked[name] = (points, written(series, "series-digests"))
+    common = reduce(lambda a, b: a.join(b, ["entity", *digest]), [s.select("entity", *digest).distinct() for _, s in marked.values()])
+    longest = common.groupBy("entity").agg(F.max("length").alias("length"))
+    best = written(common.join(longest, ["entity", "length"], "left_semi"), "longest-lists")
+    points, series = next(iter(marked.values()))
+    while True:  # of equally long lists the greatest is the one that lacks the least date which they don't share
+        tied = best.groupBy("entity").agg(F.count("*").alias("lists")).filter("lists > 1")
+        if tied.isEmpty():
+            break
+        one = series.join(best.join(tied, "entity"), ["entity", *digest]).groupBy("entity", "lists", *digest).agg(F.max("facet").alias("facet"))
+        dates = written(points.join(one, ["entity", "facet"]).select("entity", "lists", *digest, "date").distinct(), "tied-dates")
+        least = dates.groupBy("entity", "lists", "date").agg(F.count("*").alias("have")).filter("have < lists").groupBy("entity").agg(F.min("date").alias("date"))
+        best = written(best.join(dates.join(least, ["entity", "date"]).select("entity", *digest), ["entity", *digest], "left_anti"), "longest-lists")
     frames = []
     for name, (points, series) in marked.items():
-        facet = series.join(longest, ["entity", "dates"]).groupBy("entity").agg(F.max("facet").alias("facet"))
-        frames.append(points.join(facet, ["entity", "facet"]).select("entity", "date", F.col("value").alias(f"v_{name}")))
-    joined = reduce(lambda a, b: a.join(b, ["entity", "date"]), frames)
-    return joined.select(F.lit(output).alias("variable"), "entity", "date", expr(**{n: F.col(f"v_{n}") for n in operands}).alias("value"))
+        facet = series.join(best, ["entity", *digest]).groupBy("entity").agg(F.max("facet").alias("facet"), F.first("n").alias("n"))
+        frames.append(points.join(facet, ["entity", "facet"]).select("entity", "date", "n", F.col("value").alias(f"v_{name}")))
+    joined = reduce(lambda a, b: a.join(b.drop("n"), ["entity", "date"]), frames)
+    same = joined.groupBy("entity", "n").agg(F.count_distinct("date").alias("met")).filter("met = n").select("entity")
+    return joined.join(same, "entity", "left_semi").select(F.lit(output).alias("variable"), "entity", "date", expr(**{n: F.col(f"v_{n}") for n in operands}).alias("value"))
 
 
 def convert_units(obs: DataFrame, mapping: DataFrame) -> DataFrame:

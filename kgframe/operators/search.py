@@ -29,6 +29,37 @@ def search_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None =
     return hits.withColumn("score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "subject_id", "score", "position")
 
 
+def rank_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None = None, limit: int = 100, common: float = 0.01, least: int = 100) -> DataFrame:
+    """query, subject_id, score, position: nodes whose names share words with a query, ranked by how rare these are.
+
+    The score adds for each shared word its weight ln(1 + (N - df + 0.5) / (df + 0.5)), for the df of N names that have it,
+    times 2.2 / (1 + 1.2 (0.25 + 0.75 length / mean length)), rounded to six decimals (BM25 of distinct words). A word that
+    more than ``common`` of the names and ``least`` have is common: it adds to the scores of names that rarer words find
+    but finds none itself, unless it is the query's rarest; so common words don't join all names. Null names and queries
+    have no words.
+    """
+    if types:
+        nodes = nodes.filter(F.arrays_overlap("types", F.array(*[F.lit(t) for t in types])))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda w: w != ""))
+    named = nodes.filter("name IS NOT NULL").select("subject_id", "name", words(F.col("name")).alias("ws")).filter(F.size("ws") > 0)
+    posting = named.select("subject_id", F.explode("ws").alias("word"))
+    total = named.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("mean"))
+    asked = queries.select("query", F.explode(words(F.col("query"))).alias("word")).distinct()
+    df = posting.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    known = asked.join(df, "word").crossJoin(F.broadcast(total))  # one row
+    known = known.withColumn("weight", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    rarest = F.row_number().over(Window.partitionBy("query").orderBy("df", "word"))
+    known = written(known.withColumn("leads", (rarest == 1) | (F.col("df") <= F.greatest(F.lit(float(least)), common * F.col("n")))), "query-words")
+    found = known.filter("leads").select("query", "word").join(posting, "word").select("query", "subject_id").distinct()
+    weights = known.groupBy("query", "mean").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("weights"))  # a query's words
+    rows = found.join(named, "subject_id").join(weights, "query")
+    shared = F.aggregate(F.array_sort(F.array_intersect("ws", F.map_keys("weights"))), F.lit(0.0), lambda s, w: s + F.col("weights")[w])
+    score = F.round(shared * 2.2 / (1 + 1.2 * (0.25 + 0.75 * F.size("ws") / F.col("mean"))), 6)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "name", "subject_id")
+    rows = rows.withColumn("score", score).withColumn("position", F.row_number().over(order))
+    return rows.filter(F.col("position") <= limit).select("query", "subject_id", "score", "position")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, position: cosine similarity of at least ``threshold``, the ``limit`` best for each query.
 
@@ -67,18 +98,50 @@ def build_search_index(variables: DataFrame, synonyms: DataFrame) -> DataFrame:
     return own.unionByName(more).unionByName(ids).distinct()
 
 
-def search_variables(queries: DataFrame, index: DataFrame, info: DataFrame, limit: int = 1000) -> DataFrame:
-    """query, variable, position: every distinct word of a query is a prefix of a token of the variable.
+def prefix_matches(words: DataFrame, tokens: DataFrame) -> DataFrame:
+    """word, token: which distinct tokens (column token) begin with which words (column word).
 
-    Order: fewer properties (info: variable, name, n_props), fewer known ones (n_known, if info has it), name, id. Prefixes up to each token's length are joined by
-    equality, for the words' lengths that queries have.
+    Tokens are sorted into ranges; a word goes only to the ranges that the tokens with its beginning can lie in (told by
+    each range's first and last token) and finds them there by bisection.
+    """
+    import numpy as np
+    import pandas as pd
+
+    dealt = written(tokens.select("token").filter("token IS NOT NULL").distinct().repartitionByRange("token").withColumn("part", F.spark_partition_id()), "tokens")
+    bounds = dealt.groupBy("part").agg(F.min("token").alias("first"), F.max("token").alias("last"))
+    wanted = words.select("word").filter("word IS NOT NULL").distinct()
+    met = wanted.join(F.broadcast(bounds), (F.col("last") >= F.col("word")) & ((F.col("first") <= F.col("word")) | F.col("first").startswith(F.col("word"))))  # one row for each range
+
+    def find(w: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        sorted_tokens = sorted((x.encode() for x in t["token"]))
+        held = np.array(sorted_tokens, object)
+        out = []
+        for word in w["word"]:
+            begin = word.encode()
+            low, high = np.searchsorted(held, begin), len(held)
+            end = begin.rstrip(b"\xff")
+            if end:
+                high = np.searchsorted(held, end[:-1] + bytes([end[-1] + 1]))
+            out += [(word, x.decode()) for x in sorted_tokens[low:high]]
+        return pd.DataFrame(out, columns=["word", "token"])
+
+    return met.select(F.col("part").alias("range"), "word").groupBy("range").cogroup(dealt.groupBy("part")).applyInPandas(find, "word string, token string")
+
+
+def search_variables(queries: DataFrame, index: DataFrame, info: DataFrame, limit: int = 1000, matched: bool = False) -> DataFrame:
+    """query, variable, position: every distinct word of a query is a prefix of a token of the variable; with ``matched`` also
+    the sorted strings of the index that the words matched.
+
+    Order: fewer properties (info: variable, name, n_props), fewer known ones (n_known, if info has it), name, id. Words
+    meet the tokens by ``prefix_matches``.
     """
     q = queries.select("query", F.explode(F.array_distinct(F.split(F.lower("query"), r"\W+"))).alias("word")).filter("word <> ''").distinct()
     needs = q.groupBy("query").agg(F.count("*").alias("needs"))
-    prefixes = index.select("variable", F.explode(F.sequence(F.lit(1), F.length("token"))).alias("n"), "token").select("variable", F.substring(F.col("token"), F.lit(1), F.col("n")).alias("word")).join(q.select("word").distinct(), "word", "left_semi").distinct()
-    hits = q.join(prefixes, "word").groupBy("query", "variable").agg(F.count("*").alias("c")).join(needs, "query").filter("c = needs")
+    rows = q.join(prefix_matches(q, index), "word").join(index.select("token", "variable", *["matched"] * matched).distinct(), "token")
+    found = [F.array_sort(F.collect_set("matched")).alias("matched")] * matched
+    hits = rows.groupBy("query", "variable").agg(F.count_distinct("word").alias("c"), *found).join(needs, "query").filter("c = needs")
     order = Window.partitionBy("query").orderBy("n_props", *["n_known"] * ("n_known" in info.columns), "name", "variable")
-    return hits.join(info, "variable").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "variable", "position")
+    return hits.join(info, "variable").withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit).select("query", "variable", *["matched"] * matched, "position")
 
 
 def point_in_polygon(pairs: DataFrame, id_cols: list[str]) -> DataFrame:
@@ -162,6 +225,23 @@ def _merged(spans: DataFrame, places: DataFrame, containment: DataFrame) -> tupl
     return spans.select("query_id", "start", F.col("n_words").alias("own"), F.when(F.col("merged"), F.col("whole")).otherwise(F.col("n_words")).alias("n_words"), "merged", "name"), inside
 
 
+def name_runs(queries: DataFrame, names: DataFrame, name_col: str, longest: int | None = None) -> DataFrame:
+    """query_id, start, n_words, text: the runs of words of a query (array w) that a name can be.
+
+    A dictionary of two levels: at a word only runs of the lengths are made that names beginning with it have, so words
+    that begin no name make none. ``longest`` bounds the lengths.
+    """
+    words = F.split(name_col, " ")
+    lengths = names.select(F.get(words, F.lit(0)).alias("first"), F.size(words).alias("n_words")).distinct()
+    lengths = written(lengths if longest is None else lengths.filter(F.col("n_words") <= longest), "name-lengths")
+    bound = lengths.agg(F.coalesce(F.max("n_words"), F.lit(1)).alias("most"))
+    # a row holds no more words than the longest name has, so a long query takes no room with its square
+    ahead = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("start"), F.slice(F.col("w"), i + 1, F.col("most")).alias("ahead")))
+    at = queries.filter(F.size("w") > 0).crossJoin(F.broadcast(bound)).select("query_id", F.explode(ahead).alias("a")).select("query_id", "a.*")  # one row
+    at = at.withColumn("first", F.get("ahead", F.lit(0))).join(lengths, "first").filter(F.col("n_words") <= F.size("ahead"))
+    return at.select("query_id", "start", "n_words", F.array_join(F.slice("ahead", F.lit(1), F.col("n_words")), " ").alias("text"))
+
+
 def recognize_places(
     queries: DataFrame, dictionary: DataFrame, longest: int | None = None, keep: int = 15, populous: int = 2000,
     abbreviations: DataFrame | None = None, zip_codes: DataFrame | None = None, bogus: list[str] | None = None, containment: DataFrame | None = None,
@@ -177,15 +257,11 @@ def recognize_places(
     ``populous`` people or more. Names of any length are tried, unless ``longest`` bounds their words. Null and empty
     queries give nothing.
     """
-    most = F.size(F.split("name", " "))
-    bound = dictionary.agg(F.coalesce(F.max(most), F.lit(1)).alias("longest")) if longest is None else dictionary.sparkSession.createDataFrame([(longest,)], "longest int")
     raw = tokenize(F.regexp_replace(F.regexp_replace("query", r"\^", ""), r"\s+", " "))
     q = queries.select("query_id", raw.alias("raw")).filter(F.size("raw") > 0).withColumn("w", F.transform("raw", F.lower))
-    starts = q.crossJoin(F.broadcast(bound)).select("query_id", "raw", "w", "longest", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))  # bound is one row
-    runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least("longest", F.size("w") - F.col("start")))).alias("n_words"))
-    runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("name"))
+    runs = name_runs(q, dictionary, "name", longest).withColumnRenamed("text", "name")
     hits = runs.join(dictionary, "name").withColumn("order", F.lit(2))
-    one = starts.select("query_id", "start", F.lit(1).alias("n_words"), F.get("raw", F.col("start")).alias("name"))
+    one = q.select("query_id", F.posexplode("raw").alias("start", "name")).select("query_id", "start", F.lit(1).alias("n_words"), "name")
     for order, table in enumerate((abbreviations, zip_codes)):
         if table is not None:
             hits = hits.unionByName(one.join(table.select("name", "dcid", "population"), "name").withColumn("order", F.lit(order)))
@@ -217,10 +293,7 @@ def recognize_entities(queries: DataFrame, names: DataFrame, longest: int = 10,
         typed = known.join(words, "name").withColumn("text", F.concat_ws(" ", "type", "name")).drop("type")
         known = known.join(words.select("name"), "name", "left_anti").unionByName(typed)
     q = queries.select("query_id", _words(recon_name(F.col("query"))).alias("w")).filter(F.size("w") > 0)
-    starts = q.select("query_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start"))
-    runs = starts.select("query_id", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("start")))).alias("n_words"))
-    runs = runs.select("query_id", "start", "n_words", F.array_join(F.slice("w", F.col("start") + 1, F.col("n_words")), " ").alias("text"))
-    hits = runs.join(known, "text")
+    hits = name_runs(q, known, "text", longest).join(known, "text")
     spans = hits.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct((-F.col("n_words")).alias("less"), "text", "start", "n_words"))).alias("spans"))
     kept = spans.select("query_id", F.explode(_cover(F.col("spans"))).alias("s")).select("query_id", "s.start", "s.n_words")
     return kept.join(hits, ["query_id", "start", "n_words"]).select("query_id", "start", "n_words", "name", "dcid").distinct()

@@ -51,9 +51,14 @@ class Bound:
     def ranked(self) -> DataFrame:
         return facets.facet_stats(self.obs, self.rules)
 
-    @property
-    def closure(self) -> DataFrame:
-        return graph.closure(self.edges, "containedInPlace")
+    def below(self, place: str) -> DataFrame:
+        """child, ancestor, depth: what lies in one place, found by walking down from it."""
+        start = self.spark.createDataFrame([(place,)], "node string")
+        return graph.reached(self.edges, start, "containedInPlace", False).select(F.col("object").alias("child"), F.col("node").alias("ancestor"), "depth")
+
+    def above(self, places: DataFrame) -> DataFrame:
+        """child, ancestor, depth: what holds the wanted places (column place), found by walking up from them."""
+        return graph.reached(self.edges, places.select(F.col("place").alias("node")), "containedInPlace").select(F.col("node").alias("child"), F.col("object").alias("ancestor"), "depth")
 
     def regions(self) -> DataFrame:
         return self.raw("region").select(F.concat(F.lit("region/"), F.col("r_regionkey")).alias("node"))

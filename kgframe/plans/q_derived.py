@@ -289,7 +289,7 @@ _IN = "(SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = {})"
 
 def _slot(b, region):
     types = b.triples.filter("predicate = 'typeOf'").select(F.col("subject_id").alias("place"), F.col("object_id").alias("type"))
-    return sd.slot_places(b.closure, types, region, "Country")
+    return sd.slot_places(b.below(region), types, region, "Country")
 
 
 @query("j24_sdmx_obs_contained", f"SELECT variable_measured, entity1, entity2, facet_id, date, value FROM flows WHERE variable_measured = 'Trade' AND entity1 IN {_IN.format(1)} AND entity2 IN {_IN.format(2)}")
@@ -406,7 +406,7 @@ def k6(spark, d):
 def v4(spark, d):
     b = Bound(spark, d)
     types = b.triples.filter("predicate = 'typeOf'").select(F.col("subject_id").alias("place"), F.col("object_id").alias("type"))
-    return ev.affected_places("region/2", types, b.closure)
+    return ev.affected_places("region/2", types, b.below("region/2"))
 
 
 # --- topics: nations by region, with the regions below one topic ---

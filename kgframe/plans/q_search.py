@@ -79,6 +79,26 @@ def k5(spark, d):
     return _long(search.search_variables(q, index, info), "position")
 
 
+@query("k5_search_variables_matched", f"WITH {_INDEX}, q AS (SELECT DISTINCT left(lower(p_name), 2) || ' ' || left(regexp_extract(lower(p_name), '\\w+\\W+(\\w+)', 1), 3) AS query FROM part WHERE regexp_matches(left(p_name, 2), '^\\w+$') AND regexp_matches(p_name, '^\\w+\\W+\\w+')), qw AS (SELECT DISTINCT query, unnest(list_distinct(string_split(query, ' '))) AS word FROM q), hit AS (SELECT DISTINCT query, word, variable, matched FROM qw JOIN idx ON starts_with(token, word)), need AS (SELECT query, count(*) AS k FROM qw GROUP BY query), good AS (SELECT query, variable, list_sort(list(DISTINCT matched)) AS matched FROM hit JOIN need USING (query) GROUP BY query, variable, k HAVING count(DISTINCT word) = k) SELECT query, variable, array_to_string(matched, ',') AS matched, row_number() OVER (PARTITION BY query ORDER BY p_size, p_name, variable) AS position FROM good JOIN part ON variable = 'P' || p_partkey QUALIFY position <= 1000", base=False)
+def k5_matched(spark, d):
+    """Queries of two prefixes, with what they matched."""
+    b = Bound(spark, d)
+    index = _index(b)[1]
+    q = b.raw("part").filter(r"p_name RLIKE '^\\w+\\W+\\w+' AND left(p_name, 2) RLIKE '^\\w+$'").select(F.concat_ws(" ", F.substring(F.lower("p_name"), 1, 2), F.substring(F.regexp_extract(F.lower("p_name"), r"\w+\W+(\w+)", 1), 1, 3)).alias("query")).distinct()
+    info = b.raw("part").select(F.concat(F.lit("P"), "p_partkey").alias("variable"), F.col("p_name").alias("name"), F.col("p_size").alias("n_props"))
+    return _long(search.search_variables(q, index, info, matched=True).withColumn("matched", F.array_join("matched", ",")), "position")
+
+
+_BM = "w AS (SELECT subject_id, name, list_distinct(list_filter(regexp_split_to_array(lower(name), '\\W+'), lambda x: x <> '')) AS ws FROM nodes WHERE name IS NOT NULL), post AS (SELECT subject_id, unnest(ws) AS word FROM w), names AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w WHERE len(ws) > 0), df AS (SELECT word, count(*) AS df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, names GROUP BY word, n)"
+
+
+@query("k1_rank_nodes", f"{_BM}, q AS (SELECT DISTINCT n_name || ' customer nation' AS query FROM nation UNION SELECT DISTINCT 'Customer#' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer WHERE c_nationkey = 3), qw AS (SELECT query, word, df, idf FROM (SELECT query, unnest(list_distinct(list_filter(regexp_split_to_array(lower(query), '\\W+'), lambda x: x <> ''))) AS word FROM q) JOIN df USING (word)), lead AS (SELECT query, word FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY df, word) AS r FROM qw), names WHERE r = 1 OR df <= greatest(100, 0.01 * n)), cand AS (SELECT DISTINCT query, subject_id FROM lead JOIN post USING (word)), points AS (SELECT c.query, c.subject_id, w.name, round(sum(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(w.ws) / mean))), 6) AS score FROM cand c JOIN w USING (subject_id) JOIN qw ON qw.query = c.query AND list_contains(w.ws, qw.word), names GROUP BY ALL) SELECT query, subject_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name, subject_id) AS position FROM points) WHERE position <= 20")
+def k1_ranked(spark, d):
+    b = Bound(spark, d)
+    q = b.raw("nation").select(F.concat("n_name", F.lit(" customer nation")).alias("query")).union(b.raw("customer").filter("c_nationkey = 3").select(F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))))
+    return _long(search.rank_nodes(q, b.nodes, limit=20), "position")
+
+
 # Nations as rectangles of 30 x 30 degrees, tiles of 2 degrees.
 _XY = "pts AS (SELECT c_custkey AS id, (c_custkey % 180 - 90)::DOUBLE + 0.25 AS lat, (c_custkey * 7 % 360 - 180)::DOUBLE + 0.5 AS lng FROM customer), rect AS (SELECT 'nation/' || n_nationkey AS place, -90.0 + n_regionkey * 30 AS south, -180.0 + n_nationkey * 14 AS west FROM nation)"
 
@@ -236,7 +256,7 @@ def r4(spark, d):
 def p1(spark, d):
     b = Bound(spark, d)
     places = b.raw("supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("place"))
-    return agent.place_metadata(places, b.closure, b.nodes)
+    return agent.place_metadata(places, b.above(places), b.nodes)
 
 
 _CHILD = "kids AS (SELECT e.object_id AS parent, e.subject_id AS place, t.object_id AS type FROM edges e JOIN triples t ON t.subject_id = e.subject_id AND t.predicate = 'typeOf' WHERE e.predicate = 'containedInPlace' AND e.object_id LIKE 'nation/%'), best AS (SELECT parent, type FROM (SELECT parent, type, row_number() OVER (PARTITION BY parent ORDER BY count(*) DESC, type) AS r FROM kids GROUP BY parent, type) WHERE r = 1), people AS (SELECT 'customer/' || c_custkey AS place, c_acctbal AS people FROM customer)"

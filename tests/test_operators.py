@@ -221,3 +221,72 @@ def test_written_tables_are_released(spark):
     df = shared.written(spark.range(3), "x")
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(path) and shared.release(spark) > 0 and not os.path.exists(path)
+
+
+def test_ranks_over_ranges(spark):
+    """One variable holds most points, with ties across ranges, nulls and repeated rows."""
+    import random
+
+    from kgframe.operators import facets
+
+    draw = random.Random(1)
+    rows = [("a", f"e{i}", float(draw.randrange(40))) for i in range(2000)] + [("a", "null", None), ("a", "null2", None), ("b", "x", 1.0), ("b", "x", 1.0), (None, "y", 2.0), ("c", "z", None)]
+    df = spark.createDataFrame(rows, "variable string, entity string, value double")
+    got = {(r["variable"], r["entity"]): (r["rank_from_top"], r["rank_from_bottom"], r["total"]) for r in facets.location_rankings(df).collect()}
+    for v, e, x in rows:
+        mine = [y for w, _, y in rows if w == v]
+        solid = [y for y in mine if y is not None]
+        top = 1 + sum(y > x for y in solid) if x is not None else 1 + len(solid)
+        bottom = 1 + len(mine) - len(solid) + sum(y < x for y in solid) if x is not None else 1
+        assert got[v, e] == (top, bottom, len(mine)), (v, e)
+    assert facets.location_rankings(df).count() == len(rows)
+    assert facets.location_rankings(df.filter("false")).count() == 0
+
+
+def test_prefixes_by_ranges(spark):
+    from kgframe.operators import search
+
+    tokens = [f"{a}{b}{c}" for a in "abé" for b in "xyz￿" for c in ("", "1", "\U0010ffff", "ab")] + ["a", "", None]
+    words = ["a", "ax", "é", "éz", "b￿", "\U0010ffff", "zz", "", "ax1ab", None]
+    df = spark.createDataFrame([(t,) for t in tokens * 2], "token string").repartition(5)
+    got = sorted(map(tuple, search.prefix_matches(spark.createDataFrame([(w,) for w in words], "word string"), df).collect()))
+    assert got == sorted((w, t) for w in words if w is not None for t in set(tokens) if t is not None and t.startswith(w))
+
+
+def test_runs_are_made_only_where_names_begin(spark):
+    from kgframe.operators import search
+    from pyspark.sql import functions as F
+
+    names = spark.createDataFrame([("new york city",), ("york",), ("new york",)], "name string")
+    words = " ".join(["filler"] * 20_000 + ["new", "york", "city"])
+    q = spark.createDataFrame([(1, words)], "query_id int, query string").select("query_id", F.split("query", " ").alias("w"))
+    assert sorted((r["start"], r["n_words"]) for r in search.name_runs(q, names, "name").collect()) == [(20000, 2), (20000, 3), (20001, 1)]
+    found = search.recognize_places(spark.createDataFrame([(1, words)], "query_id int, query string"), names.selectExpr("name", "name AS dcid", "1 AS population"))
+    assert [(r["start"], r["n_words"]) for r in found.collect()] == [(20000, 3)]
+
+
+def test_derived_series_ties(spark):
+    """Of equally long lists of dates the greatest wins; lists that only one operand has don't count."""
+    from kgframe.operators import formula
+    from kgframe.operators.observations import FACET
+    from pyspark.sql import functions as F
+
+    def points(series):
+        rows = [("e", d, float(i), name) for name, dates in series.items() for i, d in enumerate(dates)]
+        return spark.createDataFrame(rows, "entity string, date string, value double, import_name string").withColumns({c: F.lit(None).cast("string") for c in FACET if c != "import_name"})
+
+    a = {"p": ["2001", "2002", "2005"], "q": ["2001", "2003", "2004"], "r": ["2001", "2003", "2004"], "s": ["2000", "2001", "2002", "2003"], "t": ["2001"]}
+    b = {"p": ["2001", "2002", "2005"], "u": ["2001", "2003", "2004"], "s": ["2000", "2001", "2002", "2004"]}
+    out = formula.derived_series({"a": points(a), "b": points(b)}, lambda a, b: a * 10 + b, "S").collect()
+    assert sorted((r["date"], r["value"]) for r in out) == [("2001", 0.0), ("2003", 11.0), ("2004", 22.0)]
+    assert formula.derived_series({"a": points(a).filter("false"), "b": points(b)}, lambda a, b: a + b, "S").collect() == []
+
+
+def test_ranked_names(spark):
+    from kgframe.operators import search
+
+    nodes = spark.createDataFrame([(f"n{i}", f"common name {i}") for i in range(300)] + [("x", "rare thing"), ("y", "rare common thing"), ("z", None), ("w", "")], "subject_id string, name string")
+    q = spark.createDataFrame([("rare common",), ("common",), ("",), (None,), ("nothing here",)], "query string")
+    got = search.rank_nodes(q, nodes, limit=5).collect()
+    assert [r["subject_id"] for r in sorted((r for r in got if r["query"] == "rare common"), key=lambda r: r["position"])] == ["x", "y"] or {r["subject_id"] for r in got if r["query"] == "rare common"} == {"x", "y"}
+    assert sum(r["query"] == "common" for r in got) == 5 and {r["query"] for r in got} == {"rare common", "common"}
