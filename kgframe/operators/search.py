@@ -63,9 +63,10 @@ def rank_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None = N
 def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, position: cosine similarity of at least ``threshold``, the ``limit`` best for each query.
 
-    Exact. queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label) in blocks of about ``block``
-    queries, so a row holds that many scores at most, whatever the number of queries; each vector is sent once for each
-    block. Scores below the threshold go before rows are made of them.
+    Exact (``vectors`` has an index). queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label) in
+    blocks of about ``block`` queries, so a row holds that many scores at most, whatever the number of queries; each vector
+    is sent once for each block. The vectors are dealt into parts that each meet a copy of the block, so no key holds
+    them all. Scores below the threshold go before rows are made of them.
     """
     if labels:
         vectors = vectors.filter(F.col("label").isin(labels))
@@ -75,9 +76,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limi
     q = queries.select("query_id", double("q").alias("q")).withColumn("qn", unit(F.col("q"))).filter("qn > 0")
     n = max(1, math.ceil(q.count() / block))
     blocks = q.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(n))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
-    v = vectors.select("vec_id", double("v").alias("v")).withColumn("vn", unit(F.col("v"))).filter("vn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    parts = math.ceil(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) / n)
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    v = vectors.select("vec_id", double("v").alias("v")).withColumn("vn", unit(F.col("v"))).filter("vn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     scores = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x["q"], F.col("v")) / (x["qn"] * F.col("vn"))).alias("score")))
-    scored = v.join(blocks, "block").select("vec_id", F.explode(F.filter(scores, lambda s: s["score"] >= threshold)).alias("s")).select("vec_id", "s.*")
+    scored = v.join(blocks, ["block", "part"]).select("vec_id", F.explode(F.filter(scores, lambda s: s["score"] >= threshold)).alias("s")).select("vec_id", "s.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
