@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.operators.facets import select_primary_source
+from kgframe.operators.graph import reached
 from kgframe.operators.joins import join_on
 from kgframe.operators.observations import FACET, filter_by_date_interval, latest
+from kgframe.sources.shared import written
 
 
 def resolve_places_table(queries: DataFrame, names: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -30,6 +33,61 @@ def get_observations_table(points: DataFrame, override: str | None = None, start
     return latest(found, ["variable", "entity"]).select("variable", "entity", "date", "value") if mode == "latest" else found
 
 
+class Answer(NamedTuple):
+    """What a question for observations gets: its points, the entities in them, and the sources that have any."""
+
+    data: DataFrame
+    entities: DataFrame
+    sources: DataFrame
+
+
+def observations_answer(
+    points: DataFrame, variable: str, entities: dict[str, list[str] | tuple[str, str]], edges: DataFrame, types: DataFrame, nodes: DataFrame, scores: DataFrame | None = None,
+    start: str | None = None, end: str | None = None, mode: str = "all", override: str | None = None,
+) -> Answer:
+    """Points of one variable (variable_measured, a column for each slot, facet_id, date, value) for wanted entities.
+
+    ``entities``: of each slot a list of ids, or (parent, type) for all places of a type below a parent; a slot that is not
+    named must be empty. data: the slots, date, value and number (null for a value that is none) of the primary
+    source, sorted by slots and date; mode all, or latest (of each series). entities: dcid, name, types of whatever the
+    wanted slots hold, from all sources. sources: facet_id, series, points, latest, source_rank; the most series come
+    first, then the most points, the latest date, the highest score (scores: facet_id, score), the least id; a source
+    ``override`` comes before all. Points without a facet have the facet unknown.
+    """
+    slots = sorted(entities)
+    if not slots or not variable:
+        raise ValueError("a variable and the entities of one slot at least are required")
+    found = points.filter(F.col("variable_measured") == variable).withColumn("facet_id", F.coalesce(F.expr("nullif(facet_id, '')"), F.lit("unknown")))
+    for slot, wanted in entities.items():
+        if isinstance(wanted, tuple):
+            parent, type_ = wanted
+            if not parent or not type_:
+                raise ValueError("a parent and a type are required")
+            start_at = edges.sparkSession.createDataFrame([(parent,)], "node string")
+            inside = reached(edges, start_at, "containedInPlace", False).select(F.col("object").alias("place"))
+            inside = inside.join(types.filter(F.col("type") == type_).select("place"), "place", "left_semi")
+            found = found.join(inside.select(F.col("place").alias(slot)).distinct(), slot, "left_semi")
+        elif not wanted or "" in wanted:
+            raise ValueError(f"the ids of {slot} are empty")
+        else:
+            found = found.filter(F.col(slot).isin(wanted))
+    for slot in (c for c in points.columns if c.startswith("entity") and c not in entities):
+        found = found.filter(F.col(slot).isNull())
+    found = filter_by_date_interval(found, start, end) if start or end else found
+    found = written(found.select(*slots, "facet_id", "date", "value"), "asked-points")
+    per = found.groupBy("facet_id").agg(F.count_distinct(*slots).alias("series"), F.count("*").alias("points"), F.max("date").alias("latest"))
+    per = per.withColumn("score", F.lit(0)) if scores is None else per.join(scores.select("facet_id", "score"), "facet_id", "left")
+    first = [F.desc(F.col("facet_id") == override)] if override else []
+    order = Window.orderBy(*first, F.desc("series"), F.desc("points"), F.desc("latest"), F.desc_nulls_last("score"), "facet_id")  # a row for each source
+    sources = written(per.withColumn("source_rank", F.row_number().over(order)).drop("score"), "asked-sources")
+    data = found.join(sources.filter("source_rank = 1").select("facet_id"), "facet_id", "left_semi")
+    data = latest(data, slots).select(*slots, "date", "value") if mode == "latest" else data.select(*slots, "date", "value")
+    data = data.withColumn("number", F.col("value").try_cast("double")).orderBy(*slots, "date")
+    held = found.select(F.explode(F.array(*slots)).alias("dcid")).distinct()
+    names = held.join(nodes.select(F.col("subject_id").alias("dcid"), "name", "types"), "dcid", "left")
+    return Answer(data, names.select("dcid", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("types", F.array().cast("array<string>")).alias("types")), sources)
+
+
 def _top(df: DataFrame, item: str, limit: int) -> DataFrame:
     """The ``limit`` rows of each query with the highest score; ties by ``item``."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), item)

@@ -379,6 +379,35 @@ def g3(spark, d):
     return agent.get_observations_table(points)
 
 
+_ASKED = "asked AS (SELECT entity1, entity2, facet_id, date, value FROM flows WHERE variable_measured = 'Trade' AND entity1 IN (SELECT 'nation/' || n_nationkey FROM nation WHERE n_regionkey = 1) AND entity2 IN ('nation/3', 'nation/7', 'nation/9')), src AS (SELECT facet_id, series, points, latest, row_number() OVER (ORDER BY series DESC, points DESC, latest DESC, facet_id) AS source_rank FROM (SELECT facet_id, count(DISTINCT (entity1, entity2)) AS series, count(*) AS points, max(date) AS latest FROM asked GROUP BY 1))"
+
+
+def _answer(spark, d, **how):
+    b = Bound(spark, d)
+    types = b.triples.filter("predicate = 'typeOf'").select(F.col("subject_id").alias("place"), F.col("object_id").alias("type"))
+    return agent.observations_answer(b.flows, "Trade", {"entity1": ("region/1", "Country"), "entity2": ["nation/3", "nation/7", "nation/9"]}, b.edges, types, b.nodes, **how)
+
+
+@query("g3_observations_answer", f"{_ASKED} SELECT entity1, entity2, date, value, value::DOUBLE AS number FROM asked JOIN src USING (facet_id) WHERE source_rank = 1")
+def g3_answer(spark, d):
+    return _answer(spark, d).data
+
+
+@query("g3_observations_answer_latest", f"{_ASKED} SELECT entity1, entity2, max(date) AS date, max_by(value, date) AS value, max_by(value, date)::DOUBLE AS number FROM asked WHERE facet_id = 'F' AND date BETWEEN '1993' AND '1996' GROUP BY ALL")
+def g3_latest(spark, d):
+    return _answer(spark, d, start="1993", end="1996", mode="latest", override="F").data
+
+
+@query("g3_observations_answer_entities", f"{_ASKED} SELECT DISTINCT dcid, name, array_to_string(types, ',') AS types FROM (SELECT entity1 AS dcid FROM asked UNION SELECT entity2 FROM asked) JOIN nodes ON subject_id = dcid")
+def g3_entities(spark, d):
+    return _answer(spark, d).entities.withColumn("types", F.array_join("types", ","))
+
+
+@query("g3_observations_answer_sources", f"{_ASKED} SELECT facet_id, series, points, latest, source_rank FROM src")
+def g3_sources(spark, d):
+    return _long(_answer(spark, d).sources, "source_rank")
+
+
 @query("g4_variable_metadata", "SELECT o.variable, n.name, 'StatisticalVariable' AS typeOf, array_to_string((SELECT list_sort(list(object_id)) FROM triples g WHERE g.subject_id = o.variable AND g.predicate = 'memberOf'), ',') AS memberOf, o.provenance, s.object_id AS source, count(*) AS obs_count, min(date) AS earliest, max(date) AS latest FROM obs o JOIN nodes n ON n.subject_id = o.variable JOIN triples s ON s.subject_id = o.provenance AND s.predicate = 'source' GROUP BY ALL")
 def g4(spark, d):
     b = Bound(spark, d)

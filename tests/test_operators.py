@@ -290,3 +290,26 @@ def test_ranked_names(spark):
     got = search.rank_nodes(q, nodes, limit=5).collect()
     assert [r["subject_id"] for r in sorted((r for r in got if r["query"] == "rare common"), key=lambda r: r["position"])] == ["x", "y"] or {r["subject_id"] for r in got if r["query"] == "rare common"} == {"x", "y"}
     assert sum(r["query"] == "common" for r in got) == 5 and {r["query"] for r in got} == {"rare common", "common"}
+
+
+def test_answers_for_observations(spark):
+    from kgframe.operators import agent
+
+    points = spark.createDataFrame(
+        [("v", "a", "x", None, "f1", "2001", "1"), ("v", "a", "x", None, "f1", "2002", "n/a"), ("v", "b", "x", None, None, "2003", "3"), ("v", "a", "y", None, "f2", "2001", "5"), ("v", "b", "y", None, "f2", "2001", "6"), ("v", "a", "x", "z", "f2", "2009", "7"), ("w", "a", "x", None, "f2", "2009", "8")],
+        "variable_measured string, entity1 string, entity2 string, entity3 string, facet_id string, date string, value string",
+    )
+    edges = spark.createDataFrame([("a", "containedInPlace", "top"), ("b", "containedInPlace", "a"), ("c", "containedInPlace", "top")], "subject_id string, predicate string, object_id string")
+    types = spark.createDataFrame([("a", "T"), ("b", "T"), ("c", "T")], "place string, type string")
+    nodes = spark.createDataFrame([("a", "Ay", ["T"])], "subject_id string, name string, types array<string>")
+    ask = lambda **how: agent.observations_answer(points, "v", {"entity1": ("top", "T"), "entity2": ["x", "y"]}, edges, types, nodes, **how)
+    got = ask()
+    assert [tuple(r) for r in got.data.collect()] == [("a", "y", "2001", "5", 5.0), ("b", "y", "2001", "6", 6.0)]
+    assert sorted(tuple(r) for r in got.entities.collect()) == [("a", "Ay", ["T"]), ("b", "", []), ("x", "", []), ("y", "", [])]
+    assert [(r["facet_id"], r["series"], r["points"]) for r in sorted(got.sources.collect(), key=lambda r: r["source_rank"])] == [("f2", 2, 2), ("f1", 1, 2), ("unknown", 1, 1)]
+    assert [tuple(r) for r in ask(override="f1", mode="latest").data.collect()] == [("a", "x", "2002", "n/a", None)]
+    assert [tuple(r) for r in ask(start="2003").data.collect()] == [("b", "x", "2003", "3", 3.0)]
+    assert ask(start="2030").data.collect() == ask(start="2030").sources.collect() == []
+    for bad in ({}, {"entity1": []}, {"entity1": ("", "T")}):
+        with pytest.raises(ValueError):
+            agent.observations_answer(points, "v", bad, edges, types, nodes)
