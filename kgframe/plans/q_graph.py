@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgframe.operators import existence as ex
-from kgframe.operators import graph
+from kgframe.operators import graph, labels
 from kgframe.operators import hierarchy as hi
 from kgframe.operators import summary as su
 from kgframe.operators.observations import places_below
@@ -32,6 +32,14 @@ def j3(spark, d):
     return graph.entities_of_type(Bound(spark, d).triples, "Customer")
 
 
+@query("j4_below_by_labels", "SELECT DISTINCT ancestor AS place, child AS node FROM closure WHERE ancestor LIKE 'region/%' OR ancestor IN ('nation/7', 'Earth')")
+def j4_labels(spark, d):
+    """What lies below the regions, one nation and the whole, by reachability labels."""
+    b = Bound(spark, d)
+    wanted = b.regions().union(spark.createDataFrame([("nation/7",), ("Earth",)], "node string")).select(F.col("node").alias("place"))
+    return labels.below(labels.containment_labels(b.edges, "containedInPlace"), wanted)
+
+
 @query("j4_linked_containment", "SELECT DISTINCT child, ancestor FROM closure")
 def j4(spark, d):
     return graph.closure(Bound(spark, d).edges, "containedInPlace").select("child", "ancestor")

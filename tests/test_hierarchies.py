@@ -89,3 +89,21 @@ def test_least_depths_with_shortcuts(spark):
             ring, depth = {y for x, y in pairs if x in ring} - seen.keys(), depth + 1
         want.update({(a, b): d for b, d in seen.items()})
     assert {(r["child"], r["ancestor"]): r["depth"] for r in graph.closure(edges, "in").collect()} == want
+
+
+def test_labels_equal_closure(spark):
+    """Forests with several parents, cycles, self-loops and a parent that most nodes share."""
+    from kgframe.operators import labels
+
+    draw = random.Random(12)
+    trees = [(f"n{k}", f"n{draw.randrange(max(0, k - 9), k)}") for k in range(1, 80)]
+    for extra, flat in (([], 0), ([(f"n{draw.randrange(80)}", f"n{draw.randrange(80)}") for _ in range(9)], 300), ([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("n0", "n7"), ("s", "s")], 0)):
+        rows = [(x, "in", y) for x, y in {*trees, *extra, *((f"leaf{k}", "n5") for k in range(flat))}] + [("x", "other", "y"), ("z", "in", None)]
+        edges = spark.createDataFrame(rows, "subject_id string, predicate string, object_id string")
+        found = labels.containment_labels(edges, "in")
+        nodes = found.nodes.collect()
+        assert sorted(r["low"] for r in nodes) == list(range(len(nodes)))
+        wanted = spark.createDataFrame([(f"n{k}",) for k in (0, 3, 5, 40)] + [("a",), ("b",), ("s",), ("nowhere",)], "place string")
+        want = {(r["ancestor"], r["child"]) for r in graph.closure(edges.filter("object_id IS NOT NULL"), "in").collect()}
+        assert {tuple(r) for r in labels.below(found, wanted).collect()} == {(p, c) for p, c in want if p in {"n0", "n3", "n5", "n40", "a", "b", "s"}}
+    assert labels.containment_labels(edges.filter("false"), "in").nodes.collect() == []
