@@ -13,13 +13,12 @@ and 1; 5: 0.97 and 0.99; 7: 0.81 and 0.95; 8: 0.70 and 0.90; 10: 0.51 and 0.78.
 from __future__ import annotations
 
 import io
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgframe.llm.common import table, written
@@ -152,19 +151,23 @@ class Tree:
         return np.where(np.isneginf(best), -1, best_ids), best
 
 
+def shard_key(dim: Column, shard: Column) -> Column:
+    """The number of a shard among those of all lengths of vectors."""
+    return F.shiftleft(dim.cast("long"), 32) + shard.cast("long")
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index, as a written table: shard int, tree binary, dim int. One row and one task for each shard of about ``shard_rows``.
+    """The index, as a written table: shard long, tree binary, dim int. One row and one task for each shard of about ``shard_rows``.
 
-    Unusable vectors (see ``usable``), null ids, and vectors whose length is not the commonest one are not indexed.
-    Of rows that repeat an id the one with the least vector is indexed. An empty table gives an empty index.
+    Vectors of each length have shards of their own: products are only defined between equal lengths. Unusable vectors
+    (see ``usable``) and null ids are not indexed. Of rows that repeat an id the one with the least vector is indexed. An
+    empty table gives an empty index.
     """
     good = usable(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").filter("id is not null")
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    facts = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(size).alias("top")).orderBy(F.desc("n"), "dim").first()
-    schema = "shard int, tree binary, dim int"
-    if facts is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    dim, shards, top = facts["dim"], max(1, math.ceil(facts["n"] / shard_rows)), facts["top"]
+    lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(size).alias("top"))
+    lengths = written(lengths.select("dim", "top", F.greatest(F.lit(1), F.ceil(F.col("n") / shard_rows)).alias("shards")), "vector-lengths")
+    schema = "shard long, tree binary, dim int"
 
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -174,38 +177,39 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         ids = group.column("id").to_numpy()
         order = np.argsort(ids)
         ids, rows = ids[order], rows[order]
-        tree = Tree.build(ids, rows, top, shard)
+        tree = Tree.build(ids, rows, group.column("top")[0].as_py(), shard & 0xFFFFFFFF)
         if (rows.astype(np.float32) == rows).all():
             tree.rows = tree.rows.astype(np.float32)  # kept as short as they came
-        return pa.table({"shard": pa.array([shard], pa.int32()), "tree": pa.array([tree.dump()], pa.binary()), "dim": pa.array([dim], pa.int32())})
+        return pa.table({"shard": pa.array([shard], pa.int64()), "tree": pa.array([tree.dump()], pa.binary()), "dim": pa.array([rows.shape[1]], pa.int32())})
 
-    single = good.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))  # before they are dealt: one id may hold most rows
-    dealt = single.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("shard").applyInArrow(build, schema), "vector-index")
+    single = good.groupBy("id").agg(F.min("v").alias("v"))  # before they are dealt: one id may hold most rows
+    dealt = single.withColumn("dim", F.size("v")).join(lengths, "dim").withColumn("shard", shard_key(F.col("dim"), F.pmod(F.xxhash64("id"), F.col("shards"))))
+    return written(dealt.select("shard", "id", "v", "top").groupBy("shard").applyInArrow(build, schema), "vector-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, factor: float = FACTOR, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each usable query its k best by inner product: query_id long, rank int, vec_id long, score double.
 
     The query's own id is no candidate; ties go to the smaller id. A query with fewer candidates gets all of them.
-    Repeated rows of one query id are searched once, with their least vector. Queries of another length than the
-    index get nothing. Blocks of queries meet the shards one at a time, so a task holds one tree and one block.
+    Repeated rows of one query id are searched once, with their least vector. A query's candidates are the vectors of its
+    own length. Blocks of queries meet the shards one at a time, so a task holds one tree and one block.
     """
-    facts = index.agg(F.count("*").alias("shards"), F.max("dim").alias("dim")).first()
-    spark = queries.sparkSession
-    if not facts["shards"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = usable(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").filter((F.size("v") == facts["dim"]) & F.col("id").isNotNull())
+    good = usable(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")), "v").filter("id is not null")
     good = good.groupBy("id").agg(F.min("v").alias("v"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), BLOCK_QUERIES):
-                b = batch.slice(at, BLOCK_QUERIES)
-                rows = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("id").to_numpy().tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], ["ids", "block"])
-
-    blocks = good.mapInArrow(pack, "ids binary, block binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(facts["shards"] - 1))))
+            sizes = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes):
+                same = batch.filter(pa.array(sizes == dim))
+                for at in range(0, len(same), BLOCK_QUERIES):
+                    b = same.slice(at, BLOCK_QUERIES)
+                    rows = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([b.column("id").to_numpy().tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], ["dim", "ids", "block"])
+
+    counts = index.groupBy("dim").agg(F.count("*").alias("shards"))
+    blocks = good.mapInArrow(pack, "dim int, ids binary, block binary").join(counts, "dim")
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("shard", shard_key(F.col("dim"), F.col("shard")))
     both = index.select("shard", "tree", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("block"), F.lit(0).alias("kind")).unionByName(
         blocks.select("shard", F.lit(None).cast("binary").alias("tree"), "ids", "block", F.lit(1).alias("kind"))
     )

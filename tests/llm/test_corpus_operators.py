@@ -324,3 +324,36 @@ def test_jaccard_links_through_rows_without_an_id(spark):
     named = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(spark.createDataFrame([(5 if t == n else i, t) for i, t in rows], "doc_id long, text string")).collect()}
     assert {(1, 1), (2, 1), (5, 1)} <= named
     assert jaccard.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id is null").count() == 4
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    """Candidates are of the query's length; ties across shards go to the smaller id."""
+    rng = np.random.default_rng(4)
+    by_length = {d: [(100 * d + i, [float(x) for x in rng.integers(-3, 4, size=d)]) for i in range(60)] for d in (2, 3, 5)}
+    rows = [r for some in by_length.values() for r in some if any(r[1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = collections.defaultdict(list)
+    index = neighbours.build_index(df, shard_rows=20)
+    for r in neighbours.search(index, df.filter("vec_id % 20 = 0"), 20, factor=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = {}
+    for some in by_length.values():
+        some = [r for r in some if any(r[1])]
+        want |= nearest(some, [r for r in some if r[0] % 20 == 0], 20)
+    assert dict(got) == want
+
+
+def test_clusters_are_pruned_without_loss(monkeypatch):
+    """Where vectors lie in clusters, exact search leaves most of them out."""
+    rng = np.random.default_rng(3)
+    rows = np.repeat(rng.normal(size=(64, 16)), 128, axis=0) + 0.02 * rng.normal(size=(8192, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    tree = neighbours.Tree.build(np.arange(8192), rows, 1.0, 0)
+    done, dots = [0], neighbours.dots
+    monkeypatch.setattr(neighbours, "dots", lambda q, r: done.__setitem__(0, done[0] + len(q) * len(r)) or dots(q, r))
+    found, _ = tree.search(np.arange(0, 8192, 128), rows[::128], 20, 1.0)
+    assert done[0] < 0.25 * 64 * 8192
+    for q, ids in zip(range(0, 8192, 128), found):
+        s = rows @ rows[q]
+        s[q] = -np.inf
+        assert set(ids) == set(np.argsort(-s, kind="stable")[:20])
