@@ -64,10 +64,20 @@ class Rounds:
         return self.last.sparkSession.read.schema(self.last.schema).parquet(*self.paths)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete all tables that ``written`` made, once no result that reads them is wanted any more; how many there were."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def mark() -> int:
+    """How many tables are written so far; ``release`` takes it."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables that ``written`` made after the first ``since``, once no result that reads them is wanted any more;
+    how many there were. Tables that ``keep`` reads stay."""
+    from urllib.parse import urlparse
+
+    kept = {urlparse(f).path for f in keep.inputFiles()} if keep is not None else set()
+    gone = [p for p in _written[since:] if not any(f.startswith(urlparse(p).path.rstrip("/") + "/") for f in kept)]
+    _written[since:] = [p for p in _written[since:] if p not in gone]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)

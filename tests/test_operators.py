@@ -313,3 +313,17 @@ def test_answers_for_observations(spark):
     for bad in ({}, {"entity1": []}, {"entity1": ("", "T")}):
         with pytest.raises(ValueError):
             agent.observations_answer(points, "v", bad, edges, types, nodes)
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from kgframe.sources import shared
+
+    since = shared.mark()
+    a = shared.written(spark.range(5), "a")
+    b = shared.written(a.filter("id > 2"), "b")
+    paths = list(shared._written[since:])
+    assert shared.release(spark, since, keep=b) == 1
+    assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 2
+    assert shared.release(spark, since) == 1 and not os.path.exists(paths[1])
