@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kgframe.llm import bpe, jaccard, mixing, pii, quality
 from kgframe.llm.common import ship, table, written
+from kgframe.sources.shared import mark, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``; what each keeps is a written table, so that a lost executor costs one stage at most."""
+    """The stages applied to ``documents``; what each keeps is a written table, so that a lost executor costs one stage at
+    most. A stage's own tables and what it has read are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
