@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import magnitude, month_of
-from kgframe.sources.shared import written
+from kgframe.sources.shared import Rounds
 
 
 def event_months(events: DataFrame) -> DataFrame:
@@ -69,13 +69,12 @@ def topic_members(lists: DataFrame, peer_groups: DataFrame) -> DataFrame:
 def prune_empty_topics(members: DataFrame) -> DataFrame:
     """topic, member without links to topics that reach no variable, however far below. Ids of topics begin with ``dc/topic/``."""
     is_topic = F.col("member").startswith("dc/topic/")
-    live = written(members.filter(~is_topic).select("topic").distinct(), "live-topics")
-    while True:
-        more = members.join(live.select(F.col("topic").alias("member")), "member", "left_semi").select("topic").distinct().join(live, "topic", "left_anti")
-        more = written(more, "live-topics")
-        if more.isEmpty():
-            break
-        live = live.unionByName(more)
+    rounds = Rounds("live-topics")
+    last = rounds.add(members.filter(~is_topic).select("topic").distinct())
+    while not last.isEmpty():
+        above = members.join(last.select(F.col("topic").alias("member")), "member", "left_semi").select("topic").distinct()
+        last = rounds.add(above.join(rounds.all(), "topic", "left_anti"))
+    live = rounds.all()
     kept = members.join(live, "topic", "left_semi")
     return kept.filter(~is_topic).unionByName(kept.filter(is_topic).join(live.select(F.col("topic").alias("member")), "member", "left_semi").select(*kept.columns))
 
@@ -95,18 +94,12 @@ def expand_topic(members: DataFrame, topics: DataFrame, deep: bool = True) -> Da
     """
     is_topic = F.col("member").startswith("dc/topic/")
     start = members.join(topics, "topic", "left_semi").select("topic", "member", F.array("position").alias("path"), F.array("topic").alias("seen"))
-    level, found = written(start, "topic-paths"), []
-    while True:
-        found.append(level.filter(~is_topic).select("topic", F.col("member").alias("variable"), "path"))
-        if not deep:
-            break
+    rounds = Rounds("topic-paths")
+    level = rounds.add(start)
+    while deep and not level.isEmpty():
         below = members.select(F.col("topic").alias("via"), F.col("member").alias("next"), "position")
         down = level.filter(is_topic).filter(~F.array_contains("seen", F.col("member"))).join(below, F.col("member") == F.col("via"))
-        level = written(down.select("topic", F.col("next").alias("member"), F.array_append("path", F.col("position")).alias("path"), F.array_append("seen", F.col("via")).alias("seen")), "topic-paths")
-        if level.isEmpty():
-            break
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
+        level = rounds.add(down.select("topic", F.col("next").alias("member"), F.array_append("path", F.col("position")).alias("path"), F.array_append("seen", F.col("via")).alias("seen")))
+    rows = rounds.all().filter(~is_topic).select("topic", F.col("member").alias("variable"), "path")
     first = rows.groupBy("topic", "variable").agg(F.min("path").alias("path"))
     return first.withColumn("position", F.row_number().over(Window.partitionBy("topic").orderBy("path"))).drop("path")
