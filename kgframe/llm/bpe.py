@@ -101,10 +101,11 @@ class WordBpe:
         self.words = regex.compile(pattern)
         newer = "".join(f"{chr(a)}-{chr(z)}" for a, z in NEWER_SIGNS)
         self.newer = re.compile(f"[{newer}]")
+        self.far_sign = re.compile(f"[{chr(NEWER_SIGNS[0][0])}-\U0010ffff]").search
         known = {c: rf"[\p{{{c}}}--[{newer}]]" for c in "LN"}
         self.known_words = regex.compile(pattern.replace(r"\p{L}", known["L"]).replace(r"\p{N}", known["N"]), regex.V1)
         self.small = {c: small + c - a for a, z, small in NEWER_CAPITALS for c in range(a, z + 1)}
-        self.capitals = re.compile("[" + "".join(map(chr, self.small)) + "]")
+        self.far = re.compile(f"[{chr(min(self.small))}-\U0010ffff]").search  # one range is searched fast
         self.apart = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
         self.space, self.control = re.compile(r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile(r"[\x1c-\x1f]")
         self.fits: dict[int, bool] = {}  # verdicts on pairs, and on single tokens
@@ -253,7 +254,7 @@ class WordBpe:
                 out.append(f" {part}")
                 continue
             flat = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            if not flat.isascii() and self.capitals.search(flat):
+            if not flat.isascii() and self.far(flat):
                 flat = flat.translate(self.small)
             # str.split() also parts at four control characters that count as signs here
             out += filter(None, self.space.split(flat)) if self.control.search(flat) else flat.split()
@@ -261,7 +262,9 @@ class WordBpe:
 
     def words_of(self, run: str) -> list[str]:
         """The words of a run without white space."""
-        return (self.words if run.isascii() or not self.newer.search(run) else self.known_words).findall(run)
+        if run.isascii() or not self.far_sign(run):
+            return [run] if run.isalpha() else self.words.findall(run)
+        return (self.known_words if self.newer.search(run) else self.words).findall(run)
 
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """For each text its ids and its decoded form, both as strings joined by one space."""
