@@ -3,8 +3,8 @@
 Card numbers, phone numbers, IPv4 addresses, social security numbers and dates are validated and then permuted by a
 Feistel network over the pair of numbers that they make up, so that each pseudonym is again a valid value of the same
 format, equal values get equal pseudonyms in every document, and different values different ones. The letters and
-digits of e-mail names, account numbers, keys, hardware addresses and long hexadecimal secrets go through the same
-network on strings. Only DataFrame functions are used: the texts never leave the JVM and nothing is shuffled.
+digits of e-mail names, account numbers, keys, hardware addresses, long hexadecimal secrets, web tokens, private keys
+and values assigned to names like ``password`` go through the same network on strings. Only DataFrame functions are used: the texts never leave the JVM and nothing is shuffled.
 
 Repeated groups in the patterns are possessive or have a bounded count, so that no text, however long, makes the
 matcher recurse deeply.
@@ -23,19 +23,27 @@ from kgframe.llm.common import free_name, table
 KEY = "pseudonym-key-1"
 ROUNDS = 8
 
+#: Signs of an assigned secret.
+_SIGN = r"[0-9A-Za-z+/=_~!@#$%^*\-]"
+#: What stands between a name and the value assigned to it.
+_ASSIGN = r"(?:=>|:=|[:=])\s{0,3}[\"']?"
+
 #: What is looked for, in this order; each begins where no letter or digit precedes it.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++){0,30}\.\p{L}{2,}",
     "key": r"(?<![\p{L}\p{N}_\-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|rk)[_\-](?:live_|test_|proj-)?(?=[A-Za-z_\-]*[0-9])[0-9A-Za-z_\-]{20,200}|gh[opsu]_[0-9A-Za-z]{36,100}|xox[abprs]-(?=[A-Za-z\-]*[0-9])[0-9A-Za-z\-]{10,200}|AIza[0-9A-Za-z_\-]{35})(?![\p{L}\p{N}_\-])",
+    "pem": r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----[^\-]*+(?:-(?!----)[^\-]*+)*+-----END (?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY-----",
+    "jwt": r"(?<![\p{L}\p{N}_\-.])eyJ[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,}+\.[0-9A-Za-z_\-]{8,}+",
     "secret": r"(?<![\p{L}\p{N}])(?:(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[0-9A-F]*[A-F])(?=[A-F]*[0-9])[0-9A-F]{32,128})(?![\p{L}\p{N}])",
     "hardware": r"(?<![\p{L}\p{N}:\-])(?:(?:HH:){5}HH|(?:HH-){5}HH)(?![\p{L}\p{N}:\-])",
-    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:H{1,4}:){7}H{1,4}|(?:(?:H{1,4}:){2,6}|[fF][eE]80:)(?::H{1,4}){1,5})(?![\p{L}\p{N}:])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:H{1,4}:){7}H{1,4}|(?:(?:H{1,4}:){2,6}|[fF][eE]80:)(?::H{1,4}){1,5}|::(?=[A-Fa-f:]{0,30}[0-9])H{1,4}(?::H{1,4}){0,6})(?![\p{L}\p{N}:])",
+    "ip": r"(?<![\p{L}\p{N}.])(?<!(?i:version|release|build|section|chapter|clause|firmware)[ :=]{1,2})(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}\-])(?:\d{13,19}|\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}]|-\d)",
-    "ssn": r"(?<![\p{L}\p{N}\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\p{L}\p{N}]|-\d)",
+    "ssn": r"(?<![\p{L}\p{N}\-])(?:(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?!-\d)|(?<!\d )(?!000|666|9)\d{3} (?!00)\d\d (?!0000)\d{4}(?! ?\d|-\d))(?![\p{L}\p{N}])",
     "iso_date": r"(?<![\p{L}\p{N}\-])(?<!\d[/.])(?:19|20)\d\d(?:-MM-DD|/MM/DD|\.MM\.DD)END",
     "day_date": r"(?<![\p{L}\p{N}])(?<!\d[/.\-])(?:DD/MM/|DD\.MM\.|DD-MM-|MM/DD/|MM\.DD\.|MM-DD-)(?:19|20)\d\dEND",
+    "brief_date": r"(?<![\p{L}\p{N}])(?<!\d[/.\-])(?:DD/MM/|MM/DD/|D2-M2-|M2-D2-)\d\dEND",
     "word_date": r"(?<![\p{L}\p{N}])(?:DD MONTH,? |MONTH DD,? )(?:19|20)\d\d(?![\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ .\-/]?|\d{3}[ .\-/])\d{3}[ .\-]?\d{4}(?![\p{L}\p{N}]|-\d)",
     "world_phone": r"(?<![\p{L}\p{N}])(?<!\d[/.,\-])(?:\+|00[ \-]?)[1-9](?:[ .\-/]?[()]?[ .\-/]?\d){6,14}(?![\p{L}\p{N}])",
@@ -49,15 +57,23 @@ for _kind in ("hardware", "ipv6"):
     PATTERNS[_kind] = PATTERNS[_kind].replace("H", "[0-9A-Fa-f]")
 PATTERNS["word_date"] = PATTERNS["word_date"].replace("MONTH", _MONTH).replace("DD", r"(?:0?[1-9]|[12]\d|3[01])")
 #: Month, day, and what may follow a date: a time after T, but no other letter or digit.
-for _kind in ("iso_date", "day_date"):
-    PATTERNS[_kind] = PATTERNS[_kind].replace("MM", r"(?:0?[1-9]|1[0-2])").replace("DD", r"(?:0?[1-9]|[12]\d|3[01])").replace("END", r"(?!(?!T\d)[\p{L}\p{N}]|[/.\-]\d)")
+for _kind in ("iso_date", "day_date", "brief_date"):
+    PATTERNS[_kind] = PATTERNS[_kind].replace("M2", r"(?:0[1-9]|1[0-2])").replace("D2", r"(?:0[1-9]|[12]\d|3[01])").replace("MM", r"(?:0?[1-9]|1[0-2])").replace("DD", r"(?:0?[1-9]|[12]\d|3[01])").replace("END", r"(?!(?!T\d)[\p{L}\p{N}]|[/.\-]\d)")
+# A value of 8 to 200 signs with a letter and a digit, which is no address and none of the other kinds, and no expression of a program.
+_OTHER = "|".join(PATTERNS[k] for k in ("key", "secret", "jwt"))
+PATTERNS["assigned"] = (
+    r"(?i:passwo?r?d|passphrase|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key)[0-9A-Za-z_\-]{0,40}+[\"']?\s{0,3}" + _ASSIGN
+    + rf"(?!{_OTHER})(?![^\s@]{{1,100}}@[\p{{L}}\p{{N}}\-]{{1,60}}\.)(?=S{{0,200}}?[0-9])(?=S{{0,200}}?[A-Za-z])(?!=)S{{8,200}}+(?!S|[\p{{L}}\p{{N}}(\[]|\.[\p{{L}}\p{{N}}])".replace("S{", _SIGN + "{").replace("(?!S|", f"(?!{_SIGN}|")
+)
 #: Country codes of one and two digits; all others have three.
 COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 #: All DAYS[0] * DAYS[1] = 73,049 days from FIRST_DAY to 2099-12-31, which the patterns accept, are permuted among themselves.
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
-#: Steps of a cycle walk; a step ends three walks of five.
+#: The hundred years that years of two digits stand for.
+BRIEF_YEARS = (1930, 2029)
+#: Steps of a cycle walk; a step ends three walks of five, or three of ten where the year has two digits.
 WALK = 200
 #: Social security areas are 1 to 899 without 666.
 AREAS, SERIALS = 898, 99 * 9999
@@ -181,6 +197,16 @@ def pseudonym_phone(value: Column, key: str) -> Column:
     return let(only_digits(value), changed)
 
 
+def pseudonym_email(value: Column, key: str) -> Column:
+    """The name is permuted as if in small letters and gets its capitals again, so addresses that differ in case stay linked."""
+    at = F.instr(value, "@")
+    name = F.substring(value, F.lit(1), at - 1)
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    recased = lambda new: F.array_join(F.zip_with(F.split(name, ""), F.split(new, ""), lambda a, b: F.when(a.rlike("^[A-Z]$"), F.upper(b)).otherwise(b)), "")
+    small = permuted_text(F.translate(name, capitals, capitals.lower()), key, "email")
+    return F.concat(let(small, recased), F.substring(value, at, F.length(value)))
+
+
 def permuted_hex(value: Column, key: str, kind: str) -> Column:
     """The network on hexadecimal digits; other signs stay. A value in capitals stays so, other values become small."""
     done = let(F.lower(value), lambda x: permuted_text(x, key, kind, hexadecimal=True))
@@ -219,6 +245,32 @@ def pseudonym_key(value: Column, key: str) -> Column:
     return let(prefix, lambda p: F.concat(p, let(F.substring(value, F.length(p) + 1, F.length(value)), lambda rest: permuted_text(rest, key, "key"))))
 
 
+def pseudonym_jwt(value: Column, key: str) -> Column:
+    """The header, which names the way of signing, stays; content and signature are permuted."""
+    header = F.substring_index(value, ".", 1)
+    return F.concat(header, let(F.substring(value, F.length(header) + 1, F.length(value)), lambda rest: permuted_text(rest, key, "jwt")))
+
+
+def pseudonym_pem(value: Column, key: str) -> Column:
+    """Each line of a private key, broken by line ends or by ``\\n`` as in JSON; the first, the last and those with a colon stay."""
+    ends = r"(?:\r|\n|\\r|\\n)+|(?<=KEY-----)|(?=-----END)"
+    lines = F.transform(F.split(value, ends, -1), lambda x: F.when(x.contains(":") | x.startswith("-----"), x).otherwise(permuted_text(x, key, "pem")))
+    marks = F.concat(F.regexp_extract_all(value, F.lit(ends), F.lit(0)), F.array(F.lit("")))
+    return F.array_join(F.zip_with(lines, marks, lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")
+
+
+def pseudonym_assigned(value: Column, key: str) -> Column:
+    """The value after the sign of assignment."""
+    name = F.regexp_extract(value, "^[^:=]*+" + _ASSIGN, 0)
+    return let(name, lambda n: F.concat(n, let(F.substring(value, F.length(n) + 1, F.length(value)), lambda rest: permuted_text(rest, key, "assigned"))))
+
+
+def pseudonym_ipv6(value: Column, key: str) -> Column:
+    """Link-local addresses stay such."""
+    local = F.regexp_extract(value, "^[fF][eE]80:", 0)
+    return let(local, lambda p: F.concat(p, let(F.substring(value, F.length(p) + 1, F.length(value)), lambda rest: permuted_hex(rest, key, "ipv6"))))
+
+
 def pseudonym_ip(value: Column, key: str) -> Column:
     part = lambda i: F.split(value, r"\.")[i].cast("int")
     done = permuted(part(0) * 256 + part(1), part(2) * 256 + part(3), 65536, 65536, key, "ip")
@@ -226,22 +278,26 @@ def pseudonym_ip(value: Column, key: str) -> Column:
 
 
 def pseudonym_ssn(value: Column, key: str) -> Column:
-    area, group, serial = (F.split(value, "-")[i].cast("int") for i in range(3))
+    area, group, serial = (F.split(value, "[ -]")[i].cast("int") for i in range(3))
     done = permuted(area - 1 - (area > 666).cast("int"), (group - 1) * 9999 + serial - 1, AREAS, SERIALS, key, "ssn")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return let(done, lambda x: F.concat_ws("-", pad(x["l"] + 1 + (x["l"] > 664).cast("int"), 3), pad(F.floor(x["r"] / 9999) + 1, 2), pad(F.pmod(x["r"], F.lit(9999)) + 1, 4)))
+    mark = F.substring(value, 4, 1)
+    return let(done, lambda x: F.concat(pad(x["l"] + 1 + (x["l"] > 664).cast("int"), 3), mark, pad(F.floor(x["r"] / 9999) + 1, 2), mark, pad(F.pmod(x["r"], F.lit(9999)) + 1, 4)))
 
 
 def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
     """A real date becomes another one, equal days the same in year-first and day-first formats. Days that no calendar has stay.
 
     A month comes first only where the second number is over 12; then the new day is over 12, too, so that it can be
-    mistaken for no day-first date: the permutation is applied until that holds. One-digit numbers stay without zeros.
+    mistaken for no day-first date: the permutation is applied until that holds. A year of two digits is one of
+    ``BRIEF_YEARS``; the permutation is then applied until the new one is, too. One-digit numbers stay without zeros.
     """
     one, two, three = (F.split(value, r"[/.\-]")[i] for i in range(3))
     swapped = F.lit(False) if iso else two.cast("int") > 12
     year, month, day = (one, two, three) if iso else (three, F.when(swapped, one).otherwise(two), F.when(swapped, two).otherwise(one))
     pad = lambda x: F.lpad(x, 2, "0")
+    brief = F.length(year) == 2
+    year = F.when(brief, F.concat(F.when(year.cast("int") >= BRIEF_YEARS[0] % 100, F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
     date = F.try_to_date(F.concat_ws("-", year, pad(month), pad(day)), "yyyy-MM-dd")
     first = F.lit(FIRST_DAY).cast("date")
     mark = F.regexp_extract(value, r"[/.\-]", 0)
@@ -249,7 +305,7 @@ def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
 
     def shown(new: Column) -> Column:
         m, d = (F.when(short, x.cast("string")).otherwise(pad(x.cast("string"))) for x in (F.month(new), F.day(new)))
-        y = F.year(new).cast("string")
+        y = F.when(brief, F.substring(F.year(new).cast("string"), 3, 2)).otherwise(F.year(new).cast("string"))
         return F.concat(y, mark, m, mark, d) if iso else F.concat(F.when(swapped, m).otherwise(d), mark, F.when(swapped, d).otherwise(m), mark, y)
 
     def moved(n: Column) -> Column:
@@ -258,8 +314,8 @@ def pseudonym_date(value: Column, key: str, iso: bool) -> Column:
     def walked(n: Column) -> Column:
         if iso:
             return moved(n)
-        go_on = lambda at: swapped & (F.day(F.date_add(first, at)) <= 12)
-        return F.aggregate(F.sequence(F.lit(1), F.when(swapped, WALK).otherwise(1)), moved(n), lambda at, _: F.when(go_on(at), moved(at)).otherwise(at))
+        go_on = lambda at: swapped & (F.day(F.date_add(first, at)) <= 12) | brief & ~F.year(F.date_add(first, at)).between(*BRIEF_YEARS)
+        return F.aggregate(F.sequence(F.lit(1), F.when(swapped | brief, WALK).otherwise(1)), moved(n), lambda at, _: F.when(go_on(at), moved(at)).otherwise(at))
 
     return let(F.datediff(date, first), lambda n: F.when(n.isNotNull(), let(F.date_add(first, walked(n)), shown)).otherwise(value))
 
@@ -291,19 +347,21 @@ def pseudonym_word_date(value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one value that was found."""
     is_kind = lambda kind: value.rlike(f"^(?:{PATTERNS[kind]})$")
-    at = F.instr(value, "@")
     return (
-        F.when(at > 0, F.concat(permuted_text(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
+        F.when(is_kind("email"), pseudonym_email(value, key))
         .when(is_kind("key"), pseudonym_key(value, key))
+        .when(is_kind("pem"), pseudonym_pem(value, key))
+        .when(is_kind("jwt"), pseudonym_jwt(value, key))
+        .when(is_kind("assigned"), pseudonym_assigned(value, key))
         .when(is_kind("secret"), permuted_hex(value, key, "secret"))
         .when(is_kind("hardware"), permuted_hex(value, key, "hardware"))
-        .when(is_kind("ipv6"), permuted_hex(value, key, "ipv6"))
+        .when(is_kind("ipv6"), pseudonym_ipv6(value, key))
         .when(is_kind("ip"), pseudonym_ip(value, key))
         .when(is_kind("iban"), pseudonym_iban(value, key))
         .when(is_kind("card"), pseudonym_card(value, key))
         .when(is_kind("ssn"), pseudonym_ssn(value, key))
         .when(is_kind("iso_date"), pseudonym_date(value, key, True))
-        .when(is_kind("day_date"), pseudonym_date(value, key, False))
+        .when(is_kind("day_date") | is_kind("brief_date"), pseudonym_date(value, key, False))
         .when(is_kind("word_date"), pseudonym_word_date(value, key))
         .otherwise(pseudonym_phone(value, key))
     )
@@ -320,7 +378,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: s
         raise ValueError(f"docs has a column {found_col}; name another found_col")
     hits_col, new_col, count_col = (free_name(docs, c) for c in ("hits", "pseudonyms", "changed"))
     text, none = F.col(f"`{text_col}`"), F.array().cast("array<string>")
-    hits = F.when(text.rlike(r"[0-9]|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    hits = F.when(text.rlike(r"[0-9]|@|eyJ|PRIVATE KEY-----"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
     rows = docs.withColumn(hits_col, F.coalesce(hits, none))
     rows = rows.withColumn(new_col, F.transform(hits_col, lambda v: pseudonym(v, key)))
     changed = F.size(F.filter(F.zip_with(hits_col, new_col, lambda a, b: a != b), lambda x: x))
