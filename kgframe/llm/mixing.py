@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is its share of the target rows over the rows it has. Each document's count is the
 inverse of that Poisson distribution at a number hashed from the seed and the document's id; the document is exploded
-by its count and all copies are shuffled globally by a hash. Only DataFrame functions are used: there is no join, so
+by its count and all copies are shuffled globally by a hash. A high rate is a sum of Poisson numbers of rate WHOLE and
+a rest, each inverted at a hashed number of its own, so no plan grows with a rate. Only DataFrame functions are used: there is no join, so
 a source that holds a third of all rows costs no more than others.
 """
 
@@ -19,6 +20,8 @@ from kgframe.llm.common import free_name, table
 REST = "*"
 #: Hashed numbers have this many bits, so that SQL engines can hold them exactly.
 BITS = 52
+#: Rates above this are cut into parts of it and a rest.
+WHOLE = 128
 
 #: Production weights: shares of the mix.
 WEIGHTS = {"src0": 0.10, "src1": 0.08, "src2": 0.08, "src3": 0.06, "src4": 0.06, "src5": 0.12, REST: 0.50}
@@ -48,6 +51,19 @@ def poisson_steps(rate: float) -> list[float]:
     return steps
 
 
+def poisson_count(rate: float, seed: str, name: Column) -> Column:
+    """The Poisson count of a row whose hash is of ``name``: the inverted rest of the rate, plus its inverted whole parts."""
+
+    def inverted(r: float, u: Column) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(x) for x in poisson_steps(r)]), lambda step: u >= step))
+
+    parts = max(0, math.ceil(rate / WHOLE) - 1)
+    rest = inverted(rate - parts * WHOLE, uniform(seed, name))
+    if not parts:
+        return rest
+    return F.aggregate(F.sequence(F.lit(1), F.lit(parts)), rest, lambda n, i: n + inverted(float(WHOLE), uniform(seed, F.lit("part"), i, name)))
+
+
 def rates(docs: DataFrame, weights: dict[str, float], total: int | None = None, source_col: str = "source") -> dict[str, float]:
     """The mean repetition rate of each weighted stratum. ``total``: rows of the mix, as many as ``docs`` has by default.
 
@@ -64,22 +80,22 @@ def replicate(docs: DataFrame, weights: dict[str, float], seed: str, total: int
     """``docs`` with every row repeated by its Poisson count, in global random order; ``copy_col`` counts from 1.
 
     A source without a weight belongs to ``*``; where ``*`` has none either, its rows have rate 0 and go. Null ids and
-    null sources hash as the word null. Rows with equal ids get equal counts. An empty table gives an empty table.
+    null sources hash as the word null. Rows with equal ids get equal counts; the order is the same for the same partitions of ``docs``. An empty table gives an empty table.
     All columns of ``docs`` are kept; ``copy_col`` must not be one of them.
     """
     if copy_col in docs.columns:
         raise ValueError(f"docs has a column {copy_col}; name another copy_col")
     found = rates(docs, weights, total, source_col)
-    u = uniform(seed, F.col(id_col))
     own = stratum(F.col(source_col), weights)
     count = F.lit(0)
     for s, rate in found.items():
-        steps = F.array(*[F.lit(x) for x in poisson_steps(rate)])
-        count = F.when(own == s, F.size(F.filter(steps, lambda step: u >= step))).otherwise(count)
-    count_col, key_col = free_name(docs, "copies"), free_name(docs, "place")
+        count = F.when(own == s, poisson_count(rate, seed, F.col(id_col))).otherwise(count)
+    count_col, key_col, from_col = free_name(docs, "copies"), free_name(docs, "place"), free_name(docs, "read_in")
     copies = docs.withColumn(count_col, count).filter(F.col(count_col) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(count_col)))).drop(count_col)
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col))
-    return copies.withColumn(key_col, key).repartition(key_col).sortWithinPartitions(key_col).drop(key_col)
+    # the partition that a row is read in parts rows that repeat an id, however many they are
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy_col), F.col(from_col))
+    copies = copies.withColumn(from_col, F.spark_partition_id()).withColumn(key_col, key).drop(from_col)
+    return copies.repartition(key_col).sortWithinPartitions(key_col).drop(key_col)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,17 +117,28 @@ rates AS (
   SELECT stratum, (SELECT sum(n) FROM counts) * weight / sum(weight) OVER () / n AS rate
   FROM counts JOIN weights USING (stratum)
 ),
+parts AS (SELECT stratum, greatest(0, ceil(rate / {WHOLE}) - 1)::BIGINT AS parts, rate - {WHOLE} * greatest(0, ceil(rate / {WHOLE}) - 1) AS rest FROM rates),
 terms AS (
-  SELECT stratum, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-  FROM rates, range(0, 400) AS t(k) WHERE k <= rate + 40 * sqrt(rate + 1) + 40
+  SELECT stratum, k, exp(k * ln(rest) - rest - lgamma(k + 1)) AS p
+  FROM (SELECT stratum, rest FROM parts UNION ALL SELECT '-', {WHOLE}.0 WHERE EXISTS (FROM parts WHERE parts > 0)), range(0, 400) AS t(k)
+  WHERE k <= rest + 40 * sqrt(rest + 1) + 40
 ),
 steps AS (SELECT stratum, k, sum(p) OVER (PARTITION BY stratum ORDER BY k) AS upto FROM terms),
+whole AS (
+  SELECT stratum, name, count(*) AS copies
+  FROM (SELECT stratum, name, ((('0x' || substr(md5('{seed}:part:' || i || ':' || name), 1, {BITS // 4}))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS u
+        FROM (SELECT stratum, name, unnest(range(1, parts + 1)) AS i
+              FROM (SELECT DISTINCT stratum, coalesce(doc_id::VARCHAR, 'null') AS name FROM strata) JOIN parts USING (stratum) WHERE parts > 0)) n
+  JOIN (SELECT upto FROM steps WHERE stratum = '-') w ON w.upto <= n.u
+  GROUP BY ALL
+),
 numbered AS (
   SELECT *, (('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')), 1, {BITS // 4}))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM strata
 ),
 counted AS (
-  SELECT n.*, (SELECT count(*) FROM steps s WHERE s.stratum = n.stratum AND s.upto <= n.u) AS copies FROM numbered n
+  SELECT n.*, (SELECT count(*) FROM steps s WHERE s.stratum = n.stratum AND s.upto <= n.u) + coalesce(w.copies, 0) AS copies
+  FROM numbered n LEFT JOIN whole w ON w.stratum = n.stratum AND w.name = coalesce(n.doc_id::VARCHAR, 'null')
 )
 SELECT {columns}, c AS copy_no FROM (SELECT *, unnest(range(1, copies + 1)) AS c FROM counted WHERE copies > 0)
 """

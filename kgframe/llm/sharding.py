@@ -44,7 +44,7 @@ def balanced_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     A row's size is its UTF-8 bytes plus 1 (1 for a null text). It goes to the shard in which its middle byte lies,
     so a shard's bytes differ from the target by at most one row's. Rows with equal or null ids are ordered by
     checksum and size and all are kept; a shard may be empty if one text is larger than the target. An empty table
-    gives no rows. Returns id, size, text_crc32 (null for a null text's), shard, slot (gapless from 0).
+    gives no rows. Returns id, size, text_crc32 (a null text's is that of the empty one), shard, slot (gapless from 0).
     """
     slim = docs.select(
         F.col(id_col),

@@ -252,6 +252,26 @@ def test_mixing_meets_its_targets(spark):
         mixing.replicate(docs.withColumn("copy_no", F.lit(1)), {"*": 1.0}, "s")
 
 
+def test_mixing_at_high_rates(spark):
+    """A source of three rows that makes a sixth of the mix: the SQL's counts, the plan as short as at low rates."""
+    rows = spark.range(30000).selectExpr("id AS doc_id", "'other' AS source").unionByName(spark.createDataFrame([(-1, "src0"), (-1, "src0"), (None, "src0")], "doc_id long, source string"))
+    got = {tuple(r[:2]): r[2] for r in mixing.replicate(rows, mixing.WEIGHTS, mixing.SEED).groupBy("doc_id", "source").count().collect()}
+    con = duckdb.connect()
+    con.register("documents", rows.toPandas().astype({"doc_id": "Int64"}))
+    want = {r[:2]: r[2] for r in con.execute(f"SELECT doc_id, source, count(*) FROM ({mixing.mixing_sql('documents', mixing.SEED, 'doc_id, source')}) GROUP BY ALL").fetchall()}
+    assert got == want
+    rate = 30003 / 6 / 3
+    assert abs(got[None, "src0"] - rate) < 6 * math.sqrt(rate) and got[-1, "src0"] % 2 == 0
+    plan = str(spark.range(1).select(mixing.poisson_count(10.0**7, "s", F.col("id")))._jdf.queryExecution().optimizedPlan())
+    assert len(plan) < 100_000
+
+
+def test_mixing_deals_rows_that_repeat_an_id(spark):
+    rows = spark.range(0, 8000, 1, 8).selectExpr("1L AS doc_id", "'other' AS source", "id AS n")
+    made = mixing.replicate(rows, {"*": 1.0}, "s", total=80_000).withColumn("part", F.spark_partition_id())
+    assert made.groupBy("n").count().select("count").distinct().count() == 1 and made.select("part").distinct().count() > 1
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
