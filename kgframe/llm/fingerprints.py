@@ -104,7 +104,8 @@ def _pair_row(text: str, following: str, own: str, checks: bool) -> tuple:
 def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", checks: bool = False) -> DataFrame:
     """Digests of each text and of its edited text, whose last half comes from the next document by ascending id.
 
-    One shuffle, by range of the id, brings neighbours together; each task holds one row besides its slice. The rows
+    One shuffle, by range of the id and the text's hash, brings neighbours together, so that an id that most rows repeat
+    is dealt to many tasks; each task holds one row besides its slice. The rows
     at the ends of the partitions, two of each, are matched afterwards. Rows with equal ids follow in the order of
     their text's hash, null ids come first. With ``checks`` the SHA-256 of both canonical texts is added (own_check,
     edited_check).
@@ -114,7 +115,8 @@ def paired_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing = (None,) * (8 if checks else 6)
     schema = f"`{id_col}` {kind}, {pair}, part int, head string, tail string"
     ordered = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(id_col).withColumn("part", F.spark_partition_id()).sortWithinPartitions(id_col, F.xxhash64("text"))
+    order = [F.col(id_col), F.xxhash64("text")]
+    ordered = ordered.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

@@ -232,6 +232,26 @@ def test_sharding_of_repeated_rows(docs):
     assert got.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap")).filter("gap <> 0").count() == 0
 
 
+def test_paired_digests_of_an_id_that_most_rows_repeat(spark, monkeypatch):
+    """Rows of one id follow each other by hash, and are dealt to many tasks."""
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 50 = 0 THEN id ELSE 1000 END AS doc_id", "concat('text ', id, ' and more') AS text")
+    tables = []
+    real = fingerprints.written
+    monkeypatch.setattr(fingerprints, "written", lambda df, name: tables.append(real(df, name)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["doc_id"], r["edited_sha256"]) for r in fingerprints.paired_digests(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = docs.orderBy("doc_id", F.xxhash64("text")).collect()
+    want = []
+    for r, s in zip(rows, rows[1:] + rows[:1]):
+        k = len(r["text"]) // 2
+        want.append((r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - k] + s["text"][:k]).encode()).hexdigest()))
+    assert got == sorted(want)
+    assert tables[0].filter("head is not null").count() > 3
+
+
 def test_mixing_equals_its_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
