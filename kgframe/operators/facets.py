@@ -69,10 +69,12 @@ def filter_facets(df: DataFrame, facet_ids: list[str] | None = None, domains: li
 
 
 def facet_id_of() -> F.Column:
+    """The id of a row's facet, from its five columns."""
     return facet_id(*[F.col(c) for c in ("import_name", "measurement_method", "observation_period", "scaling_factor", "unit")])
 
 
 def with_facet_id(df: DataFrame) -> DataFrame:
+    """``df`` with the id of each row's facet as ``facet_id``."""
     return df.withColumn("facet_id", facet_id_of())
 
 

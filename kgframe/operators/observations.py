@@ -39,6 +39,7 @@ def latest(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def latest_per_series(obs: DataFrame) -> DataFrame:
+    """The latest point of each series."""
     return latest(obs, SERIES)
 
 
