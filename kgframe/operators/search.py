@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgframe.functions.scalars import grid_key, recon_name, tokenize
 from kgframe.operators import polygons
+from kgframe.operators.vectors import best_pairs, shards_for, sized
 from kgframe.sources.shared import written
 
 
@@ -60,29 +60,20 @@ def rank_nodes(queries: DataFrame, nodes: DataFrame, types: list[str] | None = N
     return rows.filter(F.col("position") <= limit).select("query", "subject_id", "score", "position")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None, block: int = 256) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, threshold: float, limit: int, labels: list[int] | None = None) -> DataFrame:
     """query_id, vec_id, score, position: cosine similarity of at least ``threshold``, the ``limit`` best for each query.
 
-    Exact (``vectors`` has an index). queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label) in
-    blocks of about ``block`` queries, so a row holds that many scores at most, whatever the number of queries; each vector
-    is sent once for each block. The vectors are dealt into parts that each meet a copy of the block, so no key holds
-    them all. Scores below the threshold go before rows are made of them.
+    Exact (``vectors`` has an index). queries (query_id, q) are a stated set that meets all vectors (vec_id, v, label).
+    The vectors are dealt evenly, whatever their ids, into shards of about half a million numbers; each query is sent to each
+    shard and brings back ``limit`` rows (``vectors.best_pairs``).
     """
     if labels:
         vectors = vectors.filter(F.col("label").isin(labels))
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = lambda c: F.sqrt(dot(c, c))
-    q = queries.select("query_id", double("q").alias("q")).withColumn("qn", unit(F.col("q"))).filter("qn > 0")
-    n = max(1, math.ceil(q.count() / block))
-    blocks = q.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(n))).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "qn")).alias("qs"))
-    parts = math.ceil(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) / n)
-    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    v = vectors.select("vec_id", double("v").alias("v")).withColumn("vn", unit(F.col("v"))).filter("vn > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    scores = F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), (dot(x["q"], F.col("v")) / (x["qn"] * F.col("vn"))).alias("score")))
-    scored = v.join(blocks, ["block", "part"]).select("vec_id", F.explode(F.filter(scores, lambda s: s["score"] >= threshold)).alias("s")).select("vec_id", "s.*")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    q, v = sized(queries.select("query_id", "q"), "q"), sized(vectors.select("vec_id", "v"), "v")
+    n = shards_for(vectors.agg(F.sum(F.size("v"))).first()[0] or 0)
+    q = q.withColumn("lists", F.lit(None).cast("array<int>")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    v = v.repartition(n).withColumn("shard", F.spark_partition_id()).withColumn("list", F.lit(None).cast("int"))
+    return best_pairs(q, v, n, threshold, limit)
 
 
 def vector_candidates(found: DataFrame, subject_col: str, limit: int) -> DataFrame:

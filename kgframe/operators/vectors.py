@@ -1,4 +1,4 @@
-"""An inverted file over vectors: lists around k-means centres, of which a query reads the nearest."""
+"""Exact search of vectors in blocks, and an inverted file: lists around k-means centres, of which a query reads the nearest."""
 
 from __future__ import annotations
 
@@ -9,16 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgframe.sources.shared import shared_dir, written
+from kgframe.sources.shared import shared_dir, ship, written
 
 #: Vectors that the centres are fitted on, and lists, at most.
 SAMPLE, LISTS = 50_000, 1024
+#: Numbers in the vectors of a shard, queries that meet it at once, and numbers that are multiplied at once to score pairs.
+SHARD_VALUES, BLOCK, SLICE = 1 << 19, 256, 1 << 21
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -32,6 +35,138 @@ def _unit(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("__size", size).filter("__size > 0 AND __size < double('infinity')").withColumn(column, F.transform(v, lambda x: x / F.col("__size"))).drop("__size")
 
 
+def _running(products: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from left to right as ``_dot`` does, so that equal vectors get equal scores."""
+    return np.add.accumulate(products, axis=1)[:, -1]
+
+
+@dataclass
+class _Group:
+    """Vectors of one length, of one list if there are lists: their rows in the shard, ascending, entries and sizes."""
+
+    rows: np.ndarray
+    v: np.ndarray
+    size: np.ndarray
+    unit: np.ndarray
+
+
+def _hard(size: np.ndarray) -> np.ndarray:
+    """Where squares of entries are beyond what doubles hold in full."""
+    return ~((size > 1e-140) & (size < 1e140))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _held(shard: pa.Table) -> dict[tuple[int, int], _Group]:
+    """The vectors of a shard by list (-1 without lists) and length."""
+    lists = shard.column("list").combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
+    v = shard.column("v").combine_chunks()
+    lengths = v.value_lengths().to_numpy(zero_copy_only=False)
+    sizes = shard.column("size").to_numpy()
+    order = np.lexsort((lengths, lists))
+    cuts = np.flatnonzero((np.diff(lists[order]) != 0) | (np.diff(lengths[order]) != 0)) + 1
+    out = {}
+    for rows in np.split(order, cuts):
+        m = _matrix(v.take(pa.array(rows)))
+        out[int(lists[rows[0]]), int(lengths[rows[0]])] = _Group(rows, m, sizes[rows], m / sizes[rows][:, None])
+    return out
+
+
+def _best(group: _Group, q: np.ndarray, size: np.ndarray, threshold: float, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row of the group and score of each query's ``limit`` best at least: one product of matrices tells which pairs
+    can be among them, and those are scored by ``_running``."""
+    near = (q / size[:, None]) @ group.unit.T
+    hard = _hard(size)[:, None] | _hard(group.size)  # of these only the score itself tells
+    near[hard] = -np.inf
+    least = np.full(len(q), float(threshold))
+    if near.shape[1] > limit:
+        least = np.maximum(least, np.partition(near, -limit, axis=1)[:, -limit])
+    at, row = np.nonzero((near >= (least - 1e-12 * (8 + q.shape[1]))[:, None]) | hard)
+    step = max(1, SLICE // q.shape[1])
+    parts = [_running(q[at[k : k + step]] * group.v[row[k : k + step]]) for k in range(0, len(at), step)]
+    score = np.concatenate(parts or [np.zeros(0)]) / (size[at] * group.size[row])
+    kept = (score >= threshold) | np.isnan(score)
+    return at[kept], row[kept], score[kept]
+
+
+def best_pairs(queries: DataFrame, vectors: DataFrame, shards: int, threshold: float, limit: int) -> DataFrame:
+    """query_id, vec_id, score, position: the ``limit`` best vectors of each query among those in the same shards, by the
+    inner product over both sizes, at least ``threshold``.
+
+    queries: shard (int, from 0 to ``shards`` - 1), query_id, q, size and lists (array, null for all); vectors: shard, vec_id,
+    v, size and list (or null).
+    Exact: each pair is worked out, in blocks of 256 queries with the vectors of a shard, as products of matrices; a
+    task holds one shard and one block, and sends on ``limit`` rows for each query. Equal scores go by vec_id.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    ids = T.StructType([T.StructField(c, df.schema[c].dataType) for c, df in (("query_id", queries), ("vec_id", vectors))])
+    null = lambda kind: F.lit(None).cast(kind)
+    there = vectors.select("shard", F.lit(0).alias("kind"), null(ids["query_id"].dataType).alias("query_id"), "vec_id", "v", "size", F.col("list").cast("int").alias("list"), null("array<int>").alias("lists"))
+    asked = queries.select("shard", F.lit(1).alias("kind"), "query_id", null(ids["vec_id"].dataType).alias("vec_id"), F.col("q").alias("v"), "size", null("int").alias("list"), F.col("lists").cast("array<int>").alias("lists"))
+
+    def search(held: dict[tuple[int, int], _Group], names: pa.Array, block: pa.RecordBatch) -> pa.RecordBatch:
+        v, sizes, lists = block.column("v"), block.column("size").to_numpy(), block.column("lists")
+        lengths = v.value_lengths().to_numpy(zero_copy_only=False)
+        every = lists.is_null().to_numpy(zero_copy_only=False)
+        flat, of = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(block)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        found = []
+        for dim in np.unique(lengths):
+            same = np.flatnonzero(lengths == dim)
+            q, place = _matrix(v.take(pa.array(same))), np.full(len(block), -1)
+            place[same] = np.arange(len(same))
+            for (name, length), group in held.items():
+                if length == dim:
+                    at = same if every.all() else np.intersect1d(np.union1d(np.flatnonzero(every), of[flat == name]), same)
+                    if len(at):
+                        mine, row, score = _best(group, q[place[at]], sizes[at], threshold, limit)
+                        found.append((at[mine], group.rows[row], score))
+        at, row, score = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        order = np.lexsort((row, -np.where(np.isnan(score), np.inf, score), at))
+        at, row, score = at[order], row[order], score[order]
+        first = np.searchsorted(at, at)  # where the query's rows begin
+        top = np.arange(len(at)) - first < limit
+        return pa.RecordBatch.from_arrays([block.column("query_id").take(pa.array(at[top])), names.take(pa.array(row[top])), pa.array(score[top], pa.float64())], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, waiting, held, names = None, [], {}, None
+        for batch in batches:
+            key = batch.column("shard").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)] if len(key) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if key[a] // 2 != shard:
+                    shard, waiting, held, names = key[a] // 2, [], {}, None
+                if key[a] % 2 == 0:
+                    waiting.append(batch.slice(a, b - a))
+                elif waiting or held:
+                    if waiting:
+                        table = pa.Table.from_batches(waiting)
+                        with np.errstate(all="ignore"):
+                            held, names, waiting = _held(table), table.column("vec_id").combine_chunks(), []
+                    for k in range(a, b, BLOCK):
+                        with np.errstate(all="ignore"):
+                            found = search(held, names, batch.slice(k, min(BLOCK, b - k)))
+                        yield found
+
+    both = there.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    found = both.mapInArrow(run, T.StructType([*ids.fields, T.StructField("score", T.DoubleType())]))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+
+
+def sized(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a vector that has no null and is not zero, as doubles, and its length as ``size``."""
+    v = F.transform(column, lambda x: x.cast("double"))
+    return df.withColumn(column, v).withColumn("size", F.sqrt(_dot(F.col(column), F.col(column)))).filter("size > 0")
+
+
+def shards_for(values: int) -> int:
+    """Shards that hold ``SHARD_VALUES`` numbers each."""
+    return max(1, math.ceil(values / SHARD_VALUES))
+
+
 @dataclass
 class VectorIndex:
     """Unit vectors as a table partitioned by ``list``, the centres of the lists and the number of vectors in each."""

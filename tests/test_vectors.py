@@ -1,11 +1,12 @@
 """The vector index against exact search: on evenly spread directions and on clusters."""
 
 import math
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from kgframe.operators import vectors
+from kgframe.operators import search, vectors
 from kgframe.plans import q_search
 from kgframe.sources.shared import ship
 
@@ -73,3 +74,12 @@ def test_hard_vectors(spark):
     assert vectors.search_vector_index(q.filter("query_id = 2"), index, 0.5, 10).collect() == []
     empty = vectors.build_vector_index(df.filter("vec_id = 2"))
     assert empty.sizes == {} and vectors.search_vector_index(q, empty, 0.5, 10).collect() == [] and vectors.share_read(q, empty, 3) == 0
+
+
+def test_many_pairs_take_little_time(spark):
+    entry = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.hash(F.col("id"), k) / F.lit(2.0**31))
+    v = spark.range(40_000).select(F.col("id").alias("vec_id"), entry.alias("v"), F.lit(1).alias("label"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    began = time.time()
+    assert search.vector_search(q, v, 0.1, 10).count() == 20_000
+    assert time.time() - began < 40  # 80 million pairs
