@@ -83,3 +83,26 @@ def test_many_pairs_take_little_time(spark):
     began = time.time()
     assert search.vector_search(q, v, 0.1, 10).count() == 20_000
     assert time.time() - began < 40  # 80 million pairs
+
+
+def test_exact_search_of_hard_vectors(spark):
+    inf, nan = math.inf, math.nan
+    rows = [
+        (7, [1.0, 2.0]), (3, [1.0, 2.0]), (None, [1.0, 2.0]), (5, [-1.0, -2.0]), (5, [2.0, 1.0]), (1, None), (2, [0.0, 0.0]), (4, [None, 1.0]), (6, [1.0, 2.0, 3.0]),
+        (8, [nan, 1.0]), (9, [inf, 1.0]), (10, [1e-160, 2e-160]), (11, [1e200, 1.0]), (12, []), *((20 + i, [1.0, float(i)]) for i in range(9)),
+    ]
+    v = spark.createDataFrame([(i, x, (i or 0) % 3) for i, x in rows], "vec_id long, v array<double>, label int")
+    q = v.filter("vec_id IS NULL OR vec_id < 13").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = q.crossJoin(v.select("vec_id", F.col("v").alias("w"), "label"))
+    double = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    size = lambda c: F.sqrt(double(c, c))
+    scored = pairs.filter((size("q") > 0) & (size("w") > 0)).withColumn("score", double("q", "w") / (size("q") * size("w"))).filter("score >= 0.2")
+    order = lambda r: (r["query_id"] is not None, r["query_id"] or 0, 0.0 if math.isnan(r["score"]) else 1.0, 0.0 if math.isnan(r["score"]) else -r["score"], r["vec_id"] is not None, r["vec_id"] or 0)
+    for labels in (None, [0, 2]):
+        want = {}
+        for r in sorted(scored.filter(F.col("label").isin(labels)).collect() if labels else scored.collect(), key=order):
+            want.setdefault(r["query_id"], []).append((r["vec_id"], str(r["score"])))
+        got = {}
+        for r in sorted(search.vector_search(q, v, 0.2, 4, labels).collect(), key=lambda r: r["position"]):
+            got.setdefault(r["query_id"], []).append((r["vec_id"], str(r["score"])))
+        assert got == {k: x[:4] for k, x in want.items()}
