@@ -32,7 +32,8 @@ def _unit(df: DataFrame, column: str) -> DataFrame:
     """Rows whose vector has a direction, with the vector as doubles of length one."""
     v = F.transform(column, lambda x: x.cast("double"))
     size = F.sqrt(_dot(v, v))
-    return df.withColumn("__size", size).filter("__size > 0 AND __size < double('infinity')").withColumn(column, F.transform(v, lambda x: x / F.col("__size"))).drop("__size")
+    units = F.transform(F.array(size), lambda n: F.transform(v, lambda x: x / n))  # else Spark works the size out for each entry
+    return df.filter((size > 0) & (size < float("inf"))).withColumn(column, F.get(units, F.lit(0)))
 
 
 def _running(products: np.ndarray) -> np.ndarray:
@@ -203,42 +204,73 @@ def build_vector_index(vectors: DataFrame, lists: int | None = None, sample: int
     return VectorIndex(table, centres, {r["list"]: r["count"] for r in table.groupBy("list").count().collect()})  # a row for each list
 
 
+def _shards(index: VectorIndex) -> dict[int, list[int]]:
+    """The shards that hold each list: short lists share one, long lists have several."""
+    rows = max(1, SHARD_VALUES // max(1, index.centres.shape[1]))
+    out, shard, room = {}, -1, 0
+    for name, n in sorted(index.sizes.items()):
+        parts = math.ceil(n / rows)
+        if parts > 1 or n > room:
+            out[name] = list(range(shard + 1, shard + 1 + parts))
+            shard, room = shard + parts, rows if parts == 1 else 0
+        else:
+            out[name] = [shard]
+        room -= n
+    return out
+
+
 def probed(queries: DataFrame, index: VectorIndex, probes: int | None) -> DataFrame:
-    """query_id, q, list: the ``probes`` lists whose centres are nearest to each query (query_id, q of length one), or all."""
-    centres, lists = index.centres, sorted(index.sizes)
+    """query_id, q, shard, lists: for each query (query_id, q of length one) the ``probes`` lists whose centres are nearest,
+    or all, a row for each shard that holds some of them."""
+    centres, lists, shards = index.centres, sorted(index.sizes), _shards(index)
     probes = len(lists) if probes is None else min(probes, len(lists))
+    held: dict[int, list[int]] = {}  # places in ``lists`` by shard
+    for k, name in enumerate(lists):
+        for shard in shards[name]:
+            held.setdefault(shard, []).append(k)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = centres[lists]
+        names = np.array(lists)
         for f in frames:
             if len(f):
-                near = np.argsort(-(np.vstack(f["q"].to_list()) @ held.T), axis=1, kind="stable")[:, :probes]
-                yield f.assign(list=[[lists[k] for k in row] for row in near])
+                asked = np.zeros((len(f), len(lists)), bool)
+                if probes == len(lists):
+                    asked[:] = True
+                else:
+                    near = np.argsort(-(np.vstack(f["q"].to_list()) @ centres[lists].T), axis=1, kind="stable")[:, :probes]
+                    np.put_along_axis(asked, near, True, axis=1)
+                for shard, own in held.items():
+                    part = asked[:, own]
+                    some = part.any(axis=1)
+                    yield f[some].assign(shard=shard, lists=[names[own][row] for row in part[some]])
 
-    if not lists:
-        return queries.withColumn("list", F.lit(0)).limit(0)
-    found = queries.mapInPandas(nearest, T.StructType([*queries.schema.fields, T.StructField("list", T.ArrayType(T.IntegerType()))]))
-    return found.withColumn("list", F.explode("list"))
+    schema = T.StructType([*queries.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("lists", T.ArrayType(T.IntegerType()))])
+    return queries.mapInPandas(nearest, schema) if lists else queries.withColumns({"shard": F.lit(0), "lists": F.array(F.lit(0))}).limit(0)
 
 
 def search_vector_index(queries: DataFrame, index: VectorIndex, threshold: float, limit: int, probes: int | None = None, where: Column | None = None) -> DataFrame:
     """query_id, vec_id, score, position: the ``limit`` best vectors of each query (query_id, q) by cosine similarity of at
     least ``threshold``, among those in the ``probes`` nearest lists; exact if ``probes`` is None. ``where`` restricts vectors.
 
-    Only files of lists that some query probes are read. Equal scores go by vec_id.
+    Only files of lists that some query probes are read. Equal scores go by vec_id. Lists are put together, or cut where
+    they are long, to shards of at most half a million numbers; a query goes once to each shard that it probes a list of.
     """
+    spark, shards = queries.sparkSession, _shards(index)
     asked = written(probed(_unit(queries.select("query_id", "q"), "q"), index, probes), "probed-lists")
-    wanted = [r["list"] for r in asked.select("list").distinct().collect()]  # at most LISTS
+    wanted = sorted(index.sizes) if probes is None else [r["list"] for r in asked.select(F.explode("lists").alias("list")).distinct().collect()]  # at most LISTS
     vectors = index.table.filter(F.col("list").isin(wanted)) if wanted else index.table.limit(0)
     vectors = vectors if where is None else vectors.filter(where)
-    scored = vectors.select("vec_id", "v", "list").join(asked, "list").select("query_id", "vec_id", _dot(F.col("q"), F.col("v")).alias("score")).filter(F.col("score") >= threshold)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    placed = spark.createDataFrame([(name, at) for name, at in shards.items()], "list int, shards array<int>")  # at most LISTS
+    number = F.pmod(F.monotonically_increasing_id(), F.size("shards").cast("long")).cast("int")  # whatever the id: one may be in most rows
+    vectors = vectors.select("vec_id", "v", "list", F.lit(1.0).alias("size")).join(F.broadcast(placed), "list").withColumn("shard", F.get("shards", number))
+    if probes is None:  # then a shard is searched as one
+        asked, vectors = asked.withColumn("lists", F.lit(None).cast("array<int>")), vectors.withColumn("list", F.lit(None).cast("int"))
+    return best_pairs(asked.withColumn("size", F.lit(1.0)), vectors, max([0, *(x for at in shards.values() for x in at)]) + 1, threshold, limit)
 
 
 def share_read(queries: DataFrame, index: VectorIndex, probes: int | None) -> float:
     """The share of all pairs of a query and a vector that a search works out."""
-    n = sum(index.sizes.values())
-    met = probed(_unit(queries.select("query_id", "q"), "q"), index, probes).groupBy("list").agg(F.count("*").alias("n")).collect()  # a row for each list
+    n, shards = sum(index.sizes.values()), _shards(index)
+    met = probed(_unit(queries.select("query_id", "q"), "q"), index, probes).select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()  # a row for each list
     asked = _unit(queries.select("query_id", "q"), "q").count()
-    return sum(index.sizes[r["list"]] * r["n"] for r in met) / max(1, n * asked)
+    return sum(index.sizes[r["list"]] * r["n"] / len(shards[r["list"]]) for r in met) / max(1, n * asked)

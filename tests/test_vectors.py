@@ -106,3 +106,11 @@ def test_exact_search_of_hard_vectors(spark):
         for r in sorted(search.vector_search(q, v, 0.2, 4, labels).collect(), key=lambda r: r["position"]):
             got.setdefault(r["query_id"], []).append((r["vec_id"], str(r["score"])))
         assert got == {k: x[:4] for k, x in want.items()}
+
+
+def test_a_query_goes_to_shards_not_to_lists(spark):
+    ship(spark)
+    df, q = tables(spark, np.random.default_rng(3).standard_normal((600, 4)), 10)
+    index = vectors.build_vector_index(df, lists=20)
+    assert len(index.sizes) > 10 and vectors.probed(q, index, None).count() == 60
+    assert abs(vectors.share_read(q, index, None) - 1) < 1e-9
