@@ -208,9 +208,12 @@ def child_places_by_type(children: DataFrame, population: DataFrame, k: int = 5)
 
 
 def nearby_places(nearby: DataFrame, population: DataFrame, least: int = 10_000, k: int = 5) -> DataFrame:
-    """place, near, distance, position: entries ``dcid@distance`` of each place with more than ``least`` people, k most populous."""
+    """place, near, distance, position: entries ``dcid@distance`` of each place with more than ``least`` people, k most populous.
+
+    Rows are dealt by place before they are sorted: what one task reads may hold many times as many entries.
+    """
     parts = F.split("entry", "@")
     rows = nearby.select("place", F.get(parts, F.lit(0)).alias("near"), F.get(parts, F.lit(1)).try_cast("double").alias("distance"))
-    rows = rows.join(population.select(F.col("place").alias("near"), "people"), "near").filter(F.col("people") > least)
+    rows = rows.join(population.select(F.col("place").alias("near"), "people"), "near").filter(F.col("people") > least).repartition("place")
     order = Window.partitionBy("place").orderBy(F.desc("people"), "near")
     return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).select("place", "near", "distance", "position")
