@@ -20,6 +20,8 @@ from kgframe.sources.shared import shared_dir, ship, written
 
 #: Vectors that the centres are fitted on, and lists, at most.
 SAMPLE, LISTS = 50_000, 1024
+#: Vectors of the sample in a task of the fit.
+FITTED = 4096
 #: Numbers in the vectors of a shard, queries that meet it at once, and numbers that are multiplied at once to score pairs.
 SHARD_VALUES, BLOCK, SLICE = 1 << 19, 256, 1 << 21
 
@@ -180,14 +182,15 @@ class VectorIndex:
 def build_vector_index(vectors: DataFrame, lists: int | None = None, sample: int = SAMPLE, seed: int = 1) -> VectorIndex:
     """Index vectors (vec_id, v, and what else is to be kept) by direction.
 
-    Centres are fitted by k-means on at most ``sample`` vectors, those with the least hash of their id; every vector is
-    indexed, in the list of its nearest centre. ``lists`` is the square root of the number of vectors if not given, at
+    Centres are fitted by k-means on at most ``sample`` vectors, those with the least hash of their id, by tasks of 4,096
+    each; every vector is indexed, in the list of its nearest centre. ``lists`` is the square root of the number of vectors if not given, at
     most 1,024. The table is written to the shared folder by list and id, so a list that most vectors are in is
     written and read by many tasks. Vectors without a direction (null, zero, non-finite entries) are left out.
     """
     spark = vectors.sparkSession
     units = _unit(vectors, "v")
-    chosen = written(units.select(array_to_vector("v").alias("features"), F.xxhash64("vec_id").alias("order")).orderBy("order").limit(sample).select("features"), "index-sample")
+    chosen = units.select(array_to_vector("v").alias("features"), F.xxhash64("vec_id").alias("order")).orderBy("order").limit(sample)
+    chosen = written(chosen.repartition(math.ceil(sample / FITTED)).select("features"), "index-sample")  # else one file and one task hold it whole
     n = units.count()
     if not n:
         return VectorIndex(written(units.withColumn("list", F.lit(0)), "vector-index"), np.zeros((0, 0)), {})
@@ -195,7 +198,7 @@ def build_vector_index(vectors: DataFrame, lists: int | None = None, sample: int
     if lists == 1:
         placed, centres = units.withColumn("list", F.lit(0)), np.zeros((1, len(units.first()["v"])))
     else:
-        model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", predictionCol="list").fit(chosen)
+        model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", predictionCol="list", solver="block").fit(chosen)
         centres = np.array(model.clusterCenters())
         placed = model.transform(units.withColumn("features", array_to_vector("v"))).drop("features")
     path = f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}"

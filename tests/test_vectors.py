@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kgframe.operators import search, vectors
 from kgframe.plans import q_search
+from kgframe.sources import shared
 from kgframe.sources.shared import ship
 
 
@@ -114,3 +115,13 @@ def test_a_query_goes_to_shards_not_to_lists(spark):
     index = vectors.build_vector_index(df, lists=20)
     assert len(index.sizes) > 10 and vectors.probed(q, index, None).count() == 60
     assert abs(vectors.share_read(q, index, None) - 1) < 1e-9
+
+
+def test_sample_of_the_index_is_not_in_one_task(spark):
+    ship(spark)
+    df = spark.range(12_000).select(F.col("id").alias("vec_id"), F.array(*[F.hash("id", F.lit(k)).cast("double") for k in range(3)]).alias("v"))
+    since = shared.mark()
+    index = vectors.build_vector_index(df, lists=4)
+    (sample,) = [p for p in shared._written[since:] if "index-sample" in p]
+    held = [r["count"] for r in spark.read.parquet(sample).groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == sum(index.sizes.values()) == 12_000 and max(held) <= 3_000
